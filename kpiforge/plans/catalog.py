@@ -114,3 +114,105 @@ def q_summary_statistics(spark, sf):
 def q_trend_headline(spark, sf):
     out = sales.trend_headline(_ledger(spark, sf, "date", "amount"), "M", IDENT)
     return out.withColumn("growth_pct", _r6("growth_pct"))
+
+
+# ------------------------------------------------------- e-commerce orders (P1, A2, A3)
+
+from kpiforge.operators import marketing, orders as ords, products as prods  # noqa: E402
+
+
+def _orders(spark, sf):
+    return ords.prepare_orders(tv.ecom_orders(spark, sf))
+
+
+@query("prepare_orders")
+def q_prepare_orders(spark, sf):
+    return _orders(spark, sf)
+
+
+@query("overview_metrics")
+def q_overview_metrics(spark, sf):
+    return ords.overview_metrics(_orders(spark, sf)).withColumn(
+        "profit_margin_pct", _r6("profit_margin_pct")).withColumn(
+        "avg_order_value", _r6("avg_order_value"))
+
+
+@query("repeat_purchase")
+def q_repeat_purchase(spark, sf):
+    return ords.repeat_purchase(_orders(spark, sf))
+
+
+# ------------------------------------------------------------ products (K1, K2, A4, PR4-6)
+
+@query("category_performance")
+def q_category_performance(spark, sf):
+    return prods.category_performance(_orders(spark, sf))
+
+
+@query("sales_ranking")
+def q_sales_ranking(spark, sf):
+    return prods.sales_ranking(_orders(spark, sf), tv.products(spark, sf), top_n=10)
+
+
+@query("profit_analysis")
+def q_profit_analysis(spark, sf):
+    return prods.profit_analysis(_orders(spark, sf), tv.products(spark, sf))
+
+
+@query("inventory_status")
+def q_inventory_status(spark, sf):
+    return prods.inventory_status(_orders(spark, sf), tv.products(spark, sf))
+
+
+@query("low_stock")
+def q_low_stock(spark, sf):
+    return prods.low_stock(_orders(spark, sf), tv.products(spark, sf))
+
+
+@query("restock_recommendations")
+def q_restock(spark, sf):
+    return prods.restock_recommendations(_orders(spark, sf), tv.products(spark, sf))
+
+
+@query("price_suggestions")
+def q_price_suggestions(spark, sf):
+    return prods.price_suggestions(_orders(spark, sf), tv.products(spark, sf))
+
+
+# ------------------------------------------------------------ marketing (P5, P6, A5, A6, K4, M7)
+
+@query("campaign_roi")
+def q_campaign_roi(spark, sf):
+    return marketing.campaign_roi(tv.campaigns(spark, sf))
+
+
+@query("conversion_metrics")
+def q_conversion_metrics(spark, sf):
+    return marketing.conversion_metrics(tv.campaigns(spark, sf))
+
+
+@query("channel_performance")
+def q_channel_performance(spark, sf):
+    return marketing.channel_performance(tv.campaigns(spark, sf))
+
+
+@query("funnel_total")
+def q_funnel_total(spark, sf):
+    return marketing.conversion_funnel(tv.campaigns(spark, sf))
+
+
+@query("funnel_by_campaign")
+def q_funnel_by_campaign(spark, sf):
+    return marketing.conversion_funnel(tv.campaigns(spark, sf), "CMP042")
+
+
+@query("campaign_efficiency")
+def q_campaign_efficiency(spark, sf):
+    return marketing.campaign_efficiency(tv.campaigns(spark, sf)).select(
+        "campaign_id", "channel", "roi", "ctr", "cvr",
+        *[_r6(c).alias(c) for c in ("roi_score", "cvr_score", "ctr_score")], "efficiency_score")
+
+
+@query("budget_allocation")
+def q_budget_allocation(spark, sf):
+    return marketing.budget_allocation(tv.campaigns(spark, sf))

@@ -99,3 +99,146 @@ SQL["trend_headline"] = with_views(f"""SELECT MAX(revenue) AS max_revenue,
   MIN(revenue) AS min_revenue, COUNT(*) AS n_periods,
   {r6("CASE WHEN COUNT(*) > 1 THEN (arg_max(revenue, ps) - arg_min(revenue, ps)) / NULLIF(arg_min(revenue, ps), 0) * 100.0 END")} AS growth_pct
 FROM s""", SALES_SQL, P.resample_ctes("v_sales", "M"))
+
+# ------------------------------------------------------- e-commerce orders
+
+SQL["prepare_orders"] = with_views("SELECT * FROM v_ecom", ECOM_SQL)
+SQL["overview_metrics"] = with_views(f"""WITH
+g AS (SELECT COUNT(*) AS n, {P.msum('revenue')} AS rev, {P.msum('profit')} AS prof,
+             COUNT(DISTINCT customer_id) AS nc FROM v_ecom)
+SELECT n AS n_orders, rev AS total_revenue, prof AS total_profit,
+       {r6('CASE WHEN rev <> 0 THEN prof / rev * 100.0 ELSE 0.0 END')} AS profit_margin_pct,
+       {r6('CASE WHEN n > 0 THEN rev / n ELSE 0.0 END')} AS avg_order_value,
+       nc AS unique_customers FROM g""", ECOM_SQL)
+SQL["repeat_purchase"] = with_views(f"""WITH
+per AS (SELECT customer_id, COUNT(*) AS n FROM v_ecom WHERE customer_id IS NOT NULL GROUP BY 1),
+g AS (SELECT COUNT(*) AS tc, COUNT(*) FILTER (WHERE n > 1) AS rc, SUM(n) AS rows_ FROM per)
+SELECT tc AS total_customers, rc AS repeat_customers,
+       COALESCE({P.r(P.div('rc', 'tc') + ' * 100.0')}, 0.0) AS repeat_rate_pct,
+       COALESCE({P.r(P.div('rows_', 'tc'))}, 0.0) AS avg_orders_per_customer FROM g""",
+                                  ECOM_SQL)
+
+# ------------------------------------------------------------ products
+
+_PER_PRODUCT = f"""per AS (
+  SELECT CAST(product_id AS VARCHAR) AS product_id, {P.msum('quantity')} AS quantity,
+         {P.msum('revenue')} AS revenue, {P.msum('profit')} AS profit
+  FROM v_ecom WHERE product_id IS NOT NULL GROUP BY 1),
+attrs AS (SELECT CAST(product_id AS VARCHAR) AS product_id, product_name, category FROM v_products)"""
+
+SQL["category_performance"] = with_views(f"""SELECT category, {P.msum('quantity')} AS quantity,
+  {P.msum('revenue')} AS revenue, {P.msum('profit')} AS profit, COUNT(order_id) AS order_count,
+  {P.r(P.div(P.msum('revenue'), 'COUNT(order_id)'))} AS avg_order_value
+FROM v_ecom WHERE category IS NOT NULL GROUP BY category""", ECOM_SQL)
+SQL["sales_ranking"] = with_views(f"""WITH {_PER_PRODUCT}
+SELECT per.product_id, per.quantity, per.revenue, per.profit, attrs.product_name, attrs.category
+FROM per LEFT JOIN attrs ON per.product_id = attrs.product_id
+ORDER BY per.revenue DESC, per.product_id LIMIT 10""", ECOM_SQL, PRODUCTS_SQL)
+_PROFIT = f"""prof AS (
+  SELECT per.product_id, per.profit, per.revenue, per.quantity,
+         {P.r(P.div('per.profit', 'per.revenue') + ' * 100.0')} AS profit_margin,
+         attrs.product_name, attrs.category
+  FROM per LEFT JOIN attrs ON per.product_id = attrs.product_id)"""
+SQL["profit_analysis"] = with_views(f"WITH {_PER_PRODUCT}, {_PROFIT} SELECT * FROM prof",
+                                    ECOM_SQL, PRODUCTS_SQL)
+_INV = f"""sold AS (
+  SELECT CAST(product_id AS VARCHAR) AS product_id, {P.msum('quantity')} AS sold_qty
+  FROM v_ecom WHERE product_id IS NOT NULL GROUP BY 1),
+inv AS (
+  SELECT CAST(p.product_id AS VARCHAR) AS product_id, p.product_name, p.category, p.sell_price,
+         p.stock_quantity, p.reorder_level,
+         CASE WHEN p.stock_quantity <= p.reorder_level THEN '低库存'
+              WHEN p.stock_quantity > p.reorder_level * 2 THEN '充足' ELSE '正常' END
+           AS stock_status,
+         COALESCE(s.sold_qty, 0.0) AS sold_qty,
+         {P.r(P.div('COALESCE(s.sold_qty, 0.0)', 'p.stock_quantity') + ' * 100.0')} AS turnover_rate
+  FROM v_products p LEFT JOIN sold s ON CAST(p.product_id AS VARCHAR) = s.product_id)"""
+SQL["inventory_status"] = with_views(f"WITH {_INV} SELECT * FROM inv", ECOM_SQL, PRODUCTS_SQL)
+SQL["low_stock"] = with_views(f"WITH {_INV} SELECT * FROM inv WHERE stock_status = '低库存'",
+                              ECOM_SQL, PRODUCTS_SQL)
+SQL["restock_recommendations"] = with_views(f"""WITH {_INV},
+d AS (SELECT *, {P.r('sold_qty / 25.0', 1)} AS daily_sales FROM inv),
+e AS (SELECT *, {P.r(P.div('stock_quantity', 'daily_sales'), 1)} AS days_remaining FROM d)
+SELECT *, CASE
+  WHEN stock_quantity <= reorder_level
+    THEN '立即补货，建议补货量 ' || CAST(CAST(trunc(daily_sales * 15) AS BIGINT) AS VARCHAR)
+  WHEN days_remaining IS NOT NULL AND days_remaining < 10
+    THEN '准备补货，预计 ' || CAST(CAST(trunc(days_remaining) AS BIGINT) AS VARCHAR) || ' 天后库存不足'
+  ELSE '库存充足' END AS recommendation
+FROM e WHERE stock_quantity <= reorder_level * 1.5""", ECOM_SQL, PRODUCTS_SQL)
+SQL["price_suggestions"] = with_views(f"""WITH {_PER_PRODUCT}, {_PROFIT}
+SELECT product_id, product_name, profit_margin, CASE
+  WHEN profit_margin IS NULL THEN '数据不足'
+  WHEN profit_margin < 30
+    THEN '建议提价 ' || CAST(CAST(trunc((35.0 - profit_margin) / 10.0 * 5.0) AS BIGINT) AS VARCHAR) || '% 或优化成本'
+  WHEN profit_margin > 60 THEN '利润率优秀，可考虑促销扩大销量'
+  ELSE '价格策略合理' END AS price_suggestion
+FROM prof""", ECOM_SQL, PRODUCTS_SQL)
+
+# ------------------------------------------------------------ marketing
+
+def _roi_sql(rev="revenue", budget="budget"):
+    return P.r(P.div(f"{rev} - {budget}", budget) + " * 100.0")
+
+
+_CONV = (f"{P.r(P.div('clicks', 'impressions') + ' * 100.0')} AS ctr, "
+         f"{P.r(P.div('orders', 'clicks') + ' * 100.0')} AS cvr, "
+         f"{P.r(P.div('orders', 'impressions') + ' * 100.0')} AS overall_conversion, "
+         f"{P.r(P.div('budget', 'clicks'))} AS cpc, {P.r(P.div('budget', 'orders'))} AS cpa")
+
+SQL["campaign_roi"] = with_views(f"""SELECT *, {_roi_sql()} AS roi,
+  {P.r('revenue - budget')} AS profit, {P.r(P.div('budget', 'orders'))} AS cost_per_order,
+  {P.r(P.div('revenue', 'orders'))} AS revenue_per_order FROM v_campaigns""", CAMPAIGNS_SQL)
+SQL["conversion_metrics"] = with_views(f"SELECT *, {_CONV} FROM v_campaigns", CAMPAIGNS_SQL)
+_CHANNEL = f"""ch0 AS (
+  SELECT channel, {P.msum('budget')} AS budget, CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders,
+         {P.msum('revenue')} AS revenue,
+         CAST(COALESCE(SUM(impressions), 0) AS BIGINT) AS impressions,
+         CAST(COALESCE(SUM(clicks), 0) AS BIGINT) AS clicks
+  FROM v_campaigns WHERE channel IS NOT NULL GROUP BY channel),
+ch AS (SELECT *, {_roi_sql()} AS roi, {P.r(P.div('clicks', 'impressions') + ' * 100.0')} AS ctr,
+         {P.r(P.div('orders', 'clicks') + ' * 100.0')} AS cvr, {P.r(P.div('budget', 'clicks'))} AS cpc,
+         {P.r(P.div('budget', 'orders'))} AS cpa FROM ch0)"""
+SQL["channel_performance"] = with_views(f"WITH {_CHANNEL} SELECT * FROM ch", CAMPAIGNS_SQL)
+_FUNNEL = """SELECT impressions, clicks, orders,
+  CASE WHEN impressions <> 0 THEN {r2c} ELSE 0.0 END AS ctr,
+  CASE WHEN clicks <> 0 THEN {r2v} ELSE 0.0 END AS cvr,
+  CASE WHEN impressions <> 0 THEN {r4o} ELSE 0.0 END AS overall_conversion FROM t""".format(
+    r2c=P.r("clicks / impressions * 100.0"), r2v=P.r("orders / clicks * 100.0"),
+    r4o=P.r("orders / impressions * 100.0", 4))
+SQL["funnel_total"] = with_views(f"""WITH t AS (SELECT
+  CAST(COALESCE(SUM(impressions), 0) AS BIGINT) AS impressions,
+  CAST(COALESCE(SUM(clicks), 0) AS BIGINT) AS clicks,
+  CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders FROM v_campaigns) {_FUNNEL}""", CAMPAIGNS_SQL)
+SQL["funnel_by_campaign"] = with_views(f"""WITH t AS (SELECT
+  CAST(impressions AS BIGINT) AS impressions, CAST(clicks AS BIGINT) AS clicks,
+  CAST(orders AS BIGINT) AS orders FROM v_campaigns WHERE campaign_id = 'CMP042' LIMIT 1)
+  {_FUNNEL}""", CAMPAIGNS_SQL)
+
+
+def _norm_sql(c, weight):
+    return f"CASE WHEN m_{c} > 0 THEN {c} / m_{c} * {weight}.0 ELSE {c} * 0.0 END"
+
+
+SQL["campaign_efficiency"] = with_views(f"""WITH
+e AS (SELECT campaign_id, channel, {_roi_sql()} AS roi, {_CONV} FROM v_campaigns),
+m AS (SELECT MAX(roi) AS m_roi, MAX(cvr) AS m_cvr, MAX(ctr) AS m_ctr FROM e),
+s AS (SELECT e.*, {_norm_sql('roi', 40)} AS roi_score, {_norm_sql('cvr', 30)} AS cvr_score,
+             {_norm_sql('ctr', 30)} AS ctr_score FROM e, m)
+SELECT campaign_id, channel, roi, ctr, cvr, {r6('roi_score')} AS roi_score,
+       {r6('cvr_score')} AS cvr_score, {r6('ctr_score')} AS ctr_score,
+       {P.r('roi_score + cvr_score + ctr_score')} AS efficiency_score FROM s""", CAMPAIGNS_SQL)
+SQL["budget_allocation"] = with_views(f"""WITH {_CHANNEL},
+tot AS (SELECT {P.msum('budget')} AS total FROM v_campaigns),
+mx AS (SELECT MAX(roi) AS max_roi FROM ch),
+p AS (SELECT ch.*, tot.total, CASE
+    WHEN roi IS NULL AND budget = 0 AND revenue > 0 THEN 40.0
+    WHEN roi > 100 THEN CASE WHEN mx.max_roi IS NULL OR mx.max_roi = 0 THEN 35.0
+                             ELSE least(40.0, roi / mx.max_roi * 35.0) END
+    WHEN roi > 50 THEN 25.0 ELSE 15.0 END AS pct
+  FROM ch, tot, mx)
+SELECT channel, roi AS current_roi, {P.r('pct', 1)} AS suggested_budget_percent,
+  {P.r('total * pct / 100.0')} AS suggested_budget_amount,
+  CASE WHEN (roi IS NULL AND budget = 0 AND revenue > 0) OR roi > 100 THEN '增加预算 - 高 ROI 渠道'
+       WHEN roi > 50 THEN '保持预算 - 表现良好' ELSE '优化或减少预算 - ROI 偏低' END AS recommendation
+FROM p""", CAMPAIGNS_SQL)
