@@ -216,3 +216,80 @@ def q_campaign_efficiency(spark, sf):
 @query("budget_allocation")
 def q_budget_allocation(spark, sf):
     return marketing.budget_allocation(tv.campaigns(spark, sf))
+
+
+# ------------------------------------------------------------ segments (G1-3, A13-15, C1)
+
+from kpiforge.operators import segments as seg  # noqa: E402
+
+# A small bucket size forces the distributed (multi-bucket) rank path at test scale.
+SMALL_BUCKETS = {"rows_per_bucket": 97}
+
+
+@query("abc_category")
+def q_abc_category(spark, sf):
+    return seg.abc_analysis(_ledger(spark, sf, "amount", "category"), cols=IDENT)
+
+
+@query("abc_product")
+def q_abc_product(spark, sf):
+    return seg.abc_analysis(_ledger(spark, sf, "amount", "product"), by="product", cols=IDENT)
+
+
+@query("abc_product_bucketed")
+def q_abc_product_bucketed(spark, sf):
+    return seg.abc_analysis(_ledger(spark, sf, "amount", "product"), by="product", cols=IDENT,
+                            rows_per_bucket=7)
+
+
+@query("abc_summary")
+def q_abc_summary(spark, sf):
+    return seg.abc_summary(_ledger(spark, sf, "amount", "category"), cols=IDENT)
+
+
+@query("rfm_segments")
+def q_rfm_segments(spark, sf):
+    return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer"), IDENT)
+
+
+@query("rfm_segments_bucketed")
+def q_rfm_segments_bucketed(spark, sf):
+    return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer"), IDENT,
+                            **SMALL_BUCKETS)
+
+
+@query("rfm_unreversed")
+def q_rfm_unreversed(spark, sf):
+    return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer", "order_id"), IDENT,
+                            reverse_recency=False, frequency_of="order_id")
+
+
+@query("rfm_events")
+def q_rfm_events(spark, sf):
+    return seg.rfm_segments(tv.events_ledger(spark, sf), IDENT, **SMALL_BUCKETS)
+
+
+@query("segment_counts")
+def q_segment_counts(spark, sf):
+    return seg.segment_counts(_ledger(spark, sf, "date", "amount", "customer"), IDENT)
+
+
+@query("rfmq_features")
+def q_rfmq_features(spark, sf):
+    out = seg.rfmq_features(_ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"),
+                            IDENT)
+    return out.withColumn("customer", F.col("customer").cast("string"))
+
+
+@query("kmeans_customers")
+def q_kmeans_customers(spark, sf):
+    labelled, _ = seg.kmeans_customers(
+        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=3)
+    return labelled
+
+
+@query("kmeans_profile")
+def q_kmeans_profile(spark, sf):
+    _, profile = seg.kmeans_customers(
+        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=3)
+    return profile

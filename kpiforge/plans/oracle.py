@@ -242,3 +242,72 @@ SELECT channel, roi AS current_roi, {P.r('pct', 1)} AS suggested_budget_percent,
   CASE WHEN (roi IS NULL AND budget = 0 AND revenue > 0) OR roi > 100 THEN '增加预算 - 高 ROI 渠道'
        WHEN roi > 50 THEN '保持预算 - 表现良好' ELSE '优化或减少预算 - ROI 偏低' END AS recommendation
 FROM p""", CAMPAIGNS_SQL)
+
+# ------------------------------------------------------------ segments
+
+
+def _abc_sql(key, src="v_sales"):
+    return f"""per AS (SELECT {key} AS k, SUM(CAST(amount AS DECIMAL(18,4))) AS rev
+  FROM {src} WHERE {key} IS NOT NULL GROUP BY 1),
+tot AS (SELECT SUM(rev) AS total FROM per),
+cum AS (SELECT k, rev, SUM(rev) OVER (ORDER BY rev DESC, k
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM per),
+abc0 AS (SELECT CAST(k AS VARCHAR) AS item, CAST(rev AS DOUBLE) AS revenue,
+  {P.r('CAST(c AS DOUBLE) / CAST(total AS DOUBLE) * 100.0')} AS cum_pct FROM cum, tot
+  WHERE total > 0),
+abc AS (SELECT *, CASE WHEN cum_pct <= 70 THEN 'A' WHEN cum_pct <= 90 THEN 'B' ELSE 'C' END
+  AS abc_class FROM abc0)"""
+
+
+SQL["abc_category"] = with_views(f"WITH {_abc_sql('category')} SELECT * FROM abc", SALES_SQL)
+SQL["abc_product"] = with_views(f"WITH {_abc_sql('product')} SELECT * FROM abc", SALES_SQL)
+SQL["abc_product_bucketed"] = SQL["abc_product"]
+SQL["abc_summary"] = with_views(f"""WITH {_abc_sql('category')},
+per_c AS (SELECT abc_class, COUNT(*) AS n_items, SUM(CAST(revenue AS DECIMAL(38,4))) AS rv
+  FROM abc GROUP BY 1),
+t AS (SELECT COUNT(*) AS n, SUM(CAST(revenue AS DECIMAL(38,4))) AS tr FROM abc),
+cls AS (SELECT * FROM (VALUES ('A'), ('B'), ('C')) v(abc_class))
+SELECT cls.abc_class, CAST(COALESCE(per_c.n_items, 0) AS BIGINT) AS n_items,
+  {P.r('COALESCE(CAST(per_c.rv AS DOUBLE), 0.0)')} AS revenue,
+  COALESCE({P.r(P.div('COALESCE(per_c.n_items, 0)', 't.n') + ' * 100.0')}, 0.0) AS item_pct,
+  COALESCE({P.r(P.div('COALESCE(CAST(per_c.rv AS DOUBLE), 0.0)', 'CAST(t.tr AS DOUBLE)') + ' * 100.0')}, 0.0)
+    AS revenue_pct
+FROM cls LEFT JOIN per_c ON cls.abc_class = per_c.abc_class, t WHERE t.n > 0""", SALES_SQL)
+
+
+def _rfm_sql(src="v_sales", freq_col="date", reverse=True):
+    rs = ("6 - greatest(1, (5 * (rr - 1) + n - 2) // (n - 1))" if reverse
+          else "greatest(1, (5 * (rr - 1) + n - 2) // (n - 1))")
+    return f"""nw AS (SELECT MAX(date) AS now FROM {src}),
+per AS (SELECT customer, MAX(date) AS last, COUNT({freq_col}) AS F,
+  CAST(COALESCE(SUM(CAST(amount AS DECIMAL(18,4))), 0) AS DOUBLE) AS M
+  FROM {src} WHERE customer IS NOT NULL GROUP BY customer),
+r AS (SELECT customer, CAST(floor((epoch_us(CAST(now AS TIMESTAMP)) - epoch_us(CAST(last AS TIMESTAMP)))
+  / 86400000000) AS BIGINT) AS R, F, M FROM per, nw),
+rk AS (SELECT *, row_number() OVER (ORDER BY R, customer) AS rr,
+  row_number() OVER (ORDER BY F, customer) AS rf, row_number() OVER (ORDER BY M, customer) AS rm,
+  COUNT(*) OVER () AS n FROM r WHERE R IS NOT NULL),
+sc AS (SELECT *, CASE WHEN n = 1 THEN 5 ELSE {rs} END AS rs,
+  CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (rf - 1) + n - 2) // (n - 1)) END AS fs,
+  CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (rm - 1) + n - 2) // (n - 1)) END AS ms FROM rk),
+rfm AS (SELECT CAST(customer AS VARCHAR) AS customer, R, CAST(F AS BIGINT) AS F, M,
+  CAST(rs + fs + ms AS BIGINT) AS rfm_score,
+  CASE WHEN rs + fs + ms >= 12 THEN '重要价值客户' WHEN rs + fs + ms >= 9 THEN '重要发展客户'
+       WHEN rs + fs + ms >= 6 THEN '一般客户' ELSE '低价值客户' END AS segment FROM sc)"""
+
+
+SQL["rfm_segments"] = with_views(f"WITH {_rfm_sql()} SELECT * FROM rfm", SALES_SQL)
+SQL["rfm_segments_bucketed"] = SQL["rfm_segments"]
+SQL["rfm_unreversed"] = with_views(f"WITH {_rfm_sql(freq_col='order_id', reverse=False)} "
+                                   "SELECT * FROM rfm", SALES_SQL)
+SQL["rfm_events"] = with_views(f"WITH {_rfm_sql('v_events')} SELECT * FROM rfm", EVENTS_SQL)
+SQL["segment_counts"] = with_views(f"WITH {_rfm_sql()} SELECT segment, COUNT(*) AS n_customers "
+                                   "FROM rfm GROUP BY 1", SALES_SQL)
+SQL["rfmq_features"] = with_views(f"""WITH nw AS (SELECT MAX(date) AS now FROM v_sales),
+per AS (SELECT customer, MAX(date) AS last, COUNT(order_id) AS F,
+  CAST(COALESCE(SUM(CAST(amount AS DECIMAL(18,4))), 0) AS DOUBLE) AS M,
+  CAST(COALESCE(SUM(CAST(qty AS DECIMAL(18,4))), 0) AS DOUBLE) AS Q
+  FROM v_sales WHERE customer IS NOT NULL GROUP BY customer)
+SELECT CAST(customer AS VARCHAR) AS customer,
+  CAST(floor((epoch_us(CAST(now AS TIMESTAMP)) - epoch_us(CAST(last AS TIMESTAMP))) / 86400000000)
+    AS BIGINT) AS Recency, F AS Frequency, M AS Monetary, Q AS Quantity FROM per, nw""", SALES_SQL)
