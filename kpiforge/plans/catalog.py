@@ -293,3 +293,97 @@ def q_kmeans_profile(spark, sf):
     _, profile = seg.kmeans_customers(
         _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=3)
     return profile
+
+
+# ------------------------------------------------------------ forecasts (F1-F8)
+
+from kpiforge.operators import forecast as fc  # noqa: E402
+
+
+def _r4(c):
+    return F.rint(F.col(c) * F.lit(1e4)) / F.lit(1e4)
+
+
+@query("forecast_ma")
+def q_forecast_ma(spark, sf):
+    return fc.moving_average(_ledger(spark, sf, "date", "amount"), 7, 7, "D", IDENT).withColumn(
+        "value", _r4("value"))
+
+
+@query("forecast_ma_monthly")
+def q_forecast_ma_monthly(spark, sf):
+    return fc.moving_average(_ledger(spark, sf, "date", "amount"), 6, 3, "M", IDENT).withColumn(
+        "value", _r4("value"))
+
+
+@query("forecast_ma_by_region")
+def q_forecast_ma_by_region(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "region")
+    return fc.moving_average(led, 4, 3, "W", IDENT, group_cols=["region"]).withColumn(
+        "value", _r4("value"))
+
+
+@query("forecast_trend")
+def q_forecast_trend(spark, sf):
+    out = fc.linear_trend(_ledger(spark, sf, "date", "amount"), 7, "D", IDENT)
+    return out.select("method", "freq", "history_periods", _r4("slope").alias("slope"), "step",
+                      "period", _r4("value").alias("value"))
+
+
+@query("forecast_trend_monthly")
+def q_forecast_trend_monthly(spark, sf):
+    out = fc.linear_trend(_ledger(spark, sf, "date", "amount"), 6, "M", IDENT)
+    return out.select("method", "freq", "history_periods", _r4("slope").alias("slope"), "step",
+                      "period", _r4("value").alias("value"))
+
+
+@query("trend_fitted")
+def q_trend_fitted(spark, sf):
+    out = fc.trend_fitted(_ledger(spark, sf, "date", "amount"), 30, "D", IDENT)
+    return out.select("kind", "period", "actual", _r4("value").alias("value"))
+
+
+@query("forecast_ses")
+def q_forecast_ses(spark, sf):
+    return fc.ses(_ledger(spark, sf, "date", "amount"), 30, 0.3, "D", IDENT).withColumn(
+        "value", _r4("value"))
+
+
+@query("forecast_holt")
+def q_forecast_holt(spark, sf):
+    return fc.holt(_ledger(spark, sf, "date", "amount"), 30, 0.3, "D", IDENT)
+
+
+@query("forecast_holt_fixed_beta")
+def q_forecast_holt_fixed(spark, sf):
+    return fc.holt(_ledger(spark, sf, "date", "amount"), 12, 0.3, "M", IDENT, beta=0.1).withColumn(
+        "value", _r4("value"))
+
+
+@query("forecast_arima")
+def q_forecast_arima(spark, sf):
+    return fc.arima(_ledger(spark, sf, "date", "amount"), (1, 1, 1), 30, "D", IDENT)
+
+
+@query("evaluate_trend")
+def q_evaluate_trend(spark, sf):
+    out = fc.evaluate(_ledger(spark, sf, "date", "amount"), "trend", 0.8, "D", IDENT)
+    return out.select("method", "n_train", "n_test", *[_r4(c).alias(c) for c in ("mae", "rmse", "mape")],
+                      "mape_skipped", _r6("r2").alias("r2"))
+
+
+@query("evaluate_ma")
+def q_evaluate_ma(spark, sf):
+    out = fc.evaluate(_ledger(spark, sf, "date", "amount"), "ma", 0.8, "D", IDENT)
+    return out.select("method", "n_train", "n_test", *[_r4(c).alias(c) for c in ("mae", "rmse", "mape")],
+                      "mape_skipped", _r6("r2").alias("r2"))
+
+
+@query("compare_forecasts")
+def q_compare_forecasts(spark, sf):
+    return fc.compare(_ledger(spark, sf, "date", "amount"), 30, "D", IDENT)
+
+
+@query("forecast_input_summary")
+def q_forecast_input_summary(spark, sf):
+    return fc.input_summary(_ledger(spark, sf, "date"), IDENT).select("data_range", "total_records")

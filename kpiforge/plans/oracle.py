@@ -311,3 +311,128 @@ per AS (SELECT customer, MAX(date) AS last, COUNT(order_id) AS F,
 SELECT CAST(customer AS VARCHAR) AS customer,
   CAST(floor((epoch_us(CAST(now AS TIMESTAMP)) - epoch_us(CAST(last AS TIMESTAMP))) / 86400000000)
     AS BIGINT) AS Recency, F AS Frequency, M AS Monetary, Q AS Quantity FROM per, nw""", SALES_SQL)
+
+# ------------------------------------------------------------ forecasts
+
+
+def r4(x: str) -> str:
+    return P.r(x, 4)
+
+
+_FUT = {
+    "D": "CAST(CAST({last} AS DATE) + CAST({k} AS INTEGER) AS DATE)",
+    "W": "CAST(CAST({last} AS DATE) + CAST(7 * {k} + 6 AS INTEGER) AS DATE)",
+    "M": "last_day(CAST({last} + to_months(CAST({k} AS INTEGER)) AS DATE))",
+    "Q": "last_day(CAST({last} + to_months(CAST(3 * {k} + 2 AS INTEGER)) AS DATE))",
+    "Y": "last_day(CAST({last} + to_months(CAST(12 * {k} + 11 AS INTEGER)) AS DATE))",
+}
+
+
+def future_label(freq, last="last", k="k"):
+    return _FUT[freq].format(last=last, k=k)
+
+
+def _series_sql(freq, src="v_sales", view=SALES_SQL):
+    return view, P.resample_ctes(src, freq) + """,
+ts AS (SELECT ps, period, revenue AS y, row_number() OVER (ORDER BY ps) - 1 AS t,
+         COUNT(*) OVER () AS n FROM s)"""
+
+
+def _ma_sql(freq, periods, window):
+    v, s = _series_sql(freq)
+    return with_views(f"""WITH st AS (SELECT AVG(y) AS value, MAX(ps) AS last, MAX(n) AS n
+  FROM ts WHERE t >= n - {window})
+SELECT 'moving_average' AS method, '{freq}' AS freq, CAST(n AS BIGINT) AS history_periods,
+  k AS step, {future_label(freq)} AS period, {r4('value')} AS value
+FROM st, (SELECT unnest(range(1, {periods} + 1)) AS k)""", v, s)
+
+
+SQL["forecast_ma"] = _ma_sql("D", 7, 7)
+SQL["forecast_ma_monthly"] = _ma_sql("M", 6, 3)
+SQL["forecast_ma_by_region"] = with_views(f"""WITH
+agg AS (SELECT region, {P.start('W')} AS ps, {P.msum('amount')} AS revenue FROM v_sales
+  WHERE date IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT region, CAST(MIN(ps) AS TIMESTAMP) AS lo, CAST(MAX(ps) AS TIMESTAMP) AS hi FROM agg GROUP BY 1),
+sp AS (SELECT region, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS ps FROM b),
+ser AS (SELECT sp.region, sp.ps, COALESCE(a.revenue, 0.0) AS y,
+  row_number() OVER (PARTITION BY sp.region ORDER BY sp.ps) - 1 AS t,
+  COUNT(*) OVER (PARTITION BY sp.region) AS n
+  FROM sp LEFT JOIN agg a ON sp.region = a.region AND sp.ps = a.ps),
+st AS (SELECT region, AVG(y) AS value, MAX(ps) AS last, MAX(n) AS n FROM ser WHERE t >= n - 3
+  GROUP BY region)
+SELECT region, 'moving_average' AS method, 'W' AS freq, CAST(n AS BIGINT) AS history_periods,
+  k AS step, {future_label('W')} AS period, {r4('value')} AS value
+FROM st, (SELECT unnest(range(1, 5)) AS k)""", SALES_SQL)
+
+
+def _trend_sql_f(freq, periods):
+    v, s = _series_sql(freq)
+    return with_views(f"""WITH st AS (SELECT regr_slope(y, t) AS slope, regr_intercept(y, t) AS icpt,
+  MAX(n) AS n, MAX(ps) AS last FROM ts)
+SELECT 'linear_trend' AS method, '{freq}' AS freq, CAST(n AS BIGINT) AS history_periods,
+  {r4('slope')} AS slope, k AS step, {future_label(freq)} AS period,
+  {r4('greatest(0.0, slope * (n - 1 + k) + icpt)')} AS value
+FROM st, (SELECT unnest(range(1, {periods} + 1)) AS k) WHERE n >= 2""", v, s)
+
+
+SQL["forecast_trend"] = _trend_sql_f("D", 7)
+SQL["forecast_trend_monthly"] = _trend_sql_f("M", 6)
+_v, _s = _series_sql("D")
+SQL["trend_fitted"] = with_views(f"""WITH st AS (SELECT regr_slope(y, t) AS slope,
+  regr_intercept(y, t) AS icpt, MAX(n) AS n, MAX(ps) AS last FROM ts)
+SELECT 'fitted' AS kind, ts.period, ts.y AS actual, {r4('slope * t + icpt')} AS value
+FROM ts, st WHERE st.n >= 2
+UNION ALL
+SELECT 'forecast' AS kind, {future_label('D')} AS period, CAST(NULL AS DOUBLE) AS actual,
+  {r4('slope * (n - 1 + k) + icpt')} AS value
+FROM st, (SELECT unnest(range(1, 31)) AS k) WHERE n >= 2""", _v, _s)
+SQL["forecast_ses"] = with_views(f"""WITH st AS (SELECT
+  SUM(pow(0.7, n - 1 - t) * CASE WHEN t = 0 THEN 1.0 ELSE 0.3 END * y) AS value,
+  MAX(ps) AS last, MAX(n) AS n FROM ts)
+SELECT 'ses' AS method, 'D' AS freq, CAST(n AS BIGINT) AS history_periods, k AS step,
+  {future_label('D')} AS period, {r4('value')} AS value
+FROM st, (SELECT unnest(range(1, 31)) AS k)""", _v, _s)
+_vm, _sm = _series_sql("M")
+SQL["forecast_holt_fixed_beta"] = with_views(f"""WITH RECURSIVE
+rec(t, l, b) AS (
+  SELECT 1, (SELECT y FROM ts WHERE t = 1), (SELECT y FROM ts WHERE t = 1) - (SELECT y FROM ts WHERE t = 0)
+  UNION ALL
+  SELECT ts.t, 0.3 * ts.y + 0.7 * (rec.l + rec.b),
+         0.1 * ((0.3 * ts.y + 0.7 * (rec.l + rec.b)) - rec.l) + 0.9 * rec.b
+  FROM rec JOIN ts ON ts.t = rec.t + 1),
+fin AS (SELECT l, b FROM rec ORDER BY t DESC LIMIT 1),
+st AS (SELECT MAX(ps) AS last, MAX(n) AS n FROM ts)
+SELECT 'holt' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods, 0.1 AS beta,
+  k AS step, {future_label('M')} AS period, {r4('l + k * b')} AS value
+FROM fin, st, (SELECT unnest(range(1, 13)) AS k) WHERE n >= 2""", _vm, _sm)
+
+
+def _eval_sql(method):
+    if method == "ma":
+        fit = """SELECT AVG(y) AS m, COUNT(*) AS n_train,
+    SUM(CASE WHEN t >= sp - 7 THEN y END) AS sw, COUNT(CASE WHEN t >= sp - 7 THEN 1 END) AS cw
+    FROM tr"""
+        pred = "CASE WHEN t - sp < 7 THEN m ELSE (sw + 7.0 * m) / (cw + 7) END"
+    else:
+        fit = "SELECT AVG(y) AS m, COUNT(*) AS n_train, regr_slope(y, t) AS bb, regr_intercept(y, t) AS aa FROM tr"
+        pred = "bb * t + aa"
+    return with_views(f"""WITH sp0 AS (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS sp FROM ts),
+tr AS (SELECT * FROM sp0 WHERE t < sp),
+fit AS ({fit}),
+te AS (SELECT sp0.*, fit.*, {pred} AS p FROM sp0, fit WHERE t >= sp),
+agg AS (SELECT MAX(n_train) AS n_train, COUNT(*) AS n_test, AVG(abs(y - p)) AS mae,
+  sqrt(AVG((y - p) * (y - p))) AS rmse,
+  AVG(CASE WHEN y <> 0 THEN abs((y - p) / y) END) * 100.0 AS mape,
+  COUNT(CASE WHEN y = 0 THEN 1 END) AS mape_skipped, SUM((y - p) * (y - p)) AS ssr,
+  var_pop(y) * COUNT(*) AS sst FROM te)
+SELECT '{method}' AS method, CAST(n_train AS BIGINT) AS n_train, n_test, {r4('mae')} AS mae,
+  {r4('rmse')} AS rmse, {r4('mape')} AS mape, mape_skipped,
+  {r6("CASE WHEN sst > 0 THEN 1.0 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END")} AS r2
+FROM agg""", _v, _s)
+
+
+SQL["evaluate_trend"] = _eval_sql("trend")
+SQL["evaluate_ma"] = _eval_sql("ma")
+SQL["forecast_input_summary"] = with_views("""SELECT
+  strftime(MIN(date), '%Y-%m-%d %H:%M:%S') || ' 至 ' || strftime(MAX(date), '%Y-%m-%d %H:%M:%S')
+    AS data_range, COUNT(*) AS total_records FROM v_sales""", SALES_SQL)

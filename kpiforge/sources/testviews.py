@@ -211,6 +211,9 @@ v_campaigns AS (
 def with_views(sql: str, *views: str) -> str:
     """Prefix ``sql`` (which starts with SELECT or is a CTE body) with views."""
     body = sql.strip()
+    m = re.match(r"(?i)WITH\s+RECURSIVE\s", body)
+    if m:
+        return "WITH RECURSIVE " + ",\n".join(views) + ",\n" + body[m.end():]
     if re.match(r"(?i)WITH\s", body):
         return "WITH " + ",\n".join(views) + ",\n" + body[5:]
     return "WITH " + ",\n".join(views) + "\n" + body
