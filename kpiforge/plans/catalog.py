@@ -387,3 +387,114 @@ def q_compare_forecasts(spark, sf):
 @query("forecast_input_summary")
 def q_forecast_input_summary(spark, sf):
     return fc.input_summary(_ledger(spark, sf, "date"), IDENT).select("data_range", "total_records")
+
+
+# ------------------------------------------------------------ data quality (Q1-Q6, A12)
+
+from kpiforge.operators import quality as qa  # noqa: E402
+
+
+@query("clean_drop")
+def q_clean_drop(spark, sf):
+    return qa.drop_missing(tv.dirty_lines(spark, sf))
+
+
+@query("clean_fill")
+def q_clean_fill(spark, sf):
+    return qa.fill_missing(tv.dirty_lines(spark, sf))
+
+
+@query("clean_dedupe")
+def q_clean_dedupe(spark, sf):
+    return qa.drop_duplicates(tv.dirty_lines(spark, sf).select("returnflag", "linestatus",
+                                                                "quantity"))
+
+
+@query("clean_iqr")
+def q_clean_iqr(spark, sf):
+    return qa.iqr_filter(tv.dirty_lines(spark, sf).select("quantity", "price", "discount"))
+
+
+@query("clean_iqr_distributed")
+def q_clean_iqr_distributed(spark, sf):
+    """Same as clean_iqr with the bucketed exact-quantile path forced."""
+    import kpiforge.functions.stats as st
+    df = tv.dirty_lines(spark, sf).select("quantity", "price", "discount")
+    cur = df
+    for c in ("quantity", "price", "discount"):
+        q1, q3 = st.quantiles(cur, c, [0.25, 0.75], rows_per_bucket=1000)
+        iqr = q3 - q1
+        cur = cur.where((F.col(c) >= q1 - 1.5 * iqr) & (F.col(c) <= q3 + 1.5 * iqr))
+    return cur
+
+
+@query("clean_zscore")
+def q_clean_zscore(spark, sf):
+    return qa.zscore_filter(tv.dirty_lines(spark, sf).select("quantity", "price", "discount"))
+
+
+@query("clean_pipeline")
+def q_clean_pipeline(spark, sf):
+    return qa.clean(tv.dirty_lines(spark, sf).select("quantity", "discount", "returnflag",
+                                                      "linestatus"),
+                    handle_missing="fill", remove_duplicates=True, outlier_method="iqr")
+
+
+@query("data_profile")
+def q_data_profile(spark, sf):
+    return qa.profile(tv.dirty_lines(spark, sf))
+
+
+# ------------------------------------------------------------ report (N1-N4, IO6)
+
+from kpiforge.operators import narrative as nar  # noqa: E402
+from kpiforge.sources import writers  # noqa: E402
+
+
+def _report_inputs(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "category", "region", "customer")
+    summary = sales.summary(led, IDENT)
+    alerts = sales.anomalies(led, "D", 2.0, IDENT)
+    return led, summary, alerts
+
+
+@query("commentary_rules")
+def q_commentary_rules(spark, sf):
+    _, summary, alerts = _report_inputs(spark, sf)
+    return nar.report_rows(nar.commentary_report(summary, alerts))
+
+
+@query("commentary_markdown")
+def q_commentary_markdown(spark, sf):
+    _, summary, alerts = _report_inputs(spark, sf)
+    return nar.markdown(nar.commentary_report(summary, alerts))
+
+
+@query("commentary_payload")
+def q_commentary_payload(spark, sf):
+    led, summary, alerts = _report_inputs(spark, sf)
+    return nar.payload(summary, sales.trend(led, "M", IDENT), alerts,
+                       sales.category_breakdown(led, IDENT), sales.region_breakdown(led, IDENT))
+
+
+@query("parse_commentary")
+def q_parse_commentary(spark, sf):
+    """Assistant turns of ``conversations`` as model responses (not JSON: they
+    fall back to the rules), plus the rule report itself serialised as a
+    fenced JSON response (parses)."""
+    _, summary, alerts = _report_inputs(spark, sf)
+    report = nar.commentary_report(summary, alerts)
+    conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
+    replies = conv.where(F.col("role") == "assistant").select(
+        F.concat_ws("-", "conv_id", "turn").alias("response_id"), F.col("text").alias("text"))
+    echo = report.select(F.lit("rules-json").alias("response_id"),
+                         F.concat(F.lit("```json\n"),
+                                  F.to_json(F.struct("overview", "highlights", "risks",
+                                                     "recommendations")),
+                                  F.lit("\n```")).alias("text"))
+    return nar.parse_response(replies.unionByName(echo), "text", report)
+
+
+@query("report_totals")
+def q_report_totals(spark, sf):
+    return writers.report_totals(_ledger(spark, sf, "amount", "category", "region"), IDENT)

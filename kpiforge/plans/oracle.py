@@ -17,9 +17,8 @@ def r6(x: str) -> str:
     return P.r(x, 6)
 
 
-SQL["sales_summary"] = with_views(f"""WITH
-g AS (SELECT COUNT(*) AS n, {P.msum('amount')} AS rev, MIN(date) AS d0, MAX(date) AS d1,
-             COUNT(DISTINCT customer) AS nc FROM v_sales),
+_SUMMARY_CTE = f"""g AS (SELECT COUNT(*) AS n, {P.msum('amount')} AS rev, MIN(date) AS d0,
+             MAX(date) AS d1, COUNT(DISTINCT customer) AS nc FROM v_sales),
 c AS (SELECT category, {P.msum('amount')} AS rev FROM v_sales WHERE category IS NOT NULL
       GROUP BY 1 ORDER BY rev DESC, category LIMIT 1),
 r AS (SELECT region, {P.msum('amount')} AS rev FROM v_sales WHERE region IS NOT NULL
@@ -27,15 +26,20 @@ r AS (SELECT region, {P.msum('amount')} AS rev FROM v_sales WHERE region IS NOT
 m AS (SELECT {P.start('M')} AS ps, {P.msum('amount')} AS rev FROM v_sales
       WHERE date IS NOT NULL GROUP BY 1),
 mm AS (SELECT arg_min(rev, ps) AS first, arg_max(rev, ps) AS last, MIN(ps) AS m0,
-              MAX(ps) AS m1 FROM m)
-SELECT g.n AS n_records, strftime(g.d0, '%Y-%m-%d') AS date_start,
+              MAX(ps) AS m1 FROM m),
+sm AS (SELECT g.n AS n_records, strftime(g.d0, '%Y-%m-%d') AS date_start,
        strftime(g.d1, '%Y-%m-%d') AS date_end, g.rev AS total_revenue, g.n AS total_orders,
        g.rev / g.n AS avg_order_value, c.category AS top_category,
-       c.rev AS top_category_revenue, r.region AS top_region, r.rev AS top_region_revenue,
-       g.nc AS n_customers,
-       {r6("CASE WHEN mm.m1 > mm.m0 AND mm.first > 0 THEN (mm.last / mm.first - 1) * 100.0 END")}
+       COALESCE(c.rev, 0.0) AS top_category_revenue, r.region AS top_region,
+       COALESCE(r.rev, 0.0) AS top_region_revenue, g.nc AS n_customers,
+       CASE WHEN mm.m1 > mm.m0 AND mm.first > 0 THEN (mm.last / mm.first - 1) * 100.0 END
          AS growth_first_to_last_month
-FROM g, c, r, mm WHERE g.n > 0""", SALES_SQL)
+  FROM g LEFT JOIN c ON TRUE LEFT JOIN r ON TRUE, mm WHERE g.n > 0)"""
+
+SQL["sales_summary"] = with_views(f"""WITH {_SUMMARY_CTE}
+SELECT n_records, date_start, date_end, total_revenue, total_orders, avg_order_value,
+  top_category, top_category_revenue, top_region, top_region_revenue, n_customers,
+  {r6('growth_first_to_last_month')} AS growth_first_to_last_month FROM sm""", SALES_SQL)
 
 for _f, _n in (("D", "d"), ("W", "w"), ("M", "m"), ("Q", "q"), ("Y", "y")):
     SQL[f"resample_{_n}"] = with_views(
@@ -436,3 +440,116 @@ SQL["evaluate_ma"] = _eval_sql("ma")
 SQL["forecast_input_summary"] = with_views("""SELECT
   strftime(MIN(date), '%Y-%m-%d %H:%M:%S') || ' 至 ' || strftime(MAX(date), '%Y-%m-%d %H:%M:%S')
     AS data_range, COUNT(*) AS total_records FROM v_sales""", SALES_SQL)
+
+# ------------------------------------------------------------ data quality
+
+from kpiforge.sources.testviews import DIRTY_SQL  # noqa: E402
+
+SQL["clean_drop"] = with_views("""SELECT * FROM v_dirty WHERE l_orderkey IS NOT NULL
+  AND l_linenumber IS NOT NULL AND quantity IS NOT NULL AND price IS NOT NULL
+  AND discount IS NOT NULL AND returnflag IS NOT NULL AND linestatus IS NOT NULL""", DIRTY_SQL)
+SQL["clean_fill"] = with_views("""WITH st AS (SELECT quantile_cont(quantity, 0.5) AS mq,
+  quantile_cont(discount, 0.5) AS md,
+  (SELECT returnflag FROM v_dirty WHERE returnflag IS NOT NULL GROUP BY 1
+   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_dirty)
+SELECT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, price,
+  COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus
+FROM v_dirty, st""", DIRTY_SQL)
+SQL["clean_dedupe"] = with_views("SELECT DISTINCT returnflag, linestatus, quantity FROM v_dirty",
+                                 DIRTY_SQL)
+
+
+def _iqr_step(prev, cur, col):
+    return f"""{cur} AS (SELECT {prev}.* FROM {prev}, (SELECT quantile_cont({col}, 0.25) AS q1,
+    quantile_cont({col}, 0.75) AS q3 FROM {prev}) b
+  WHERE {col} >= q1 - 1.5 * (q3 - q1) AND {col} <= q3 + 1.5 * (q3 - q1))"""
+
+
+def _z_step(prev, cur, col):
+    return f"""{cur} AS (SELECT {prev}.* FROM {prev}, (SELECT AVG({col}) AS m,
+    STDDEV_SAMP({col}) AS s FROM {prev}) b
+  WHERE s > 0 AND abs(({col} - m) / s) < 3.0)"""
+
+
+_IQR = ",\n".join([
+    "c0 AS (SELECT quantity, price, discount FROM v_dirty)",
+    _iqr_step("c0", "c1", "quantity"), _iqr_step("c1", "c2", "price"),
+    _iqr_step("c2", "c3", "discount")])
+SQL["clean_iqr"] = with_views(f"WITH {_IQR} SELECT * FROM c3", DIRTY_SQL)
+SQL["clean_iqr_distributed"] = SQL["clean_iqr"]
+SQL["clean_zscore"] = with_views("WITH " + ",\n".join([
+    "c0 AS (SELECT quantity, price, discount FROM v_dirty)",
+    _z_step("c0", "c1", "quantity"), _z_step("c1", "c2", "price"),
+    _z_step("c2", "c3", "discount")]) + " SELECT * FROM c3", DIRTY_SQL)
+SQL["clean_pipeline"] = with_views("WITH " + ",\n".join([
+    """st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(discount, 0.5) AS md,
+  (SELECT returnflag FROM v_dirty WHERE returnflag IS NOT NULL GROUP BY 1
+   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_dirty)""",
+    """c0 AS (SELECT DISTINCT COALESCE(quantity, mq) AS quantity, COALESCE(discount, md) AS discount,
+  COALESCE(returnflag, mr) AS returnflag, linestatus FROM v_dirty, st)""",
+    _iqr_step("c0", "c1", "quantity"), _iqr_step("c1", "c2", "discount")])
+    + " SELECT * FROM c2", DIRTY_SQL)
+_PROFILE_COLS = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("quantity", "double"),
+                 ("price", "double"), ("discount", "double"), ("returnflag", "string"),
+                 ("linestatus", "string")]
+SQL["data_profile"] = with_views(" UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column, '{t}' AS dtype, "
+    f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing, COUNT(*) AS n_rows "
+    f"FROM v_dirty" for i, (c, t) in enumerate(_PROFILE_COLS)), DIRTY_SQL)
+
+# ------------------------------------------------------------ report
+
+SQL["report_totals"] = with_views(f"""
+SELECT 'category' AS sheet, CAST(category AS VARCHAR) AS key, {P.msum('amount')} AS revenue
+FROM v_sales WHERE category IS NOT NULL GROUP BY category
+UNION ALL
+SELECT 'region' AS sheet, CAST(region AS VARCHAR) AS key, {P.msum('amount')} AS revenue
+FROM v_sales WHERE region IS NOT NULL GROUP BY region""", SALES_SQL)
+
+
+def _alerts_cte(freq="D", z=2.0):
+    w = "OVER (ORDER BY ps ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+    return P.resample_ctes("v_sales", freq) + f""",
+sc AS (SELECT period, revenue,
+         CASE WHEN COUNT(revenue) {w} >= 3 THEN AVG(revenue) {w} END AS mu,
+         CASE WHEN COUNT(revenue) {w} >= 3 THEN STDDEV_SAMP(revenue) {w} END AS sd,
+         COUNT(*) OVER () AS n FROM s),
+alerts AS (SELECT period, revenue AS actual, mu AS expected, (revenue - mu) / sd AS z_score
+  FROM sc WHERE n >= 5 AND sd IS NOT NULL AND sd >= 1e-9 AND abs((revenue - mu) / sd) >= {z})"""
+
+
+_MONEY = "format('{{:,.0f}}', {x})"
+SQL["commentary_rules"] = with_views(f"""WITH {_SUMMARY_CTE}, {_alerts_cte()},
+fd AS (SELECT * FROM alerts WHERE z_score <= 0 ORDER BY period LIMIT 1),
+fs AS (SELECT * FROM alerts WHERE z_score > 0 ORDER BY period LIMIT 1),
+items AS (
+  SELECT 'overview' AS section, 0 AS k, date_start || ' 至 ' || date_end || ' 期间，共 '
+    || CAST(total_orders AS VARCHAR) || ' 笔订单、' || CAST(n_customers AS VARCHAR)
+    || ' 名客户，总收入 CNY' || {_MONEY.format(x='total_revenue')} || '，平均客单 CNY'
+    || {_MONEY.format(x='avg_order_value')}
+    || CASE WHEN growth_first_to_last_month IS NOT NULL
+            THEN '，环比首月增长 ' || format('{{:+.1f}}', growth_first_to_last_month) || '%' ELSE '' END
+    || '。' AS text FROM sm
+  UNION ALL SELECT 'highlights', 1, '品类 Top1：' || top_category || ' 贡献 CNY'
+    || {_MONEY.format(x='top_category_revenue')} FROM sm WHERE COALESCE(top_category, '') <> ''
+  UNION ALL SELECT 'highlights', 2, '区域 Top1：' || top_region || ' 贡献 CNY'
+    || {_MONEY.format(x='top_region_revenue')} FROM sm WHERE COALESCE(top_region, '') <> ''
+  UNION ALL SELECT 'highlights', 3, '末月较首月增长 ' || format('{{:+.1f}}', growth_first_to_last_month)
+    || '%，业务在扩张' FROM sm WHERE growth_first_to_last_month > 10
+  UNION ALL SELECT 'risks', 1, strftime(period, '%Y-%m-%d') || ' 出现异常下跌（实际 CNY'
+    || {_MONEY.format(x='actual')} || '，预期 CNY' || {_MONEY.format(x='expected')} || '，z='
+    || format('{{:.2f}}', z_score) || '）' FROM fd
+  UNION ALL SELECT 'risks', 2, '末月较首月下降 ' || format('{{:.1f}}', growth_first_to_last_month)
+    || '%，需排查原因' FROM sm WHERE growth_first_to_last_month < -10
+  UNION ALL SELECT 'risks', 3, '人均订单数低，复购率有提升空间' FROM sm
+    WHERE n_customers > 0 AND total_orders / n_customers < 1.2
+  UNION ALL SELECT 'recommendations', 1, '加大 ' || top_category || ' 类目库存 / 营销投放' FROM sm
+    WHERE COALESCE(top_category, '') <> ''
+  UNION ALL SELECT 'recommendations', 2, '排查异常下跌时段的因素（促销 / 库存 / 渠道）' FROM fd
+  UNION ALL SELECT 'recommendations', 3, '复盘 ' || strftime(period, '%Y-%m-%d')
+    || ' 异常增长动因，看能否复制' FROM fs),
+full_ AS (SELECT * FROM items UNION ALL
+  SELECT 'recommendations', 4, '继续维持现有运营节奏，关注下期数据' FROM sm
+  WHERE NOT EXISTS (SELECT 1 FROM items WHERE section = 'recommendations'))
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY k) - 1 AS BIGINT) AS pos, text
+FROM full_""", SALES_SQL)

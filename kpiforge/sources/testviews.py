@@ -217,3 +217,27 @@ def with_views(sql: str, *views: str) -> str:
     if re.match(r"(?i)WITH\s", body):
         return "WITH " + ",\n".join(views) + ",\n" + body[5:]
     return "WITH " + ",\n".join(views) + "\n" + body
+
+
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with missing values at fixed positions, for the data-quality
+    operators (the driver tables have no NULLs).  Every row is kept."""
+    li = _read(spark, sf_dir, "lineitem")
+    h = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(h % 13 != 0, F.col("l_quantity")).alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.when(h % 17 != 0, F.col("l_discount")).alias("discount"),
+        F.when(h % 11 != 0, F.col("l_returnflag")).alias("returnflag"),
+        F.col("l_linestatus").alias("linestatus"))
+
+
+DIRTY_SQL = """v_dirty AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 <> 0 THEN l_quantity END AS quantity,
+    l_extendedprice AS price,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 17 <> 0 THEN l_discount END AS discount,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 11 <> 0 THEN l_returnflag END AS returnflag,
+    l_linestatus AS linestatus
+  FROM lineitem)"""
