@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # pandas aliases accepted by the reference for the same frequency.
@@ -94,11 +94,19 @@ def resample(ledger: DataFrame, freq: str, value: str = "amount", date: str = "d
                        F.col(value).alias("_v"))
            .groupBy(*g, "period_start")
            .agg(total.alias("revenue"), F.count("_v").alias("n_orders")))
-    bounds = agg.groupBy(*g).agg(F.min("period_start").alias("_lo"),
-                                 F.max("period_start").alias("_hi"))
-    spine = bounds.select(*g, F.explode(F.sequence("_lo", "_hi", step(f))).alias("period_start"))
-    return (spine.join(agg, [*g, "period_start"], "left")
-            .select(*g, "period_start",
-                    period_end(F.col("period_start"), f).alias("period"),
-                    F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-                    F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders")))
+    # Gap fill without a second pass: each period row also emits the empty
+    # periods up to the next non-empty one (``lead`` over the small aggregate,
+    # partitioned by series), so the ledger is scanned once and nothing joins.
+    w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
+    agg = agg.withColumn("_next", F.lead("period_start").over(w))
+    nxt = F.col("_next")
+    cur = F.col("period_start")
+    span = F.when(nxt.isNull(), F.array(cur)).otherwise(
+        F.sequence(cur, offset_start(nxt, f, -1), step(f)))
+    filled = agg.select(*g, "revenue", "n_orders", F.posexplode(span).alias("_pos", "_ps"))
+    first = F.col("_pos") == 0
+    return filled.select(
+        *g, F.col("_ps").alias("period_start"),
+        period_end(F.col("_ps"), f).alias("period"),
+        F.when(first, F.col("revenue")).otherwise(F.lit(0.0)).alias("revenue"),
+        F.when(first, F.col("n_orders")).otherwise(F.lit(0)).cast("long").alias("n_orders"))
