@@ -55,7 +55,8 @@ def moving_average(df: DataFrame, periods: int = 7, window: int = 7, freq: str =
     s = series(df, freq, cols, g)
     tail = s.where(F.col("t") >= F.col("n") - F.lit(int(window)))
     stats = tail.groupBy(*g).agg(F.avg("y").alias("value"), F.max("period_start").alias("_last"),
-                                 F.max("n").alias("history_periods"))
+                                 F.max("n").alias("history_periods")) \
+        .where(F.col("history_periods").isNotNull())
     return (_future(stats, freq, periods, g)
             .select(*g, F.lit("moving_average").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                     F.col("history_periods").cast("long").alias("history_periods"),
@@ -122,7 +123,8 @@ def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
         F.when(F.col("t") == 0, F.lit(1.0)).otherwise(F.lit(a))
     stats = s.groupBy(*g).agg(F.sum(wgt * F.col("y")).alias("value"),
                               F.max("period_start").alias("_last"),
-                              F.max("n").alias("history_periods"))
+                              F.max("n").alias("history_periods")) \
+        .where(F.col("history_periods").isNotNull())
     return (_future(stats, freq, periods, g)
             .select(*g, F.lit("ses").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                     F.col("history_periods").cast("long").alias("history_periods"),
@@ -171,7 +173,8 @@ def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
         F.min_by(F.struct(F.col("_st")["l"].alias("l"), F.col("_st")["b"].alias("b"),
                           F.col("_beta").alias("beta"), F.col("_st")["sse"].alias("sse")),
                  F.struct(F.col("_st")["sse"], F.col("_beta"))).alias("_m"),
-        F.max("_last").alias("_last"), F.max("history_periods").alias("history_periods"))
+        F.max("_last").alias("_last"), F.max("history_periods").alias("history_periods")) \
+        .where(F.col("history_periods").isNotNull())
     fut = _future(best, freq, periods, g)
     return fut.select(*g, F.lit("holt").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                       F.col("history_periods").cast("long").alias("history_periods"),
@@ -225,7 +228,8 @@ def evaluate(df: DataFrame, method: str = "ma", train_ratio: float = 0.8, freq:
     sst = F.col("_vy") * F.col("n_test")
     r2 = F.when(sst > 0, F.lit(1.0) - F.col("_ssr") / sst).otherwise(
         F.when(F.col("_ssr") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return tot.select(*g, F.lit(method).alias("method"), F.col("n_train").cast("long"),
+    return tot.where(F.col("n_test") > 0).select(
+                      *g, F.lit(method).alias("method"), F.col("n_train").cast("long"),
                       "n_test", "mae", "rmse", "mape", "mape_skipped", r2.alias("r2"))
 
 
