@@ -47,11 +47,7 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     if not todo:
         return df
     others = [f for f in todo if not isinstance(f.dataType, NUMERIC)]
-    modes = {}
-    if others:
-        row = df.agg(*[F.mode(F.col(f"`{f.name}`"), True).alias(f"m{i}")
-                       for i, f in enumerate(others)]).first()
-        modes = {f.name: row[f"m{i}"] for i, f in enumerate(others)}
+    modes = {f.name: most_frequent(df, f.name) for f in others}
     exprs = {}
     for f in todo:
         c = F.col(f"`{f.name}`")
@@ -64,6 +60,18 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     return df.withColumns(exprs)
 
 
+def most_frequent(df: DataFrame, col: str):
+    """pandas ``mode()[0]``: the most frequent non-NULL value, smallest on ties.
+
+    A distributed ``groupBy(value).count()`` (combined map-side, so a hot
+    value costs nothing extra) followed by a top-1: never a single buffer of
+    all distinct values as Spark's ``mode`` aggregate would hold."""
+    c = F.col(f"`{col}`")
+    top = (df.where(c.isNotNull()).groupBy(c.alias("_v")).count()
+           .orderBy(F.desc("count"), F.asc("_v")).limit(1).collect())
+    return top[0]["_v"] if top else None
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """Q3 — remove full-row duplicates (NULLs compare equal)."""
     return df.dropDuplicates()

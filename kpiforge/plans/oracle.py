@@ -550,6 +550,23 @@ items AS (
     || ' 异常增长动因，看能否复制' FROM fs),
 full_ AS (SELECT * FROM items UNION ALL
   SELECT 'recommendations', 4, '继续维持现有运营节奏，关注下期数据' FROM sm
-  WHERE NOT EXISTS (SELECT 1 FROM items WHERE section = 'recommendations'))
-SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY k) - 1 AS BIGINT) AS pos, text
-FROM full_""", SALES_SQL)
+  WHERE NOT EXISTS (SELECT 1 FROM items WHERE section = 'recommendations')),
+rows_ AS (SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY k) - 1 AS BIGINT)
+  AS pos, text FROM full_)
+SELECT section, pos, text FROM rows_""", SALES_SQL)
+
+
+def _md_section(sec, title, last=False):
+    tail = "" if last else " || chr(10)"
+    return (f"COALESCE((SELECT chr(10) || '## {title}' || chr(10) || chr(10) || "
+            f"string_agg('- ' || text, chr(10) ORDER BY pos){tail} FROM rows_ "
+            f"WHERE section = '{sec}' HAVING COUNT(*) > 0), '')")
+
+
+SQL["commentary_markdown"] = SQL["commentary_rules"].replace(
+    "SELECT section, pos, text FROM rows_",
+    "SELECT '## 整体概览' || chr(10) || chr(10) || (SELECT text FROM rows_ WHERE section = 'overview')"
+    " || chr(10) || " + _md_section("highlights", "亮点") + " || " + _md_section("risks", "风险")
+    + " || " + _md_section("recommendations", "建议", last=True)
+    + " AS markdown, 'heuristic' AS backend")
+
