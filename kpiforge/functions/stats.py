@@ -2,9 +2,9 @@
 
 Spark's exact ``percentile`` keeps every distinct value of the column in one
 aggregation buffer and merges them in a single final task.  ``quantiles``
-instead: counts rows, freezes range boundaries from a bounded seeded sample,
-counts rows per bucket, and only looks at the few buckets that hold the
-wanted ranks — there it groups by value (a hot value collapses to one row) and
+instead: counts rows, takes range boundaries from a bounded seeded sample,
+assigns buckets with ML's ``Bucketizer`` (a JVM binary search), counts rows
+per bucket, and only looks at the few buckets that hold the wanted ranks — there it groups by value (a hot value collapses to one row) and
 collects at most ``rows_per_bucket``-ish distinct values.  Small inputs use the
 plain ``percentile`` aggregate.  Interpolation is linear between the two
 neighbouring order statistics (pandas/numpy ``linear``).
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.operators.ranking import SEED, _bucket_expr
+from kpiforge.operators.ranking import SEED
 
 SMALL = 1_000_000
 
@@ -39,13 +39,16 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool =
         row = v.agg(F.percentile("_v", probs).alias("q")).first()
         return [float(x) for x in row["q"]]
     # exact, distributed: locate the buckets holding the needed order statistics
-    n_buckets = min(4096, -(-n // rows_per_bucket))
+    from pyspark.ml.feature import Bucketizer
+
+    n_buckets = min(100_000, -(-n // rows_per_bucket))
     frac = min(1.0, 1.2 * n_buckets * 60 / n)
     sample = [r[0] for r in v.sample(False, frac, SEED).orderBy("_v").collect()]
-    bounds = sorted({sample[min(len(sample) - 1, i * len(sample) // n_buckets)]
-                     for i in range(1, n_buckets)}) if sample else []
-    order = [("_v", True)]
-    bucketed = v.withColumn("_b", _bucket_expr(order, [(b,) for b in bounds]))
+    cuts = sorted({sample[min(len(sample) - 1, i * len(sample) // n_buckets)]
+                   for i in range(1, n_buckets)}) if sample else []
+    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
+    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bd").transform(v) \
+        .withColumn("_b", F.col("_bd").cast("int"))
     counts = dict(bucketed.groupBy("_b").count().collect())
     starts, acc = {}, 0
     for b in sorted(counts):

@@ -2,23 +2,22 @@
 
 ``Window.orderBy`` with no ``partitionBy`` pulls every row into one task.  For
 ABC (running revenue share over items) and RFM (rank of every customer) the
-row count is the number of items or customers, which grows with the data, so
-we use a two-level scheme instead:
-
-1. pick range boundaries over the full sort key from a bounded, seeded sample
-   (the same thing Spark's own range partitioner does) and freeze them as
-   literals, so every retry of every task assigns the same bucket;
-2. bucket = position among the boundaries (a balanced CASE tree, O(log B));
-3. per-bucket row counts / sums → a tiny prefix sum over B rows, broadcast;
-4. in-bucket ``row_number`` / running sum over ``Window.partitionBy(bucket)``.
-
-The boundaries are taken on the *composite* key (value, tiebreak key), so a
-value held by a third of all rows is still cut into many buckets: there is no
-hot partition.  Below ``rows_per_bucket`` rows a single plain window is used.
-
-The input is persisted (memory and disk) while boundaries are chosen, so the
-count, the sample and the final plan read it once; lost blocks are recomputed
-from lineage.
+row count is the number of items or customers, which grows with the data.
+
+Above ``rows_per_task`` rows we use Spark's distributed sort instead:
+
+1. ``orderBy`` on the full key (value, unique tiebreak) — a range-partitioned
+   shuffle whose boundaries Spark samples on the *composite* key, so a value
+   held by a third of all rows is still spread over many partitions;
+2. ``monotonically_increasing_id()`` in the same stage encodes (partition,
+   position-in-partition) of every row in sorted order;
+3. a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` freezes that
+   assignment, so a recomputed task can never see different boundaries;
+4. per-partition counts / sums (one row per partition) → a prefix sum,
+   broadcast back; rank = offset + position + 1.  The running sum is an
+   in-partition window over the frozen partitions.
+
+Below ``rows_per_task`` rows a plain window is used (one task, bounded).
 """
 
 from __future__ import annotations
@@ -29,119 +28,67 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 60
+ROWS_PER_TASK = 2_000_000
 SEED = 20240101
+_POS_BITS = 33
 
 
 def _sort_expr(name: str, asc: bool) -> Column:
     return F.asc(name) if asc else F.desc(name)
 
 
-def _before(order: Sequence[tuple[str, bool]], bound: Sequence) -> Column:
-    """Row strictly before ``bound`` in the composite order."""
-    expr = None
-    for (name, asc), b in reversed(list(zip(order, bound))):
-        c, lit = F.col(name), F.lit(b)
-        less = (c < lit) if asc else (c > lit)
-        expr = less if expr is None else (less | ((c == lit) & expr))
-    return expr
-
-
-def _bucket_expr(order, bounds: list, lo: int = 0) -> Column:
-    """Number of boundaries <= row, as a balanced CASE tree over ``bounds``."""
-    if not bounds:
-        return F.lit(lo)
-    m = len(bounds) // 2
-    return F.when(_before(order, bounds[m]), _bucket_expr(order, bounds[:m], lo)) \
-        .otherwise(_bucket_expr(order, bounds[m + 1:], lo + m + 1))
-
-
-def range_bounds(df: DataFrame, order: Sequence[tuple[str, bool]], n_rows: int, *,
-                 rows_per_bucket: int = ROWS_PER_BUCKET,
-                 max_buckets: int = MAX_BUCKETS) -> list[tuple] | None:
-    """Frozen range boundaries for ``order`` (None: one bucket is enough).
+def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], *, rank_col: str = "_rank",
+                sum_col: str | None = None, cum_col: str = "_cum",
+                rows_per_task: int = ROWS_PER_TASK, n_rows: int | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``rank_col`` (1..n) in ``order`` and, optionally, the running sum of
+    ``sum_col`` in ``cum_col`` (inclusive of the row).
 
-    Runs one job: a seeded Bernoulli sample of about 60 rows per bucket,
-    sorted by Spark itself (so the order semantics are Spark's) and collected.
-    The sample size depends on the bucket count only, never on the data size.
+    ``order`` is ``[(column, ascending), ...]``; it must be a total order (end
+    with a unique key) and its columns must be non-NULL.  The running sum is
+    exact when ``sum_col`` is DECIMAL.  ``partitions`` overrides the number of
+    range partitions of the distributed path (default: the session's shuffle
+    partitions, adjusted by AQE).
     """
     order = list(order)
-    n_buckets = max(1, min(max_buckets, -(-n_rows // max(1, rows_per_bucket))))
-    if n_buckets == 1:
-        return None
-    names = [n for n, _ in order]
-    frac = min(1.0, 1.2 * n_buckets * SAMPLES_PER_BUCKET / max(n_rows, 1))
-    sample = (df.sample(False, frac, SEED).select(*names)
-              .orderBy(*[_sort_expr(n, a) for n, a in order]).collect())
-    bounds, last = [], None
-    for i in range(1, n_buckets):
-        if not sample:
-            break
-        row = tuple(sample[min(len(sample) - 1, i * len(sample) // n_buckets)])
-        if row != last:
-            bounds.append(row)
-            last = row
-    return bounds
-
-
-def rank_with_bounds(df: DataFrame, order: Sequence[tuple[str, bool]], bounds: list | None, *,
-                     rank_col: str = "_rank", sum_col: str | None = None,
-                     cum_col: str = "_cum") -> DataFrame:
-    """Lazy part of :func:`global_rank` for boundaries chosen beforehand."""
-    order = list(order)
     sort = [_sort_expr(n, a) for n, a in order]
-    if bounds is None:
+    if n_rows is None:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        n_rows = df.count()
+    if n_rows <= rows_per_task:
         w = Window.orderBy(*sort)
-        out = df.withColumn(rank_col, F.row_number().over(w))
+        out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
         if sum_col:
             out = out.withColumn(cum_col, F.sum(sum_col).over(
                 w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         return out
 
-    bucketed = df.withColumn("_bkt", _bucket_expr(order, bounds))
-    w = Window.partitionBy("_bkt").orderBy(*sort)
-    inner = bucketed.withColumn("_rn", F.row_number().over(w))
+    from kpiforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(partitions, *sort) if partitions else df
+    frozen = (ranged.sortWithinPartitions(*sort) if partitions else ranged.orderBy(*sort)) \
+        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("_mid"), _POS_BITS)
+    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    frozen = frozen.withColumns({"_pid": pid, "_pos": pos})
     stats_aggs = [F.count(F.lit(1)).alias("_cnt")]
     if sum_col:
-        inner = inner.withColumn("_run", F.sum(sum_col).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        stats_aggs.append(F.sum(sum_col).alias("_bsum"))
-    stats = bucketed.groupBy("_bkt").agg(*stats_aggs)
-    # prefix over at most ``max_buckets`` rows: a bounded single-task window
-    pw = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        stats_aggs.append(F.sum(sum_col).alias("_psum"))
+    stats = frozen.groupBy("_pid").agg(*stats_aggs)
+    # prefix over one row per partition: a bounded single-task window
+    pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = [F.coalesce(F.sum("_cnt").over(pw), F.lit(0)).alias("_off")]
     if sum_col:
-        offs.append(F.sum("_bsum").over(pw).alias("_soff"))
-    offsets = stats.select("_bkt", *offs)
-    out = inner.join(F.broadcast(offsets), "_bkt")
-    out = out.withColumn(rank_col, F.col("_off") + F.col("_rn"))
+        offs.append(F.sum("_psum").over(pw).alias("_soff"))
+    out = frozen.join(F.broadcast(stats.select("_pid", *offs)), "_pid")
+    out = out.withColumn(rank_col, F.col("_off") + F.col("_pos") + F.lit(1))
     if sum_col:
-        soff = F.col("_soff")
-        out = out.withColumn(cum_col, F.when(soff.isNull(), F.col("_run"))
-                             .otherwise(soff + F.col("_run")))
-    return out.drop("_bkt", "_rn", "_run", "_off", "_soff")
-
-
-def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], *, rank_col: str = "_rank",
-                sum_col: str | None = None, cum_col: str = "_cum",
-                rows_per_bucket: int = ROWS_PER_BUCKET, max_buckets: int = MAX_BUCKETS,
-                n_rows: int | None = None) -> DataFrame:
-    """Add ``rank_col`` (1..n) in ``order`` and, optionally, the running sum of
-    ``sum_col`` in ``cum_col`` (inclusive of the row).
-
-    ``order`` is ``[(column, ascending), ...]``; it must be a total order (end
-    with a unique key) and its columns must be non-NULL.  The running sum is
-    exact when ``sum_col`` is DECIMAL.
-    """
-    if n_rows is None:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        n_rows = df.count()
-    bounds = range_bounds(df, order, n_rows, rows_per_bucket=rows_per_bucket,
-                          max_buckets=max_buckets)
-    return rank_with_bounds(df, order, bounds, rank_col=rank_col, sum_col=sum_col,
-                            cum_col=cum_col)
+        run = F.sum(sum_col).over(Window.partitionBy("_pid").orderBy("_pos")
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn("_run", run).withColumn(
+            cum_col, F.when(F.col("_soff").isNull(), F.col("_run"))
+            .otherwise(F.col("_soff") + F.col("_run")))
+    return out.drop("_mid", "_pid", "_pos", "_off", "_soff", "_run")
 
 
 def quintile_score(rank: Column, n: Column, reverse: bool = False) -> Column:

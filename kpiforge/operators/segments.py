@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, nan_to_null, to_logical
 from kpiforge.functions.numeric import days_between, money, round_half_even, safe_div
-from kpiforge.operators.ranking import global_rank, quintile_score, range_bounds, rank_with_bounds
+from kpiforge.operators.ranking import global_rank, quintile_score
 
 # The reference's customer segment labels, best to worst, and the
 # score thresholds (sum of three 1-5 scores) that select them.
@@ -124,11 +124,10 @@ def rfm_segments(df: DataFrame, cols: ColumnMap | dict | None = None, *,
     per = rfm_table(df, cols, frequency_of=frequency_of).where(F.col("R").isNotNull())
     per = per.persist()
     n = per.count()
-    orders = {c: [(c, True), ("customer", True)] for c in ("R", "F", "M")}
-    bounds = {c: range_bounds(per, o, n, **rank_opts) for c, o in orders.items()}
     ranked = per
-    for c, o in orders.items():
-        ranked = rank_with_bounds(ranked, o, bounds[c], rank_col=f"_rk_{c}")
+    for c in ("R", "F", "M"):
+        ranked = global_rank(ranked, [(c, True), ("customer", True)], rank_col=f"_rk_{c}",
+                             n_rows=n, **rank_opts)
     nn = F.lit(n)
     if n == 1:
         r_s, f_s, m_s = (F.lit(v) for v in single_customer_scores)

@@ -222,8 +222,8 @@ def q_budget_allocation(spark, sf):
 
 from kpiforge.operators import segments as seg  # noqa: E402
 
-# A small bucket size forces the distributed (multi-bucket) rank path at test scale.
-SMALL_BUCKETS = {"rows_per_bucket": 97}
+# A small threshold forces the distributed (sorted, checkpointed) rank path at test scale.
+SMALL_BUCKETS = {"rows_per_task": 97}
 
 
 @query("abc_category")
@@ -239,7 +239,7 @@ def q_abc_product(spark, sf):
 @query("abc_product_bucketed")
 def q_abc_product_bucketed(spark, sf):
     return seg.abc_analysis(_ledger(spark, sf, "amount", "product"), by="product", cols=IDENT,
-                            rows_per_bucket=7)
+                            rows_per_task=7)
 
 
 @query("abc_summary")

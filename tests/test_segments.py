@@ -84,7 +84,7 @@ def test_bucketed_rank_equals_plain_window(spark):
             for i in range(3000)]
     df = spark.createDataFrame(rows, "v long, k string, amt double")
     plain = global_rank(df, [("v", False), ("k", True)], sum_col="amt")
-    bucketed = global_rank(df, [("v", False), ("k", True)], sum_col="amt", rows_per_bucket=100)
+    bucketed = global_rank(df, [("v", False), ("k", True)], sum_col="amt", rows_per_task=100)
     a = sorted(collect(plain, "k", "_rank", "_cum"))
     b = sorted(collect(bucketed, "k", "_rank", "_cum"))
     assert a == b
@@ -93,7 +93,7 @@ def test_bucketed_rank_equals_plain_window(spark):
 
 def test_rfm_bucketed_equals_plain(ledger_weighted_90d):
     a = sorted(collect(segments.rfm_segments(ledger_weighted_90d), "customer", "rfm_score"))
-    b = sorted(collect(segments.rfm_segments(ledger_weighted_90d, rows_per_bucket=4),
+    b = sorted(collect(segments.rfm_segments(ledger_weighted_90d, rows_per_task=4),
                        "customer", "rfm_score"))
     assert a == b
 
