@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.operators.ranking import SEED
@@ -36,8 +36,16 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool =
     if n == 0:
         return [None] * len(probs)
     if n <= rows_per_bucket:
-        row = v.agg(F.percentile("_v", probs).alias("q")).first()
-        return [float(x) for x in row["q"]]
+        # bounded single-task sort; only the needed order statistics come back
+        need = sorted({int(f(((n - 1) * p))) for p in probs for f in (math.floor, math.ceil)})
+        ranked = v.withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
+        got = dict((r["_r"], r["_v"]) for r in ranked.where(F.col("_r").isin(need)).collect())
+        out = []
+        for p in probs:
+            h = (n - 1) * p
+            lo, hi = int(math.floor(h)), int(math.ceil(h))
+            out.append(got[lo] + (got[hi] - got[lo]) * (h - lo))
+        return out
     # exact, distributed: locate the buckets holding the needed order statistics
     from pyspark.ml.feature import Bucketizer
 

@@ -218,6 +218,16 @@ def product_totals(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataF
             .where(F.col("item").isNotNull()))
 
 
+def top_products(df: DataFrame, n: int = 10, cols: ColumnMap | dict | None = None) -> DataFrame:
+    """K3 (v1) — the ``n`` products with the largest amount (ties: product
+    ascending), with their quantity: a TakeOrdered over the per-product totals."""
+    led = _ledger(df, cols, ["amount", "qty", "product"], required=("amount", "qty", "product"))
+    per = (led.where(F.col("product").isNotNull()).groupBy("product")
+           .agg(money_sum(F.col("amount")).alias("revenue"),
+                money_sum(F.col("qty")).alias("quantity")))
+    return per.orderBy(F.desc("revenue"), F.asc("product")).limit(int(n))
+
+
 def summary_statistics(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFrame:
     """A11 (v1) — one row of statistics; each present only if its column exists."""
     led = _ledger(df, cols, ["date", "amount", "qty", "customer", "order_id"], required=())

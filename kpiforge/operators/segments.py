@@ -110,7 +110,7 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
 
 def rfm_segments(df: DataFrame, cols: ColumnMap | dict | None = None, *,
                  reverse_recency: bool = True, frequency_of: str = "date",
-                 single_customer_scores: tuple[int, int, int] = (5, 1, 1),
+                 single_customer_scores: tuple[int, int, int] | None = None,
                  with_scores: bool = False, **rank_opts) -> DataFrame:
     """G2 / G3 — RFM quintile scores and segment per customer.
 
@@ -129,6 +129,8 @@ def rfm_segments(df: DataFrame, cols: ColumnMap | dict | None = None, *,
         ranked = global_rank(ranked, [(c, True), ("customer", True)], rank_col=f"_rk_{c}",
                              n_rows=n, **rank_opts)
     nn = F.lit(n)
+    if single_customer_scores is None:
+        single_customer_scores = (5, 1, 1) if reverse_recency else (3, 3, 3)
     if n == 1:
         r_s, f_s, m_s = (F.lit(v) for v in single_customer_scores)
     else:

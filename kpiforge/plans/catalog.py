@@ -104,6 +104,11 @@ def q_product_totals(spark, sf):
     return sales.product_totals(_ledger(spark, sf, "amount", "qty", "category", "product"), IDENT)
 
 
+@query("top_products")
+def q_top_products(spark, sf):
+    return sales.top_products(_ledger(spark, sf, "amount", "qty", "product"), 10, IDENT)
+
+
 @query("summary_statistics")
 def q_summary_statistics(spark, sf):
     return sales.summary_statistics(
@@ -284,14 +289,14 @@ def q_rfmq_features(spark, sf):
 @query("kmeans_customers")
 def q_kmeans_customers(spark, sf):
     labelled, _ = seg.kmeans_customers(
-        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=3)
+        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=10)
     return labelled
 
 
 @query("kmeans_profile")
 def q_kmeans_profile(spark, sf):
     _, profile = seg.kmeans_customers(
-        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=3)
+        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=10)
     return profile
 
 
@@ -454,7 +459,7 @@ from kpiforge.sources import writers  # noqa: E402
 def _report_inputs(spark, sf):
     led = _ledger(spark, sf, "date", "amount", "category", "region", "customer")
     summary = sales.summary(led, IDENT)
-    alerts = sales.anomalies(led, "D", 2.0, IDENT)
+    alerts = sales.anomalies(_ledger(spark, sf, "date", "amount"), "D", 2.0, IDENT)
     return led, summary, alerts
 
 

@@ -92,6 +92,9 @@ UNION ALL
 SELECT 'product' AS level, CAST(product AS VARCHAR) AS item, {P.msum('amount')} AS revenue,
        {P.msum('qty')} AS quantity FROM v_sales WHERE product IS NOT NULL GROUP BY product""",
                                  SALES_SQL)
+SQL["top_products"] = with_views(f"""SELECT product, {P.msum('amount')} AS revenue,
+  {P.msum('qty')} AS quantity FROM v_sales WHERE product IS NOT NULL GROUP BY product
+ORDER BY revenue DESC, product LIMIT 10""", SALES_SQL)
 SQL["summary_statistics"] = with_views(f"""SELECT {P.msum('amount')} AS total_revenue,
   {P.msum('amount')} / COUNT(amount) AS avg_revenue, MAX(amount) AS max_revenue,
   MIN(amount) AS min_revenue, {P.msum('qty')} AS total_quantity,

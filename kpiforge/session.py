@@ -42,14 +42,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory, creating a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    """Return the checkpoint directory the session names.
+
+    The cluster's ``spark.checkpoint.dir`` (a shared folder) is always used
+    when set.  Only a local-mode session without one (tests, the benchmark)
+    gets a scratch folder; on a cluster a machine-local folder would be wrong,
+    so we refuse instead of guessing.
+    """
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder "
+                               "(needed to freeze global ranks)")
         current = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current

@@ -108,3 +108,12 @@ def test_kmeans(spark):
     assert labelled.count() == 20
     prof = collect(profile)
     assert sum(p["n_customers"] for p in prof) == 20 and len(prof) == 2
+
+
+def test_rfm_v1_single_customer_middle_bin(spark):
+    rows = [(dt.datetime(2024, 1, 1), 10.0, 1, "a", "x", "only")]
+    led = make_ledger(spark, rows).withColumn(C["order_id"], F.lit("o1"))
+    r = collect(segments.rfm_segments(led, reverse_recency=False, frequency_of="order_id",
+                                      with_scores=True))
+    assert (r[0]["R_score"], r[0]["F_score"], r[0]["M_score"]) == (3, 3, 3)
+    assert r[0]["segment"] == "重要发展客户"
