@@ -57,7 +57,11 @@ def conversion_metrics(campaigns: DataFrame) -> DataFrame:
 
 
 def channel_performance(campaigns: DataFrame) -> DataFrame:
-    """A5 — sums per channel, then roi/ctr/cvr/cpc/cpa from the sums."""
+    """A5 — sums per channel, then roi/ctr/cvr/cpc/cpa from the sums, revenue desc."""
+    return _channel_metrics(campaigns).orderBy(F.desc("revenue"), F.asc("channel"))
+
+
+def _channel_metrics(campaigns: DataFrame) -> DataFrame:
     g = (campaigns.where(F.col("channel").isNotNull()).groupBy("channel")
          .agg(money_sum(F.col("budget")).alias("budget"),
               F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("orders"),
@@ -70,7 +74,7 @@ def channel_performance(campaigns: DataFrame) -> DataFrame:
         "cvr": _r(_pct("orders", "clicks")),
         "cpc": _r(safe_div(F.col("budget"), F.col("clicks"))),
         "cpa": _r(safe_div(F.col("budget"), F.col("orders"))),
-    }).orderBy(F.desc("revenue"), F.asc("channel")))
+    }))
 
 
 def conversion_funnel(campaigns: DataFrame, campaign_id: str | None = None) -> DataFrame:
@@ -132,7 +136,7 @@ def budget_allocation(campaigns: DataFrame) -> DataFrame:
     positive revenue it is "increase" at 40 % (pandas: inf ROI, min(40, nan) = 40),
     otherwise "reduce".  max_roi is taken over the non-NULL channel ROIs.
     """
-    ch = channel_performance(campaigns)
+    ch = _channel_metrics(campaigns)
     tot = campaigns.agg(money_sum(F.col("budget")).alias("_total"))
     mx = ch.agg(F.max("roi").alias("_max_roi"))
     ch = ch.crossJoin(F.broadcast(tot)).crossJoin(F.broadcast(mx))

@@ -39,17 +39,19 @@ def fixed(x: Column, n: int) -> Column:
     return F.format_string(f"%.{n}f", F.rint(x * F.lit(scale)) / F.lit(scale))
 
 
-def _first_alert(alerts: DataFrame, direction: str, prefix: str) -> DataFrame:
-    a = alerts.where(F.col("direction") == direction)
-    return a.agg(F.min_by(F.struct("period", "actual", "expected", "z_score"), F.col("period"))
-                 .alias(prefix))
+def _first_alerts(alerts: DataFrame) -> DataFrame:
+    """First drop and first spike (by period) in one aggregate: ``_d``, ``_s``."""
+    alert = F.struct("period", "actual", "expected", "z_score")
+    first = {}
+    for name, direction in (("_d", "drop"), ("_s", "spike")):
+        first[name] = F.min_by(alert, F.when(F.col("direction") == direction, F.col("period")))
+    return alerts.agg(*[c.alias(n) for n, c in first.items()])
 
 
 def commentary_report(summary: DataFrame, alerts: DataFrame) -> DataFrame:
     """N1 — one row: overview (string) and highlights / risks / recommendations
     (arrays), following the reference's rules."""
-    drops, spikes = _first_alert(alerts, "drop", "_d"), _first_alert(alerts, "spike", "_s")
-    s = summary.crossJoin(F.broadcast(drops)).crossJoin(F.broadcast(spikes))
+    s = summary.crossJoin(F.broadcast(_first_alerts(alerts)))
     g = F.col("growth_first_to_last_month")
     n_orders, n_cust = F.col("total_orders"), F.col("n_customers")
     growth_str = F.when(g.isNotNull(), F.concat(F.lit("，环比首月增长 "), signed1(g), F.lit("%"))) \
@@ -98,16 +100,15 @@ def commentary_report(summary: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def report_rows(report: DataFrame) -> DataFrame:
-    """N1 as rows: (section, pos, text), pos counted from 0 within a section."""
-    parts = [report.select(F.lit("overview").alias("section"), F.lit(0).alias("pos"),
-                           F.col("overview").alias("text"))]
-    for sec in SECTIONS[1:]:
-        parts.append(report.select(F.lit(sec).alias("section"),
-                                   F.posexplode(sec).alias("pos", "text")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("section", F.col("pos").cast("long"), "text")
+    """N1 as rows: (section, pos, text), pos counted from 0 within a section.
+    One projection and one explode — the report is computed once."""
+    def entries(sec):
+        return F.transform(F.col(sec), lambda x, i: F.struct(
+            F.lit(sec).alias("section"), i.cast("long").alias("pos"), x.alias("text")))
+    first = F.array(F.struct(F.lit("overview").alias("section"), F.lit(0).cast("long").alias("pos"),
+                             F.col("overview").alias("text")))
+    allrows = F.concat(first, *[entries(sec) for sec in SECTIONS[1:]])
+    return report.select(F.explode(allrows).alias("_r")).select("_r.section", "_r.pos", "_r.text")
 
 
 def markdown(report: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def abc_analysis(df: DataFrame, by: str | None = None,
                  cols: ColumnMap | dict | None = None, **rank_opts) -> DataFrame:
     """G1 — Pareto classes: item, revenue, cum_pct (2 dp), abc_class.
 
-    Items are ordered by revenue descending (ties: item ascending); the
-    running share uses exact decimal sums.  No rows when the ``by`` column is
+    Items are ranked by revenue descending (ties: item ascending); the
+    running share uses exact decimal sums.  Rows are returned unsorted.  No rows when the ``by`` column is
     absent or total revenue <= 0.  ``by`` is a physical column name (default:
     the category column).
     """
@@ -56,11 +56,12 @@ def abc_analysis(df: DataFrame, by: str | None = None,
     out = ranked.crossJoin(F.broadcast(total)).where(F.col("_total") > 0)
     cum_pct = round_half_even(F.col("_cum").cast("double") / F.col("_total").cast("double")
                               * F.lit(100.0))
+    # no final global sort: at scale it would cost a second range shuffle of
+    # the item table; (revenue desc, item asc) or cum_pct recovers the order
     return (out.select(F.col("_key").cast("string").alias("item"),
                        F.col("_rev_dec").cast("double").alias("revenue"),
-                       cum_pct.alias("cum_pct"), F.col("_rank").alias("_rank"))
-            .withColumn("abc_class", abc_label(F.col("cum_pct")))
-            .orderBy("_rank").drop("_rank"))
+                       cum_pct.alias("cum_pct"))
+            .withColumn("abc_class", abc_label(F.col("cum_pct"))))
 
 
 def abc_summary(df: DataFrame, by: str | None = None,

@@ -10,7 +10,7 @@ from kpiforge.operators.ranking import global_rank
 
 
 def test_abc_monotone_to_100(ledger_weighted_90d):
-    rows = collect(segments.abc_analysis(ledger_weighted_90d))
+    rows = collect(segments.abc_analysis(ledger_weighted_90d).orderBy("cum_pct", F.desc("revenue")))
     cum = [r["cum_pct"] for r in rows]
     assert cum == sorted(cum) and cum[-1] == 100.0
     assert rows[0]["item"] == "A"
@@ -20,7 +20,8 @@ def test_abc_monotone_to_100(ledger_weighted_90d):
 def test_abc_dominant_first_item_is_not_a(spark):
     rows = [(dt.datetime(2024, 1, 1), 95.0, 1, "big", "x", "c"),
             (dt.datetime(2024, 1, 1), 5.0, 1, "small", "x", "c")]
-    out = collect(segments.abc_analysis(make_ledger(spark, rows)), "item", "cum_pct", "abc_class")
+    out = collect(segments.abc_analysis(make_ledger(spark, rows)).orderBy("cum_pct"), "item",
+                  "cum_pct", "abc_class")
     assert out == [("big", 95.0, "C"), ("small", 100.0, "C")]
 
 
