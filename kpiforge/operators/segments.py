@@ -99,13 +99,15 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
         + (["qty"] if with_qty else [])
     led = to_logical(df, cols, wanted, wanted)
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    now = led.agg(F.max("date").alias("_now"))
     aggs = [F.max("date").alias("_last"), F.count(frequency_of).alias("F"),
             F.coalesce(F.sum(money(F.col("amount"))), F.lit(0)).cast("double").alias("M")]
     if with_qty:
         aggs.append(F.coalesce(F.sum(money(F.col("qty"))), F.lit(0)).cast("double").alias("Q"))
-    per = led.where(F.col("customer").isNotNull()).groupBy("customer").agg(*aggs)
-    per = per.crossJoin(F.broadcast(now))
+    # one pass: the NULL-customer group is kept until "now" (latest date over
+    # *all* rows) has been read off the per-customer table, then dropped
+    per = led.groupBy("customer").agg(*aggs)
+    now = per.agg(F.max("_last").alias("_now"))
+    per = per.where(F.col("customer").isNotNull()).crossJoin(F.broadcast(now))
     return per.withColumn("R", days_between(F.col("_now"), F.col("_last"))).drop("_now", "_last")
 
 

@@ -118,3 +118,11 @@ def test_rfm_v1_single_customer_middle_bin(spark):
                                       with_scores=True))
     assert (r[0]["R_score"], r[0]["F_score"], r[0]["M_score"]) == (3, 3, 3)
     assert r[0]["segment"] == "重要发展客户"
+
+
+def test_rfm_now_includes_rows_without_customer(spark):
+    rows = [(dt.datetime(2024, 1, 1), 1.0, 1, "a", "x", "c1"),
+            (dt.datetime(2024, 1, 3), 1.0, 1, "a", "x", "c2"),
+            (dt.datetime(2024, 1, 10), 1.0, 1, "a", "x", None)]
+    r = dict(collect(segments.rfm_segments(make_ledger(spark, rows)), "customer", "R"))
+    assert r == {"c1": 9, "c2": 7}
