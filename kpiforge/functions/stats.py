@@ -1,13 +1,21 @@
 """Exact quantiles without funnelling a column into one task.
 
 Spark's exact ``percentile`` keeps every distinct value of the column in one
-aggregation buffer and merges them in a single final task.  ``quantiles``
-instead: counts rows, takes range boundaries from a bounded seeded sample,
-assigns buckets with ML's ``Bucketizer`` (a JVM binary search), counts rows
-per bucket, and only looks at the few buckets that hold the wanted ranks — there it groups by value (a hot value collapses to one row) and
-collects at most ``rows_per_bucket``-ish distinct values.  Small inputs use the
-plain ``percentile`` aggregate.  Interpolation is linear between the two
-neighbouring order statistics (pandas/numpy ``linear``).
+aggregation buffer, merged in a single final task.  ``quantiles`` selects the
+needed order statistics instead:
+
+* at most ``rows_per_bucket`` rows: one bounded single-task sort
+  (``row_number``) and only the needed ranks come back;
+* more: cut points from a seeded sample (about 60 per bucket, at most 4096
+  buckets), ML's ``Bucketizer`` (a JVM binary search) assigns buckets, one
+  job returns count / min / max per bucket, and the selection recurses into
+  the few buckets that hold the wanted ranks.  A bucket whose min equals its
+  max (a hot value) is resolved at once, so a value held by a third of all
+  rows costs nothing extra.  Each level divides the rows by up to 4096.
+
+The driver only ever receives per-bucket statistics and bounded samples.
+Interpolation is linear between neighbouring order statistics (pandas/numpy
+``linear``).
 """
 
 from __future__ import annotations
@@ -21,12 +29,47 @@ from pyspark.sql import functions as F
 from kpiforge.operators.ranking import SEED
 
 SMALL = 1_000_000
+MAX_BUCKETS = 4096
+SAMPLES_PER_BUCKET = 60
+
+
+def _select(v: DataFrame, ranks: set[int], n: int, rows_per_bucket: int,
+            depth: int = 0) -> dict[int, float]:
+    """Values at the 0-based ``ranks`` of column ``_v`` (n rows, no NULLs)."""
+    if n <= rows_per_bucket or depth > 8:
+        ranked = v.withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
+        return {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(sorted(ranks))).collect()}
+    from pyspark.ml.feature import Bucketizer
+
+    n_buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket) * 4)
+    frac = min(1.0, 1.2 * n_buckets * SAMPLES_PER_BUCKET / n)
+    sample = [r[0] for r in v.sample(False, frac, SEED + depth).orderBy("_v").collect()]
+    cuts = sorted({sample[min(len(sample) - 1, i * len(sample) // n_buckets)]
+                   for i in range(1, n_buckets)}) if sample else []
+    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
+    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bd").transform(v) \
+        .withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+    stats = {r["_b"]: (r["c"], r["lo"], r["hi"]) for r in bucketed.groupBy("_b").agg(
+        F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
+    out, start = {}, 0
+    for b in sorted(stats):
+        c, lo, hi = stats[b]
+        inside = {r - start for r in ranks if start <= r < start + c}
+        if inside:
+            if lo == hi:
+                out.update({r + start: lo for r in inside})
+            else:
+                sub = _select(bucketed.where(F.col("_b") == b).select("_v"), inside, c,
+                              rows_per_bucket, depth + 1)
+                out.update({r + start: x for r, x in sub.items()})
+        start += c
+    return out
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool = True,
               rows_per_bucket: int = SMALL, accuracy: int = 100_000) -> list[float | None]:
-    """Quantiles of the non-NULL values of ``col`` (NULL if there are none)."""
-    v = df.select(F.col(col).cast("double").alias("_v")).where(
+    """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none)."""
+    v = df.select(F.col(f"`{col}`").cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
     if not exact:
@@ -35,64 +78,11 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool =
     n = v.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= rows_per_bucket:
-        # bounded single-task sort; only the needed order statistics come back
-        need = sorted({int(f(((n - 1) * p))) for p in probs for f in (math.floor, math.ceil)})
-        ranked = v.withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
-        got = dict((r["_r"], r["_v"]) for r in ranked.where(F.col("_r").isin(need)).collect())
-        out = []
-        for p in probs:
-            h = (n - 1) * p
-            lo, hi = int(math.floor(h)), int(math.ceil(h))
-            out.append(got[lo] + (got[hi] - got[lo]) * (h - lo))
-        return out
-    # exact, distributed: locate the buckets holding the needed order statistics
-    from pyspark.ml.feature import Bucketizer
-
-    n_buckets = min(100_000, -(-n // rows_per_bucket))
-    frac = min(1.0, 1.2 * n_buckets * 60 / n)
-    sample = [r[0] for r in v.sample(False, frac, SEED).orderBy("_v").collect()]
-    cuts = sorted({sample[min(len(sample) - 1, i * len(sample) // n_buckets)]
-                   for i in range(1, n_buckets)}) if sample else []
-    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bd").transform(v) \
-        .withColumn("_b", F.col("_bd").cast("int"))
-    counts = dict(bucketed.groupBy("_b").count().collect())
-    starts, acc = {}, 0
-    for b in sorted(counts):
-        starts[b] = acc
-        acc += counts[b]
-    need = set()
-    for p in probs:
-        h = (n - 1) * p
-        need.update({int(math.floor(h)), int(math.ceil(h))})
-
-    def bucket_of(rank: int) -> int:
-        for b in sorted(starts):
-            if starts[b] <= rank < starts[b] + counts[b]:
-                return b
-        raise AssertionError(rank)
-
-    wanted = sorted({bucket_of(r) for r in need})
-    vals = (bucketed.where(F.col("_b").isin(wanted)).groupBy("_b", "_v").count()
-            .orderBy("_b", "_v").collect())
-    by_bucket: dict[int, list[tuple[float, int]]] = {}
-    for b, x, c in vals:
-        by_bucket.setdefault(b, []).append((x, c))
-
-    def at(rank: int) -> float:
-        b = bucket_of(rank)
-        pos = rank - starts[b]
-        for x, c in by_bucket[b]:
-            if pos < c:
-                return x
-            pos -= c
-        raise AssertionError(rank)
-
+    ranks = {int(f((n - 1) * p)) for p in probs for f in (math.floor, math.ceil)}
+    got = _select(v, ranks, n, rows_per_bucket)
     out = []
     for p in probs:
         h = (n - 1) * p
         lo, hi = int(math.floor(h)), int(math.ceil(h))
-        a, b = at(lo), at(hi)
-        out.append(a + (b - a) * (h - lo))
+        out.append(got[lo] + (got[hi] - got[lo]) * (h - lo))
     return out

@@ -124,3 +124,13 @@ def test_entry_contract(spark):
     assert df.count() > 0
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
+
+
+def test_quantiles_recursive_and_hot_value(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    vals = [7.0] * 4000 + [float(x) for x in rng.normal(0, 10, 8000).round(3)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.05, 0.3, 0.5, 0.77, 1.0]
+    got = quantiles(df, "x", probs, rows_per_bucket=50)   # forces two or more levels
+    assert got == pytest.approx(list(np.quantile(vals, probs)))
