@@ -66,15 +66,44 @@ def _select(v: DataFrame, ranks: set[int], n: int, rows_per_bucket: int,
     return out
 
 
+def _small_select(v: DataFrame, probs: list[float]) -> list[float | None]:
+    """One job for an input known to fit one task: n and the needed order
+    statistics come from the same sorted window."""
+    ranked = v.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).alias("_r"),
+                      F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
+    h = [(F.col("_n") - 1) * F.lit(p) for p in probs]
+    keep = None
+    for x in h:
+        cond = (F.col("_r") == F.floor(x)) | (F.col("_r") == F.ceil(x))
+        keep = cond if keep is None else keep | cond
+    rows = ranked.where(keep).collect()
+    if not rows:
+        return [None] * len(probs)
+    n = rows[0]["_n"]
+    got = {r["_r"]: r["_v"] for r in rows}
+    out = []
+    for p in probs:
+        hh = (n - 1) * p
+        lo, hi = int(math.floor(hh)), int(math.ceil(hh))
+        out.append(got[lo] + (got[hi] - got[lo]) * (hh - lo))
+    return out
+
+
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool = True,
-              rows_per_bucket: int = SMALL, accuracy: int = 100_000) -> list[float | None]:
-    """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none)."""
+              rows_per_bucket: int = SMALL, accuracy: int = 100_000,
+              max_rows: int | None = None) -> list[float | None]:
+    """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none).
+
+    ``max_rows``: a known upper bound on the row count; when it fits one task
+    the count and the selection run as a single job."""
     v = df.select(F.col(f"`{col}`").cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
     if not exact:
         row = v.agg(F.percentile_approx("_v", probs, accuracy).alias("q")).first()
         return list(row["q"]) if row["q"] is not None else [None] * len(probs)
+    if max_rows is not None and max_rows <= rows_per_bucket:
+        return _small_select(v, probs)
     n = v.count()
     if n == 0:
         return [None] * len(probs)

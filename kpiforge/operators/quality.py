@@ -56,7 +56,11 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
             exprs[f.name] = c if med is None else F.coalesce(c.cast("double"), F.lit(med))
         else:
             m = modes.get(f.name)
-            exprs[f.name] = F.coalesce(c, F.lit("Unknown" if m is None else m).cast(f.dataType))
+            if m is None and not isinstance(f.dataType, T.StringType):
+                # entirely NULL: pandas fills 'Unknown' and the column becomes text
+                exprs[f.name] = F.coalesce(c.cast("string"), F.lit("Unknown"))
+            else:
+                exprs[f.name] = F.coalesce(c, F.lit("Unknown" if m is None else m).cast(f.dataType))
     return df.withColumns(exprs)
 
 
@@ -83,9 +87,10 @@ def iqr_filter(df: DataFrame, columns: list[str] | None = None, *, exact: bool =
     computed on the rows that survived the previous columns; NULLs drop."""
     cols = columns if columns is not None else numeric_columns(df)
     base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
+    n_max = base.count() if cols else 0      # filters only shrink it
     cur = base
     for c in cols:
-        q1, q3 = quantiles(cur, c, [0.25, 0.75], exact=exact)
+        q1, q3 = quantiles(cur, c, [0.25, 0.75], exact=exact, max_rows=n_max)
         if q1 is None:
             cur = cur.where(F.lit(False))
             continue

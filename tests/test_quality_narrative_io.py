@@ -134,3 +134,9 @@ def test_quantiles_recursive_and_hot_value(spark):
     probs = [0.0, 0.05, 0.3, 0.5, 0.77, 1.0]
     got = quantiles(df, "x", probs, rows_per_bucket=50)   # forces two or more levels
     assert got == pytest.approx(list(np.quantile(vals, probs)))
+
+
+def test_fill_all_null_non_text_column(spark):
+    df = spark.createDataFrame([(1.0, None), (None, None)], "a double, d date")
+    out = collect(quality.fill_missing(df))
+    assert out == [{"a": 1.0, "d": "Unknown"}, {"a": 1.0, "d": "Unknown"}]
