@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
-from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
+from kpiforge.functions.numeric import money_sum, safe_div
 from kpiforge.functions.periods import norm_freq, period_start, resample
 
 

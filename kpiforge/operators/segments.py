@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, nan_to_null, to_logical
-from kpiforge.functions.numeric import days_between, money, round_half_even, safe_div
+from kpiforge.functions.numeric import days_between, money_sum, round_half_even, safe_div
 from kpiforge.operators.ranking import global_rank, quintile_score
 
 # The reference's customer segment labels, best to worst, and the
@@ -48,8 +48,7 @@ def abc_analysis(df: DataFrame, by: str | None = None,
     led = df.select(F.col(f"`{key}`").alias("_key"),
                     nan_to_null(F.col(f"`{cmap.amount}`"), amount).alias("amount"))
     per = (led.where(F.col("_key").isNotNull()).groupBy("_key")
-           .agg(F.coalesce(F.sum(money(F.col("amount"))), F.lit(0)).cast("decimal(38,4)")
-                .alias("_rev_dec")))
+           .agg(money_sum(F.col("amount")).cast("decimal(38,4)").alias("_rev_dec")))
     ranked = global_rank(per, [("_rev_dec", False), ("_key", True)], sum_col="_rev_dec",
                          **rank_opts)
     total = per.agg(F.sum("_rev_dec").alias("_total"))
@@ -100,9 +99,9 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
     led = to_logical(df, cols, wanted, wanted)
     led = led.withColumn("date", as_timestamp(F.col("date")))
     aggs = [F.max("date").alias("_last"), F.count(frequency_of).alias("F"),
-            F.coalesce(F.sum(money(F.col("amount"))), F.lit(0)).cast("double").alias("M")]
+            money_sum(F.col("amount")).alias("M")]
     if with_qty:
-        aggs.append(F.coalesce(F.sum(money(F.col("qty"))), F.lit(0)).cast("double").alias("Q"))
+        aggs.append(money_sum(F.col("qty")).alias("Q"))
     # one pass: the NULL-customer group is kept until "now" (latest date over
     # *all* rows) has been read off the per-customer table, then dropped
     per = led.groupBy("customer").agg(*aggs)
