@@ -94,19 +94,28 @@ def trend_fitted(df: DataFrame, periods: int = 30, freq: str = "D",
                  group_cols: Sequence[str] = ()) -> DataFrame:
     """F2b (v1) — unclipped line: fitted values over the history and the
     forecast.  Columns: *group_cols, kind ('fitted' | 'forecast'), period,
-    actual (NULL for the forecast), value, slope, intercept."""
+    actual (NULL for the forecast), value, slope, intercept.
+
+    One pass over the series: slope and intercept are window aggregates per
+    series, and the last period of each series explodes into itself plus the
+    ``periods`` future points (no union, no second scan)."""
     g = list(group_cols)
+    f = norm_freq(freq)
     s = series(df, freq, cols, g)
-    stats = _ols(s, g).where(F.col("history_periods") >= 2)
-    hist = s.join(stats.select(*g, "slope", "intercept"), g, "inner") if g else \
-        s.crossJoin(F.broadcast(stats.select("slope", "intercept")))
-    fitted = hist.select(*g, F.lit("fitted").alias("kind"), "period", F.col("y").alias("actual"),
-                         (F.col("slope") * F.col("t") + F.col("intercept")).alias("value"),
-                         "slope", "intercept")
-    fut = linear_trend(df, periods, freq, cols, clip=False, group_cols=g).select(
-        *g, F.lit("forecast").alias("kind"), "period", F.lit(None).cast("double").alias("actual"),
-        "value", "slope", "intercept")
-    return fitted.unionByName(fut)
+    w = Window.partitionBy(*g)
+    s = s.withColumns({"slope": F.regr_slope("y", "t").over(w),
+                       "intercept": F.regr_intercept("y", "t").over(w)}).where(F.col("n") >= 2)
+    k = F.explode(F.when(F.col("t") == F.col("n") - 1, F.sequence(F.lit(0), F.lit(int(periods))))
+                  .otherwise(F.array(F.lit(0))))
+    s = s.select("*", k.alias("_k"))
+    fitted = F.col("_k") == 0
+    return s.select(
+        *g, F.when(fitted, F.lit("fitted")).otherwise(F.lit("forecast")).alias("kind"),
+        F.when(fitted, F.col("period")).otherwise(
+            period_end(offset_start(F.col("period_start"), f, F.col("_k")), f)).alias("period"),
+        F.when(fitted, F.col("y")).alias("actual"),
+        (F.col("slope") * (F.col("t") + F.col("_k")) + F.col("intercept")).alias("value"),
+        "slope", "intercept")
 
 
 def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
@@ -131,6 +140,41 @@ def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
                     "step", "period", "value"))
 
 
+def _holt_best(ys, alpha: float, beta: float | None, beta_grid: int):
+    """Best Holt fit of one series as struct(sse, beta, l, b) (smallest error,
+    then smallest beta), evaluated per row: ``transform`` over the beta grid,
+    an ``aggregate`` fold over the series for each beta, ``array_min``."""
+    a = F.lit(float(alpha))
+    if beta is None:
+        betas = F.transform(F.sequence(F.lit(0), F.lit(beta_grid - 1)),
+                            lambda i: i.cast("double") / F.lit(float(beta_grid - 1)))
+    else:
+        betas = F.array(F.lit(float(beta)))
+
+    def fit(bt):
+        init = F.struct(ys[0]["y"].alias("l"), (ys[1]["y"] - ys[0]["y"]).alias("b"),
+                        F.lit(0.0).alias("sse"))
+
+        def step(acc, e):
+            pred = acc["l"] + acc["b"]
+            lvl = a * e["y"] + (F.lit(1.0) - a) * pred
+            trend_ = bt * (lvl - acc["l"]) + (F.lit(1.0) - bt) * acc["b"]
+            err = e["y"] - pred
+            return F.struct(lvl.alias("l"), trend_.alias("b"), (acc["sse"] + err * err).alias("sse"))
+
+        return F.aggregate(F.slice(ys, 2, F.size(ys)), init, step,
+                           lambda st: F.struct(st["sse"].alias("sse"), bt.alias("beta"),
+                                               st["l"].alias("l"), st["b"].alias("b")))
+
+    return F.array_min(F.transform(betas, fit))
+
+
+def _series_arrays(s: DataFrame, g: list[str], *extra) -> DataFrame:
+    return s.groupBy(*g).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("y")))).alias("_ys"),
+        F.max("period_start").alias("_last"), F.max("n").alias("history_periods"), *extra)
+
+
 def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
          cols: ColumnMap | dict | None = None, *, beta: float | None = None,
          beta_grid: int = 101, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -140,41 +184,13 @@ def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
     ``beta`` fixed, or chosen on an even grid of ``beta_grid`` values in [0, 1]
     by the smallest one-step-ahead squared error (our own fitting rule; the
     reference delegates to a maximum-likelihood library).  The recursion is a
-    SQL ``aggregate`` fold over the series' ordered (t, y) array, one row per
-    (series, beta) — series are short (one element per period).
-    Forecast h: l_n + h*b_n.  Needs n >= 2.
+    SQL ``aggregate`` fold over the series' ordered (t, y) array — one array
+    per series, one element per period, so its size is bounded by the
+    calendar, not by the data.  Forecast h: l_n + h*b_n.  Needs n >= 2.
     """
     g = list(group_cols)
-    s = series(df, freq, cols, g)
-    arr = s.groupBy(*g).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("y")))).alias("_ys"),
-        F.max("period_start").alias("_last"), F.max("n").alias("history_periods")
-    ).where(F.col("history_periods") >= 2)
-    if beta is None:
-        grid = F.sequence(F.lit(0), F.lit(beta_grid - 1))
-        arr = arr.select("*", F.explode(grid).alias("_bi")).withColumn(
-            "_beta", F.col("_bi") / F.lit(float(beta_grid - 1)))
-    else:
-        arr = arr.withColumn("_beta", F.lit(float(beta)))
-    a = F.lit(float(alpha))
-    init = F.struct(F.col("_ys")[0]["y"].alias("l"),
-                    (F.col("_ys")[1]["y"] - F.col("_ys")[0]["y"]).alias("b"),
-                    F.lit(0.0).alias("sse"))
-
-    def step(acc, e):
-        pred = acc["l"] + acc["b"]
-        lvl = a * e["y"] + (F.lit(1.0) - a) * pred
-        trend_ = F.col("_beta") * (lvl - acc["l"]) + (F.lit(1.0) - F.col("_beta")) * acc["b"]
-        err = e["y"] - pred
-        return F.struct(lvl.alias("l"), trend_.alias("b"), (acc["sse"] + err * err).alias("sse"))
-
-    folded = arr.withColumn("_st", F.aggregate(F.slice("_ys", 2, F.size("_ys")), init, step))
-    best = folded.groupBy(*g).agg(
-        F.min_by(F.struct(F.col("_st")["l"].alias("l"), F.col("_st")["b"].alias("b"),
-                          F.col("_beta").alias("beta"), F.col("_st")["sse"].alias("sse")),
-                 F.struct(F.col("_st")["sse"], F.col("_beta"))).alias("_m"),
-        F.max("_last").alias("_last"), F.max("history_periods").alias("history_periods")) \
-        .where(F.col("history_periods").isNotNull())
+    arr = _series_arrays(series(df, freq, cols, g), g).where(F.col("history_periods") >= 2)
+    best = arr.withColumn("_m", _holt_best(F.col("_ys"), alpha, beta, beta_grid))
     fut = _future(best, freq, periods, g)
     return fut.select(*g, F.lit("holt").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                       F.col("history_periods").cast("long").alias("history_periods"),
@@ -201,16 +217,20 @@ def evaluate(df: DataFrame, method: str = "ma", train_ratio: float = 0.8, freq:
     g = list(group_cols)
     s = series(df, freq, cols, g).withColumn(
         "_split", F.floor(F.col("n") * F.lit(float(train_ratio))).cast("long"))
-    train = s.where(F.col("t") < F.col("_split"))
-    aggs = [F.avg("y").alias("_m"), F.count(F.lit(1)).alias("n_train")]
+    # the training statistics are window aggregates over each (short) series,
+    # so the series is computed once and no join is needed
+    w = Window.partitionBy(*g)
+    is_train = F.col("t") < F.col("_split")
+    ty, tt = F.when(is_train, F.col("y")), F.when(is_train, F.col("t"))
+    fit = {"_m": F.avg(ty).over(w), "n_train": F.count(ty).over(w)}
     if method == "ma":
-        aggs.append(F.sum(F.when(F.col("t") >= F.col("_split") - window, F.col("y"))).alias("_sw"))
-        aggs.append(F.count(F.when(F.col("t") >= F.col("_split") - window, 1)).alias("_cw"))
+        last = is_train & (F.col("t") >= F.col("_split") - window)
+        fit["_sw"] = F.sum(F.when(last, F.col("y"))).over(w)
+        fit["_cw"] = F.count(F.when(last, 1)).over(w)
     else:
-        aggs += [F.regr_slope("y", "t").alias("_b"), F.regr_intercept("y", "t").alias("_a")]
-    fit = train.groupBy(*g).agg(*aggs)
-    test = s.where(F.col("t") >= F.col("_split"))
-    test = test.join(fit, g, "inner") if g else test.crossJoin(F.broadcast(fit))
+        fit["_b"] = F.regr_slope(ty, tt).over(w)
+        fit["_a"] = F.regr_intercept(ty, tt).over(w)
+    test = s.withColumns(fit).where(~is_train)
     if method == "ma":
         i = F.col("t") - F.col("_split")
         pred = F.when(i < window, F.col("_m")).otherwise(
@@ -234,17 +254,33 @@ def evaluate(df: DataFrame, method: str = "ma", train_ratio: float = 0.8, freq:
 
 
 def compare(df: DataFrame, periods: int = 30, freq: str = "D",
-            cols: ColumnMap | dict | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
+            cols: ColumnMap | dict | None = None, group_cols: Sequence[str] = (),
+            window: int = 7, alpha: float = 0.3) -> DataFrame:
     """F7 — moving average, Holt and the unclipped trend side by side.
 
-    Columns: *group_cols, method, step, period, value."""
+    One pass: a single grouped aggregate per series yields the tail mean, the
+    least-squares line and the ordered values for the Holt fold; the future
+    steps are then exploded.  Columns: *group_cols, method, step, period, value.
+    """
     g = list(group_cols)
-    parts = [moving_average(df, periods, 7, freq, cols, g),
-             holt(df, periods, 0.3, freq, cols, group_cols=g),
-             linear_trend(df, periods, freq, cols, clip=False, group_cols=g)]
-    return parts[0].select(*g, "method", "step", "period", "value").unionByName(
-        parts[1].select(*g, "method", "step", "period", "value")).unionByName(
-        parts[2].select(*g, "method", "step", "period", "value"))
+    s = series(df, freq, cols, g)
+    stats = _series_arrays(
+        s, g, F.avg(F.when(F.col("t") >= F.col("n") - F.lit(int(window)), F.col("y"))).alias("_ma"),
+        F.regr_slope("y", "t").alias("_slope"), F.regr_intercept("y", "t").alias("_icpt"))
+    stats = stats.withColumn("_h", F.when(F.col("history_periods") >= 2,
+                                          _holt_best(F.col("_ys"), alpha, None, 101)))
+    fut = _future(stats, freq, periods, g)
+    x = F.col("history_periods") - 1 + F.col("step")
+    methods = F.array(
+        F.struct(F.lit("moving_average").alias("method"), F.col("_ma").alias("value")),
+        F.struct(F.lit("holt").alias("method"),
+                 (F.col("_h")["l"] + F.col("step") * F.col("_h")["b"]).alias("value")),
+        F.struct(F.lit("linear_trend").alias("method"),
+                 (F.col("_slope") * x + F.col("_icpt")).alias("value")))
+    return (fut.select(*g, "step", "period", F.explode(methods).alias("_m"))
+            .where(F.col("_m")["value"].isNotNull())
+            .select(*g, F.col("_m")["method"].alias("method"), "step", "period",
+                    F.col("_m")["value"].alias("value")))
 
 
 def input_summary(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFrame:

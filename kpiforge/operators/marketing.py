@@ -7,7 +7,7 @@ reference's JSON output shows as null).  Rounding is pandas half-even.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
@@ -61,8 +61,9 @@ def channel_performance(campaigns: DataFrame) -> DataFrame:
     return _channel_metrics(campaigns).orderBy(F.desc("revenue"), F.asc("channel"))
 
 
-def _channel_metrics(campaigns: DataFrame) -> DataFrame:
-    g = (campaigns.where(F.col("channel").isNotNull()).groupBy("channel")
+def _channel_metrics(campaigns: DataFrame, keep_null: bool = False) -> DataFrame:
+    base = campaigns if keep_null else campaigns.where(F.col("channel").isNotNull())
+    g = (base.groupBy("channel")
          .agg(money_sum(F.col("budget")).alias("budget"),
               F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("orders"),
               money_sum(F.col("revenue")).alias("revenue"),
@@ -136,10 +137,14 @@ def budget_allocation(campaigns: DataFrame) -> DataFrame:
     positive revenue it is "increase" at 40 % (pandas: inf ROI, min(40, nan) = 40),
     otherwise "reduce".  max_roi is taken over the non-NULL channel ROIs.
     """
-    ch = _channel_metrics(campaigns)
-    tot = campaigns.agg(money_sum(F.col("budget")).alias("_total"))
-    mx = ch.agg(F.max("roi").alias("_max_roi"))
-    ch = ch.crossJoin(F.broadcast(tot)).crossJoin(F.broadcast(mx))
+    # one pass: the channel aggregate keeps the NULL-channel group so that the
+    # total budget covers every campaign; totals and max ROI are windows over
+    # the channel rows (one row per channel)
+    w = Window.partitionBy()
+    ch = _channel_metrics(campaigns, keep_null=True).withColumn(
+        "_total", F.sum(F.rint(F.col("budget") * F.lit(1e4))).over(w) / F.lit(1e4)) \
+        .where(F.col("channel").isNotNull())
+    ch = ch.withColumn("_max_roi", F.max("roi").over(w))
     roi = F.col("roi")
     inf_roi = roi.isNull() & (F.col("budget") == 0) & (F.col("revenue") > 0)
     high = F.when((F.col("_max_roi").isNull()) | (F.col("_max_roi") == 0), F.lit(35.0)) \

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,9 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
         aggs.append(money_sum(F.col("qty")).alias("Q"))
     # one pass: the NULL-customer group is kept until "now" (latest date over
     # *all* rows) has been read off the per-customer table, then dropped
-    per = led.groupBy("customer").agg(*aggs)
+    # persisted: "now" and the per-customer rows are two consumers that column
+    # pruning would otherwise turn into two different scans of the ledger
+    per = led.groupBy("customer").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
     now = per.agg(F.max("_last").alias("_now"))
     per = per.where(F.col("customer").isNotNull()).crossJoin(F.broadcast(now))
     return per.withColumn("R", days_between(F.col("_now"), F.col("_last"))).drop("_now", "_last")
@@ -124,7 +127,6 @@ def rfm_segments(df: DataFrame, cols: ColumnMap | dict | None = None, *,
     Columns: customer, R, F, M, rfm_score, segment.
     """
     per = rfm_table(df, cols, frequency_of=frequency_of).where(F.col("R").isNotNull())
-    per = per.persist()
     n = per.count()
     ranked = per
     for c in ("R", "F", "M"):
