@@ -384,25 +384,25 @@ def arima(df: DataFrame, order: tuple[int, int, int] = (1, 1, 1), periods: int =
     if not g:
         s = s.withColumn("_series", F.lit(0))
     key_fields = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in key)
-    schema = f"{key_fields}, step int, value double, lower double, upper double"
+    schema = f"{key_fields}, _last date, step int, value double, lower double, upper double"
     horizon = int(periods)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         out = _hannan_rissanen(pdf["y"].to_numpy(), p, d, q, horizon)
+        names = key + ["_last", "step", "value", "lower", "upper"]
         if out is None:
-            return pd.DataFrame({k: [] for k in key + ["step", "value", "lower", "upper"]})
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
         mean, lo, hi = out
-        res = pd.DataFrame({"step": range(1, horizon + 1), "value": mean, "lower": lo,
-                            "upper": hi})
+        res = pd.DataFrame({"_last": pdf["period_start"].max(), "step": range(1, horizon + 1),
+                            "value": mean, "lower": lo, "upper": hi})
         for k in key:
             res.insert(0, k, pdf[k].iloc[0])
-        return res[key + ["step", "value", "lower", "upper"]]
+        return res[names]
 
-    fc = s.select(*key, "t", "y").groupBy(*key).applyInPandas(fit, schema)
-    last = s.groupBy(*key).agg(F.max("period_start").alias("_last"))
+    # the series goes through the grouped map once; the last period rides along
+    fc = s.select(*key, "period_start", "t", "y").groupBy(*key).applyInPandas(fit, schema)
     f = norm_freq(freq)
-    out = fc.join(last, key).withColumn(
-        "period", period_end(offset_start(F.col("_last"), f, F.col("step")), f))
+    out = fc.withColumn("period", period_end(offset_start(F.col("_last"), f, F.col("step")), f))
     return out.select(*g, F.lit(f"arima{order}").alias("method"), "step", "period", "value",
                       "lower", "upper")

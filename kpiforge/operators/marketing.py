@@ -7,6 +7,7 @@ reference's JSON output shows as null).  Rounding is pandas half-even.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +109,12 @@ def campaign_efficiency(campaigns: DataFrame) -> DataFrame:
     rounded metrics (a component is 0 when its max is <= 0), 2 dp, desc.
 
     The three maxima come from one global aggregate (a single row) that is
-    broadcast back: no window over the whole table, no single-task sort.
+    broadcast back: no window over the whole table, no single-task sort.  The
+    per-campaign metrics are persisted so both consumers share one pass.
     """
-    eff = campaigns.withColumns({**_conversion_cols(), "roi": _r(_roi())})
+    # one row per campaign, persisted: the maxima and the scoring both read it
+    eff = campaigns.withColumns({**_conversion_cols(), "roi": _r(_roi())}) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     tops = eff.agg(F.max("roi").alias("_mroi"), F.max("cvr").alias("_mcvr"),
                    F.max("ctr").alias("_mctr"))
     eff = eff.crossJoin(F.broadcast(tops))

@@ -6,6 +6,7 @@ Join keys are compared as strings on both sides, as the reference does, and
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,9 @@ def sales_ranking(orders: DataFrame, products: DataFrame | None = None,
     top = per.orderBy(*order).limit(top_n)
     if products is None:
         return top
+    # n rows, persisted: the key list for the semi-join and the rows for the
+    # final join are then one materialisation, not two scans of the orders
+    top = top.persist(StorageLevel.MEMORY_AND_DISK)
     attrs = _attributes(products)
     attrs = attrs.join(F.broadcast(top.select("product_id")), "product_id", "left_semi")
     extra = [F.asc_nulls_first(c) for c in attrs.columns if c != "product_id"]

@@ -488,7 +488,7 @@ def q_parse_commentary(spark, sf):
     fall back to the rules), plus the rule report itself serialised as a
     fenced JSON response (parses)."""
     _, summary, alerts = _report_inputs(spark, sf)
-    report = nar.commentary_report(summary, alerts)
+    report = nar.commentary_report(summary, alerts).persist()   # one row, two consumers
     conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
     replies = conv.where(F.col("role") == "assistant").select(
         F.concat_ws("-", "conv_id", "turn").alias("response_id"), F.col("text").alias("text"))
