@@ -376,6 +376,11 @@ def arima(df: DataFrame, order: tuple[int, int, int] = (1, 1, 1), periods: int =
     Columns: *group_cols, method, step, period, value, lower, upper.
     """
     import pandas as pd
+    from pyspark import cloudpickle
+
+    import kpiforge
+    # ship the numeric kernel by value: Python workers need not import kpiforge
+    cloudpickle.register_pickle_by_value(kpiforge)
 
     g = list(group_cols)
     p, d, q = (int(v) for v in order)
