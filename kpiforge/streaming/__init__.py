@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 
 
 def recompute_on_batches(stream: DataFrame, table_path: str, operator: Callable[[DataFrame], DataFrame],
-                         output_path: str, checkpoint: str, fmt: str = "parquet"):
+                         output_path: str, checkpoint: str, fmt: str = "parquet",
+                         trigger_once: bool = False):
     """Append each micro-batch to ``table_path``, then rewrite ``operator``'s
     result over the whole table to ``output_path``.  Returns the started query."""
 
@@ -26,4 +27,7 @@ def recompute_on_batches(stream: DataFrame, table_path: str, operator: Callable[
         operator(spark.read.format(fmt).load(table_path)).write.mode("overwrite") \
             .format(fmt).save(output_path)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if trigger_once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
