@@ -38,7 +38,8 @@ def series(df: DataFrame, freq: str = "D", cols: ColumnMap | dict | None = None,
 def _future(stats: DataFrame, freq: str, periods: int, g: list[str]) -> DataFrame:
     """``periods`` future period labels after each series' last period."""
     f = norm_freq(freq)
-    fut = stats.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(periods)))).alias("step"))
+    steps = F.sequence(F.lit(1).cast("long"), F.lit(int(periods)).cast("long"))
+    fut = stats.select("*", F.explode(steps).alias("step"))
     return fut.withColumn("period", period_end(offset_start(F.col("_last"), f, F.col("step")), f))
 
 

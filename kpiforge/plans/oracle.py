@@ -409,7 +409,8 @@ rec(t, l, b) AS (
   FROM rec JOIN ts ON ts.t = rec.t + 1),
 fin AS (SELECT l, b FROM rec ORDER BY t DESC LIMIT 1),
 st AS (SELECT MAX(ps) AS last, MAX(n) AS n FROM ts)
-SELECT 'holt' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods, 0.1 AS beta,
+SELECT 'holt' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods,
+  CAST(0.1 AS DOUBLE) AS beta,
   k AS step, {future_label('M')} AS period, {r4('l + k * b')} AS value
 FROM fin, st, (SELECT unnest(range(1, 13)) AS k) WHERE n >= 2""", _vm, _sm)
 
