@@ -356,7 +356,8 @@ def q_forecast_ses(spark, sf):
 
 @query("forecast_holt")
 def q_forecast_holt(spark, sf):
-    return fc.holt(_ledger(spark, sf, "date", "amount"), 30, 0.3, "D", IDENT)
+    return fc.holt(_ledger(spark, sf, "date", "amount"), 30, 0.3, "D", IDENT).withColumn(
+        "value", _r4("value"))
 
 
 @query("forecast_holt_fixed_beta")
@@ -386,7 +387,8 @@ def q_evaluate_ma(spark, sf):
 
 @query("compare_forecasts")
 def q_compare_forecasts(spark, sf):
-    return fc.compare(_ledger(spark, sf, "date", "amount"), 30, "D", IDENT)
+    return fc.compare(_ledger(spark, sf, "date", "amount"), 30, "D", IDENT).withColumn(
+        "value", _r4("value"))
 
 
 @query("forecast_input_summary")

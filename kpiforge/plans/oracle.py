@@ -574,3 +574,40 @@ SQL["commentary_markdown"] = SQL["commentary_rules"].replace(
     + " || " + _md_section("recommendations", "建议", last=True)
     + " AS markdown, 'heuristic' AS backend")
 
+
+
+# Holt with beta chosen on a 101-point grid, mirrored operation by operation
+# (same start state, same expression order) so the chosen beta is identical.
+_D = "CAST({} AS DOUBLE)"
+_A, _ONE = _D.format(0.3), _D.format(1.0)
+_HOLT_CTES = f"""y01 AS (SELECT MAX(CASE WHEN t = 0 THEN y END) AS y0,
+                MAX(CASE WHEN t = 1 THEN y END) AS y1, MAX(n) AS n, MAX(ps) AS last FROM ts),
+betas AS (SELECT CAST(i AS DOUBLE) / CAST(100.0 AS DOUBLE) AS beta FROM range(0, 101) r(i)),
+rec(beta, t, l, b, sse) AS (
+  SELECT beta, 0, y0, y1 - y0, CAST(0.0 AS DOUBLE) FROM betas, y01 WHERE n >= 2
+  UNION ALL
+  SELECT rec.beta, ts.t,
+    {_A} * ts.y + ({_ONE} - {_A}) * (rec.l + rec.b),
+    rec.beta * (({_A} * ts.y + ({_ONE} - {_A}) * (rec.l + rec.b)) - rec.l)
+      + ({_ONE} - rec.beta) * rec.b,
+    rec.sse + (ts.y - (rec.l + rec.b)) * (ts.y - (rec.l + rec.b))
+  FROM rec JOIN ts ON ts.t = rec.t + 1),
+fin AS (SELECT beta, l, b, sse FROM rec, y01 WHERE rec.t = y01.n - 1),
+best AS (SELECT beta, l, b FROM fin ORDER BY sse, beta LIMIT 1)"""
+
+SQL["forecast_holt"] = with_views(f"""WITH RECURSIVE {_HOLT_CTES}
+SELECT 'holt' AS method, 'D' AS freq, CAST(n AS BIGINT) AS history_periods, beta, k AS step,
+  {future_label('D')} AS period, {r4('l + k * b')} AS value
+FROM best, y01, (SELECT unnest(range(1, 31)) AS k)""", _v, _s)
+
+SQL["compare_forecasts"] = with_views(f"""WITH RECURSIVE {_HOLT_CTES},
+st AS (SELECT AVG(CASE WHEN t >= n - 7 THEN y END) AS ma, regr_slope(y, t) AS slope,
+  regr_intercept(y, t) AS icpt, MAX(n) AS n, MAX(ps) AS last FROM ts),
+steps AS (SELECT unnest(range(1, 31)) AS k)
+SELECT 'moving_average' AS method, k AS step, {future_label('D')} AS period, {r4('ma')} AS value
+FROM st, steps
+UNION ALL
+SELECT 'holt', k, {future_label('D', 'y01.last')}, {r4('l + k * b')} FROM best, y01, steps
+UNION ALL
+SELECT 'linear_trend', k, {future_label('D')}, {r4('slope * (n - 1 + k) + icpt')}
+FROM st, steps WHERE n >= 2""", _v, _s)
