@@ -158,11 +158,16 @@ def payload(summary: DataFrame, trend: DataFrame, alerts: DataFrame,
         "category_breakdown_top5", "region_breakdown_top5")).alias("payload"))
 
 
+def _strip(text: Column) -> Column:
+    """Python ``str.strip()``: all (Unicode) whitespace, not only spaces."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def strip_fences(text: Column) -> Column:
-    """Remove a leading ```(json) line and a trailing ``` fence, then trim."""
-    t = F.trim(text)
+    """Remove a leading ```(json) line and a trailing ``` fence, then strip."""
+    t = _strip(text)
     stripped = F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*\n", ""), r"\n?```\s*$", "")
-    return F.trim(F.when(t.startswith("```"), stripped).otherwise(t))
+    return _strip(F.when(t.startswith("```"), stripped).otherwise(t))
 
 
 def parse_response(responses: DataFrame, text_col: str, fallback: DataFrame) -> DataFrame:

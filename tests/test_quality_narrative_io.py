@@ -140,3 +140,10 @@ def test_fill_all_null_non_text_column(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, d date")
     out = collect(quality.fill_missing(df))
     assert out == [{"a": 1.0, "d": "Unknown"}, {"a": 1.0, "d": "Unknown"}]
+
+
+def test_strip_fences_whitespace(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("\n\t```json\n{\"a\": 1}\n```\n ",), ("  plain \n",)], "t string")
+    out = [r[0] for r in df.select(narrative.strip_fences(F.col("t"))).collect()]
+    assert out == ['{"a": 1}', "plain"]
