@@ -611,3 +611,43 @@ SELECT 'holt', k, {future_label('D', 'y01.last')}, {r4('l + k * b')} FROM best,
 UNION ALL
 SELECT 'linear_trend', k, {future_label('D')}, {r4('slope * (n - 1 + k) + icpt')}
 FROM st, steps WHERE n >= 2""", _v, _s)
+
+
+# N3: the rule report as the fallback, assistant turns plus the report itself
+# (fenced JSON) as responses; JSON objects with an overview parse, others fall back.
+def _list_sql(sec):
+    return (f"COALESCE((SELECT list(text ORDER BY pos) FROM rows_ WHERE section = '{sec}'), "
+            "CAST([] AS VARCHAR[]))")
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PARSE = SQL["commentary_rules"].replace("\nSELECT section, pos, text FROM rows_", f""",
+rep AS (SELECT (SELECT text FROM rows_ WHERE section = 'overview') AS overview,
+  {_list_sql('highlights')} AS highlights, {_list_sql('risks')} AS risks,
+  {_list_sql('recommendations')} AS recommendations),
+resp AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS response_id, text
+  FROM conversations WHERE role = 'assistant'
+  UNION ALL
+  SELECT 'rules-json', '```json' || chr(10) || to_json({{'overview': overview,
+    'highlights': highlights, 'risks': risks, 'recommendations': recommendations}})
+    || chr(10) || '```' FROM rep),
+s1 AS (SELECT response_id, {_strip_sql('text')} AS t FROM resp),
+s2 AS (SELECT response_id, {_strip_sql("CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```(?:json)?\\s*\\n', ''), '\\n?```\\s*$', '') ELSE t END")} AS j FROM s1),
+s2v AS (SELECT response_id, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS j FROM s2),
+s3 AS (SELECT response_id, j, COALESCE(json_type(j) = 'OBJECT'
+         AND json_extract_string(j, '$.overview') IS NOT NULL, false) AS ok FROM s2v)
+SELECT response_id,
+  CASE WHEN ok THEN json_extract_string(j, '$.overview') ELSE rep.overview END AS overview,
+  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.highlights') AS VARCHAR[]), []),
+    lambda x: x IS NOT NULL AND x <> '') ELSE rep.highlights END AS highlights,
+  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.risks') AS VARCHAR[]), []),
+    lambda x: x IS NOT NULL AND x <> '') ELSE rep.risks END AS risks,
+  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.recommendations') AS VARCHAR[]), []),
+    lambda x: x IS NOT NULL AND x <> '') ELSE rep.recommendations END AS recommendations,
+  CASE WHEN ok THEN 'llm' ELSE 'heuristic' END AS backend
+FROM s3, rep""")
+SQL["parse_commentary"] = _PARSE
