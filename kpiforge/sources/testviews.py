@@ -29,17 +29,18 @@ CHANNELS = ("Online", "Offline", "Omni", "Social", "Email")
 BUDGET_FACTORS = (0.3, 0.45, 0.58, 0.8, 1.2)
 
 
-_RELATIONS: dict[tuple[int, str], DataFrame] = {}
+_RELATIONS: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver tables are read-only, so each relation is resolved (file
     listing + parquet footers, ~0.1 s on the driver) once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _RELATIONS:
-        _RELATIONS[key] = spark.read.parquet(path)
-    return _RELATIONS[key]
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    hit = _RELATIONS.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        hit = _RELATIONS[key] = spark.read.parquet(path)
+    return hit
 
 
 def sales_ledger(spark: SparkSession, sf_dir: str,
