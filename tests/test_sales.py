@@ -149,3 +149,24 @@ def test_v1_stats(ledger_120d):
     assert st.date_range == "2024-01-01 至 2024-04-29"
     h = sales.trend_headline(ledger_120d, "M").collect()[0]
     assert h.n_periods == 4 and h.max_revenue >= h.min_revenue
+
+
+def test_nan_amount_is_missing(spark):
+    rows = [(dt.datetime(2024, 1, 1), float("nan"), 1, "a", "x", "c1"),
+            (dt.datetime(2024, 1, 1), 5.0, 1, "a", "x", "c2"),
+            (dt.datetime(2024, 1, 2), 7.0, 1, "b", "x", "c2")]
+    led = make_ledger(spark, rows)
+    t = collect(sales.trend(led, "D"), "period", "revenue", "n_orders")
+    assert t == [(dt.date(2024, 1, 1), 5.0, 1), (dt.date(2024, 1, 2), 7.0, 1)]
+    s = sales.summary(led).collect()[0]
+    assert s.total_revenue == 12.0 and s.n_records == 3
+
+
+def test_trend_grouped_series_each_gap_filled(spark):
+    rows = [(dt.datetime(2024, 1, 5), 1.0, 1, "a", "x", "c"),
+            (dt.datetime(2024, 3, 5), 2.0, 1, "a", "x", "c"),
+            (dt.datetime(2024, 2, 5), 3.0, 1, "a", "y", "c")]
+    led = make_ledger(spark, rows).withColumnRenamed(C["region"], "region")
+    t = sorted(collect(sales.trend(led, "M", group_cols=["region"]), "region", "period", "revenue"))
+    assert t == [("x", dt.date(2024, 1, 31), 1.0), ("x", dt.date(2024, 2, 29), 0.0),
+                 ("x", dt.date(2024, 3, 31), 2.0), ("y", dt.date(2024, 2, 29), 3.0)]
