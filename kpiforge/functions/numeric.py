@@ -48,6 +48,11 @@ def trunc_int(c: Column) -> Column:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """``(later - earlier).days`` of pandas: floor of elapsed 24-hour units."""
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
+    """``(later - earlier).days`` of pandas: floor of elapsed 24-hour units.
+
+    Measured on wall-clock time (TIMESTAMP_NTZ), as pandas does on naive
+    timestamps, so a daylight-saving change in the session time zone cannot
+    shorten a day."""
+    micros = F.timestamp_diff("MICROSECOND", earlier.cast("timestamp_ntz"),
+                              later.cast("timestamp_ntz"))
     return F.floor(micros / F.lit(86_400_000_000)).cast("long")

@@ -126,3 +126,16 @@ def test_rfm_now_includes_rows_without_customer(spark):
             (dt.datetime(2024, 1, 10), 1.0, 1, "a", "x", None)]
     r = dict(collect(segments.rfm_segments(make_ledger(spark, rows)), "customer", "R"))
     assert r == {"c1": 9, "c2": 7}
+
+
+def test_recency_ignores_dst_in_session_zone(spark):
+    rows = [(dt.datetime(2024, 3, 1), 1.0, 1, "a", "x", "c1"),
+            (dt.datetime(2024, 3, 15), 1.0, 1, "a", "x", "c2")]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        led = make_ledger(spark, rows)
+        r = dict(collect(segments.rfm_segments(led), "customer", "R"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r == {"c1": 14, "c2": 0}
