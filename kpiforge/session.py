@@ -49,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     gets a scratch folder; on a cluster a machine-local folder would be wrong,
     so we refuse instead of guessing.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         if not sc.master.startswith("local"):

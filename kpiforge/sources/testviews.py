@@ -36,7 +36,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The driver tables are read-only, so each relation is resolved (file
     listing + parquet footers, ~0.1 s on the driver) once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no SparkContext
+        app = spark.conf.get("spark.app.id", "")
+    key = (app, id(spark), path)
     hit = _RELATIONS.get(key)
     if hit is None or hit.sparkSession is not spark:
         hit = _RELATIONS[key] = spark.read.parquet(path)
