@@ -228,7 +228,7 @@ def q_budget_allocation(spark, sf):
 from kpiforge.operators import segments as seg  # noqa: E402
 
 # A small threshold forces the distributed (sorted, checkpointed) rank path at test scale.
-SMALL_BUCKETS = {"rows_per_task": 97}
+FORCE_DISTRIBUTED_RANK = {"rows_per_task": 97}
 
 
 @query("abc_category")
@@ -260,7 +260,7 @@ def q_rfm_segments(spark, sf):
 @query("rfm_segments_bucketed")
 def q_rfm_segments_bucketed(spark, sf):
     return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer"), IDENT,
-                            **SMALL_BUCKETS)
+                            **FORCE_DISTRIBUTED_RANK)
 
 
 @query("rfm_unreversed")
@@ -271,7 +271,7 @@ def q_rfm_unreversed(spark, sf):
 
 @query("rfm_events")
 def q_rfm_events(spark, sf):
-    return seg.rfm_segments(tv.events_ledger(spark, sf), IDENT, **SMALL_BUCKETS)
+    return seg.rfm_segments(tv.events_ledger(spark, sf), IDENT, **FORCE_DISTRIBUTED_RANK)
 
 
 @query("segment_counts")
