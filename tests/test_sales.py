@@ -170,3 +170,10 @@ def test_trend_grouped_series_each_gap_filled(spark):
     t = sorted(collect(sales.trend(led, "M", group_cols=["region"]), "region", "period", "revenue"))
     assert t == [("x", dt.date(2024, 1, 31), 1.0), ("x", dt.date(2024, 2, 29), 0.0),
                  ("x", dt.date(2024, 3, 31), 2.0), ("y", dt.date(2024, 2, 29), 3.0)]
+
+
+def test_summary_approx_customers(ledger_120d):
+    exact = sales.summary(ledger_120d).collect()[0]
+    approx = sales.summary(ledger_120d, approx_customers=True).collect()[0]
+    assert abs(approx.n_customers - exact.n_customers) <= 0.15 * exact.n_customers  # 3 x rsd
+    assert approx.total_revenue == exact.total_revenue
