@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
+from kpiforge.functions.joins import attach_one_row
 
 # The reference's budget advice texts.
 BUDGET_UP = "增加预算 - 高 ROI 渠道"
@@ -117,7 +118,7 @@ def campaign_efficiency(campaigns: DataFrame) -> DataFrame:
         .persist(StorageLevel.MEMORY_AND_DISK)
     tops = eff.agg(F.max("roi").alias("_mroi"), F.max("cvr").alias("_mcvr"),
                    F.max("ctr").alias("_mctr"))
-    eff = eff.crossJoin(F.broadcast(tops))
+    eff = attach_one_row(eff, tops)
 
     def norm(c, top, weight):
         return F.when(F.col(top) > 0, F.col(c) / F.col(top) * F.lit(float(weight))) \

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from kpiforge.functions.joins import attach_one_row
 
 # The report's section headings, in order.
 SECTIONS = ("overview", "highlights", "risks", "recommendations")
@@ -51,7 +52,7 @@ def _first_alerts(alerts: DataFrame) -> DataFrame:
 def commentary_report(summary: DataFrame, alerts: DataFrame) -> DataFrame:
     """N1 — one row: overview (string) and highlights / risks / recommendations
     (arrays), following the reference's rules."""
-    s = summary.crossJoin(F.broadcast(_first_alerts(alerts)))
+    s = attach_one_row(summary, _first_alerts(alerts))
     g = F.col("growth_first_to_last_month")
     n_orders, n_cust = F.col("total_orders"), F.col("n_customers")
     growth_str = F.when(g.isNotNull(), F.concat(F.lit("，环比首月增长 "), signed1(g), F.lit("%"))) \
@@ -152,7 +153,9 @@ def payload(summary: DataFrame, trend: DataFrame, alerts: DataFrame,
     cat5 = _top_list(category, "revenue", 5, True, "category_breakdown_top5")
     reg5 = _top_list(region, "revenue", 5, True, "region_breakdown_top5")
     s = summary.select(F.struct(*summary.columns).alias("summary"))
-    j = s.crossJoin(last6).crossJoin(first3).crossJoin(cat5).crossJoin(reg5)
+    j = s
+    for part in (last6, first3, cat5, reg5):   # each a one-row aggregate
+        j = attach_one_row(j, part)
     return j.select(F.to_json(F.struct(
         "summary", "trend_last_6", "anomalies_top_3",
         "category_breakdown_top5", "region_breakdown_top5")).alias("payload"))
@@ -177,8 +180,8 @@ def parse_response(responses: DataFrame, text_col: str, fallback: DataFrame) ->
     ``fallback`` is the one-row output of :func:`commentary_report`.
     """
     parsed = F.from_json(strip_fences(F.col(text_col)), REPORT_SCHEMA)
-    r = responses.withColumn("_p", parsed).crossJoin(F.broadcast(
-        fallback.select(*[F.col(c).alias(f"_fb_{c}") for c in SECTIONS])))
+    r = attach_one_row(responses.withColumn("_p", parsed),
+                       fallback.select(*[F.col(c).alias(f"_fb_{c}") for c in SECTIONS]))
     ok = F.col("_p").isNotNull() & F.col("_p")["overview"].isNotNull()
 
     def items(c):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kpiforge.functions.columns import ColumnMap, as_timestamp, nan_to_null, to_logical
 from kpiforge.functions.numeric import days_between, money_sum, round_half_even, safe_div
 from kpiforge.operators.ranking import global_rank, quintile_score
+from kpiforge.functions.joins import attach_one_row
 
 # The reference's customer segment labels, best to worst, and the
 # score thresholds (sum of three 1-5 scores) that select them.
@@ -53,7 +54,7 @@ def abc_analysis(df: DataFrame, by: str | None = None,
     ranked = global_rank(per, [("_rev_dec", False), ("_key", True)], sum_col="_rev_dec",
                          **rank_opts)
     total = per.agg(F.sum("_rev_dec").alias("_total"))
-    out = ranked.crossJoin(F.broadcast(total)).where(F.col("_total") > 0)
+    out = attach_one_row(ranked, total).where(F.col("_total") > 0)
     cum_pct = round_half_even(F.col("_cum").cast("double") / F.col("_total").cast("double")
                               * F.lit(100.0))
     # no final global sort: at scale it would cost a second range shuffle of
@@ -78,7 +79,7 @@ def abc_summary(df: DataFrame, by: str | None = None,
     tot = abc.agg(F.count(F.lit(1)).alias("_n"),
                   F.sum(F.col("revenue").cast("decimal(38,4)")).alias("_t"))
     classes = spark.createDataFrame([("A",), ("B",), ("C",)], "abc_class string")
-    out = (classes.join(F.broadcast(per), "abc_class", "left").crossJoin(F.broadcast(tot))
+    out = (attach_one_row(classes.join(F.broadcast(per), "abc_class", "left"), tot)
            .where(F.col("_n") > 0))
     rev = F.coalesce(F.col("_rev").cast("double"), F.lit(0.0))
     n = F.coalesce(F.col("n_items"), F.lit(0)).cast("long")
@@ -109,7 +110,7 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
     # pruning would otherwise turn into two different scans of the ledger
     per = led.groupBy("customer").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
     now = per.agg(F.max("_last").alias("_now"))
-    per = per.where(F.col("customer").isNotNull()).crossJoin(F.broadcast(now))
+    per = attach_one_row(per.where(F.col("customer").isNotNull()), now)
     return per.withColumn("R", days_between(F.col("_now"), F.col("_last"))).drop("_now", "_last")
 
 
