@@ -38,6 +38,13 @@ def main() -> None:
           f"{row['lo'] == 1 and row['hi'] == n and row['nd'] == n} running_sum_exact="
           f"{row['cum'] == row['total']} partitions={len(sizes)} "
           f"max/mean={max(sizes) / (sum(sizes) / len(sizes)):.2f}")
+    from kpiforge.functions.stats import quantiles
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    t0 = time.perf_counter()
+    got = quantiles(df, "v", probs)             # > 1M rows: recursive bucket selection
+    dt = time.perf_counter() - t0
+    want = df.agg(F.percentile("v", probs).alias("q")).first()["q"]
+    print(f"quantiles seconds={dt:.1f} exact={list(got) == [float(x) for x in want]}")
 
 
 if __name__ == "__main__":
