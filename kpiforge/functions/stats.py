@@ -52,17 +52,30 @@ def _select(v: DataFrame, ranks: set[int], n: int, rows_per_bucket: int,
     stats = {r["_b"]: (r["c"], r["lo"], r["hi"]) for r in bucketed.groupBy("_b").agg(
         F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
     out, start = {}, 0
+    small: dict[int, tuple[int, set[int]]] = {}      # bucket -> (first rank, local ranks)
     for b in sorted(stats):
         c, lo, hi = stats[b]
         inside = {r - start for r in ranks if start <= r < start + c}
         if inside:
             if lo == hi:
                 out.update({r + start: lo for r in inside})
+            elif c <= rows_per_bucket:
+                small[b] = (start, inside)
             else:
                 sub = _select(bucketed.where(F.col("_b") == b).select("_v"), inside, c,
                               rows_per_bucket, depth + 1)
                 out.update({r + start: x for r, x in sub.items()})
         start += c
+    if small:
+        # every small target bucket in one job: a window per bucket, each bounded
+        ranked = (bucketed.where(F.col("_b").isin(list(small)))
+                  .withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_v")) - 1))
+        want = None
+        for b, (_, inside) in small.items():
+            cond = (F.col("_b") == b) & F.col("_r").isin(sorted(inside))
+            want = cond if want is None else want | cond
+        for r in ranked.where(want).select("_b", "_r", "_v").collect():
+            out[small[r["_b"]][0] + r["_r"]] = r["_v"]
     return out
 
 
