@@ -52,12 +52,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def text_key(*cols: Column) -> Column:
-    """128 bits of a row's content as one string-free struct-less pair is clumsy to
-    join on; a hex string of two seeds is enough and sorts anywhere."""
-    return F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}))
-
-
 def sorted_runs(batches: Iterator, key: str) -> Iterator[dict[str, np.ndarray]]:
     """Chunks of a partition sorted by the 64-bit column ``key``: each chunk is a
     dictionary of numpy columns that holds whole runs of equal keys only.
@@ -66,7 +60,7 @@ def sorted_runs(batches: Iterator, key: str) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        now = {n: _values(batch.column(i)) for i, n in enumerate(batch.schema.names)}
         keys = now[key]
         last = int(np.searchsorted(keys, keys[-1], "left"))
         if last == 0 and held and held[-1][key][-1] == keys[0]:
@@ -80,6 +74,15 @@ def sorted_runs(batches: Iterator, key: str) -> Iterator[dict[str, np.ndarray]]:
         yield {n: np.concatenate([p[n] for p in held]) for n in held[0]}
 
 
+def _values(column) -> np.ndarray:
+    """A numpy column; one with nulls holds Python objects, so that numbers stay whole."""
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
 def run_bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values in a sorted array."""
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import packing, simhash
+from kpiforge.llm import packing, quality, repeats, simhash
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -18,10 +18,21 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_quality_rules(spark, sf_dir):
+    got = quality.judge(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "n_line_words")
+
+
 def op7_simhash(spark, sf_dir):
     got = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op7_simhash)}
+def op8_repeats(spark, sf_dir):
+    got = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op7_simhash, op8_repeats)}
 SQL: dict[str, str] = {}

@@ -127,9 +127,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                   max_bits: int = 3) -> DataFrame:
-    """The documents with one kept per group: that with the smallest id; of rows
-    with that id, the one with the smallest content."""
+    """The documents with one kept per group: that with the smallest id, and any
+    one of several rows with that id."""
     groups = simhash_groups(docs, id_col, text_col, width, max_bits)
-    keep = groups.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias(id_col))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
+        F.count("*").alias("kf_rows")).withColumnRenamed("component_id", "kf_keep")
+    first = written(first, "first")
+
+    def rows(keep: DataFrame) -> DataFrame:
+        return docs.join(keep, docs[id_col].eqNullSafe(keep["kf_keep"]), "left_semi")
+
+    return rows(first.where("kf_rows = 1")).union(rows(first.where("kf_rows > 1")).dropDuplicates([id_col]))
