@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import packing, quality, repeats, simhash
+from kpiforge.llm import automaton, edit_counts, packing, quality, repeats, simhash, simple8b
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op2_quality_rules(spark, sf_dir):
                       "base_failed", "kept", "n_line_words")
 
 
+def op5_bpe_automaton(spark, sf_dir):
+    return automaton.coded(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op7_simhash(spark, sf_dir):
     got = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,5 +38,16 @@ def op8_repeats(spark, sf_dir):
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op7_simhash, op8_repeats)}
+def op9_edit_counts(spark, sf_dir):
+    """Counts before and after personal data is masked in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_counts.edited_counts(docs.withColumn("edits", edit_counts.pii_edits(F.col("text"))), BYTE_BPE)
+
+
+def op10_id_files(spark, sf_dir):
+    return simple8b.id_files(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_bpe_automaton, op7_simhash, op8_repeats,
+                                   op9_edit_counts, op10_id_files)}
 SQL: dict[str, str] = {}
