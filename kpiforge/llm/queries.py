@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import automaton, edit_counts, packing, quality, repeats, simhash, simple8b
+from kpiforge.llm import automaton, edit_counts, licenses, packing, quality, repeats, simhash, simple8b, vector_index, wrapper
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -24,10 +24,22 @@ def op2_quality_rules(spark, sf_dir):
                       "base_failed", "kept", "n_line_words")
 
 
+def op3_near_vectors(spark, sf_dir):
+    return vector_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_automaton(spark, sf_dir):
     return automaton.coded(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_main_text(spark, sf_dir):
+    return wrapper.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark, sf_dir):
     got = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,6 +60,7 @@ def op10_id_files(spark, sf_dir):
     return simple8b.id_files(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_bpe_automaton, op7_simhash, op8_repeats,
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_near_vectors, op4_license_scan,
+                                   op5_bpe_automaton, op6_main_text, op7_simhash, op8_repeats,
                                    op9_edit_counts, op10_id_files)}
 SQL: dict[str, str] = {}

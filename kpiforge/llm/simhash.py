@@ -47,16 +47,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), one row per document."""
+    """doc_id, k (hash of the text) and fp (the fingerprint as a signed long), one row per document."""
 
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            got = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cols = [np.array([f(t) for t in texts], np.uint64).view(np.int64) for f in (
+                lambda t: xxh64_intdigest(t.encode(), 42), lambda t: fingerprint(t, width))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], ["doc_id", "k", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, k bigint, fp bigint")
 
 
 def tree(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +115,36 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
             .mapInArrow(run, "a bigint, b bigint"))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                   max_bits: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest id it reaches)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> DataFrame:
+    """doc_id, k, fp, root (the smallest fingerprint that the row's one reaches), component_id."""
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = components(links(classes.select("fp"), max_bits), "a", "b")
     of = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = of.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                  max_bits: int = 3) -> DataFrame:
-    """The documents with one kept per group: that with the smallest id, and any
-    one of several rows with that id."""
-    groups = simhash_groups(docs, id_col, text_col, width, max_bits)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
-        F.count("*").alias("kf_rows")).withColumnRenamed("component_id", "kf_keep")
-    first = written(first, "first")
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                   max_bits: int = 3) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest id it reaches)."""
+    return _grouped(docs, id_col, text_col, width, max_bits).select("doc_id", "fp", "component_id")
 
-    def rows(keep: DataFrame) -> DataFrame:
-        return docs.join(keep, docs[id_col].eqNullSafe(keep["kf_keep"]), "left_semi")
 
-    return rows(first.where("kf_rows = 1")).union(rows(first.where("kf_rows > 1")).dropDuplicates([id_col]))
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                  max_bits: int = 3) -> DataFrame:
+    """The documents with one kept per group: that with the smallest id (a null id comes
+    last), of several rows with that id the one with the smallest text hash."""
+    rows = _grouped(docs, id_col, text_col, width, max_bits).groupBy("root", "doc_id", "k").agg(F.count("*").alias("kf_rows"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
+    first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "k", "kf_rows"), order).alias("r"))
+    first = written(first.select(F.col("r.doc_id").alias("kf_id"), F.col("r.k").alias("kf_k"), "r.kf_rows"), "first")
+    own_k = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+
+    def kept(keep: DataFrame) -> DataFrame:
+        return docs.join(keep, docs[id_col].eqNullSafe(keep["kf_id"]) & (own_k == keep["kf_k"]), "left_semi")
+
+    twice = kept(first.where("kf_rows > 1")).withColumn("kf_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return kept(first.where("kf_rows = 1")).union(twice.dropDuplicates([id_col, "kf_own"]).drop("kf_own"))
