@@ -69,6 +69,11 @@ def fingerprint(text):
 
 def simhash(rows):
     """[(id, fingerprint, component)] of (id, text) rows."""
+    return simhash_roots(rows)[0]
+
+
+def simhash_roots(rows):
+    """The same, and the smallest id (or None) of every group."""
     prints = [fingerprint(t) for _, t in rows]
     distinct = sorted(set(prints))
     links = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 3]
@@ -77,7 +82,8 @@ def simhash(rows):
     for (i, _), f in zip(rows, prints):
         if i is not None:
             least[of[f]].append(i)
-    return [(i, f, min(least[of[f]], default=None)) for (i, _), f in zip(rows, prints)]
+    return ([(i, f, min(least[of[f]], default=None)) for (i, _), f in zip(rows, prints)],
+            [min(least[r], default=None) for r in set(of.values())])
 
 
 def without_repeats(texts, length=200):
