@@ -25,10 +25,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 from pyspark.sql import DataFrame
 
-from kpiforge.llm.common import worker_state
+from kpiforge.llm.common import rows_of, worker_state
 from kpiforge.llm.tokens import Words, resolve
 
 NEVER = 1 << 60
@@ -115,6 +116,18 @@ class MergeAutomaton:
         return path
 
 
+class _Parts(dict):
+    """word -> its ids, the ids as decimals, the labels; a missing word is run and kept."""
+
+    def __init__(self, coder: Coder):
+        self.coder = coder
+
+    def __missing__(self, word: str) -> tuple[array, bytes, bytes]:
+        run = self.coder.automaton.run
+        got = self[word] = self.coder.entry([t for p in self.coder.words.pieces(word) for t in run(p)])
+        return got
+
+
 class Coder:
     """Encodes and decodes texts with the automaton of a tokenizer file."""
 
@@ -131,10 +144,10 @@ class Coder:
         self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.cache: dict[str, tuple[list[int], bytes, bytes]] = {}
+        self.cache = _Parts(self)
 
-    def _entry(self, ids: list[int]) -> tuple[list[int], bytes, bytes]:
-        return ids, " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+    def entry(self, ids: list[int]) -> tuple[array, bytes, bytes]:
+        return array("I", ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
 
     def _odd(self, text: str) -> list[int]:
         """Ids of a text that can't be cut at white space: special tokens come out
@@ -150,31 +163,17 @@ class Coder:
                     ids.extend(self.automaton.run(piece))
         return ids
 
-    def parts(self, text: str) -> list[tuple[list[int], bytes, bytes]]:
+    def parts(self, text: str) -> list[tuple[array, bytes, bytes]]:
         """Per word its ids, the ids as decimals and the labels, the latter two joined
         by spaces; words without ids are left out."""
         if not text:
             return []
         if self.words.odd(text):
             ids = self._odd(text)
-            return [self._entry(ids)] if ids else []
-        cut, cache = self.words.cut(text), self.cache
-        got = list(map(cache.get, cut))
-        if not self.words.folded:
-            got[0] = self._word(cut[0], True)
-        if None in got:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for i, x in enumerate(got):
-                if x is None:
-                    x = cache.get(cut[i])
-                    if x is None:
-                        x = cache[cut[i]] = self._word(cut[i])
-                    got[i] = x
-        return [x for x in got if x[0]]
-
-    def _word(self, word: str, first: bool = False) -> tuple[list[int], bytes, bytes]:
-        return self._entry([t for p in self.words.pieces(word, first) for t in self.automaton.run(p)])
+            return [self.entry(ids)] if ids else []
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return [x for x in map(self.cache.__getitem__, self.words.cut(text)) if x[0]]
 
     def encode(self, text: str) -> list[int]:
         return [t for x in self.parts(text) for t in x[0]]
@@ -204,7 +203,7 @@ def coded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         own = coder(tokenizer)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for _, text in rows_of(batch):
                 parts = own.parts(text or "")
                 labels = b" ".join([x[2] for x in parts])
                 row = (sum([len(x[0]) for x in parts]), hashlib.sha256(b" ".join([x[1] for x in parts])).hexdigest(),

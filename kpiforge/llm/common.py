@@ -52,6 +52,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def rows_of(batch, step: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch, a few at a time as Python values."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*[c.to_pylist() for c in batch.slice(at, step).columns], strict=True)
+
+
 def sorted_runs(batches: Iterator, key: str) -> Iterator[dict[str, np.ndarray]]:
     """Chunks of a partition sorted by the 64-bit column ``key``: each chunk is a
     dictionary of numpy columns that holds whole runs of equal keys only.

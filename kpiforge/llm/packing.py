@@ -22,6 +22,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame
 
+from kpiforge.llm.common import rows_of
 from kpiforge.llm.tokens import encoder
 
 FLUSH = 4096
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
         packer, doc_type = LevelPacker(window, emit), None
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in rows_of(batch):
                 ids = enc.encode(text or "") + end
                 total, whole = len(ids) // 4, len(ids) // 4 // window * window
                 for at in range(0, whole, window):

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import written
+from kpiforge.llm.common import rows_of, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = " \t\n\v\f\r"
@@ -60,7 +60,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
 
         for batch in batches:
             rows, hashes, sizes, ends, keys = [], [], [], [0], []
-            for text in batch.column(2).to_pylist():
+            for _, _, text in rows_of(batch):
                 text = text or ""
                 data = text.encode()
                 words = data.split()

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import run_bounds, sorted_runs, written
+from kpiforge.llm.common import rows_of, run_bounds, sorted_runs, written
 from kpiforge.llm.components import components
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -54,10 +54,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cols = [np.array([f(t) for t in texts], np.uint64).view(np.int64) for f in (
-                lambda t: xxh64_intdigest(t.encode(), 42), lambda t: fingerprint(t, width))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], ["doc_id", "k", "fp"])
+            got = [(xxh64_intdigest((t or "").encode(), 42), fingerprint(t, width)) for _, t in rows_of(batch)]
+            cols = np.array(got, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[:, 0]), pa.array(cols[:, 1])], ["doc_id", "k", "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, k bigint, fp bigint")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from kpiforge.llm.common import shared_path
+from kpiforge.llm.common import rows_of, shared_path
 from kpiforge.llm.tokens import encoder
 
 #: Fixed values of the format: values per word of each selector (0 and 1 are special).
@@ -39,14 +39,16 @@ BLOCK_IDS = 1 << 16
 _U = np.uint64
 
 
+#: Bits that each value under 2 ** 16 needs, 1 at least.
+SMALL_WIDTHS = np.maximum(np.frexp(np.arange(1 << 16, dtype=float))[1], 1).astype(np.uint8)
+
+
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
-    out = np.ones(len(values), np.uint8)
-    for bits in (32, 16, 8, 4, 2, 1):
-        big = (values >> _U(bits)) > 0
-        out[big] += bits
-        values = np.where(big, values >> _U(bits), values)
-    return out
+    if not len(values) or values.max() < 1 << 16:
+        return SMALL_WIDTHS[values]
+    high = values >> _U(16)
+    return np.where(high > 0, widths(high) + np.uint8(16), SMALL_WIDTHS[values & _U(0xFFFF)])
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -66,7 +68,10 @@ def packed(values: np.ndarray) -> np.ndarray:
             later = np.ones_like(most)
             later[: max(n - step, 0)] = most[step:]
             most, span = np.maximum(most, later), span + step
-        selector[most <= 60 // count] = s
+        fits = most <= 60 // count
+        if not fits.any():
+            break  # nor would more values in fewer bits
+        selector[fits] = s
     zero = values == 0
     if zero.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], zero.view(np.int8), [0]])))
@@ -171,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_co
             return got
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in rows_of(batch):
                 data = enc.encode(text or "") + end
                 held.append(data)
                 size += len(data) // 4

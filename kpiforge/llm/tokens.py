@@ -13,18 +13,25 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+from array import array
 
 from kpiforge.llm.common import worker_state
 
-#: Words kept per worker (about 250 MB); at the limit the cache starts anew.
+#: Words kept per worker (about 200 MB); at the limit the cache starts anew.
 CACHE_WORDS = 1 << 20
 
-#: Characters whose class and case mapping no Unicode version changed.
+#: All but the characters whose class and case mapping no Unicode version changed.
 _ODD = re.compile("[^\n\x20-\x7e¡-įı-ɏ‐-‧€]|<\\|")
 
 
+def _ascii(pattern: str) -> str:
+    """A pre-tokenizer's pattern for texts of ASCII characters."""
+    for old, new in ((r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]"), (r"[\p{L}]", "[A-Za-z]"), (r"[\p{N}]", "[0-9]"),
+                     (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]")):
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
 def resolve(tokenizer: str) -> str:
     """``tokenizer`` is a file's path, or the name of a file of public_tokenizers."""
     if os.path.exists(tokenizer):
@@ -65,6 +72,7 @@ class Words:
             import public_tokenizers
 
             self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.ascii = re.compile(_ascii(self.pattern.pattern))
         self.known = known
         self.letters = byte_letters()
 
@@ -73,48 +81,53 @@ class Words:
             "  " in text or " \n" in text or "\n " in text or "\n\n" in text))
 
     def cut(self, text: str) -> list[str]:
-        """Words of a plain text; "\\n" leads the first word of a later line."""
-        return text.lower().split() if self.folded else text.replace("\n", " \n").split(" ")
+        """Words of a plain text; where blanks count, "\\n" leads the first word of a
+        later line, and "\\t" the text's first one, which has no blank before it."""
+        return text.lower().split() if self.folded else ("\t" + text.replace("\n", " \n")).split(" ")
 
-    def pieces(self, word: str, first: bool = False) -> list[str]:
+    def pieces(self, word: str) -> list[str]:
         """The byte-level pieces that the pre-tokenizer makes of one word."""
-        if not self.folded and not first and word[:1] != "\n":
-            word = " " + word
+        if word.isascii():  # printable ones stand for themselves
+            if self.folded:
+                return [word] if word.isalpha() else self.ascii.findall(word)
+            if word.isalpha():
+                return ["Ġ" + word]
+            if word and word[0] not in "\n\t'":  # the blank before it goes to its first piece
+                found = self.ascii.findall(word)
+                found[0] = "Ġ" + found[0]
+                return found
+        if not self.folded:
+            word = word[1:] if word[:1] == "\t" else word if word[:1] == "\n" else " " + word
         return ["".join(map(self.letters.__getitem__, p.encode())) for p in self.pattern.findall(word)]
 
 
+class _Cache(dict):
+    """word -> ids as bytes; a missing word is encoded and kept."""
+
+    def __init__(self, words: Words):
+        self.pieces, self.tokenize = words.pieces, words.library.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = array("I", [t.id for p in self.pieces(word) for t in self.tokenize(p)]).tobytes()
+        return got
+
+
 class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         self.words = Words(resolve(tokenizer))
-        self.model = self.words.library.model
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.words)
         self.cache_words = cache_words
 
-    def word(self, word: str, first: bool = False) -> bytes:
-        return np.array([t.id for p in self.words.pieces(word, first) for t in self.model.tokenize(p)], "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if self.words.odd(text):
-            return np.array(self.words.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        cut, cache = self.words.cut(text), self.cache
-        head = b""
-        if not self.words.folded:
-            head, cut = self.word(cut[0], True), cut[1:]
-        got = list(map(cache.get, cut))
-        if None in got:
-            if len(cache) > self.cache_words:
-                cache.clear()
-            for i, x in enumerate(got):
-                if x is None:
-                    x = cache.get(cut[i])
-                    if x is None:
-                        x = cache[cut[i]] = self.word(cut[i])
-                    got[i] = x
-        return head + b"".join(got)
+            return array("I", self.words.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.cache) > self.cache_words:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, self.words.cut(text)))
 
 
 def encoder(tokenizer: str) -> Encoder:
