@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from kpiforge.llm.common import run_bounds, sorted_runs, worker_state, written
+from kpiforge.llm.common import rows_of, run_bounds, sorted_runs, worker_state, written
 
 #: Windows hashed at once: the arrays stay in the processor's cache.
 SPAN = 1 << 16
-#: Bytes of segment text that one index holds.
-INDEX_BYTES = 1 << 20
+#: Bytes of segment text that one index holds (more if one anchor has more): its arrays
+#: stay in the processor's cache.
+INDEX_BYTES = 1 << 17
 #: Segments of one anchor that are indexed together; beyond it windows are counted.
 GROUP_SEGMENTS = 2048
 
@@ -114,24 +115,39 @@ class RunIndex:
         self.low = self.high = self.match = np.zeros(0, np.int64)
         if not n:
             return
+        if n >= 1 << 21:
+            raise ValueError("an index holds less than 2 MB")
+        # rank by the first five bytes, then by twice as many; 0 stands after a text's end.  A rank is the
+        # first row of its class in suffix order; sorting takes in only classes of several suffixes, and
+        # the place in the low bits of a key keeps equal suffixes in the texts' order
         place = np.arange(n)
-        # rank by the first bytes, seven to begin with, then doubled; 0 stands after a text's end
         key = np.zeros(n, np.int64)
-        for i in range(7):
-            inside = place + i < self.ends
-            key = key * 257 + np.where(inside, raw[np.minimum(place + i, n - 1)].astype(np.int64) + 1, 0)
-        depth, longest, equal_at, equal_rank = 7, int(self.sizes.max(initial=0)), 0, None
+        for i in range(5):
+            rest = max(n - i, 0)
+            key *= 257
+            key[:rest] += np.where(place[:rest] + i < self.ends[:rest], raw[n - rest :].astype(np.int64) + 1, 0)
+        low_bits = (1 << 21) - 1
+        order = place.copy()
+        rank = np.zeros(n + 1, np.int32)
+        rows, depth, longest = place, 5, int(self.sizes.max())
+        equal_at, equal_rank = 0, None
         while True:
-            order = np.argsort(key, kind="stable")  # equal suffixes stay in the texts' order
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
+            key = np.sort(key << 21 | (place if depth == 5 else active))
+            active = key & low_bits
+            key >>= 21
+            order[rows] = active
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.concatenate([heads, [len(key)]]))
+            rank[active] = np.repeat(rows[heads], sizes) + 1
             if depth <= least:
-                equal_at, equal_rank = depth, rank
-            if depth >= longest or rank[order[-1]] == n:
+                equal_at, equal_rank = depth, rank.copy()
+            several = np.repeat(sizes > 1, sizes)
+            rows, active = rows[several], active[several]
+            if depth >= longest or not len(active):
                 break
-            after = place + depth
-            key = rank * (n + 1) + np.where(after < self.ends, rank[np.minimum(after, n - 1)], 0)
+            after = active + depth
+            key = rank[active].astype(np.int64) << 21 | np.where(after < self.ends[active], rank[np.minimum(after, n)], 0)
             depth *= 2
         before = raw[order - 1]
         breaks = np.concatenate([[True], (before[1:] != before[:-1]) | self.first[order[1:]] | self.first[order[:-1]]])
@@ -191,7 +207,7 @@ def _segment_rows(docs: DataFrame, id_col: str, text_col: str, length: int, gram
         names = ["anchor", "seg", "id", "k", "start", "size"]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, (_, text) in enumerate(rows_of(batch)):
                 data = (text or "").encode()
                 anchors, starts, counts = segments(data, length, gram)
                 if not len(starts):
