@@ -8,7 +8,7 @@ cluster runs it.  Sub-packages:
 * ``sources``    readers, writers, the synthetic ledger, driver-table views
 * ``operators``  the analytics operators (sales, segments, forecasts, ...)
 * ``plans``      multi-output bundles and the query catalogue
-* ``streaming``  notes on incremental use (the analytics are batch-defined)
+* ``llm``        training-data operators (a package of its own)
 """
 
 from kpiforge.functions.columns import ColumnMap, DEFAULT_COLUMNS  # noqa: F401

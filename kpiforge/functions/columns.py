@@ -8,6 +8,7 @@ column the operator does not use straight into the scan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,9 @@ class ColumnMap:
     city: str = DEFAULT_COLUMNS["city"]
     unit_price: str = DEFAULT_COLUMNS["unit_price"]
     discount: str = DEFAULT_COLUMNS["discount"]
+    #: Decimal places of the ledger's amounts and quantities when they are DOUBLE;
+    #: declared, their sums are exact and don't depend on partitioning.
+    scale: int | None = None
 
     @classmethod
     def of(cls, mapping: "ColumnMap | dict | None") -> "ColumnMap":
@@ -59,9 +63,9 @@ class ColumnMap:
         return replace(cls(), **mapping)
 
     @classmethod
-    def identity(cls) -> "ColumnMap":
+    def identity(cls, scale: int | None = None) -> "ColumnMap":
         """Map every logical name to a physical column of the same name."""
-        return cls(**{f.name: f.name for f in fields(cls)})
+        return cls(**{f.name: f.name for f in fields(cls) if f.name != "scale"}, scale=scale)
 
     def physical(self, logical: str) -> str:
         return getattr(self, logical)
@@ -78,9 +82,17 @@ def nan_to_null(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """The table with NULL for NaN in every floating-point column."""
+    if not any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in df.schema.fields):
+        return df
+    return df.select(*[nan_to_null(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def to_logical(df: DataFrame, cols: ColumnMap | dict | None, wanted: list[str],
-               required: list[str] | None = None) -> DataFrame:
-    """Project ``df`` onto the logical columns in ``wanted`` that exist.
+               required: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Project ``df`` onto the logical columns in ``wanted`` that exist, and the
+    physical columns ``keep`` (group keys) as they are, which must exist.
 
     Missing ``required`` columns raise ``ValueError``; missing optional ones are
     simply absent from the result (operators test ``df.columns``, a plan-time
@@ -92,7 +104,10 @@ def to_logical(df: DataFrame, cols: ColumnMap | dict | None, wanted: list[str],
     if missing:
         raise ValueError("missing required columns: "
                          + ", ".join(f"{m} ({cmap.physical(m)})" for m in missing))
-    out = []
+    absent = [c for c in keep if c not in types]
+    if absent:
+        raise ValueError(f"missing group columns {absent}")
+    out = [nan_to_null(F.col(f"`{c}`"), types[c]).alias(c) for c in keep]
     for name in wanted:
         phys = cmap.physical(name)
         if phys in types:

@@ -5,18 +5,17 @@
   feed thresholds (ABC classes, scores).
 * ``safe_div``: pandas gives inf/NaN on a zero denominator, ANSI Spark raises.
   We return NULL (which is what the reference's JSON output shows for inf/NaN).
-* ``money_sum``: currency amounts are summed as integers of 10^-scale units
-  held in doubles.  Integer-valued doubles add exactly while the running
-  total stays below 2^53 (9e11 currency units at scale 4), so the total does
-  not depend on how partitions are combined, yet the aggregate stays on the
-  fast double path (a DECIMAL(28,4) buffer is about 2x slower in Spark) and
-  cannot overflow; beyond 2^53 it degrades to ordinary double precision.
+* ``money_sum``: a plain sum, unless the caller declares how many decimal
+  places its amounts have.  Then every amount is a whole number of units, which
+  is split into a high and a low part that are added up as BIGINTs: exact, and
+  the same however partitions are combined, for totals of any size that occurs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def round_half_even(c: Column, n: int = 2) -> Column:
@@ -32,14 +31,51 @@ def pct(num: Column, den: Column) -> Column:
     return safe_div(num, den) * F.lit(100.0)
 
 
-def money(c: Column, scale: int = 4) -> Column:
-    return c.cast(f"decimal(18,{scale})")
+#: Low part of an amount in units: small enough for 9e12 rows, large enough that
+#: the high parts of 9e12 amounts of 1e9 units each add up in a BIGINT, too.
+_LIMB = 1 << 20
 
 
-def money_sum(c: Column, scale: int = 4) -> Column:
-    """Order-independent sum of an amount column as DOUBLE; 0.0 when all NULL."""
-    unit = float(10 ** scale)
-    return F.coalesce(F.sum(F.rint(c.cast("double") * F.lit(unit))) / F.lit(unit), F.lit(0.0))
+def exact_units(c: Column, scale: int, over: WindowSpec | None = None) -> Column:
+    """Exact sum of ``c`` in units of ``10**-scale`` as DECIMAL(38,0); NULL when all NULL.
+
+    ``c`` must be a whole number of units up to rounding noise and below 2**63 units.
+    """
+    units = F.rint(c.cast("double") * F.lit(float(10 ** scale)))
+    high = F.floor(units / F.lit(float(_LIMB)))
+    low = (units - high.cast("double") * F.lit(float(_LIMB))).cast("bigint")
+    sums = [F.sum(high.cast("bigint")), F.sum(low)]
+    if over is not None:
+        sums = [x.over(over) for x in sums]
+    return (sums[0].cast("decimal(19,0)") * F.lit(_LIMB).cast("decimal(7,0)") + sums[1].cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def units_value(units: Column, scale: int) -> Column:
+    """A DECIMAL number of units as the nearest DOUBLE."""
+    return (units.cast("decimal(32,0)") * F.expr(f"cast(1e-{scale} as decimal({scale + 1},{scale}))")).cast("double") if scale \
+        else units.cast("double")
+
+
+def money_sum(c: Column, scale: int | None = None, over: WindowSpec | None = None) -> Column:
+    """Sum of an amount column as DOUBLE; 0.0 when all NULL.
+
+    Without ``scale`` a native sum (exact for DECIMAL, ordinary floating point
+    for DOUBLE, inputs untouched); with it, the exact sum of amounts that have
+    ``scale`` decimal places."""
+    if scale is None:
+        total = F.sum(c) if over is None else F.sum(c).over(over)
+        return F.coalesce(total.cast("double"), F.lit(0.0))
+    return F.coalesce(units_value(exact_units(c, scale, over), scale), F.lit(0.0))
+
+
+def partial_total(c: Column, scale: int | None) -> Column:
+    """A sum that can be summed up again without loss: whole units with a scale."""
+    return F.sum(c) if scale is None else exact_units(c, scale)
+
+
+def total_value(total: Column, scale: int | None) -> Column:
+    """A (summed up) :func:`partial_total` as DOUBLE; 0.0 for NULL."""
+    return F.coalesce(total.cast("double") if scale is None else units_value(total, scale), F.lit(0.0))
 
 
 def trunc_int(c: Column) -> Column:

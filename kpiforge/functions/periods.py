@@ -71,7 +71,7 @@ def offset_start(start: Column, freq: str, k: Column | int) -> Column:
 
 
 def resample(ledger: DataFrame, freq: str, value: str = "amount", date: str = "date",
-             group_cols: Sequence[str] = (), money_scale: int | None = 4) -> DataFrame:
+             group_cols: Sequence[str] = (), scale: int | None = None) -> DataFrame:
     """Gap-filled sum and non-null count of ``value`` per period (T0).
 
     Output: ``*group_cols, period_start, period, revenue, n_orders``.  Rows with a
@@ -88,8 +88,7 @@ def resample(ledger: DataFrame, freq: str, value: str = "amount", date: str = "d
     for c in g:
         rows = rows.where(F.col(c).isNotNull())
     val = F.col("_v")
-    total = (money_sum(val, money_scale) if money_scale is not None
-             else F.coalesce(F.sum(val).cast("double"), F.lit(0.0)))
+    total = money_sum(val, scale)
     agg = (rows.select(*g, period_start(F.col(date), f).alias("period_start"),
                        F.col(value).alias("_v"))
            .groupBy(*g, "period_start")

@@ -1,19 +1,15 @@
 """Exact quantiles without funnelling a column into one task.
 
 Spark's exact ``percentile`` keeps every distinct value of the column in one
-aggregation buffer, merged in a single final task.  ``quantiles`` selects the
-needed order statistics instead:
-
-* at most ``rows_per_bucket`` rows: one bounded single-task sort
-  (``row_number``) and only the needed ranks come back;
-* more: cut points from a seeded sample (about 60 per bucket, at most 4096
-  buckets), ML's ``Bucketizer`` (a JVM binary search) assigns buckets, one
-  job returns count / min / max per bucket, and the selection recurses into
-  the few buckets that hold the wanted ranks.  A bucket whose min equals its
-  max (a hot value) is resolved at once, so a value held by a third of all
-  rows costs nothing extra.  Each level divides the rows by up to 4096.
-
-The driver only ever receives per-bucket statistics and bounded samples.
+aggregation buffer, merged in a single final task.  ``quantiles`` closes in on
+the wanted order statistics instead: one job counts the values in ``BINS`` equal
+steps between the smallest and the largest one, with the least and greatest value
+of each step; the steps that hold wanted ranks are divided in the next job, and so
+on, until a step holds a single value (which a hot value does at once) or no more
+than ``FETCH`` rows, which are then read.  Each job divides the range by ``BINS``,
+so numbers of any spread take a few, and there is one path for every size.
+
+The driver receives per-step statistics and at most ``FETCH`` values a rank.
 Interpolation is linear between neighbouring order statistics (pandas/numpy
 ``linear``).
 """
@@ -23,105 +19,68 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.operators.ranking import SEED
-
-SMALL = 1_000_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 60
-
-
-def _select(v: DataFrame, ranks: set[int], n: int, rows_per_bucket: int,
-            depth: int = 0) -> dict[int, float]:
-    """Values at the 0-based ``ranks`` of column ``_v`` (n rows, no NULLs)."""
-    if n <= rows_per_bucket or depth > 8:
-        ranked = v.withColumn("_r", F.row_number().over(Window.orderBy("_v")) - 1)
-        return {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(sorted(ranks))).collect()}
-    from pyspark.ml.feature import Bucketizer
-
-    n_buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket) * 4)
-    frac = min(1.0, 1.2 * n_buckets * SAMPLES_PER_BUCKET / n)
-    sample = [r[0] for r in v.sample(False, frac, SEED + depth).orderBy("_v").collect()]
-    cuts = sorted({sample[min(len(sample) - 1, i * len(sample) // n_buckets)]
-                   for i in range(1, n_buckets)}) if sample else []
-    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bd").transform(v) \
-        .withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
-    stats = {r["_b"]: (r["c"], r["lo"], r["hi"]) for r in bucketed.groupBy("_b").agg(
-        F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
-    out, start = {}, 0
-    small: dict[int, tuple[int, set[int]]] = {}      # bucket -> (first rank, local ranks)
-    for b in sorted(stats):
-        c, lo, hi = stats[b]
-        inside = {r - start for r in ranks if start <= r < start + c}
-        if inside:
-            if lo == hi:
-                out.update({r + start: lo for r in inside})
-            elif c <= rows_per_bucket:
-                small[b] = (start, inside)
-            else:
-                sub = _select(bucketed.where(F.col("_b") == b).select("_v"), inside, c,
-                              rows_per_bucket, depth + 1)
-                out.update({r + start: x for r, x in sub.items()})
-        start += c
-    if small:
-        # every small target bucket in one job: a window per bucket, each bounded
-        ranked = (bucketed.where(F.col("_b").isin(list(small)))
-                  .withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_v")) - 1))
-        want = None
-        for b, (_, inside) in small.items():
-            cond = (F.col("_b") == b) & F.col("_r").isin(sorted(inside))
-            want = cond if want is None else want | cond
-        for r in ranked.where(want).select("_b", "_r", "_v").collect():
-            out[small[r["_b"]][0] + r["_r"]] = r["_v"]
-    return out
-
-
-def _small_select(v: DataFrame, probs: list[float]) -> list[float | None]:
-    """One job for an input known to fit one task: n and the needed order
-    statistics come from the same sorted window."""
-    ranked = v.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).alias("_r"),
-                      F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-    h = [(F.col("_n") - 1) * F.lit(p) for p in probs]
-    keep = None
-    for x in h:
-        cond = (F.col("_r") == F.floor(x)) | (F.col("_r") == F.ceil(x))
-        keep = cond if keep is None else keep | cond
-    rows = ranked.where(keep).collect()
-    if not rows:
-        return [None] * len(probs)
-    n = rows[0]["_n"]
-    got = {r["_r"]: r["_v"] for r in rows}
-    out = []
-    for p in probs:
-        hh = (n - 1) * p
-        lo, hi = int(math.floor(hh)), int(math.ceil(hh))
-        out.append(got[lo] + (got[hi] - got[lo]) * (hh - lo))
+BINS = 4096
+FETCH = 5000
+
+
+def _select(v: DataFrame, ranks: set[int], low: float, high: float) -> dict[int, float]:
+    """Values at the 0-based ``ranks`` of column ``_v`` (no NULLs), which spans [low, high]."""
+    out: dict[int, float] = {}
+    spans = [(low, high, 0, set(ranks))]  # smallest and largest value, rank of the first, wanted ranks
+    while spans:
+        # the spans don't overlap, so a row is in one of them at most
+        span, step = F.lit(None), F.lit(None)
+        for i, (a, b, _, _) in enumerate(spans):
+            inside = F.col("_v").between(a, b)
+            width = b / 2 - a / 2  # half, so that it can't overflow
+            place = F.least(F.floor((F.col("_v") / 2 - a / 2) / width * BINS), F.lit(BINS - 1))
+            span, step = F.when(inside, i).otherwise(span), F.when(inside, place).otherwise(step)
+        cells = v.select("_v", span.cast("int").alias("_i"), step.cast("int").alias("_b")).where("_i is not null")
+        cells = cells.groupBy("_i", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+        found: dict[int, list] = {}
+        for r in cells.collect():  # at most BINS rows a span, a span per wanted rank
+            found.setdefault(r["_i"], []).append((r["_b"], r["n"], r["a"], r["b"]))
+        after, small = [], []
+        for i, (_, _, first, wanted) in enumerate(spans):
+            for _, n, a, b in sorted(found[i]):
+                here = {r for r in wanted if first <= r < first + n}
+                if here and a == b:
+                    out.update(dict.fromkeys(here, a))
+                elif here:
+                    (small if n <= FETCH else after).append((a, b, first, here))
+                first += n
+        if small:
+            near = F.lit(False)
+            for a, b, _, _ in small:
+                near = near | F.col("_v").between(a, b)
+            values = sorted(r[0] for r in v.where(near).collect())
+            at = 0
+            for a, b, first, wanted in sorted(small):
+                n = sum(a <= x <= b for x in values)
+                out.update({r: values[at + r - first] for r in wanted})
+                at += n
+        spans = after
     return out
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool = True,
-              rows_per_bucket: int = SMALL, accuracy: int = 100_000,
-              max_rows: int | None = None) -> list[float | None]:
-    """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none).
-
-    ``max_rows``: a known upper bound on the row count; when it fits one task
-    the count and the selection run as a single job."""
+              accuracy: int = 100_000) -> list[float | None]:
+    """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none)."""
     v = df.select(F.col(f"`{col}`").cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
     if not exact:
         row = v.agg(F.percentile_approx("_v", probs, accuracy).alias("q")).first()
         return list(row["q"]) if row["q"] is not None else [None] * len(probs)
-    if max_rows is not None and max_rows <= rows_per_bucket:
-        return _small_select(v, probs)
-    n = v.count()
+    ends = v.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b")).first()
+    n, low, high = ends["n"], ends["a"], ends["b"]
     if n == 0:
         return [None] * len(probs)
     ranks = {int(f((n - 1) * p)) for p in probs for f in (math.floor, math.ceil)}
-    got = _select(v, ranks, n, rows_per_bucket)
+    got = dict.fromkeys(ranks, low) if low == high else _select(v, ranks, low, high)
     out = []
     for p in probs:
         h = (n - 1) * p

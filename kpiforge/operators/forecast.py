@@ -22,13 +22,9 @@ def series(df: DataFrame, freq: str = "D", cols: ColumnMap | dict | None = None,
     """Gap-filled series with its position ``t`` (0-based) and length ``n``."""
     g = list(group_cols)
     cmap = ColumnMap.of(cols)
-    if g:
-        led = df.select(F.col(f"`{cmap.date}`").alias("date"),
-                        F.col(f"`{cmap.amount}`").alias("amount"), *g)
-    else:
-        led = to_logical(df, cmap, ["date", "amount"], ["date", "amount"])
+    led = to_logical(df, cmap, ["date", "amount"], ["date", "amount"], keep=g)
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    s = resample(led, freq, group_cols=g)
+    s = resample(led, freq, group_cols=g, scale=cmap.scale)
     w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
     wn = Window.partitionBy(*g) if g else Window.partitionBy()
     return s.select(*g, "period_start", "period", F.col("revenue").alias("y"),
@@ -294,121 +290,3 @@ def input_summary(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFr
         F.array(*[F.lit(m) for m in ("ma", "es", "arima", "trend")]).alias("methods_available"),
         F.concat(F.date_format("_d0", fmt), F.lit(" 至 "), F.date_format("_d1", fmt))
         .alias("data_range"), "total_records")
-
-
-
-
-# ------------------------------------------------------------------ ARIMA (F5)
-
-def _hannan_rissanen(y, p: int, d: int, q: int, horizon: int):
-    """ARIMA(p,d,q) by two-stage least squares; forecasts with 95 % bands.
-
-    Returns (mean, lower, upper) arrays or None when the series is too short.
-    A per-series numeric kernel: Spark groups the series, numpy fits each one.
-    """
-    import numpy as np
-
-    y = np.asarray(y, dtype=float)
-    z = np.diff(y, n=d) if d else y.copy()
-    mu = 0.0
-    if d == 0:
-        mu = float(z.mean()) if len(z) else 0.0
-        z = z - mu
-    n = len(z)
-    m = max(p + q, min(int(10 * np.log10(max(n, 10))), n // 3)) if q else 0
-    start = max(p, q, m)
-    if n - start < p + q + 2:
-        return None
-    e = np.zeros(n)
-    if q:
-        xs = np.column_stack([z[m - i:n - i] for i in range(1, m + 1)])
-        coef, *_ = np.linalg.lstsq(xs, z[m:], rcond=None)
-        e[m:] = z[m:] - xs @ coef
-    cols = [z[start - i:n - i] for i in range(1, p + 1)] + \
-           [e[start - j:n - j] for j in range(1, q + 1)]
-    if cols:
-        xs = np.column_stack(cols)
-        beta, *_ = np.linalg.lstsq(xs, z[start:], rcond=None)
-    else:
-        beta = np.zeros(0)
-    phi, theta = beta[:p], beta[p:]
-    res = np.zeros(n)
-    for t in range(n):
-        pred = sum(phi[i] * z[t - 1 - i] for i in range(p) if t - 1 - i >= 0)
-        pred += sum(theta[j] * res[t - 1 - j] for j in range(q) if t - 1 - j >= 0)
-        res[t] = z[t] - pred
-    sigma2 = float(np.mean(res[start:] ** 2))
-    zf, rf = list(z), list(res)
-    for _ in range(horizon):
-        pred = sum(phi[i] * zf[-1 - i] for i in range(p))
-        pred += sum(theta[j] * rf[-1 - j] for j in range(q))
-        zf.append(pred)
-        rf.append(0.0)
-    fz = np.array(zf[n:]) + mu
-    # integrate back d times
-    level = fz
-    hist = y
-    for k in range(d, 0, -1):
-        base = np.diff(hist, n=k - 1)[-1] if k - 1 else hist[-1]
-        level = base + np.cumsum(level)
-    # psi weights of the integrated model: AR polynomial phi(B) (1-B)^d
-    ar = np.array([1.0] + [-c for c in phi])
-    for _ in range(d):
-        ar = np.convolve(ar, [1.0, -1.0])
-    big_phi = -ar[1:]
-    psi = np.zeros(horizon)
-    psi[0] = 1.0
-    for j in range(1, horizon):
-        v = theta[j - 1] if j - 1 < q else 0.0
-        v += sum(big_phi[i - 1] * psi[j - i] for i in range(1, min(j, len(big_phi)) + 1))
-        psi[j] = v
-    se = np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    return level, level - 1.959963984540054 * se, level + 1.959963984540054 * se
-
-
-def arima(df: DataFrame, order: tuple[int, int, int] = (1, 1, 1), periods: int = 30,
-          freq: str = "D", cols: ColumnMap | dict | None = None,
-          group_cols: Sequence[str] = ()) -> DataFrame:
-    """F5 — ARIMA(p,d,q) forecast with a 95 % interval, per series.
-
-    Grouped-map job: each series (one row per period) is fitted in numpy by
-    Hannan–Rissanen two-stage least squares (not maximum likelihood, so values
-    differ from a statsmodels fit).  Series too short to fit give no rows.
-    Columns: *group_cols, method, step, period, value, lower, upper.
-    """
-    import pandas as pd
-    from pyspark import cloudpickle
-
-    import kpiforge
-    # ship the numeric kernel by value: Python workers need not import kpiforge
-    cloudpickle.register_pickle_by_value(kpiforge)
-
-    g = list(group_cols)
-    p, d, q = (int(v) for v in order)
-    s = series(df, freq, cols, g)
-    key = g or ["_series"]
-    if not g:
-        s = s.withColumn("_series", F.lit(0))
-    key_fields = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in key)
-    schema = f"{key_fields}, _last date, step int, value double, lower double, upper double"
-    horizon = int(periods)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        out = _hannan_rissanen(pdf["y"].to_numpy(), p, d, q, horizon)
-        names = key + ["_last", "step", "value", "lower", "upper"]
-        if out is None:
-            return pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
-        mean, lo, hi = out
-        res = pd.DataFrame({"_last": pdf["period_start"].max(), "step": range(1, horizon + 1),
-                            "value": mean, "lower": lo, "upper": hi})
-        for k in key:
-            res.insert(0, k, pdf[k].iloc[0])
-        return res[names]
-
-    # the series goes through the grouped map once; the last period rides along
-    fc = s.select(*key, "period_start", "t", "y").groupBy(*key).applyInPandas(fit, schema)
-    f = norm_freq(freq)
-    out = fc.withColumn("period", period_end(offset_start(F.col("_last"), f, F.col("step")), f))
-    return out.select(*g, F.lit(f"arima{order}").alias("method"), "step", "period", "value",
-                      "lower", "upper")

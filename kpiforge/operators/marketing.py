@@ -2,15 +2,16 @@
 efficiency ranking and budget allocation.
 
 Ratios with a zero denominator are NULL (pandas gives inf/NaN, which the
-reference's JSON output shows as null).  Rounding is pandas half-even.
+reference's JSON output shows as null).  Rounding is pandas half-even; NaN
+counts as missing.  ``scale`` declares the decimal places of DOUBLE amounts.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiforge.functions.columns import nan_as_null
 from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
 from kpiforge.functions.joins import attach_one_row
 
@@ -34,7 +35,7 @@ def _roi(rev: str = "revenue", budget: str = "budget") -> Column:
 
 def campaign_roi(campaigns: DataFrame) -> DataFrame:
     """P5 — roi %, profit, cost_per_order, revenue_per_order (2 dp), roi desc."""
-    return (campaigns.withColumns({
+    return (nan_as_null(campaigns).withColumns({
         "roi": _r(_roi()),
         "profit": _r(F.col("revenue") - F.col("budget")),
         "cost_per_order": _r(safe_div(F.col("budget"), F.col("orders"))),
@@ -54,21 +55,22 @@ def _conversion_cols() -> dict[str, Column]:
 
 def conversion_metrics(campaigns: DataFrame) -> DataFrame:
     """P6 — ctr, cvr, overall_conversion (%), cpc, cpa (2 dp), cvr desc."""
-    return (campaigns.withColumns(_conversion_cols())
+    return (nan_as_null(campaigns).withColumns(_conversion_cols())
             .orderBy(F.desc_nulls_last("cvr"), F.asc("campaign_id")))
 
 
-def channel_performance(campaigns: DataFrame) -> DataFrame:
+def channel_performance(campaigns: DataFrame, scale: int | None = None) -> DataFrame:
     """A5 — sums per channel, then roi/ctr/cvr/cpc/cpa from the sums, revenue desc."""
-    return _channel_metrics(campaigns).orderBy(F.desc("revenue"), F.asc("channel"))
+    return _channel_metrics(campaigns, scale).orderBy(F.desc("revenue"), F.asc("channel"))
 
 
-def _channel_metrics(campaigns: DataFrame, keep_null: bool = False) -> DataFrame:
+def _channel_metrics(campaigns: DataFrame, scale: int | None, keep_null: bool = False) -> DataFrame:
+    campaigns = nan_as_null(campaigns)
     base = campaigns if keep_null else campaigns.where(F.col("channel").isNotNull())
     g = (base.groupBy("channel")
-         .agg(money_sum(F.col("budget")).alias("budget"),
+         .agg(money_sum(F.col("budget"), scale).alias("budget"),
               F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("orders"),
-              money_sum(F.col("revenue")).alias("revenue"),
+              money_sum(F.col("revenue"), scale).alias("revenue"),
               F.coalesce(F.sum("impressions"), F.lit(0)).cast("long").alias("impressions"),
               F.coalesce(F.sum("clicks"), F.lit(0)).cast("long").alias("clicks")))
     return (g.withColumns({
@@ -109,13 +111,10 @@ def campaign_efficiency(campaigns: DataFrame) -> DataFrame:
     """K4 — efficiency_score = roi/max·40 + cvr/max·30 + ctr/max·30 on the
     rounded metrics (a component is 0 when its max is <= 0), 2 dp, desc.
 
-    The three maxima come from one global aggregate (a single row) that is
-    broadcast back: no window over the whole table, no single-task sort.  The
-    per-campaign metrics are persisted so both consumers share one pass.
+    The three maxima are one global aggregate (a single row) attached to the
+    rows: no window over the whole table, no single-task sort, nothing cached.
     """
-    # one row per campaign, persisted: the maxima and the scoring both read it
-    eff = campaigns.withColumns({**_conversion_cols(), "roi": _r(_roi())}) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    eff = nan_as_null(campaigns).withColumns({**_conversion_cols(), "roi": _r(_roi())})
     tops = eff.agg(F.max("roi").alias("_mroi"), F.max("cvr").alias("_mcvr"),
                    F.max("ctr").alias("_mctr"))
     eff = attach_one_row(eff, tops)
@@ -133,7 +132,7 @@ def campaign_efficiency(campaigns: DataFrame) -> DataFrame:
                                                       F.asc("campaign_id"))
 
 
-def budget_allocation(campaigns: DataFrame) -> DataFrame:
+def budget_allocation(campaigns: DataFrame, scale: int | None = None) -> DataFrame:
     """M7 — budget advice per channel from the channel ROI.
 
     roi > 100 → min(40, roi / max_roi * 35) % "increase"; roi > 50 → 25 %
@@ -146,8 +145,8 @@ def budget_allocation(campaigns: DataFrame) -> DataFrame:
     # total budget covers every campaign; totals and max ROI are windows over
     # the channel rows (one row per channel)
     w = Window.partitionBy()
-    ch = _channel_metrics(campaigns, keep_null=True).withColumn(
-        "_total", F.sum(F.rint(F.col("budget") * F.lit(1e4))).over(w) / F.lit(1e4)) \
+    ch = _channel_metrics(campaigns, scale, keep_null=True).withColumn(
+        "_total", money_sum(F.col("budget"), scale, w)) \
         .where(F.col("channel").isNotNull())
     ch = ch.withColumn("_max_roi", F.max("roi").over(w))
     roi = F.col("roi")

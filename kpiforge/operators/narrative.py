@@ -7,9 +7,9 @@ conditional string expressions, no Python loop over rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
 from kpiforge.functions.joins import attach_one_row
 
 # The report's section headings, in order.
@@ -17,12 +17,31 @@ SECTIONS = ("overview", "highlights", "risks", "recommendations")
 HEADINGS = {"overview": "整体概览", "highlights": "亮点", "risks": "风险",
             "recommendations": "建议"}
 
-REPORT_SCHEMA = T.StructType([
-    T.StructField("overview", T.StringType()),
-    T.StructField("highlights", T.ArrayType(T.StringType())),
-    T.StructField("risks", T.ArrayType(T.StringType())),
-    T.StructField("recommendations", T.ArrayType(T.StringType())),
-])
+# The report's sentences, with {} where a figure goes.
+TEXTS = {
+    "span": "{} 至 {} 期间，共 {} 笔订单、{} 名客户，总收入 CNY{}，平均客单 CNY{}{}。",
+    "growth": "，环比首月增长 {}%",
+    "unknown": "未知",
+    "top_category": "品类 Top1：{} 贡献 CNY{}",
+    "top_region": "区域 Top1：{} 贡献 CNY{}",
+    "expanding": "末月较首月增长 {}%，业务在扩张",
+    "drop": "{} 出现异常下跌（实际 CNY{}，预期 CNY{}，z={}）",
+    "shrinking": "末月较首月下降 {}%，需排查原因",
+    "few_orders": "人均订单数低，复购率有提升空间",
+    "push_category": "加大 {} 类目库存 / 营销投放",
+    "check_drop": "排查异常下跌时段的因素（促销 / 库存 / 渠道）",
+    "review_spike": "复盘 {} 异常增长动因，看能否复制",
+    "carry_on": "继续维持现有运营节奏，关注下期数据",
+}
+
+
+def sentence(name: str, *figures: Column) -> Column:
+    """The sentence ``name`` with its figures filled in; NULL if one of them is."""
+    parts = TEXTS[name].split("{}")
+    out = [F.lit(parts[0])]
+    for figure, part in zip(figures, parts[1:], strict=True):
+        out += [figure, F.lit(part)]
+    return F.concat(*out)
 
 
 def money0(x: Column) -> Column:
@@ -55,45 +74,40 @@ def commentary_report(summary: DataFrame, alerts: DataFrame) -> DataFrame:
     s = attach_one_row(summary, _first_alerts(alerts))
     g = F.col("growth_first_to_last_month")
     n_orders, n_cust = F.col("total_orders"), F.col("n_customers")
-    growth_str = F.when(g.isNotNull(), F.concat(F.lit("，环比首月增长 "), signed1(g), F.lit("%"))) \
-        .otherwise(F.lit(""))
-    overview = F.concat(
-        F.coalesce(F.col("date_start"), F.lit("未知")), F.lit(" 至 "),
-        F.coalesce(F.col("date_end"), F.lit("未知")), F.lit(" 期间，共 "),
-        n_orders.cast("string"), F.lit(" 笔订单、"), n_cust.cast("string"),
-        F.lit(" 名客户，总收入 CNY"), money0(F.col("total_revenue")),
-        F.lit("，平均客单 CNY"), money0(F.col("avg_order_value")), growth_str, F.lit("。"))
+    growth_str = F.when(g.isNotNull(), sentence("growth", signed1(g))).otherwise(F.lit(""))
+    unknown = F.lit(TEXTS["unknown"])
+    overview = sentence(
+        "span", F.coalesce(F.col("date_start"), unknown), F.coalesce(F.col("date_end"), unknown), n_orders.cast("string"),
+        n_cust.cast("string"), money0(F.col("total_revenue")), money0(F.col("avg_order_value")), growth_str)
     top_cat, top_reg = F.col("top_category"), F.col("top_region")
     has_cat = top_cat.isNotNull() & (top_cat != "")
     has_reg = top_reg.isNotNull() & (top_reg != "")
     d, sp = F.col("_d"), F.col("_s")
+
+    def day(x):
+        return F.date_format(x["period"], "yyyy-MM-dd")
+
     highlights = [
-        F.when(has_cat, F.concat(F.lit("品类 Top1："), top_cat, F.lit(" 贡献 CNY"),
-                                 money0(F.col("top_category_revenue")))),
-        F.when(has_reg, F.concat(F.lit("区域 Top1："), top_reg, F.lit(" 贡献 CNY"),
-                                 money0(F.col("top_region_revenue")))),
-        F.when(g > 10, F.concat(F.lit("末月较首月增长 "), signed1(g), F.lit("%，业务在扩张"))),
+        F.when(has_cat, sentence("top_category", top_cat, money0(F.col("top_category_revenue")))),
+        F.when(has_reg, sentence("top_region", top_reg, money0(F.col("top_region_revenue")))),
+        F.when(g > 10, sentence("expanding", signed1(g))),
     ]
     risks = [
-        F.when(d.isNotNull(), F.concat(
-            F.date_format(d["period"], "yyyy-MM-dd"), F.lit(" 出现异常下跌（实际 CNY"),
-            money0(d["actual"]), F.lit("，预期 CNY"), money0(d["expected"]), F.lit("，z="),
-            fixed(d["z_score"], 2), F.lit("）"))),
-        F.when(g < -10, F.concat(F.lit("末月较首月下降 "), fixed(g, 1), F.lit("%，需排查原因"))),
-        F.when((n_cust > 0) & (n_orders / n_cust < 1.2), F.lit("人均订单数低，复购率有提升空间")),
+        F.when(d.isNotNull(), sentence("drop", day(d), money0(d["actual"]), money0(d["expected"]), fixed(d["z_score"], 2))),
+        F.when(g < -10, sentence("shrinking", fixed(g, 1))),
+        F.when((n_cust > 0) & (n_orders / n_cust < 1.2), sentence("few_orders")),
     ]
     recs = [
-        F.when(has_cat, F.concat(F.lit("加大 "), top_cat, F.lit(" 类目库存 / 营销投放"))),
-        F.when(d.isNotNull(), F.lit("排查异常下跌时段的因素（促销 / 库存 / 渠道）")),
-        F.when(sp.isNotNull(), F.concat(F.lit("复盘 "), F.date_format(sp["period"], "yyyy-MM-dd"),
-                                        F.lit(" 异常增长动因，看能否复制"))),
+        F.when(has_cat, sentence("push_category", top_cat)),
+        F.when(d.isNotNull(), sentence("check_drop")),
+        F.when(sp.isNotNull(), sentence("review_spike", day(sp))),
     ]
 
     def compact(items):
         return F.filter(F.array(*items), lambda x: x.isNotNull())
 
     rec_arr = compact(recs)
-    rec_arr = F.when(F.size(rec_arr) == 0, F.array(F.lit("继续维持现有运营节奏，关注下期数据"))) \
+    rec_arr = F.when(F.size(rec_arr) == 0, F.array(sentence("carry_on"))) \
         .otherwise(rec_arr)
     return s.select(overview.alias("overview"), compact(highlights).alias("highlights"),
                     compact(risks).alias("risks"), rec_arr.alias("recommendations"),
@@ -133,32 +147,32 @@ def _top_list(df: DataFrame, key: str, k: int, desc: bool, name: str) -> DataFra
     other = [c for c in df.columns if c != key]
     order = ([F.desc(key)] if desc else [F.asc(key)]) + [F.asc(c) for c in other]
     top = df.orderBy(*order).limit(k)
-
-    def cmp(a, b):
-        first = (a[key] > b[key]) if desc else (a[key] < b[key])
-        second = (a[key] < b[key]) if desc else (a[key] > b[key])
-        return F.when(first, F.lit(-1)).when(second, F.lit(1)).otherwise(F.lit(0))
-
-    return top.agg(F.array_sort(F.collect_list(F.struct(*df.columns)), cmp).alias(name))
+    place = F.row_number().over(Window.orderBy(*order))  # k rows
+    return top.select(F.struct(place.alias("_at"), F.struct(*df.columns).alias("row")).alias("_s")).agg(
+        F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["row"]).alias(name))
 
 
 def payload(summary: DataFrame, trend: DataFrame, alerts: DataFrame,
             category: DataFrame, region: DataFrame) -> DataFrame:
     """N2 — the request payload as one JSON string: the summary, the last 6
-    trend points, the first 3 alerts and the top-5 categories / regions.
+    trend points, the first 3 alerts, and the top-5 categories and regions as
+    ``{name: revenue}`` objects in descending order.  Null fields stay.
     Every list is a bounded top-k, never a full collect."""
     last6 = _top_list(trend, "period", 6, True, "trend_last_6").select(
         F.reverse("trend_last_6").alias("trend_last_6"))
     first3 = _top_list(alerts, "period", 3, False, "anomalies_top_3")
-    cat5 = _top_list(category, "revenue", 5, True, "category_breakdown_top5")
-    reg5 = _top_list(region, "revenue", 5, True, "region_breakdown_top5")
-    s = summary.select(F.struct(*summary.columns).alias("summary"))
-    j = s
-    for part in (last6, first3, cat5, reg5):   # each a one-row aggregate
+
+    def totals(df: DataFrame, key: str) -> DataFrame:
+        name = f"{key}_breakdown_top5"
+        top = _top_list(df.select("revenue", F.col(key).cast("string").alias(key)), "revenue", 5, True, name)
+        return top.select(F.map_from_entries(F.transform(name, lambda x: F.struct(x[key], x["revenue"]))).alias(name))
+
+    j = summary.select(F.struct(*summary.columns).alias("summary"))
+    for part in (last6, first3, totals(category, "category"), totals(region, "region")):  # each a one-row aggregate
         j = attach_one_row(j, part)
     return j.select(F.to_json(F.struct(
         "summary", "trend_last_6", "anomalies_top_3",
-        "category_breakdown_top5", "region_breakdown_top5")).alias("payload"))
+        "category_breakdown_top5", "region_breakdown_top5"), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def _strip(text: Column) -> Column:
@@ -173,23 +187,41 @@ def strip_fences(text: Column) -> Column:
     return _strip(F.when(t.startswith("```"), stripped).otherwise(t))
 
 
-def parse_response(responses: DataFrame, text_col: str, fallback: DataFrame) -> DataFrame:
-    """N3 — parse model responses (JSON, maybe fenced) into report fields; empty
-    list items are dropped; unparsable text falls back to the rule report.
+def _items(entries: Column) -> Column:
+    """List items as text, without those that are false in Python (null, "", 0, false)."""
 
-    ``fallback`` is the one-row output of :func:`commentary_report`.
-    """
-    parsed = F.from_json(strip_fences(F.col(text_col)), REPORT_SCHEMA)
-    r = attach_one_row(responses.withColumn("_p", parsed),
-                       fallback.select(*[F.col(c).alias(f"_fb_{c}") for c in SECTIONS]))
-    ok = F.col("_p").isNotNull() & F.col("_p")["overview"].isNotNull()
+    def kind(x):
+        return F.schema_of_variant(x)
+
+    def text(x):
+        return F.variant_get(x, "$", "string")
+
+    kept = F.filter(F.coalesce(entries, F.array().cast("array<variant>")), lambda x: x.isNotNull() & ~F.is_variant_null(x)
+                    & F.when(kind(x) == "STRING", text(x) != "").when(kind(x) == "BOOLEAN", text(x) == "true")
+                    .when(kind(x).isin("BIGINT", "DOUBLE") | kind(x).startswith("DECIMAL"), F.variant_get(x, "$", "double") != 0)
+                    .otherwise(True))
+    return F.transform(kept, lambda x: F.when(kind(x) == "BOOLEAN", F.lit("True")).otherwise(text(x)))
 
-    def items(c):
-        return F.filter(F.coalesce(F.col("_p")[c], F.array().cast("array<string>")),
-                        lambda x: x.isNotNull() & (x != ""))
 
+def parse_response(responses: DataFrame, text_col: str, fallback: DataFrame, backend: str = "llm") -> DataFrame:
+    """N3 — parse model responses (JSON, maybe fenced) into report fields.
+
+    A text that is one JSON object, and nothing else, gives its fields: no overview
+    is an empty text, list items that are false are dropped, and the backend is
+    ``llm:<backend>``.  Any other text falls back to the rule report ``fallback``,
+    the output of :func:`commentary_report`; its fields are NULL where that has no row
+    (an empty ledger).
+    """
+    body = strip_fences(F.col(text_col))
+    # as the one element of an array: text before or after the object is an error
+    fields = "array<struct<overview: string, highlights: array<variant>, risks: array<variant>, recommendations: array<variant>>>"
+    whole = F.from_json(F.concat(F.lit("["), body, F.lit("]")), fields, {"allowSingleQuotes": "false"})
+    parsed = F.when(body.startswith("{") & body.endswith("}") & (F.size(whole) == 1), F.get(whole, F.lit(0)))
+    r = attach_one_row(responses.withColumn("_p", parsed),
+                       fallback.select(*[F.col(c).alias(f"_fb_{c}") for c in SECTIONS]), may_be_empty=True)
+    ok = F.col("_p").isNotNull()
     keep = [c for c in responses.columns if c != text_col]
     return r.select(*keep,
-                    F.when(ok, F.col("_p")["overview"]).otherwise(F.col("_fb_overview")).alias("overview"),
-                    *[F.when(ok, items(c)).otherwise(F.col(f"_fb_{c}")).alias(c) for c in SECTIONS[1:]],
-                    F.when(ok, F.lit("llm")).otherwise(F.lit("heuristic")).alias("backend"))
+                    F.when(ok, F.coalesce(F.col("_p")["overview"], F.lit(""))).otherwise(F.col("_fb_overview")).alias("overview"),
+                    *[F.when(ok, _items(F.col("_p")[c])).otherwise(F.col(f"_fb_{c}")).alias(c) for c in SECTIONS[1:]],
+                    F.when(ok, F.lit(f"llm:{backend}")).otherwise(F.lit("heuristic")).alias("backend"))

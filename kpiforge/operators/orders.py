@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiforge.functions.columns import nan_as_null
 from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
 
 
@@ -14,10 +15,10 @@ def prepare_orders(df: DataFrame) -> DataFrame:
 
     revenue = quantity * unit_price; cost = quantity * cost_price; profit =
     revenue - cost, or revenue when no cost is known.  ``order_date`` is parsed
-    leniently (bad values become NULL, as pandas ``errors='coerce'``).
+    leniently (bad values become NULL, as pandas ``errors='coerce'``); NaN becomes NULL.
     """
+    out = df = nan_as_null(df)
     cols = set(df.columns)
-    out = df
     if "order_date" in cols:
         dtype = df.schema["order_date"].dataType
         if not isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
@@ -36,13 +37,14 @@ def prepare_orders(df: DataFrame) -> DataFrame:
     return out.withColumns(new) if new else out
 
 
-def overview_metrics(orders: DataFrame) -> DataFrame:
+def overview_metrics(orders: DataFrame, scale: int | None = None) -> DataFrame:
     """A2 — n_orders, total_revenue, total_profit, profit_margin_pct (0 if no
     revenue), avg_order_value, unique_customers; zeros on empty input."""
+    orders = nan_as_null(orders)
     cols = set(orders.columns)
     n = F.count(F.lit(1))
-    rev = money_sum(F.col("revenue"))
-    prof = money_sum(F.col("profit")) if "profit" in cols else F.lit(0.0)
+    rev = money_sum(F.col("revenue"), scale)
+    prof = money_sum(F.col("profit"), scale) if "profit" in cols else F.lit(0.0)
     cust = (F.count_distinct("customer_id") if "customer_id" in cols
             else F.lit(0)).cast("long")
     g = orders.agg(n.alias("n_orders"), rev.alias("total_revenue"),

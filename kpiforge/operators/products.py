@@ -1,15 +1,16 @@
 """Product operators over prepared orders (+ optional product catalogue).
 
 Join keys are compared as strings on both sides, as the reference does, and
-``product_id`` is a string in every output.
+``product_id`` is a string in every output.  NaN counts as missing.  ``scale``
+declares the decimal places of DOUBLE amounts (see ``functions.numeric``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiforge.functions.columns import nan_as_null
 from kpiforge.functions.numeric import money_sum, round_half_even, safe_div
 
 # The reference's stock-status labels and advice texts.
@@ -30,15 +31,15 @@ PRICE_FINE = "价格策略合理"
 def _require(products: DataFrame | None, method: str) -> DataFrame:
     if products is None:
         raise ValueError(f"{method} needs a products table (stock / price columns)")
-    return products
+    return nan_as_null(products)
 
 
-def _per_product(orders: DataFrame) -> DataFrame:
-    return (orders.where(F.col("product_id").isNotNull())
+def _per_product(orders: DataFrame, scale: int | None) -> DataFrame:
+    return (nan_as_null(orders).where(F.col("product_id").isNotNull())
             .groupBy(F.col("product_id").cast("string").alias("product_id"))
-            .agg(money_sum(F.col("quantity")).alias("quantity"),
-                 money_sum(F.col("revenue")).alias("revenue"),
-                 money_sum(F.col("profit")).alias("profit")))
+            .agg(money_sum(F.col("quantity"), scale).alias("quantity"),
+                 money_sum(F.col("revenue"), scale).alias("revenue"),
+                 money_sum(F.col("profit"), scale).alias("profit")))
 
 
 def _attributes(products: DataFrame) -> DataFrame:
@@ -47,48 +48,44 @@ def _attributes(products: DataFrame) -> DataFrame:
 
 
 def sales_ranking(orders: DataFrame, products: DataFrame | None = None,
-                  top_n: int = 10) -> DataFrame:
+                  top_n: int = 10, scale: int | None = None) -> DataFrame:
     """K1 — best sellers: quantity / revenue / profit per product, revenue desc,
     first ``top_n`` (ties: product_id ascending).
 
     The top-n is taken *before* the catalogue join (a TakeOrdered over the
-    per-product aggregate); the catalogue is semi-joined against a broadcast of
-    those n keys, so it is scanned once and never shuffled.  Duplicate
-    catalogue rows fan out exactly as a full join followed by head(n) would.
+    per-product aggregate), so the join has ``top_n`` rows on one side; Spark
+    broadcasts that side where its size allows it.  Duplicate catalogue rows fan
+    out exactly as a full join followed by head(n) would.
     """
-    per = _per_product(orders)
     order = [F.desc("revenue"), F.asc("product_id")]
-    top = per.orderBy(*order).limit(top_n)
+    top = _per_product(orders, scale).orderBy(*order).limit(top_n)
     if products is None:
         return top
-    # n rows, persisted: the key list for the semi-join and the rows for the
-    # final join are then one materialisation, not two scans of the orders
-    top = top.persist(StorageLevel.MEMORY_AND_DISK)
-    attrs = _attributes(products)
-    attrs = attrs.join(F.broadcast(top.select("product_id")), "product_id", "left_semi")
+    attrs = _attributes(nan_as_null(products))
     extra = [F.asc_nulls_first(c) for c in attrs.columns if c != "product_id"]
     return top.join(attrs, "product_id", "left").orderBy(*order, *extra).limit(top_n)
 
 
-def profit_analysis(orders: DataFrame, products: DataFrame | None = None) -> DataFrame:
+def profit_analysis(orders: DataFrame, products: DataFrame | None = None,
+                    scale: int | None = None) -> DataFrame:
     """K2 — profit, revenue, quantity and profit_margin (%, 2 dp; NULL when
     revenue is 0) per product, with catalogue attributes, profit desc."""
-    per = _per_product(orders).select(
+    per = _per_product(orders, scale).select(
         "product_id", "profit", "revenue", "quantity",
         round_half_even(safe_div(F.col("profit"), F.col("revenue")) * F.lit(100.0))
         .alias("profit_margin"))
     if products is not None:
-        per = per.join(_attributes(products), "product_id", "left")
+        per = per.join(_attributes(nan_as_null(products)), "product_id", "left")
     return per.orderBy(F.desc("profit"), F.asc("product_id"))
 
 
-def category_performance(orders: DataFrame) -> DataFrame:
+def category_performance(orders: DataFrame, scale: int | None = None) -> DataFrame:
     """A4 — quantity, revenue, profit, order_count (non-null order ids) and
     avg_order_value per category, revenue desc."""
-    g = (orders.where(F.col("category").isNotNull()).groupBy("category")
-         .agg(money_sum(F.col("quantity")).alias("quantity"),
-              money_sum(F.col("revenue")).alias("revenue"),
-              money_sum(F.col("profit")).alias("profit"),
+    g = (nan_as_null(orders).where(F.col("category").isNotNull()).groupBy("category")
+         .agg(money_sum(F.col("quantity"), scale).alias("quantity"),
+              money_sum(F.col("revenue"), scale).alias("revenue"),
+              money_sum(F.col("profit"), scale).alias("profit"),
               F.count("order_id").alias("order_count")))
     return (g.withColumn("avg_order_value",
                          round_half_even(safe_div(F.col("revenue"), F.col("order_count"))))
@@ -102,13 +99,14 @@ def stock_status(stock: Column, reorder: Column) -> Column:
             .otherwise(F.lit(STATUS_OK)))
 
 
-def inventory_status(orders: DataFrame, products: DataFrame | None) -> DataFrame:
+def inventory_status(orders: DataFrame, products: DataFrame | None,
+                     scale: int | None = None) -> DataFrame:
     """PR4 — every catalogue row with stock_status, sold_qty (0 if unsold) and
     turnover_rate = sold / stock * 100 (2 dp; NULL at zero stock)."""
     prod = _require(products, "inventory_status")
-    sold = (orders.where(F.col("product_id").isNotNull())
+    sold = (nan_as_null(orders).where(F.col("product_id").isNotNull())
             .groupBy(F.col("product_id").cast("string").alias("product_id"))
-            .agg(money_sum(F.col("quantity")).alias("sold_qty")))
+            .agg(money_sum(F.col("quantity"), scale).alias("sold_qty")))
     inv = prod.withColumn("stock_status", stock_status(F.col("stock_quantity"),
                                                        F.col("reorder_level")))
     inv = inv.withColumn("product_id", F.col("product_id").cast("string"))
@@ -118,17 +116,17 @@ def inventory_status(orders: DataFrame, products: DataFrame | None) -> DataFrame
         safe_div(F.col("sold_qty"), F.col("stock_quantity")) * F.lit(100.0)))
 
 
-def low_stock(orders: DataFrame, products: DataFrame | None) -> DataFrame:
+def low_stock(orders: DataFrame, products: DataFrame | None, scale: int | None = None) -> DataFrame:
     """P4 — inventory rows whose status is low."""
-    return inventory_status(orders, products).where(F.col("stock_status") == STATUS_LOW)
+    return inventory_status(orders, products, scale).where(F.col("stock_status") == STATUS_LOW)
 
 
 def restock_recommendations(orders: DataFrame, products: DataFrame | None,
-                            days_span: int = 25) -> DataFrame:
+                            days_span: int = 25, scale: int | None = None) -> DataFrame:
     """PR5 — daily_sales = sold / max(span, 1) (1 dp); days_remaining = stock /
     daily_sales (1 dp, NULL when no sales); a recommendation text; only rows
     with stock <= 1.5 * reorder level."""
-    inv = inventory_status(orders, products)
+    inv = inventory_status(orders, products, scale)
     span = float(max(int(days_span), 1))
     daily = round_half_even(F.col("sold_qty") / F.lit(span), 1)
     inv = inv.withColumn("daily_sales", daily)
@@ -146,10 +144,11 @@ def restock_recommendations(orders: DataFrame, products: DataFrame | None,
             .where(F.col("stock_quantity") <= F.col("reorder_level") * F.lit(1.5)))
 
 
-def price_suggestions(orders: DataFrame, products: DataFrame | None) -> DataFrame:
+def price_suggestions(orders: DataFrame, products: DataFrame | None,
+                      scale: int | None = None) -> DataFrame:
     """PR6 — pricing advice from each product's profit margin."""
     _require(products, "price_suggestions")
-    prof = profit_analysis(orders, products)
+    prof = profit_analysis(orders, products, scale)
     m = F.col("profit_margin")
     sugg = (F.when(m.isNull(), F.lit(PRICE_NO_DATA))
             .when(m < 30, F.concat(F.lit(PRICE_RAISE_PREFIX),

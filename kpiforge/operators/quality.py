@@ -1,18 +1,19 @@
 """Data quality: missing values, duplicates, outliers, profile (Q1-Q6, A12).
 
-The outlier filters are *sequential* as in the reference: each numeric column's
-statistics are computed on the rows kept by the previous columns.  Statistics
-are actions (they decide later filters); the returned DataFrame is a chain of
-filters with literal bounds, which Spark pushes down to the scan.
+NaN is missing, like NULL.  The outlier filters are *sequential* as in the
+reference: each numeric column's statistics are computed on the rows kept by the
+previous columns.  Statistics are actions (they decide later filters) that read
+the column and those filtered before it; the returned DataFrame is a chain of
+filters with literal bounds over the caller's table, and nothing is cached.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiforge.functions.columns import nan_as_null
 from kpiforge.functions.stats import quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -25,21 +26,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def drop_missing(df: DataFrame) -> DataFrame:
     """Q1 — drop rows with any NULL (or NaN) value."""
-    out = df.na.drop("any")
-    fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    for c in fl:
-        out = out.where(~F.isnan(F.col(f"`{c}`")))
-    return out
+    return nan_as_null(df).na.drop("any")
 
 
 def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     """Q2 — numeric columns: median; others: the most frequent value (smallest
     on ties), or 'Unknown' when the column is entirely NULL.
 
-    One job computes every column's NULL count and the modes; medians use
-    :func:`quantiles` per numeric column that has NULLs.  A numeric column that
-    receives a fractional median becomes DOUBLE (pandas makes it float64).
+    One job counts every column's missing values; a column that has some takes
+    one job for its mode, or a few for its median (:func:`quantiles`).  A numeric
+    column that receives a fractional median becomes DOUBLE (pandas makes it float64).
     """
+    df = nan_as_null(df)
     fields = df.schema.fields
     nulls_row = df.agg(*[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}")
                          for i, f in enumerate(fields)]).first()
@@ -81,16 +79,12 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def iqr_filter(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True,
-               persist: bool = True) -> DataFrame:
+def iqr_filter(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
     """Q4 — per numeric column, in order, keep [Q1 - 1.5 IQR, Q3 + 1.5 IQR]
-    computed on the rows that survived the previous columns; NULLs drop."""
-    cols = columns if columns is not None else numeric_columns(df)
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    n_max = base.count() if cols else 0      # filters only shrink it
-    cur = base
-    for c in cols:
-        q1, q3 = quantiles(cur, c, [0.25, 0.75], exact=exact, max_rows=n_max)
+    computed on the rows that survived the previous columns; missing values drop."""
+    cur = nan_as_null(df)
+    for c in columns if columns is not None else numeric_columns(df):
+        q1, q3 = quantiles(cur, c, [0.25, 0.75], exact=exact)
         if q1 is None:
             cur = cur.where(F.lit(False))
             continue
@@ -100,15 +94,12 @@ def iqr_filter(df: DataFrame, columns: list[str] | None = None, *, exact: bool =
     return cur
 
 
-def zscore_filter(df: DataFrame, columns: list[str] | None = None, *, threshold: float = 3.0,
-                  persist: bool = True) -> DataFrame:
+def zscore_filter(df: DataFrame, columns: list[str] | None = None, *, threshold: float = 3.0) -> DataFrame:
     """Q5 — per numeric column, in order, keep |x - mean| / std < 3 (sample std,
     on the surviving rows).  A constant column has std 0 → every row drops,
-    as in the reference (NaN < 3 is false); NULLs drop."""
-    cols = columns if columns is not None else numeric_columns(df)
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    cur = base
-    for c in cols:
+    as in the reference (NaN < 3 is false); missing values drop."""
+    cur = nan_as_null(df)
+    for c in columns if columns is not None else numeric_columns(df):
         row = cur.agg(F.avg(F.col(f"`{c}`")).alias("m"),
                       F.stddev_samp(F.col(f"`{c}`")).alias("s")).first()
         m, s = row["m"], row["s"]
@@ -138,15 +129,19 @@ def clean(df: DataFrame, handle_missing: str = "drop", remove_duplicates: bool =
     return out
 
 
-def rows_removed(original: DataFrame, cleaned: DataFrame) -> int:
-    """Number of rows the cleaning removed (two count jobs)."""
-    return original.count() - cleaned.count()
+def count_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with an observer: once an action has run over it (a write, say),
+    ``observation.get["rows"]`` is the number of its rows, without another job.
+    Wrap the input and the cleaned table to learn how many rows cleaning removed."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A12 — one row per column: position, column, dtype, n_missing, n_rows.
+    """A12 — one row per column: position, column, dtype, n_missing (NULL or NaN), n_rows.
 
-    One pass: a single aggregate of per-column NULL counts, then ``stack``."""
+    One pass: a single aggregate of per-column counts, then ``stack``."""
+    df = nan_as_null(df)
     fields = df.schema.fields
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"_n{i}")

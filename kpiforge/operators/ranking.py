@@ -1,102 +1,153 @@
-"""Exact global rank and running sum without a single-task window.
-
-``Window.orderBy`` with no ``partitionBy`` pulls every row into one task.  For
-ABC (running revenue share over items) and RFM (rank of every customer) the
-row count is the number of items or customers, which grows with the data.
-
-Above ``rows_per_task`` rows we use Spark's distributed sort instead:
-
-1. ``orderBy`` on the full key (value, unique tiebreak) — a range-partitioned
-   shuffle whose boundaries Spark samples on the *composite* key, so a value
-   held by a third of all rows is still spread over many partitions;
-2. ``monotonically_increasing_id()`` in the same stage encodes (partition,
-   position-in-partition) of every row in sorted order;
-3. a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` freezes that
-   assignment, so a recomputed task can never see different boundaries;
-4. per-partition counts / sums (one row per partition) → a prefix sum,
-   broadcast back; rank = offset + position + 1.  The running sum is an
-   in-partition window over the frozen partitions.
-
-Below ``rows_per_task`` rows a plain window is used (one task, bounded).
+"""Exact ranks, running sums and rank cuts over any number of rows, all lazy.
+
+``Window.orderBy`` without ``partitionBy`` pulls every row into one task.  Here
+rows are counted in *cells* first, and a cell's place follows from sums over a
+histogram whose size is bounded whatever the data:
+
+* a value's histogram key is the sign and ``floor(1024 * log2(|value|))``, which
+  never decreases with the value: about 1000 keys per power of two;
+* rows that share a value are told apart by the *bin* of their tie key, one of
+  ``BINS`` equal steps between the smallest and the largest key, so a value held
+  by a third of all rows is many cells;
+* a cell is (value, bin).  Cells are counted with a map-side combine, the keys'
+  totals are added up in key order (one row per histogram key), and cells of one
+  key in value order.
+
+Within a cell the order is that of the tie key.  Nothing runs while a query is
+built, nothing is cached, and there is one path for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-ROWS_PER_TASK = 2_000_000
-SEED = 20240101
-_POS_BITS = 33
-
-
-def _sort_expr(name: str, asc: bool) -> Column:
-    return F.asc(name) if asc else F.desc(name)
+from pyspark.sql import types as T
+
+from kpiforge.functions.joins import attach_one_row
+
+BINS = 64
+#: Beyond the largest key of a DOUBLE (1074 powers of two on either side of 1).
+_SHIFT = 1_200_000
+
+
+def histogram_key(value: Column) -> Column:
+    """A BIGINT that never decreases as ``value`` grows."""
+    x = value.cast("double")
+    key = F.floor(F.log2(F.abs(x)) * F.lit(1024.0)).cast("bigint") + F.lit(_SHIFT)
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, key).otherwise(-key)
+
+
+def _binned(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_bin``: the step of ``key`` between the smallest and largest key."""
+    kind = df.schema[key].dataType
+    c = F.col(key)
+    if isinstance(kind, T.StringType):
+        # behind the bytes that all keys share, the next six as a number
+        text = F.hex(F.encode(c.cast("string"), "utf-8"))
+        ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b")).select(
+            F.hex(F.encode("a", "utf-8")).alias("a"), F.hex(F.encode("b", "utf-8")).alias("b"))
+        shared = F.expr("aggregate(sequence(0, least(length(a), length(b))), 0, "
+                        "(n, i) -> if(n = i and i < least(length(a), length(b)) "
+                        "and substr(a, i + 1, 1) = substr(b, i + 1, 1), i + 1, n))")
+
+        def number(hexed: Column) -> Column:
+            part = F.rpad(F.substring(hexed, F.col("_skip") + 1, F.lit(12)), 12, "0")
+            return F.conv(part, 16, 10).cast("double")
+
+        ends = ends.select(shared.alias("_skip"), "a", "b").select(
+            "_skip", number(F.col("a")).alias("_lo"), number(F.col("b")).alias("_hi"))
+        code = number(text)
+    else:
+        if isinstance(kind, T.DateType):
+            plain = F.unix_date
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            plain = lambda x: F.unix_micros(x.cast("timestamp"))
+        else:
+            plain = lambda x: x
+        code = plain(c).cast("double")
+        ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b")).select(
+            plain(F.col("a")).cast("double").alias("_lo"), plain(F.col("b")).cast("double").alias("_hi"))
+    step = F.floor((code - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(BINS)))
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(step, F.lit(BINS - 1))).otherwise(F.lit(0))
+    return attach_one_row(df, ends).withColumn("_bin", bin_.cast("int")).drop("_skip", "_lo", "_hi")
 
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], *, rank_col: str = "_rank",
-                sum_col: str | None = None, cum_col: str = "_cum",
-                rows_per_task: int = ROWS_PER_TASK, n_rows: int | None = None,
-                partitions: int | None = None) -> DataFrame:
+                sum_col: str | None = None, cum_col: str = "_cum") -> DataFrame:
     """Add ``rank_col`` (1..n) in ``order`` and, optionally, the running sum of
     ``sum_col`` in ``cum_col`` (inclusive of the row).
 
-    ``order`` is ``[(column, ascending), ...]``; it must be a total order (end
-    with a unique key) and its columns must be non-NULL.  The running sum is
-    exact when ``sum_col`` is DECIMAL.  ``partitions`` overrides the number of
-    range partitions of the distributed path (default: the session's shuffle
-    partitions, adjusted by AQE).
+    ``order`` is ``[(value column, ascending), (unique key column, True)]``, both
+    without NULLs.  The running sum is exact when ``sum_col`` is DECIMAL.
     """
-    order = list(order)
-    sort = [_sort_expr(n, a) for n, a in order]
-    if n_rows is None:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        n_rows = df.count()
-    if n_rows <= rows_per_task:
-        w = Window.orderBy(*sort)
-        out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
-        if sum_col:
-            out = out.withColumn(cum_col, F.sum(sum_col).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        return out
-
-    from kpiforge.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(partitions, *sort) if partitions else df
-    frozen = (ranged.sortWithinPartitions(*sort) if partitions else ranged.orderBy(*sort)) \
-        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    pid = F.shiftright(F.col("_mid"), _POS_BITS)
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    frozen = frozen.withColumns({"_pid": pid, "_pos": pos})
-    stats_aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if sum_col:
-        stats_aggs.append(F.sum(sum_col).alias("_psum"))
-    stats = frozen.groupBy("_pid").agg(*stats_aggs)
-    # prefix over one row per partition: a bounded single-task window
-    pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_cnt").over(pw), F.lit(0)).alias("_off")]
-    if sum_col:
-        offs.append(F.sum("_psum").over(pw).alias("_soff"))
-    out = frozen.join(F.broadcast(stats.select("_pid", *offs)), "_pid")
-    out = out.withColumn(rank_col, F.col("_off") + F.col("_pos") + F.lit(1))
+    (value, ascending), (key, key_up) = order
+    if not key_up:
+        raise ValueError("ties are broken by the key in ascending order")
+    rows = _binned(df, key)
+    by_value = F.asc(value) if ascending else F.desc(value)
+    hist = histogram_key(F.col(value))
+    aggs = [F.count(F.lit(1)).alias("_n")] + ([F.sum(sum_col).alias("_s")] if sum_col else [])
+    cells = rows.groupBy(value, "_bin").agg(*aggs).withColumn("_h", hist if ascending else -hist)
+    names = ["_n"] + ["_s"] * bool(sum_col)
+    keys = cells.groupBy("_h").agg(*[F.sum(c).alias(c) for c in names])
+    over_keys = Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)  # one row per histogram key
+    keys = keys.select("_h", *[F.sum(c).over(over_keys).alias(f"_key{c}") for c in names])
+    over_cells = Window.partitionBy("_h").orderBy(by_value, "_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.coalesce(F.col(f"_key{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(over_cells), F.lit(0))).alias(f"_before{c}")
+              for c in names]
+    cells = cells.join(keys, "_h").select(F.col(value).alias("_value"), F.col("_bin").alias("_b"), *before)
+    rows = rows.join(cells, (F.col(value) == F.col("_value")) & (F.col("_bin") == F.col("_b")))
+    inside = Window.partitionBy("_value", "_b").orderBy(F.asc(key))
+    out = rows.withColumn(rank_col, (F.col("_before_n") + F.row_number().over(inside)).cast("long"))
     if sum_col:
-        run = F.sum(sum_col).over(Window.partitionBy("_pid").orderBy("_pos")
-                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn("_run", run).withColumn(
-            cum_col, F.when(F.col("_soff").isNull(), F.col("_run"))
-            .otherwise(F.col("_soff") + F.col("_run")))
-    return out.drop("_mid", "_pid", "_pos", "_off", "_soff", "_run")
+        run = F.sum(sum_col).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(cum_col, F.col("_before_s") + run)
+    return out.drop("_bin", "_value", "_b", *[f"_before{c}" for c in names])
 
 
-def quintile_score(rank: Column, n: Column, reverse: bool = False) -> Column:
-    """pandas ``qcut(rank(method='first'), 5)`` bin as an integer formula.
+def quintile_cuts(df: DataFrame, measures: Sequence[str], key: str) -> DataFrame:
+    """One row: ``n`` and, per measure m, ``cuts_m``: the (value, key) pairs of the
+    last row of quintiles 1 to 4 in (value, key) order.
 
-    bin = max(1, ceil(5 (r-1) / (n-1))) for n >= 2 (not ``ntile``: for n = 7 qcut
-    gives 1,1,2,3,4,5,5).  ``reverse`` labels 5..1.  NULL for n < 2.
+    The quintile of rank r is ``max(1, ceil(5 (r-1) / (n-1)))`` (pandas ``qcut`` of a
+    first-come rank), so quintile b ends at rank ``1 + floor(b (n-1) / 5)``.  The cut's
+    histogram key is found first, then its cell, then its row; only rows of a cut's
+    cell are sorted by key.
     """
-    b = F.greatest(F.lit(1), F.floor((F.lit(5) * (rank - 1) + n - 2) / (n - 1)).cast("int"))
-    b = F.when(n >= 2, b)
-    return (F.lit(6) - b) if reverse else b
+    rows = _binned(df.select(key, *measures), key)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
+                               for i, c in enumerate(measures)])).alias("_e")
+    long = rows.select(F.col(key).alias("k"), "_bin", each).select("k", "_bin", "_e.m", "_e.v")
+    cells = long.groupBy("m", "v", "_bin").agg(F.count(F.lit(1)).alias("c")).withColumn("h", histogram_key(F.col("v")))
+    up_to = Window.partitionBy("m").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = cells.groupBy("m", "h").agg(F.sum("c").alias("c")).select(
+        "m", "h", "c", F.sum("c").over(up_to).alias("to"), F.sum("c").over(Window.partitionBy("m")).alias("n"))
+    wanted = keys.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("b")).withColumn(
+        "rank", F.lit(1) + F.floor(F.col("b") * (F.col("n") - 1) / F.lit(5)))
+    wanted = wanted.where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("c"))).select(
+        F.col("m").alias("_m"), F.col("h").alias("_h"), "b", "n", (F.col("rank") - F.col("to") + F.col("c")).alias("rank"))
+    in_key = Window.partitionBy("m", "b").orderBy("v", "_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut_cells = cells.join(wanted, (F.col("m") == F.col("_m")) & (F.col("h") == F.col("_h"))).withColumn("to", F.sum("c").over(in_key))
+    cut_cells = cut_cells.where((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("c"))).select(
+        F.col("m").alias("_m"), F.col("v").alias("_v"), F.col("_bin").alias("_b"), "b", "n",
+        (F.col("rank") - F.col("to") + F.col("c")).alias("rank"))
+    in_cell = Window.partitionBy("m", "b").orderBy("k")
+    cuts = long.join(cut_cells, (F.col("m") == F.col("_m")) & (F.col("v") == F.col("_v")) & (F.col("_bin") == F.col("_b")))
+    cuts = cuts.withColumn("at", F.row_number().over(in_cell)).where(F.col("at") == F.col("rank"))
+    found = cuts.agg(F.max("n").alias("n"), *[
+        F.array_sort(F.collect_list(F.when(F.col("m") == i, F.struct("b", "v", "k")))).alias(f"cuts_{c}")
+        for i, c in enumerate(measures)])
+    return found
+
+
+def quintile(value: Column, key: Column, cuts: Column, n: Column, reverse: bool = False) -> Column:
+    """Quintile 1..5 (5..1 if ``reverse``) of a row from the cuts of its measure; NULL for n < 2."""
+    own = F.struct(value.cast("double").alias("v"), key.alias("k"))
+    above = F.lit(1)
+    for b in range(4):
+        cut = F.get(cuts, F.lit(b))
+        above = above + F.when(own > F.struct(cut["v"].alias("v"), cut["k"].alias("k")), 1).otherwise(0)
+    score = F.when(n >= 2, above)
+    return (F.lit(6) - score) if reverse else score

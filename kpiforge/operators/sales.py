@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
-from kpiforge.functions.numeric import money_sum, safe_div
+from kpiforge.functions.joins import attach_one_row
+from kpiforge.functions.numeric import money_sum, partial_total, safe_div, total_value
 from kpiforge.functions.periods import norm_freq, period_start, resample
 
 
@@ -20,6 +21,10 @@ def _ledger(df: DataFrame, cols, wanted, required=("date", "amount")) -> DataFra
     return to_logical(df, cols, list(wanted), list(required))
 
 
+def _scale(cols) -> int | None:
+    return ColumnMap.of(cols).scale
+
+
 def _top_key(key: str, is_row: Column) -> tuple[Column, Column]:
     """Key with the largest revenue, ties to the smallest key (pandas idxmax
     on a key-sorted groupby), and that revenue.  A scalar aggregate: no sort."""
@@ -36,49 +41,37 @@ def summary(df: DataFrame, cols: ColumnMap | dict | None = None, *, strict: bool
     avg_order_value, top_category(+_revenue), top_region(+_revenue), n_customers,
     growth_first_to_last_month (NULL with < 2 months or first month <= 0).
 
-    One pass over the ledger: a grouping-sets aggregate over (category),
-    (region), (month), (customer) and () — the customer set counts distinct
-    customers, the empty set gives the totals — followed by a scalar aggregate
-    over its (small) output.  Empty input gives zero rows; ``strict=True``
-    raises like the reference (costs a job).  ``approx_customers=True`` drops
-    the customer set and uses ``approx_count_distinct`` (HyperLogLog++, 5 % rsd
-    error) instead: no shuffle of one row per customer.
+    The ledger is added up once by day, category and region; grouping sets over
+    that small table give the totals per category, region and month and the grand
+    total, and a scalar aggregate the row.  Distinct customers are counted on the
+    customer column alone.  Empty input gives zero rows; ``strict=True`` raises
+    like the reference (costs a job).  ``approx_customers=True`` counts customers
+    with HyperLogLog++ (5 % rsd error) and no shuffle of a row per customer.
     """
     led = _ledger(df, cols, ["date", "amount", "category", "region", "customer"])
     if strict and led.isEmpty():
         raise ValueError("empty ledger")
-    have = set(led.columns)
-    exact_cust = "customer" in have and not approx_customers
-    keys = [k for k in ("category", "region") if k in have] + ["_month"] + \
-        (["customer"] if exact_cust else [])
-    led = led.select(*[c for c in led.columns if c != "date"],
-                     as_timestamp(F.col("date")).alias("date"))
-    led = led.withColumn("_month", period_start(F.col("date"), "M"))
-    sets = [[F.col(k)] for k in keys] + [[]]
-    gs = (led.groupingSets(sets, *[F.col(k) for k in keys])
-          .agg(money_sum(F.col("amount")).alias("_rev"), F.count(F.lit(1)).alias("_n"),
-               F.min("date").alias("_d0"), F.max("date").alias("_d1"),
-               *([F.approx_count_distinct("customer").alias("_acd")]
-                 if "customer" in have and approx_customers else []),
-               F.grouping_id().alias("_gid")))
+    have, scale = set(led.columns), _scale(cols)
+    led = led.withColumn("date", as_timestamp(F.col("date")))
+    kinds = [k for k in ("category", "region") if k in have]
+    cube = (led.groupBy(period_start(F.col("date"), "D").alias("_day"), *kinds)
+            .agg(partial_total(F.col("amount"), scale).alias("_u"), F.count(F.lit(1)).alias("_c"),
+                 F.min("date").alias("_a"), F.max("date").alias("_b"))
+            .withColumn("_month", period_start(F.col("_day"), "M")))
+    keys = [*kinds, "_month"]
+    gs = (cube.groupingSets([[F.col(k)] for k in keys] + [[]], *[F.col(k) for k in keys])
+          .agg(total_value(F.sum("_u"), scale).alias("_rev"), F.sum("_c").alias("_n"),
+               F.min("_a").alias("_d0"), F.max("_b").alias("_d1"), F.grouping_id().alias("_gid")))
     full = (1 << len(keys)) - 1
 
     def is_set(name: str) -> Column:
-        pos = keys.index(name)
-        return F.col("_gid") == F.lit(full ^ (1 << (len(keys) - 1 - pos)))
+        return F.col("_gid") == F.lit(full ^ (1 << (len(keys) - 1 - keys.index(name))))
 
     is_all = F.col("_gid") == F.lit(full)
     aggs = [F.max(F.when(is_all, F.col("_n"))).alias("n_records"),
             F.max(F.when(is_all, F.col("_rev"))).alias("total_revenue"),
             F.max(F.when(is_all, F.col("_d0"))).alias("_dmin"),
             F.max(F.when(is_all, F.col("_d1"))).alias("_dmax")]
-    if "customer" in keys:
-        aggs.append(F.count(F.when(is_set("customer") & F.col("customer").isNotNull(), 1))
-                    .alias("n_customers"))
-    elif "customer" in have:
-        aggs.append(F.max(F.when(is_all, F.col("_acd"))).alias("n_customers"))
-    else:
-        aggs.append(F.lit(0).cast("long").alias("n_customers"))
     for k in ("category", "region"):
         if k in keys:
             name, rev = _top_key(k, is_set(k))
@@ -92,7 +85,12 @@ def summary(df: DataFrame, cols: ColumnMap | dict | None = None, *, strict: bool
              F.min(m).alias("_m0"), F.max(m).alias("_m1")]
     growth = F.when((F.col("_m1") > F.col("_m0")) & (F.col("_first") > 0),
                     (F.col("_last") / F.col("_first") - F.lit(1)) * F.lit(100.0))
-    return gs.agg(*aggs).where(F.col("n_records") > 0).select(
+    if "customer" in have:
+        count = F.approx_count_distinct if approx_customers else F.count_distinct
+        out = attach_one_row(gs.agg(*aggs), led.agg(count("customer").alias("n_customers")))
+    else:
+        out = gs.agg(*aggs, F.lit(0).alias("n_customers"))
+    return out.where(F.col("n_records") > 0).select(
         "n_records",
         F.date_format("_dmin", "yyyy-MM-dd").alias("date_start"),
         F.date_format("_dmax", "yyyy-MM-dd").alias("date_end"),
@@ -116,7 +114,7 @@ def trend(df: DataFrame, period: str = "M", cols: ColumnMap | dict | None = None
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g)
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    series = resample(led, period, group_cols=g)
+    series = resample(led, period, group_cols=g, scale=_scale(cols))
     w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
     prev = F.lag("revenue").over(w)
     if growth_rule == "positive_prev":
@@ -129,17 +127,8 @@ def trend(df: DataFrame, period: str = "M", cols: ColumnMap | dict | None = None
 
 
 def _grouped_ledger(df: DataFrame, cols, group_cols: list[str]) -> DataFrame:
-    """Ledger with date/amount mapped and extra physical group columns kept."""
-    cmap = ColumnMap.of(cols)
-    base = to_logical(df, cmap, ["date", "amount"], ["date", "amount"])
-    if not group_cols:
-        return base
-    missing = [c for c in group_cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing group columns {missing}")
-    return df.select(F.col(f"`{cmap.date}`").alias("date"),
-                     F.col(f"`{cmap.amount}`").alias("amount"),
-                     *[F.col(f"`{c}`").alias(c) for c in group_cols])
+    """Ledger with date/amount mapped and physical group columns kept."""
+    return to_logical(df, cols, ["date", "amount"], ["date", "amount"], keep=group_cols)
 
 
 def anomalies(df: DataFrame, period: str = "D", z_threshold: float = 2.0,
@@ -156,7 +145,7 @@ def anomalies(df: DataFrame, period: str = "D", z_threshold: float = 2.0,
     """
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g).withColumn("date", as_timestamp(F.col("date")))
-    series = resample(led, period, group_cols=g)
+    series = resample(led, period, group_cols=g, scale=_scale(cols))
     base = Window.partitionBy(*g) if g else Window.partitionBy()
     w = (Window.partitionBy(*g) if g else Window).orderBy("period_start") \
         .rowsBetween(-(window - 1), 0)
@@ -184,7 +173,7 @@ def _breakdown(df: DataFrame, key: str, cols) -> DataFrame:
         return df.sparkSession.createDataFrame([], f"{key} string, revenue double")
     led = _ledger(df, cols, ["amount", key], required=("amount",))
     return (led.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(money_sum(F.col("amount")).alias("revenue"))
+            .agg(money_sum(F.col("amount"), _scale(cols)).alias("revenue"))
             .orderBy(F.desc("revenue"), F.asc(key)))
 
 
@@ -202,7 +191,7 @@ def regional_stats(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataF
     """A9 (v1) — sum, mean and non-null count of the amount per region."""
     led = _ledger(df, cols, ["amount", "region"], required=("amount", "region"))
     return (led.where(F.col("region").isNotNull()).groupBy("region")
-            .agg(money_sum(F.col("amount")).alias("total_revenue"),
+            .agg(money_sum(F.col("amount"), _scale(cols)).alias("total_revenue"),
                  F.count("amount").alias("n_orders"))
             .select("region", "total_revenue",
                     safe_div(F.col("total_revenue"), F.col("n_orders")).alias("avg_revenue"),
@@ -217,8 +206,8 @@ def product_totals(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataF
     led = _ledger(df, cols, ["amount", "qty", "category", "product"],
                   required=("amount", "qty", "category", "product"))
     gs = (led.groupingSets([[F.col("category")], [F.col("product")]], "category", "product")
-          .agg(money_sum(F.col("amount")).alias("revenue"),
-               money_sum(F.col("qty")).alias("quantity"),
+          .agg(money_sum(F.col("amount"), _scale(cols)).alias("revenue"),
+               money_sum(F.col("qty"), _scale(cols)).alias("quantity"),
                F.grouping_id().alias("_gid")))
     level = F.when(F.col("_gid") == 1, F.lit("category")).otherwise(F.lit("product"))
     item = F.when(F.col("_gid") == 1, F.col("category")).otherwise(F.col("product"))
@@ -231,41 +220,47 @@ def top_products(df: DataFrame, n: int = 10, cols: ColumnMap | dict | None = Non
     ascending), with their quantity: a TakeOrdered over the per-product totals."""
     led = _ledger(df, cols, ["amount", "qty", "product"], required=("amount", "qty", "product"))
     per = (led.where(F.col("product").isNotNull()).groupBy("product")
-           .agg(money_sum(F.col("amount")).alias("revenue"),
-                money_sum(F.col("qty")).alias("quantity")))
+           .agg(money_sum(F.col("amount"), _scale(cols)).alias("revenue"),
+                money_sum(F.col("qty"), _scale(cols)).alias("quantity")))
     return per.orderBy(F.desc("revenue"), F.asc("product")).limit(int(n))
 
 
 def summary_statistics(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFrame:
     """A11 (v1) — one row of statistics; each present only if its column exists."""
     led = _ledger(df, cols, ["date", "amount", "qty", "customer", "order_id"], required=())
-    have = set(led.columns)
-    aggs = []
+    have, scale = set(led.columns), _scale(cols)
+    aggs, order = [], []
     if "amount" in have:
-        aggs += [money_sum(F.col("amount")).alias("total_revenue"),
-                 safe_div(money_sum(F.col("amount")), F.count("amount")).alias("avg_revenue"),
+        aggs += [money_sum(F.col("amount"), scale).alias("total_revenue"),
+                 safe_div(money_sum(F.col("amount"), scale), F.count("amount")).alias("avg_revenue"),
                  F.max("amount").alias("max_revenue"), F.min("amount").alias("min_revenue")]
+        order += ["total_revenue", "avg_revenue", "max_revenue", "min_revenue"]
     if "qty" in have:
-        aggs += [money_sum(F.col("qty")).alias("total_quantity"),
-                 safe_div(money_sum(F.col("qty")), F.count("qty")).alias("avg_quantity")]
-    if "customer" in have:
-        aggs.append(F.count_distinct("customer").alias("n_customers"))
-    if "order_id" in have:
-        aggs.append(F.count_distinct("order_id").alias("n_orders"))
+        aggs += [money_sum(F.col("qty"), scale).alias("total_quantity"),
+                 safe_div(money_sum(F.col("qty"), scale), F.count("qty")).alias("avg_quantity")]
+        order += ["total_quantity", "avg_quantity"]
+    distinct = [(c, n) for c, n in (("customer", "n_customers"), ("order_id", "n_orders")) if c in have]
+    order += [n for _, n in distinct]
     if "date" in have:
         d = as_timestamp(F.col("date"))
         aggs.append(F.concat(F.date_format(F.min(d), "yyyy-MM-dd"), F.lit(" 至 "),
                              F.date_format(F.max(d), "yyyy-MM-dd")).alias("date_range"))
-    if not aggs:
+        order.append("date_range")
+    if not order:
         return led.sparkSession.createDataFrame([], "empty string")
-    return led.agg(*aggs)
+    # a distinct count reads its column alone: two in one aggregate would triple the rows
+    out = led.agg(*aggs) if aggs else None
+    for c, n in distinct:
+        one = led.agg(F.count_distinct(c).alias(n))
+        out = one if out is None else attach_one_row(out, one)
+    return out.select(*order)
 
 
 def trend_headline(df: DataFrame, period: str = "M",
                    cols: ColumnMap | dict | None = None) -> DataFrame:
     """A16 — highest / lowest period revenue and growth last vs first period."""
     series = resample(_ledger(df, cols, ["date", "amount"]).withColumn(
-        "date", as_timestamp(F.col("date"))), norm_freq(period))
+        "date", as_timestamp(F.col("date"))), norm_freq(period), scale=_scale(cols))
     first = F.min_by("revenue", "period_start")
     last = F.max_by("revenue", "period_start")
     return series.agg(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, nan_to_null, to_logical
-from kpiforge.functions.numeric import days_between, money_sum, round_half_even, safe_div
-from kpiforge.operators.ranking import global_rank, quintile_score
+from kpiforge.functions.numeric import (days_between, money_sum, partial_total, round_half_even,
+                                        safe_div, total_value)
 from kpiforge.functions.joins import attach_one_row
+from kpiforge.operators.ranking import global_rank, quintile, quintile_cuts
 
 # The reference's customer segment labels, best to worst, and the
 # score thresholds (sum of three 1-5 scores) that select them.
@@ -32,63 +32,74 @@ def abc_label(cum_pct: Column) -> Column:
             .when(cum_pct <= ABC_LIMITS[1], F.lit("B")).otherwise(F.lit("C")))
 
 
+def _item_revenue(df: DataFrame, by: str | None, cols) -> tuple[DataFrame, int | None] | None:
+    """(_key, _rev) per item: whole units (DECIMAL) with a declared scale, else the
+    sum as it is; None when the item or amount column is absent."""
+    cmap = ColumnMap.of(cols)
+    key = by or cmap.category
+    if key not in df.columns or cmap.amount not in df.columns:
+        return None
+    led = to_logical(df, cmap, ["amount"], ["amount"], keep=[key]).select(F.col(f"`{key}`").alias("_key"), "amount")
+    rows = led.where(F.col("_key").isNotNull()).groupBy("_key").agg(partial_total(F.col("amount"), cmap.scale).alias("_rev"))
+    return rows.select("_key", F.coalesce("_rev", F.lit(0)).alias("_rev")), cmap.scale
+
+
+def _abc_rows(df: DataFrame, by: str | None, cols) -> tuple[DataFrame, int | None] | None:
+    """_key, _rev, _total, cum_pct, abc_class per item; None without the columns."""
+    made = _item_revenue(df, by, cols)
+    if made is None:
+        return None
+    per, scale = made
+    ranked = global_rank(per, [("_rev", False), ("_key", True)], sum_col="_rev")
+    out = attach_one_row(ranked, per.agg(F.sum("_rev").alias("_total"))).where(F.col("_total") > 0)
+    cum_pct = round_half_even(total_value(F.col("_cum"), scale) / total_value(F.col("_total"), scale) * F.lit(100.0))
+    return out.withColumn("cum_pct", cum_pct).withColumn("abc_class", abc_label(F.col("cum_pct"))), scale
+
+
 def abc_analysis(df: DataFrame, by: str | None = None,
-                 cols: ColumnMap | dict | None = None, **rank_opts) -> DataFrame:
+                 cols: ColumnMap | dict | None = None) -> DataFrame:
     """G1 — Pareto classes: item, revenue, cum_pct (2 dp), abc_class.
 
-    Items are ranked by revenue descending (ties: item ascending); the
-    running share uses exact decimal sums.  Rows are returned unsorted.  No rows when the ``by`` column is
-    absent or total revenue <= 0.  ``by`` is a physical column name (default:
-    the category column).
+    Items are ranked by revenue descending (ties: item ascending); the running
+    share is exact where the ledger declares a scale.  Rows are returned unsorted.
+    No rows when the ``by`` column is absent or total revenue <= 0.  ``by`` is a
+    physical column name (default: the category column).
     """
-    cmap = ColumnMap.of(cols)
-    key = by or cmap.category
-    if key not in df.columns or cmap.amount not in df.columns:
+    made = _abc_rows(df, by, cols)
+    if made is None:
         return df.sparkSession.createDataFrame(
             [], "item string, revenue double, cum_pct double, abc_class string")
-    amount = to_logical(df, cmap, ["amount"], ["amount"]).schema["amount"].dataType
-    led = df.select(F.col(f"`{key}`").alias("_key"),
-                    nan_to_null(F.col(f"`{cmap.amount}`"), amount).alias("amount"))
-    per = (led.where(F.col("_key").isNotNull()).groupBy("_key")
-           .agg(money_sum(F.col("amount")).cast("decimal(38,4)").alias("_rev_dec")))
-    ranked = global_rank(per, [("_rev_dec", False), ("_key", True)], sum_col="_rev_dec",
-                         **rank_opts)
-    total = per.agg(F.sum("_rev_dec").alias("_total"))
-    out = attach_one_row(ranked, total).where(F.col("_total") > 0)
-    cum_pct = round_half_even(F.col("_cum").cast("double") / F.col("_total").cast("double")
-                              * F.lit(100.0))
+    rows, scale = made
     # no final global sort: at scale it would cost a second range shuffle of
     # the item table; (revenue desc, item asc) or cum_pct recovers the order
-    return (out.select(F.col("_key").cast("string").alias("item"),
-                       F.col("_rev_dec").cast("double").alias("revenue"),
-                       cum_pct.alias("cum_pct"))
-            .withColumn("abc_class", abc_label(F.col("cum_pct"))))
+    return rows.select(F.col("_key").cast("string").alias("item"), total_value(F.col("_rev"), scale).alias("revenue"),
+                       "cum_pct", "abc_class")
 
 
 def abc_summary(df: DataFrame, by: str | None = None,
-                cols: ColumnMap | dict | None = None, **rank_opts) -> DataFrame:
+                cols: ColumnMap | dict | None = None) -> DataFrame:
     """A13 — for each of A, B, C: n_items, revenue, item_pct, revenue_pct (2 dp).
 
     Always three rows when the analysis is non-empty (a class without items has
-    zeros); no rows otherwise.
+    zeros); no rows otherwise.  The items are classed once; the totals are windows
+    over the three class rows.
     """
-    abc = abc_analysis(df, by, cols, **rank_opts)
-    spark = df.sparkSession
-    per = abc.groupBy("abc_class").agg(F.count(F.lit(1)).alias("n_items"),
-                                       F.sum(F.col("revenue").cast("decimal(38,4)")).alias("_rev"))
-    tot = abc.agg(F.count(F.lit(1)).alias("_n"),
-                  F.sum(F.col("revenue").cast("decimal(38,4)")).alias("_t"))
-    classes = spark.createDataFrame([("A",), ("B",), ("C",)], "abc_class string")
-    out = (attach_one_row(classes.join(F.broadcast(per), "abc_class", "left"), tot)
-           .where(F.col("_n") > 0))
-    rev = F.coalesce(F.col("_rev").cast("double"), F.lit(0.0))
-    n = F.coalesce(F.col("n_items"), F.lit(0)).cast("long")
-    return out.select(
-        "abc_class", n.alias("n_items"), round_half_even(rev).alias("revenue"),
-        F.coalesce(round_half_even(safe_div(n, F.col("_n")) * F.lit(100.0)),
-                   F.lit(0.0)).alias("item_pct"),
-        F.coalesce(round_half_even(safe_div(rev, F.col("_t").cast("double")) * F.lit(100.0)),
-                   F.lit(0.0)).alias("revenue_pct")).orderBy("abc_class")
+    made = _abc_rows(df, by, cols)
+    schema = "abc_class string, n_items long, revenue double, item_pct double, revenue_pct double"
+    if made is None:
+        return df.sparkSession.createDataFrame([], schema)
+    rows, scale = made
+    per = rows.agg(*[x.alias(f"{n}{c}") for c in "ABC" for n, x in (
+        ("n", F.count(F.when(F.col("abc_class") == c, 1))), ("r", F.sum(F.when(F.col("abc_class") == c, F.col("_rev")))))],
+        F.count(F.lit(1)).alias("_n"), F.sum("_rev").alias("_t"))
+    per = per.where(F.col("_n") > 0).select("_n", "_t", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("abc_class"), F.col(f"n{c}").alias("n"), F.col(f"r{c}").alias("r")) for c in "ABC"])).alias("_c"))
+    rev = total_value(F.col("_c.r"), scale)
+    return per.select(
+        "_c.abc_class", F.col("_c.n").cast("long").alias("n_items"), round_half_even(rev).alias("revenue"),
+        F.coalesce(round_half_even(safe_div(F.col("_c.n"), F.col("_n")) * F.lit(100.0)), F.lit(0.0)).alias("item_pct"),
+        F.coalesce(round_half_even(safe_div(rev, total_value(F.col("_t"), scale)) * F.lit(100.0)), F.lit(0.0))
+        .alias("revenue_pct")).orderBy("abc_class")
 
 
 def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
@@ -100,54 +111,44 @@ def rfm_table(df: DataFrame, cols: ColumnMap | dict | None = None, *,
         + (["qty"] if with_qty else [])
     led = to_logical(df, cols, wanted, wanted)
     led = led.withColumn("date", as_timestamp(F.col("date")))
+    scale = ColumnMap.of(cols).scale
     aggs = [F.max("date").alias("_last"), F.count(frequency_of).alias("F"),
-            money_sum(F.col("amount")).alias("M")]
+            money_sum(F.col("amount"), scale).alias("M")]
     if with_qty:
-        aggs.append(money_sum(F.col("qty")).alias("Q"))
-    # one pass: the NULL-customer group is kept until "now" (latest date over
-    # *all* rows) has been read off the per-customer table, then dropped
-    # persisted: "now" and the per-customer rows are two consumers that column
-    # pruning would otherwise turn into two different scans of the ledger
-    per = led.groupBy("customer").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
-    now = per.agg(F.max("_last").alias("_now"))
-    per = attach_one_row(per.where(F.col("customer").isNotNull()), now)
+        aggs.append(money_sum(F.col("qty"), scale).alias("Q"))
+    now = led.agg(F.max("date").alias("_now"))  # a pass over the date column alone
+    per = attach_one_row(led.where(F.col("customer").isNotNull()).groupBy("customer").agg(*aggs), now)
     return per.withColumn("R", days_between(F.col("_now"), F.col("_last"))).drop("_now", "_last")
 
 
 def rfm_segments(df: DataFrame, cols: ColumnMap | dict | None = None, *,
                  reverse_recency: bool = True, frequency_of: str = "date",
                  single_customer_scores: tuple[int, int, int] | None = None,
-                 with_scores: bool = False, **rank_opts) -> DataFrame:
+                 with_scores: bool = False) -> DataFrame:
     """G2 / G3 — RFM quintile scores and segment per customer.
 
     Each of R, F, M is ranked first-come (ties: customer key ascending, as the
     key-sorted groupby does) and cut into quintiles; R's labels are reversed by
-    default (fewer days = better).  ``reverse_recency=False, frequency_of=
-    "order_id"`` is the v1 variant.  A single customer gets
-    ``single_customer_scores`` (the reference's fallback binning).
-    Columns: customer, R, F, M, rfm_score, segment.
+    default (fewer days = better).  Only the four cut points per measure are
+    looked up (:func:`quintile_cuts`); the customers are compared with them and
+    never ranked.  ``reverse_recency=False, frequency_of="order_id"`` is the v1
+    variant.  A single customer gets ``single_customer_scores`` (the reference's
+    fallback binning).  Columns: customer, R, F, M, rfm_score, segment.
     """
     per = rfm_table(df, cols, frequency_of=frequency_of).where(F.col("R").isNotNull())
-    n = per.count()
-    ranked = per
-    for c in ("R", "F", "M"):
-        ranked = global_rank(ranked, [(c, True), ("customer", True)], rank_col=f"_rk_{c}",
-                             n_rows=n, **rank_opts)
-    nn = F.lit(n)
+    both = attach_one_row(per, quintile_cuts(per, ["R", "F", "M"], "customer"))
     if single_customer_scores is None:
         single_customer_scores = (5, 1, 1) if reverse_recency else (3, 3, 3)
-    if n == 1:
-        r_s, f_s, m_s = (F.lit(v) for v in single_customer_scores)
-    else:
-        r_s = quintile_score(F.col("_rk_R"), nn, reverse=reverse_recency)
-        f_s = quintile_score(F.col("_rk_F"), nn)
-        m_s = quintile_score(F.col("_rk_M"), nn)
-    total = r_s + f_s + m_s
-    scores = [r_s.alias("R_score"), f_s.alias("F_score"), m_s.alias("M_score")] if with_scores else []
-    return ranked.select(F.col("customer").cast("string").alias("customer"),
-                         F.col("R").cast("long").alias("R"), F.col("F").cast("long").alias("F"),
-                         "M", total.cast("long").alias("rfm_score"),
-                         segment_label(total).alias("segment"), *scores)
+    scores = {}
+    for c, alone in zip("RFM", single_customer_scores, strict=True):
+        q = quintile(F.col(c), F.col("customer"), F.col(f"cuts_{c}"), F.col("n"), reverse=reverse_recency and c == "R")
+        scores[f"{c}_score"] = F.when(F.col("n") == 1, F.lit(alone)).otherwise(q).cast("int")
+    both = both.withColumns(scores)
+    total = F.col("R_score") + F.col("F_score") + F.col("M_score")
+    return both.select(F.col("customer").cast("string").alias("customer"),
+                       F.col("R").cast("long").alias("R"), F.col("F").cast("long").alias("F"),
+                       "M", total.cast("long").alias("rfm_score"),
+                       segment_label(total).alias("segment"), *(list(scores) if with_scores else []))
 
 
 def segment_counts(df: DataFrame, cols: ColumnMap | dict | None = None, **kw) -> DataFrame:

@@ -16,7 +16,9 @@ from kpiforge.functions.columns import ColumnMap
 from kpiforge.operators import sales
 from kpiforge.sources import testviews as tv
 
-IDENT = ColumnMap.identity()
+#: Decimal places of the driver tables' amounts: their sums are exact in any order.
+SCALE = 4
+IDENT = ColumnMap.identity(scale=SCALE)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -50,7 +52,7 @@ for _f, _n in (("D", "d"), ("W", "w"), ("M", "m"), ("Q", "q"), ("Y", "y")):
         def q(spark, sf):
             from kpiforge.functions.periods import resample
             led = _ledger(spark, sf, "date", "amount")
-            return resample(led, freq).drop("period_start")
+            return resample(led, freq, scale=SCALE).drop("period_start")
         return q
     QUERIES[f"resample_{_n}"] = _mk(_f)
 
@@ -81,7 +83,33 @@ def _anom_q(freq, z=2.0, source="sales"):
 
 QUERIES["anomalies_daily"] = _anom_q("D")
 QUERIES["anomalies_weekly"] = _anom_q("W", 1.5)
-QUERIES["anomalies_hourly_events"] = _anom_q("D", 1.0, "events")
+QUERIES["anomalies_daily_events"] = _anom_q("D", 1.0, "events")
+
+
+@query("trend_growth_v1")
+def q_trend_growth_v1(spark, sf):
+    led = _ledger(spark, sf, "date", "amount")
+    return sales.trend(led, "M", IDENT, growth_rule="pct_change").withColumn("growth_pct", _r6("growth_pct"))
+
+
+@query("trend_by_category")
+def q_trend_by_category(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "category")
+    return sales.trend(led, "Q", IDENT, group_cols=["category"]).withColumn("growth_pct", _r6("growth_pct"))
+
+
+@query("anomalies_by_region")
+def q_anomalies_by_region(spark, sf):
+    out = sales.anomalies(_ledger(spark, sf, "date", "amount", "region"), "W", 1.5, IDENT, group_cols=["region"])
+    return out.select("region", "period", "actual", _r6("expected").alias("expected"),
+                      _r6("z_score").alias("z_score"), "direction")
+
+
+@query("trend_nan_by_status")
+def q_trend_nan_by_status(spark, sf):
+    """A grouped trend over amounts of which some are NaN."""
+    led = tv.nan_lines(spark, sf).select("date", F.col("price").alias("amount"), "linestatus")
+    return sales.trend(led, "M", IDENT, group_cols=["linestatus"]).withColumn("growth_pct", _r6("growth_pct"))
 
 
 @query("category_breakdown")
@@ -126,8 +154,12 @@ def q_trend_headline(spark, sf):
 from kpiforge.operators import marketing, orders as ords, products as prods  # noqa: E402
 
 
-def _orders(spark, sf):
-    return ords.prepare_orders(tv.ecom_orders(spark, sf))
+def _orders(spark, sf, *cols):
+    return ords.prepare_orders(tv.ecom_orders(spark, sf, cols or tv.ORDER_COLUMNS))
+
+
+#: What the product operators read of an order: no join is needed for these.
+PER_PRODUCT = ("product_id", "quantity", "unit_price", "cost_price")
 
 
 @query("prepare_orders")
@@ -137,51 +169,53 @@ def q_prepare_orders(spark, sf):
 
 @query("overview_metrics")
 def q_overview_metrics(spark, sf):
-    return ords.overview_metrics(_orders(spark, sf)).withColumn(
+    return ords.overview_metrics(
+        _orders(spark, sf, "customer_id", "quantity", "unit_price", "cost_price"), SCALE).withColumn(
         "profit_margin_pct", _r6("profit_margin_pct")).withColumn(
         "avg_order_value", _r6("avg_order_value"))
 
 
 @query("repeat_purchase")
 def q_repeat_purchase(spark, sf):
-    return ords.repeat_purchase(_orders(spark, sf))
+    return ords.repeat_purchase(_orders(spark, sf, "customer_id", "quantity", "unit_price", "cost_price"))
 
 
 # ------------------------------------------------------------ products (K1, K2, A4, PR4-6)
 
 @query("category_performance")
 def q_category_performance(spark, sf):
-    return prods.category_performance(_orders(spark, sf))
+    return prods.category_performance(
+        _orders(spark, sf, "order_id", "category", "quantity", "unit_price", "cost_price"), SCALE)
 
 
 @query("sales_ranking")
 def q_sales_ranking(spark, sf):
-    return prods.sales_ranking(_orders(spark, sf), tv.products(spark, sf), top_n=10)
+    return prods.sales_ranking(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), top_n=10, scale=SCALE)
 
 
 @query("profit_analysis")
 def q_profit_analysis(spark, sf):
-    return prods.profit_analysis(_orders(spark, sf), tv.products(spark, sf))
+    return prods.profit_analysis(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), scale=SCALE)
 
 
 @query("inventory_status")
 def q_inventory_status(spark, sf):
-    return prods.inventory_status(_orders(spark, sf), tv.products(spark, sf))
+    return prods.inventory_status(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), scale=SCALE)
 
 
 @query("low_stock")
 def q_low_stock(spark, sf):
-    return prods.low_stock(_orders(spark, sf), tv.products(spark, sf))
+    return prods.low_stock(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), scale=SCALE)
 
 
 @query("restock_recommendations")
 def q_restock(spark, sf):
-    return prods.restock_recommendations(_orders(spark, sf), tv.products(spark, sf))
+    return prods.restock_recommendations(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), scale=SCALE)
 
 
 @query("price_suggestions")
 def q_price_suggestions(spark, sf):
-    return prods.price_suggestions(_orders(spark, sf), tv.products(spark, sf))
+    return prods.price_suggestions(_orders(spark, sf, *PER_PRODUCT), tv.products(spark, sf), scale=SCALE)
 
 
 # ------------------------------------------------------------ marketing (P5, P6, A5, A6, K4, M7)
@@ -198,7 +232,7 @@ def q_conversion_metrics(spark, sf):
 
 @query("channel_performance")
 def q_channel_performance(spark, sf):
-    return marketing.channel_performance(tv.campaigns(spark, sf))
+    return marketing.channel_performance(tv.campaigns(spark, sf), SCALE)
 
 
 @query("funnel_total")
@@ -220,16 +254,13 @@ def q_campaign_efficiency(spark, sf):
 
 @query("budget_allocation")
 def q_budget_allocation(spark, sf):
-    return marketing.budget_allocation(tv.campaigns(spark, sf))
+    return marketing.budget_allocation(tv.campaigns(spark, sf), SCALE)
 
 
 # ------------------------------------------------------------ segments (G1-3, A13-15, C1)
 
 from kpiforge.operators import segments as seg  # noqa: E402
 
-# A small threshold forces the distributed (sorted, checkpointed) rank path at test scale.
-FORCE_DISTRIBUTED_RANK = {"rows_per_task": 97}
-
 
 @query("abc_category")
 def q_abc_category(spark, sf):
@@ -241,12 +272,6 @@ def q_abc_product(spark, sf):
     return seg.abc_analysis(_ledger(spark, sf, "amount", "product"), by="product", cols=IDENT)
 
 
-@query("abc_product_bucketed")
-def q_abc_product_bucketed(spark, sf):
-    return seg.abc_analysis(_ledger(spark, sf, "amount", "product"), by="product", cols=IDENT,
-                            rows_per_task=7)
-
-
 @query("abc_summary")
 def q_abc_summary(spark, sf):
     return seg.abc_summary(_ledger(spark, sf, "amount", "category"), cols=IDENT)
@@ -257,12 +282,6 @@ def q_rfm_segments(spark, sf):
     return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer"), IDENT)
 
 
-@query("rfm_segments_bucketed")
-def q_rfm_segments_bucketed(spark, sf):
-    return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer"), IDENT,
-                            **FORCE_DISTRIBUTED_RANK)
-
-
 @query("rfm_unreversed")
 def q_rfm_unreversed(spark, sf):
     return seg.rfm_segments(_ledger(spark, sf, "date", "amount", "customer", "order_id"), IDENT,
@@ -271,7 +290,7 @@ def q_rfm_unreversed(spark, sf):
 
 @query("rfm_events")
 def q_rfm_events(spark, sf):
-    return seg.rfm_segments(tv.events_ledger(spark, sf), IDENT, **FORCE_DISTRIBUTED_RANK)
+    return seg.rfm_segments(tv.events_ledger(spark, sf), IDENT)
 
 
 @query("segment_counts")
@@ -366,9 +385,26 @@ def q_forecast_holt_fixed(spark, sf):
         "value", _r4("value"))
 
 
-@query("forecast_arima")
-def q_forecast_arima(spark, sf):
-    return fc.arima(_ledger(spark, sf, "date", "amount"), (1, 1, 1), 30, "D", IDENT)
+@query("forecast_trend_by_region")
+def q_forecast_trend_by_region(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "region")
+    out = fc.linear_trend(led, 4, "M", IDENT, group_cols=["region"])
+    return out.select("region", "method", "freq", "history_periods", _r4("slope").alias("slope"), "step",
+                      "period", _r4("value").alias("value"))
+
+
+@query("forecast_holt_by_category")
+def q_forecast_holt_by_category(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "category")
+    return fc.holt(led, 6, 0.3, "M", IDENT, beta=0.1, group_cols=["category"]).withColumn("value", _r4("value"))
+
+
+@query("evaluate_by_region")
+def q_evaluate_by_region(spark, sf):
+    led = _ledger(spark, sf, "date", "amount", "region")
+    out = fc.evaluate(led, "trend", 0.8, "W", IDENT, group_cols=["region"])
+    return out.select("region", "method", "n_train", "n_test", *[_r4(c).alias(c) for c in ("mae", "rmse", "mape")],
+                      "mape_skipped", _r6("r2").alias("r2"))
 
 
 @query("evaluate_trend")
@@ -413,38 +449,39 @@ def q_clean_fill(spark, sf):
 
 @query("clean_dedupe")
 def q_clean_dedupe(spark, sf):
-    return qa.drop_duplicates(tv.dirty_lines(spark, sf).select("returnflag", "linestatus",
-                                                                "quantity"))
+    """Every column of the dirty lines, each line twice."""
+    dirty = tv.dirty_lines(spark, sf)
+    return qa.drop_duplicates(dirty.unionByName(dirty))
 
 
 @query("clean_iqr")
 def q_clean_iqr(spark, sf):
-    return qa.iqr_filter(tv.dirty_lines(spark, sf).select("quantity", "price", "discount"))
-
-
-@query("clean_iqr_distributed")
-def q_clean_iqr_distributed(spark, sf):
-    """Same as clean_iqr with the bucketed exact-quantile path forced."""
-    import kpiforge.functions.stats as st
-    df = tv.dirty_lines(spark, sf).select("quantity", "price", "discount")
-    cur = df
-    for c in ("quantity", "price", "discount"):
-        q1, q3 = st.quantiles(cur, c, [0.25, 0.75], rows_per_bucket=1000)
-        iqr = q3 - q1
-        cur = cur.where((F.col(c) >= q1 - 1.5 * iqr) & (F.col(c) <= q3 + 1.5 * iqr))
-    return cur
+    return qa.iqr_filter(tv.dirty_lines(spark, sf))
 
 
 @query("clean_zscore")
 def q_clean_zscore(spark, sf):
-    return qa.zscore_filter(tv.dirty_lines(spark, sf).select("quantity", "price", "discount"))
+    return qa.zscore_filter(tv.dirty_lines(spark, sf))
 
 
 @query("clean_pipeline")
 def q_clean_pipeline(spark, sf):
-    return qa.clean(tv.dirty_lines(spark, sf).select("quantity", "discount", "returnflag",
-                                                      "linestatus"),
-                    handle_missing="fill", remove_duplicates=True, outlier_method="iqr")
+    return qa.clean(tv.dirty_lines(spark, sf), handle_missing="fill", remove_duplicates=True, outlier_method="iqr")
+
+
+@query("clean_fill_nan")
+def q_clean_fill_nan(spark, sf):
+    return qa.fill_missing(tv.nan_lines(spark, sf))
+
+
+@query("clean_zscore_nan")
+def q_clean_zscore_nan(spark, sf):
+    return qa.zscore_filter(tv.nan_lines(spark, sf))
+
+
+@query("data_profile_nan")
+def q_data_profile_nan(spark, sf):
+    return qa.profile(tv.nan_lines(spark, sf))
 
 
 @query("data_profile")
@@ -477,29 +514,59 @@ def q_commentary_markdown(spark, sf):
     return nar.markdown(nar.commentary_report(summary, alerts))
 
 
-@query("commentary_payload")
-def q_commentary_payload(spark, sf):
+def _payload(spark, sf):
     led, summary, alerts = _report_inputs(spark, sf)
     return nar.payload(summary, sales.trend(led, "M", IDENT), alerts,
                        sales.category_breakdown(led, IDENT), sales.region_breakdown(led, IDENT))
 
 
+@query("commentary_payload")
+def q_commentary_payload(spark, sf):
+    """The payload's JSON read back, field by field."""
+    point = "struct<period: date, revenue: double, n_orders: bigint, growth_pct: double>"
+    alert = "struct<period: date, actual: double, direction: string>"
+    parsed = F.from_json("payload", f"struct<summary: struct<n_records: bigint, date_start: string, total_revenue: double, "
+                         f"top_region: string, n_customers: bigint>, trend_last_6: array<{point}>, anomalies_top_3: array<{alert}>, "
+                         "category_breakdown_top5: map<string, double>, region_breakdown_top5: map<string, double>>")
+    p = _payload(spark, sf).select("payload", parsed.alias("p"))
+    cat, reg = F.col("p.category_breakdown_top5"), F.col("p.region_breakdown_top5")
+    return p.select(
+        "p.summary.n_records", "p.summary.date_start", "p.summary.total_revenue", "p.summary.top_region", "p.summary.n_customers",
+        F.col("p.trend_last_6.period").cast("array<string>").alias("trend_periods"), F.col("p.trend_last_6.revenue").alias("trend_revenue"),
+        F.col("p.trend_last_6.n_orders").alias("trend_orders"),
+        F.col("p.anomalies_top_3.period").cast("array<string>").alias("alert_periods"),
+        F.col("p.anomalies_top_3.direction").alias("alert_directions"),
+        F.map_keys(cat).alias("categories"), F.map_values(cat).alias("category_revenue"),
+        F.map_keys(reg).alias("regions"), F.map_values(reg).alias("region_revenue"),
+        F.col("payload").contains('"growth_first_to_last_month":').alias("has_growth"))
+
+
 @query("parse_commentary")
 def q_parse_commentary(spark, sf):
-    """Assistant turns of ``conversations`` as model responses (not JSON: they
-    fall back to the rules), plus the rule report itself serialised as a
-    fenced JSON response (parses)."""
+    """Every text of ``conversations`` as a model response (none is JSON, so they
+    fall back to the rules), and per nation five responses made from its row: an
+    object, a fenced one, a broken one, one with text behind it, one without overview."""
     _, summary, alerts = _report_inputs(spark, sf)
-    report = nar.commentary_report(summary, alerts).persist()   # one row, two consumers
-    conv = spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet")
-    replies = conv.where(F.col("role") == "assistant").select(
-        F.concat_ws("-", "conv_id", "turn").alias("response_id"), F.col("text").alias("text"))
-    echo = report.select(F.lit("rules-json").alias("response_id"),
-                         F.concat(F.lit("```json\n"),
-                                  F.to_json(F.struct("overview", "highlights", "risks",
-                                                     "recommendations")),
-                                  F.lit("\n```")).alias("text"))
-    return nar.parse_response(replies.unionByName(echo), "text", report)
+    report = nar.commentary_report(summary, alerts)
+    base = sf.rstrip("/")
+    conv = spark.read.parquet(f"{base}/conversations.parquet")
+    texts = conv.select(F.concat_ws("-", "conv_id", "turn").alias("response_id"), "text")
+    nation = spark.read.parquet(f"{base}/nation.parquet")
+    tail = F.concat(F.lit('"highlights": ["'), F.col("n_name"), F.lit('", "", null, 0, 7, false, true], "risks": [], '
+                    '"recommendations": ["r'), F.col("n_nationkey").cast("string"), F.lit('"]}'))
+    whole = F.concat(F.lit('{"overview": "'), F.col("n_name"), F.lit('", '), tail)
+    forms = {"plain": whole, "fenced": F.concat(F.lit("```json\n"), whole, F.lit("\n```\n")),
+             "broken": F.regexp_replace(whole, "\\]\\}$", ""), "trailing": F.concat(whole, F.lit(" as asked")),
+             "bare": F.concat(F.lit("{"), tail)}
+    made = nation.select("n_nationkey", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), x.alias("text")) for k, x in forms.items()])).alias("r"))
+    made = made.select(F.concat_ws("-", F.lit("json"), F.col("n_nationkey").cast("string"), "r.form").alias("response_id"), "r.text")
+    return nar.parse_response(texts.unionByName(made), "text", report, backend="stub")
+
+
+@query("head_sample")
+def q_head_sample(spark, sf):
+    li = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet")
+    return writers.head_sample(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), 10, ["l_orderkey", "l_linenumber"])
 
 
 @query("report_totals")

@@ -7,12 +7,27 @@ logical tables (``sources.testviews.*_SQL``) and then states the operator.
 from __future__ import annotations
 
 from kpiforge.plans import sqlparts as P
-from kpiforge.sources.testviews import (CAMPAIGNS_SQL, ECOM_SQL, EVENTS_SQL, PRODUCTS_SQL,
-                                        SALES_SQL, with_views)
+from kpiforge.operators import marketing as M, narrative as N, products as PR, segments as S
+from kpiforge.sources.testviews import (CAMPAIGNS_SQL, DIRTY_SQL, ECOM_SQL, EVENTS_SQL, NAN_SQL,
+                                        PRODUCTS_SQL, SALES_SQL, with_views)
 
 SQL: dict[str, str] = {}
 
 
+def _q(text: str) -> str:
+    """A fixed label as a SQL string."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sentence(name: str, *figures: str) -> str:
+    """``narrative.sentence`` in SQL."""
+    parts = N.TEXTS[name].split("{}")
+    out = [_q(parts[0])]
+    for figure, part in zip(figures, parts[1:], strict=True):
+        out += [figure, _q(part)]
+    return " || ".join(out)
+
+
 def r6(x: str) -> str:
     return P.r(x, 6)
 
@@ -76,7 +91,34 @@ FROM zz WHERE abs(z_score) >= {z}""", view, P.resample_ctes(src, freq))
 
 SQL["anomalies_daily"] = _anom_sql("D", 2.0)
 SQL["anomalies_weekly"] = _anom_sql("W", 1.5)
-SQL["anomalies_hourly_events"] = _anom_sql("D", 1.0, "v_events", EVENTS_SQL)
+SQL["anomalies_daily_events"] = _anom_sql("D", 1.0, "v_events", EVENTS_SQL)
+
+SQL["trend_growth_v1"] = with_views(f"""SELECT period, revenue, n_orders,
+  {r6("(revenue / NULLIF(lag(revenue) OVER (ORDER BY ps), 0) - 1) * 100.0")} AS growth_pct FROM s""",
+                                    SALES_SQL, P.resample_ctes("v_sales", "M"))
+_BY = "PARTITION BY {k} ORDER BY ps"
+
+
+def _grouped_trend_sql(key, freq, src, view, value="amount"):
+    w = f"lag(revenue) OVER ({_BY.format(k=key)})"
+    return with_views(f"SELECT {key}, period, revenue, n_orders, "
+                      f"{r6(f'CASE WHEN {w} > 0 THEN (revenue / {w} - 1) * 100.0 END')} AS growth_pct FROM s",
+                      view, P.grouped_ctes(src, freq, key, value))
+
+
+SQL["trend_by_category"] = _grouped_trend_sql("category", "Q", "v_sales", SALES_SQL)
+SQL["trend_nan_by_status"] = _grouped_trend_sql("linestatus", "M", "v_nan", NAN_SQL, "price")
+_W14 = f"OVER ({_BY.format(k='region')} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+SQL["anomalies_by_region"] = with_views(f"""WITH
+sc AS (SELECT region, period, revenue,
+         CASE WHEN COUNT(revenue) {_W14} >= 3 THEN AVG(revenue) {_W14} END AS mu,
+         CASE WHEN COUNT(revenue) {_W14} >= 3 THEN STDDEV_SAMP(revenue) {_W14} END AS sd,
+         COUNT(*) OVER (PARTITION BY region) AS n FROM s),
+zz AS (SELECT region, period, revenue AS actual, mu AS expected, (revenue - mu) / sd AS z_score
+       FROM sc WHERE n >= 5 AND sd IS NOT NULL AND sd >= 1e-9)
+SELECT region, period, actual, {r6('expected')} AS expected, {r6('z_score')} AS z_score,
+       CASE WHEN z_score > 0 THEN 'spike' ELSE 'drop' END AS direction
+FROM zz WHERE abs(z_score) >= 1.5""", SALES_SQL, P.grouped_ctes("v_sales", "W", "region"))
 
 SQL["category_breakdown"] = with_views(f"""SELECT category, {P.msum('amount')} AS revenue
 FROM v_sales WHERE category IS NOT NULL GROUP BY 1""", SALES_SQL)
@@ -154,32 +196,32 @@ _INV = f"""sold AS (
 inv AS (
   SELECT CAST(p.product_id AS VARCHAR) AS product_id, p.product_name, p.category, p.sell_price,
          p.stock_quantity, p.reorder_level,
-         CASE WHEN p.stock_quantity <= p.reorder_level THEN '低库存'
-              WHEN p.stock_quantity > p.reorder_level * 2 THEN '充足' ELSE '正常' END
+         CASE WHEN p.stock_quantity <= p.reorder_level THEN {_q(PR.STATUS_LOW)}
+              WHEN p.stock_quantity > p.reorder_level * 2 THEN {_q(PR.STATUS_AMPLE)} ELSE {_q(PR.STATUS_OK)} END
            AS stock_status,
          COALESCE(s.sold_qty, 0.0) AS sold_qty,
          {P.r(P.div('COALESCE(s.sold_qty, 0.0)', 'p.stock_quantity') + ' * 100.0')} AS turnover_rate
   FROM v_products p LEFT JOIN sold s ON CAST(p.product_id AS VARCHAR) = s.product_id)"""
 SQL["inventory_status"] = with_views(f"WITH {_INV} SELECT * FROM inv", ECOM_SQL, PRODUCTS_SQL)
-SQL["low_stock"] = with_views(f"WITH {_INV} SELECT * FROM inv WHERE stock_status = '低库存'",
+SQL["low_stock"] = with_views(f"WITH {_INV} SELECT * FROM inv WHERE stock_status = {_q(PR.STATUS_LOW)}",
                               ECOM_SQL, PRODUCTS_SQL)
 SQL["restock_recommendations"] = with_views(f"""WITH {_INV},
 d AS (SELECT *, {P.r('sold_qty / 25.0', 1)} AS daily_sales FROM inv),
 e AS (SELECT *, {P.r(P.div('stock_quantity', 'daily_sales'), 1)} AS days_remaining FROM d)
 SELECT *, CASE
   WHEN stock_quantity <= reorder_level
-    THEN '立即补货，建议补货量 ' || CAST(CAST(trunc(daily_sales * 15) AS BIGINT) AS VARCHAR)
+    THEN {_q(PR.RESTOCK_NOW)} || CAST(CAST(trunc(daily_sales * 15) AS BIGINT) AS VARCHAR)
   WHEN days_remaining IS NOT NULL AND days_remaining < 10
-    THEN '准备补货，预计 ' || CAST(CAST(trunc(days_remaining) AS BIGINT) AS VARCHAR) || ' 天后库存不足'
-  ELSE '库存充足' END AS recommendation
+    THEN {_q(PR.RESTOCK_SOON_PREFIX)} || CAST(CAST(trunc(days_remaining) AS BIGINT) AS VARCHAR) || {_q(PR.RESTOCK_SOON_SUFFIX)}
+  ELSE {_q(PR.RESTOCK_FINE)} END AS recommendation
 FROM e WHERE stock_quantity <= reorder_level * 1.5""", ECOM_SQL, PRODUCTS_SQL)
 SQL["price_suggestions"] = with_views(f"""WITH {_PER_PRODUCT}, {_PROFIT}
 SELECT product_id, product_name, profit_margin, CASE
-  WHEN profit_margin IS NULL THEN '数据不足'
+  WHEN profit_margin IS NULL THEN {_q(PR.PRICE_NO_DATA)}
   WHEN profit_margin < 30
-    THEN '建议提价 ' || CAST(CAST(trunc((35.0 - profit_margin) / 10.0 * 5.0) AS BIGINT) AS VARCHAR) || '% 或优化成本'
-  WHEN profit_margin > 60 THEN '利润率优秀，可考虑促销扩大销量'
-  ELSE '价格策略合理' END AS price_suggestion
+    THEN {_q(PR.PRICE_RAISE_PREFIX)} || CAST(CAST(trunc((35.0 - profit_margin) / 10.0 * 5.0) AS BIGINT) AS VARCHAR) || {_q(PR.PRICE_RAISE_SUFFIX)}
+  WHEN profit_margin > 60 THEN {_q(PR.PRICE_EXCELLENT)}
+  ELSE {_q(PR.PRICE_FINE)} END AS price_suggestion
 FROM prof""", ECOM_SQL, PRODUCTS_SQL)
 
 # ------------------------------------------------------------ marketing
@@ -246,8 +288,8 @@ p AS (SELECT ch.*, tot.total, CASE
   FROM ch, tot, mx)
 SELECT channel, roi AS current_roi, {P.r('pct', 1)} AS suggested_budget_percent,
   {P.r('total * pct / 100.0')} AS suggested_budget_amount,
-  CASE WHEN (roi IS NULL AND budget = 0 AND revenue > 0) OR roi > 100 THEN '增加预算 - 高 ROI 渠道'
-       WHEN roi > 50 THEN '保持预算 - 表现良好' ELSE '优化或减少预算 - ROI 偏低' END AS recommendation
+  CASE WHEN (roi IS NULL AND budget = 0 AND revenue > 0) OR roi > 100 THEN {_q(M.BUDGET_UP)}
+       WHEN roi > 50 THEN {_q(M.BUDGET_KEEP)} ELSE {_q(M.BUDGET_DOWN)} END AS recommendation
 FROM p""", CAMPAIGNS_SQL)
 
 # ------------------------------------------------------------ segments
@@ -268,7 +310,6 @@ abc AS (SELECT *, CASE WHEN cum_pct <= 70 THEN 'A' WHEN cum_pct <= 90 THEN 'B' E
 
 SQL["abc_category"] = with_views(f"WITH {_abc_sql('category')} SELECT * FROM abc", SALES_SQL)
 SQL["abc_product"] = with_views(f"WITH {_abc_sql('product')} SELECT * FROM abc", SALES_SQL)
-SQL["abc_product_bucketed"] = SQL["abc_product"]
 SQL["abc_summary"] = with_views(f"""WITH {_abc_sql('category')},
 per_c AS (SELECT abc_class, COUNT(*) AS n_items, SUM(CAST(revenue AS DECIMAL(38,4))) AS rv
   FROM abc GROUP BY 1),
@@ -299,12 +340,11 @@ sc AS (SELECT *, CASE WHEN n = 1 THEN 5 ELSE {rs} END AS rs,
   CASE WHEN n = 1 THEN 1 ELSE greatest(1, (5 * (rm - 1) + n - 2) // (n - 1)) END AS ms FROM rk),
 rfm AS (SELECT CAST(customer AS VARCHAR) AS customer, R, CAST(F AS BIGINT) AS F, M,
   CAST(rs + fs + ms AS BIGINT) AS rfm_score,
-  CASE WHEN rs + fs + ms >= 12 THEN '重要价值客户' WHEN rs + fs + ms >= 9 THEN '重要发展客户'
-       WHEN rs + fs + ms >= 6 THEN '一般客户' ELSE '低价值客户' END AS segment FROM sc)"""
+  CASE WHEN rs + fs + ms >= 12 THEN {_q(S.SEGMENTS[0])} WHEN rs + fs + ms >= 9 THEN {_q(S.SEGMENTS[1])}
+       WHEN rs + fs + ms >= 6 THEN {_q(S.SEGMENTS[2])} ELSE {_q(S.SEGMENTS[3])} END AS segment FROM sc)"""
 
 
 SQL["rfm_segments"] = with_views(f"WITH {_rfm_sql()} SELECT * FROM rfm", SALES_SQL)
-SQL["rfm_segments_bucketed"] = SQL["rfm_segments"]
 SQL["rfm_unreversed"] = with_views(f"WITH {_rfm_sql(freq_col='order_id', reverse=False)} "
                                    "SELECT * FROM rfm", SALES_SQL)
 SQL["rfm_events"] = with_views(f"WITH {_rfm_sql('v_events')} SELECT * FROM rfm", EVENTS_SQL)
@@ -415,6 +455,41 @@ SELECT 'holt' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods,
 FROM fin, st, (SELECT unnest(range(1, 13)) AS k) WHERE n >= 2""", _vm, _sm)
 
 
+_TS_BY = """,
+ts AS (SELECT {k}, ps, period, revenue AS y, row_number() OVER (PARTITION BY {k} ORDER BY ps) - 1 AS t,
+         COUNT(*) OVER (PARTITION BY {k}) AS n FROM s)"""
+SQL["forecast_trend_by_region"] = with_views(f"""WITH st AS (SELECT region, regr_slope(y, t) AS slope,
+  regr_intercept(y, t) AS icpt, MAX(n) AS n, MAX(ps) AS last FROM ts GROUP BY region)
+SELECT region, 'linear_trend' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods,
+  {r4('slope')} AS slope, k AS step, {future_label('M')} AS period,
+  {r4('greatest(0.0, slope * (n - 1 + k) + icpt)')} AS value
+FROM st, (SELECT unnest(range(1, 5)) AS k) WHERE n >= 2""", SALES_SQL, P.grouped_ctes("v_sales", "M", "region") + _TS_BY.format(k="region"))
+SQL["forecast_holt_by_category"] = with_views(f"""WITH RECURSIVE
+y01 AS (SELECT category, MAX(CASE WHEN t = 0 THEN y END) AS y0, MAX(CASE WHEN t = 1 THEN y END) AS y1,
+  MAX(n) AS n, MAX(ps) AS last FROM ts GROUP BY category),
+rec(category, t, l, b) AS (
+  SELECT category, 1, y1, y1 - y0 FROM y01 WHERE n >= 2
+  UNION ALL
+  SELECT ts.category, ts.t, 0.3 * ts.y + 0.7 * (rec.l + rec.b),
+         0.1 * ((0.3 * ts.y + 0.7 * (rec.l + rec.b)) - rec.l) + 0.9 * rec.b
+  FROM rec JOIN ts ON ts.category = rec.category AND ts.t = rec.t + 1)
+SELECT y01.category, 'holt' AS method, 'M' AS freq, CAST(n AS BIGINT) AS history_periods,
+  CAST(0.1 AS DOUBLE) AS beta, k AS step, {future_label('M')} AS period, {r4('l + k * b')} AS value
+FROM rec JOIN y01 ON rec.category = y01.category AND rec.t = n - 1, (SELECT unnest(range(1, 7)) AS k)""",
+                                                SALES_SQL, P.grouped_ctes("v_sales", "M", "category") + _TS_BY.format(k="category"))
+SQL["evaluate_by_region"] = with_views(f"""WITH sp0 AS (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS sp FROM ts),
+fit AS (SELECT region, COUNT(*) AS n_train, regr_slope(y, t) AS bb, regr_intercept(y, t) AS aa FROM sp0 WHERE t < sp GROUP BY region),
+te AS (SELECT sp0.region, y, n_train, bb * t + aa AS p FROM sp0 JOIN fit ON sp0.region = fit.region WHERE t >= sp),
+agg AS (SELECT region, MAX(n_train) AS n_train, COUNT(*) AS n_test, AVG(abs(y - p)) AS mae,
+  sqrt(AVG((y - p) * (y - p))) AS rmse, AVG(CASE WHEN y <> 0 THEN abs((y - p) / y) END) * 100.0 AS mape,
+  COUNT(CASE WHEN y = 0 THEN 1 END) AS mape_skipped, SUM((y - p) * (y - p)) AS ssr,
+  var_pop(y) * COUNT(*) AS sst FROM te GROUP BY region)
+SELECT region, 'trend' AS method, CAST(n_train AS BIGINT) AS n_train, n_test, {r4('mae')} AS mae, {r4('rmse')} AS rmse,
+  {r4('mape')} AS mape, mape_skipped,
+  {r6("CASE WHEN sst > 0 THEN 1.0 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END")} AS r2
+FROM agg""", SALES_SQL, P.grouped_ctes("v_sales", "W", "region") + _TS_BY.format(k="region"))
+
+
 def _eval_sql(method):
     if method == "ma":
         fit = """SELECT AVG(y) AS m, COUNT(*) AS n_train,
@@ -447,8 +522,6 @@ SQL["forecast_input_summary"] = with_views("""SELECT
 
 # ------------------------------------------------------------ data quality
 
-from kpiforge.sources.testviews import DIRTY_SQL  # noqa: E402
-
 SQL["clean_drop"] = with_views("""SELECT * FROM v_dirty WHERE l_orderkey IS NOT NULL
   AND l_linenumber IS NOT NULL AND quantity IS NOT NULL AND price IS NOT NULL
   AND discount IS NOT NULL AND returnflag IS NOT NULL AND linestatus IS NOT NULL""", DIRTY_SQL)
@@ -459,8 +532,7 @@ SQL["clean_fill"] = with_views("""WITH st AS (SELECT quantile_cont(quantity, 0.5
 SELECT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, price,
   COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus
 FROM v_dirty, st""", DIRTY_SQL)
-SQL["clean_dedupe"] = with_views("SELECT DISTINCT returnflag, linestatus, quantity FROM v_dirty",
-                                 DIRTY_SQL)
+SQL["clean_dedupe"] = with_views("SELECT DISTINCT * FROM v_dirty", DIRTY_SQL)
 
 
 def _iqr_step(prev, cur, col):
@@ -475,31 +547,40 @@ def _z_step(prev, cur, col):
   WHERE s > 0 AND abs(({col} - m) / s) < 3.0)"""
 
 
-_IQR = ",\n".join([
-    "c0 AS (SELECT quantity, price, discount FROM v_dirty)",
-    _iqr_step("c0", "c1", "quantity"), _iqr_step("c1", "c2", "price"),
-    _iqr_step("c2", "c3", "discount")])
-SQL["clean_iqr"] = with_views(f"WITH {_IQR} SELECT * FROM c3", DIRTY_SQL)
-SQL["clean_iqr_distributed"] = SQL["clean_iqr"]
-SQL["clean_zscore"] = with_views("WITH " + ",\n".join([
-    "c0 AS (SELECT quantity, price, discount FROM v_dirty)",
-    _z_step("c0", "c1", "quantity"), _z_step("c1", "c2", "price"),
-    _z_step("c2", "c3", "discount")]) + " SELECT * FROM c3", DIRTY_SQL)
-SQL["clean_pipeline"] = with_views("WITH " + ",\n".join([
-    """st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(discount, 0.5) AS md,
+def _steps(first: str, step, cols: list[str]) -> str:
+    """CTEs c0 = ``first``, then a filter step per column, in order."""
+    return ",\n".join([f"c0 AS ({first})"] + [step(f"c{i}", f"c{i + 1}", c) for i, c in enumerate(cols)])
+
+
+_NUMBERS = ["l_orderkey", "l_linenumber", "quantity", "price", "discount"]
+SQL["clean_iqr"] = with_views(f"WITH {_steps('SELECT * FROM v_dirty', _iqr_step, _NUMBERS)} SELECT * FROM c5", DIRTY_SQL)
+SQL["clean_zscore"] = with_views(f"WITH {_steps('SELECT * FROM v_dirty', _z_step, _NUMBERS)} SELECT * FROM c5", DIRTY_SQL)
+SQL["clean_zscore_nan"] = with_views(
+    f"WITH {_steps('SELECT * FROM v_nan', _z_step, _NUMBERS[:4])} SELECT * FROM c4", NAN_SQL)
+_FILLED = """SELECT DISTINCT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, price,
+  COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus FROM v_dirty, st"""
+SQL["clean_pipeline"] = with_views(f"""WITH st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(discount, 0.5) AS md,
   (SELECT returnflag FROM v_dirty WHERE returnflag IS NOT NULL GROUP BY 1
-   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_dirty)""",
-    """c0 AS (SELECT DISTINCT COALESCE(quantity, mq) AS quantity, COALESCE(discount, md) AS discount,
-  COALESCE(returnflag, mr) AS returnflag, linestatus FROM v_dirty, st)""",
-    _iqr_step("c0", "c1", "quantity"), _iqr_step("c1", "c2", "discount")])
-    + " SELECT * FROM c2", DIRTY_SQL)
+   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_dirty),
+{_steps(_FILLED, _iqr_step, _NUMBERS)} SELECT * FROM c5""", DIRTY_SQL)
+SQL["clean_fill_nan"] = with_views("""WITH st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(price, 0.5) AS mp FROM v_nan)
+SELECT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, COALESCE(price, mp) AS price, linestatus, date
+FROM v_nan, st""", NAN_SQL)
 _PROFILE_COLS = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("quantity", "double"),
                  ("price", "double"), ("discount", "double"), ("returnflag", "string"),
                  ("linestatus", "string")]
-SQL["data_profile"] = with_views(" UNION ALL ".join(
-    f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column, '{t}' AS dtype, "
-    f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing, COUNT(*) AS n_rows "
-    f"FROM v_dirty" for i, (c, t) in enumerate(_PROFILE_COLS)), DIRTY_SQL)
+
+
+def _profile_sql(view: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS column, '{t}' AS dtype, "
+        f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing, COUNT(*) AS n_rows "
+        f"FROM {view}" for i, (c, t) in enumerate(cols))
+
+
+SQL["data_profile"] = with_views(_profile_sql("v_dirty", _PROFILE_COLS), DIRTY_SQL)
+SQL["data_profile_nan"] = with_views(_profile_sql("v_nan", [
+    *_PROFILE_COLS[:4], ("linestatus", "string"), ("date", "timestamp_ntz")]), NAN_SQL)
 
 # ------------------------------------------------------------ report
 
@@ -522,38 +603,42 @@ alerts AS (SELECT period, revenue AS actual, mu AS expected, (revenue - mu) / sd
   FROM sc WHERE n >= 5 AND sd IS NOT NULL AND sd >= 1e-9 AND abs((revenue - mu) / sd) >= {z})"""
 
 
-_MONEY = "format('{{:,.0f}}', {x})"
+_MONEY = "format('{{:,.0f}}', {x})"  # braces halve in str.format
+_G = "growth_first_to_last_month"
+_DAY = "strftime(period, '%Y-%m-%d')"
+
+
+def _m(x):
+    return _MONEY.format(x=x)
+
+
+def _signed(x):
+    return f"format('{{{{:+.1f}}}}', {x})"
+
+
+_SPAN = _sentence("span", "date_start", "date_end", "CAST(total_orders AS VARCHAR)", "CAST(n_customers AS VARCHAR)",
+                  _m("total_revenue"), _m("avg_order_value"),
+                  f"CASE WHEN {_G} IS NOT NULL THEN {_sentence('growth', _signed(_G))} ELSE '' END")
+_ITEMS = [
+    ("overview", 0, _SPAN, "sm"),
+    ("highlights", 1, _sentence("top_category", "top_category", _m("top_category_revenue")), "sm WHERE COALESCE(top_category, '') <> ''"),
+    ("highlights", 2, _sentence("top_region", "top_region", _m("top_region_revenue")), "sm WHERE COALESCE(top_region, '') <> ''"),
+    ("highlights", 3, _sentence("expanding", _signed(_G)), f"sm WHERE {_G} > 10"),
+    ("risks", 1, _sentence("drop", _DAY, _m("actual"), _m("expected"), "format('{{:.2f}}', z_score)"), "fd"),
+    ("risks", 2, _sentence("shrinking", f"format('{{{{:.1f}}}}', {_G})"), f"sm WHERE {_G} < -10"),
+    ("risks", 3, _sentence("few_orders"), "sm WHERE n_customers > 0 AND total_orders / n_customers < 1.2"),
+    ("recommendations", 1, _sentence("push_category", "top_category"), "sm WHERE COALESCE(top_category, '') <> ''"),
+    ("recommendations", 2, _sentence("check_drop"), "fd"),
+    ("recommendations", 3, _sentence("review_spike", _DAY), "fs"),
+]
+_ITEM_SQL = "\n  UNION ALL ".join(f"SELECT '{sec}' AS section, {k} AS k, {text} AS text FROM {src}" for sec, k, text, src in _ITEMS)
+_ITEM_SQL = _ITEM_SQL.replace("{{", "{").replace("}}", "}")
 SQL["commentary_rules"] = with_views(f"""WITH {_SUMMARY_CTE}, {_alerts_cte()},
 fd AS (SELECT * FROM alerts WHERE z_score <= 0 ORDER BY period LIMIT 1),
 fs AS (SELECT * FROM alerts WHERE z_score > 0 ORDER BY period LIMIT 1),
-items AS (
-  SELECT 'overview' AS section, 0 AS k, date_start || ' 至 ' || date_end || ' 期间，共 '
-    || CAST(total_orders AS VARCHAR) || ' 笔订单、' || CAST(n_customers AS VARCHAR)
-    || ' 名客户，总收入 CNY' || {_MONEY.format(x='total_revenue')} || '，平均客单 CNY'
-    || {_MONEY.format(x='avg_order_value')}
-    || CASE WHEN growth_first_to_last_month IS NOT NULL
-            THEN '，环比首月增长 ' || format('{{:+.1f}}', growth_first_to_last_month) || '%' ELSE '' END
-    || '。' AS text FROM sm
-  UNION ALL SELECT 'highlights', 1, '品类 Top1：' || top_category || ' 贡献 CNY'
-    || {_MONEY.format(x='top_category_revenue')} FROM sm WHERE COALESCE(top_category, '') <> ''
-  UNION ALL SELECT 'highlights', 2, '区域 Top1：' || top_region || ' 贡献 CNY'
-    || {_MONEY.format(x='top_region_revenue')} FROM sm WHERE COALESCE(top_region, '') <> ''
-  UNION ALL SELECT 'highlights', 3, '末月较首月增长 ' || format('{{:+.1f}}', growth_first_to_last_month)
-    || '%，业务在扩张' FROM sm WHERE growth_first_to_last_month > 10
-  UNION ALL SELECT 'risks', 1, strftime(period, '%Y-%m-%d') || ' 出现异常下跌（实际 CNY'
-    || {_MONEY.format(x='actual')} || '，预期 CNY' || {_MONEY.format(x='expected')} || '，z='
-    || format('{{:.2f}}', z_score) || '）' FROM fd
-  UNION ALL SELECT 'risks', 2, '末月较首月下降 ' || format('{{:.1f}}', growth_first_to_last_month)
-    || '%，需排查原因' FROM sm WHERE growth_first_to_last_month < -10
-  UNION ALL SELECT 'risks', 3, '人均订单数低，复购率有提升空间' FROM sm
-    WHERE n_customers > 0 AND total_orders / n_customers < 1.2
-  UNION ALL SELECT 'recommendations', 1, '加大 ' || top_category || ' 类目库存 / 营销投放' FROM sm
-    WHERE COALESCE(top_category, '') <> ''
-  UNION ALL SELECT 'recommendations', 2, '排查异常下跌时段的因素（促销 / 库存 / 渠道）' FROM fd
-  UNION ALL SELECT 'recommendations', 3, '复盘 ' || strftime(period, '%Y-%m-%d')
-    || ' 异常增长动因，看能否复制' FROM fs),
+items AS ({_ITEM_SQL}),
 full_ AS (SELECT * FROM items UNION ALL
-  SELECT 'recommendations', 4, '继续维持现有运营节奏，关注下期数据' FROM sm
+  SELECT 'recommendations', 4, {_sentence('carry_on')} FROM sm
   WHERE NOT EXISTS (SELECT 1 FROM items WHERE section = 'recommendations')),
 rows_ AS (SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY k) - 1 AS BIGINT)
   AS pos, text FROM full_)
@@ -569,9 +654,9 @@ def _md_section(sec, title, last=False):
 
 SQL["commentary_markdown"] = SQL["commentary_rules"].replace(
     "SELECT section, pos, text FROM rows_",
-    "SELECT '## 整体概览' || chr(10) || chr(10) || (SELECT text FROM rows_ WHERE section = 'overview')"
-    " || chr(10) || " + _md_section("highlights", "亮点") + " || " + _md_section("risks", "风险")
-    + " || " + _md_section("recommendations", "建议", last=True)
+    f"SELECT '## {N.HEADINGS['overview']}' || chr(10) || chr(10) || (SELECT text FROM rows_ WHERE section = 'overview')"
+    " || chr(10) || " + _md_section("highlights", N.HEADINGS["highlights"]) + " || " + _md_section("risks", N.HEADINGS["risks"])
+    + " || " + _md_section("recommendations", N.HEADINGS["recommendations"], last=True)
     + " AS markdown, 'heuristic' AS backend")
 
 
@@ -613,41 +698,55 @@ SELECT 'linear_trend', k, {future_label('D')}, {r4('slope * (n - 1 + k) + icpt')
 FROM st, steps WHERE n >= 2""", _v, _s)
 
 
-# N3: the rule report as the fallback, assistant turns plus the report itself
-# (fenced JSON) as responses; JSON objects with an overview parse, others fall back.
+# N2: the payload's fields, as they are read back from its JSON.
+def _top_sql(key):
+    return f"""top_{key} AS (SELECT CAST({key} AS VARCHAR) AS k, {P.msum('amount')} AS rev FROM v_sales
+  WHERE {key} IS NOT NULL GROUP BY {key} ORDER BY rev DESC, k LIMIT 5)"""
+
+
+SQL["commentary_payload"] = with_views(f"""WITH {_SUMMARY_CTE}, {_alerts_cte()},
+{P.resample_ctes('v_sales', 'M', 'mo')},
+last6 AS (SELECT * FROM mo ORDER BY period DESC LIMIT 6),
+first3 AS (SELECT * FROM alerts ORDER BY period LIMIT 3),
+{_top_sql('category')}, {_top_sql('region')}
+SELECT n_records, date_start, total_revenue, top_region, n_customers,
+  (SELECT list(CAST(period AS VARCHAR) ORDER BY period) FROM last6) AS trend_periods,
+  (SELECT list(revenue ORDER BY period) FROM last6) AS trend_revenue,
+  (SELECT list(n_orders ORDER BY period) FROM last6) AS trend_orders,
+  (SELECT list(CAST(period AS VARCHAR) ORDER BY period) FROM first3) AS alert_periods,
+  (SELECT list(CASE WHEN z_score > 0 THEN 'spike' ELSE 'drop' END ORDER BY period) FROM first3) AS alert_directions,
+  (SELECT list(k ORDER BY rev DESC, k) FROM top_category) AS categories,
+  (SELECT list(rev ORDER BY rev DESC, k) FROM top_category) AS category_revenue,
+  (SELECT list(k ORDER BY rev DESC, k) FROM top_region) AS regions,
+  (SELECT list(rev ORDER BY rev DESC, k) FROM top_region) AS region_revenue, true AS has_growth
+FROM sm""", SALES_SQL)
+
+
+# N3: what each response must give follows from its form; the texts of
+# conversations are none of them JSON objects.
 def _list_sql(sec):
     return (f"COALESCE((SELECT list(text ORDER BY pos) FROM rows_ WHERE section = '{sec}'), "
             "CAST([] AS VARCHAR[]))")
 
 
-def _strip_sql(x):
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-_PARSE = SQL["commentary_rules"].replace("\nSELECT section, pos, text FROM rows_", f""",
+SQL["parse_commentary"] = SQL["commentary_rules"].replace("\nSELECT section, pos, text FROM rows_", f""",
 rep AS (SELECT (SELECT text FROM rows_ WHERE section = 'overview') AS overview,
   {_list_sql('highlights')} AS highlights, {_list_sql('risks')} AS risks,
   {_list_sql('recommendations')} AS recommendations),
 resp AS (
-  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS response_id, text
-  FROM conversations WHERE role = 'assistant'
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS response_id, NULL AS name, NULL AS key,
+    CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN 'json' ELSE 'text' END AS form
+  FROM conversations
   UNION ALL
-  SELECT 'rules-json', '```json' || chr(10) || to_json({{'overview': overview,
-    'highlights': highlights, 'risks': risks, 'recommendations': recommendations}})
-    || chr(10) || '```' FROM rep),
-s1 AS (SELECT response_id, {_strip_sql('text')} AS t FROM resp),
-s2 AS (SELECT response_id, {_strip_sql("CASE WHEN starts_with(t, '```') THEN regexp_replace(regexp_replace(t, '^```(?:json)?\\s*\\n', ''), '\\n?```\\s*$', '') ELSE t END")} AS j FROM s1),
-s2v AS (SELECT response_id, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS j FROM s2),
-s3 AS (SELECT response_id, j, COALESCE(json_type(j) = 'OBJECT'
-         AND json_extract_string(j, '$.overview') IS NOT NULL, false) AS ok FROM s2v)
+  SELECT 'json-' || n_nationkey || '-' || form, n_name, n_nationkey, form
+  FROM nation, (VALUES ('plain'), ('fenced'), ('broken'), ('trailing'), ('bare')) f(form)),
+o AS (SELECT *, form IN ('plain', 'fenced', 'bare') AS ok FROM resp)
 SELECT response_id,
-  CASE WHEN ok THEN json_extract_string(j, '$.overview') ELSE rep.overview END AS overview,
-  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.highlights') AS VARCHAR[]), []),
-    lambda x: x IS NOT NULL AND x <> '') ELSE rep.highlights END AS highlights,
-  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.risks') AS VARCHAR[]), []),
-    lambda x: x IS NOT NULL AND x <> '') ELSE rep.risks END AS risks,
-  CASE WHEN ok THEN list_filter(COALESCE(CAST(json_extract(j, '$.recommendations') AS VARCHAR[]), []),
-    lambda x: x IS NOT NULL AND x <> '') ELSE rep.recommendations END AS recommendations,
-  CASE WHEN ok THEN 'llm' ELSE 'heuristic' END AS backend
-FROM s3, rep""")
-SQL["parse_commentary"] = _PARSE
+  CASE WHEN form = 'bare' THEN '' WHEN ok THEN name ELSE rep.overview END AS overview,
+  CASE WHEN ok THEN [name, '7', 'True'] ELSE rep.highlights END AS highlights,
+  CASE WHEN ok THEN CAST([] AS VARCHAR[]) ELSE rep.risks END AS risks,
+  CASE WHEN ok THEN ['r' || key] ELSE rep.recommendations END AS recommendations,
+  CASE WHEN ok THEN 'llm:stub' ELSE 'heuristic' END AS backend
+FROM o, rep""")
+SQL["head_sample"] = """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+ORDER BY l_orderkey, l_linenumber LIMIT 10"""

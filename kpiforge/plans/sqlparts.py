@@ -58,3 +58,17 @@ def resample_ctes(src: str, freq: str, prefix: str = "s", value: str = "amount")
   SELECT sp.ps, {end(freq, 'sp.ps')} AS period, COALESCE(a.revenue, 0.0) AS revenue,
          CAST(COALESCE(a.n_orders, 0) AS BIGINT) AS n_orders
   FROM {prefix}_spine sp LEFT JOIN {prefix}_agg a ON sp.ps = a.ps)"""
+
+
+def grouped_ctes(src: str, freq: str, key: str, value: str = "amount") -> str:
+    """``s`` (key, ps, period, revenue, n_orders): a gap-filled series per ``key``."""
+    return f"""s_agg AS (
+  SELECT {key}, {start(freq)} AS ps, {msum(value)} AS revenue, COUNT({value}) AS n_orders
+  FROM {src} WHERE date IS NOT NULL AND {key} IS NOT NULL GROUP BY 1, 2),
+s_spine AS (
+  SELECT {key}, CAST(unnest(generate_series(lo, hi, {step(freq)})) AS DATE) AS ps
+  FROM (SELECT {key}, CAST(MIN(ps) AS TIMESTAMP) AS lo, CAST(MAX(ps) AS TIMESTAMP) AS hi FROM s_agg GROUP BY 1)),
+s AS (
+  SELECT sp.{key}, sp.ps, {end(freq, 'sp.ps')} AS period, COALESCE(a.revenue, 0.0) AS revenue,
+         CAST(COALESCE(a.n_orders, 0) AS BIGINT) AS n_orders
+  FROM s_spine sp LEFT JOIN s_agg a ON sp.{key} = a.{key} AND sp.ps = a.ps)"""

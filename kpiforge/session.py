@@ -6,36 +6,37 @@ DataFrames.  ``get_session`` is for tests, the benchmark and scripts.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "kpiforge") -> SparkSession:
-    """Build (or return) a session configured the way the operators expect.
+                app_name: str = "kpiforge", driver_memory: str | None = None) -> SparkSession:
+    """Build (or return) a session configured the way the operators expect: UTC
+    session time zone (period labels must not depend on the host zone), AQE on,
+    Spark UI off.
 
-    UTC session time zone (period labels must not depend on the host zone),
-    AQE on, Spark UI off.  ``spark.checkpoint.dir`` is only set when the
-    cluster has not named one.
+    Master, shuffle partitions and memory are only set when given, so on a cluster
+    what spark-submit says holds; tests and the benchmark pass their own.
     """
-    master = master or os.environ.get("KPIFORGE_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("KPIFORGE_SHUFFLE_PARTITIONS", "8"))
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
+    builder = (
+        SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("KPIFORGE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -57,7 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder "
-                               "(needed to freeze global ranks)")
+                               "(operators cut their lineage there)")
         current = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

@@ -1,43 +1,50 @@
 """Readers for the ledger and the three e-commerce tables (IO1-IO4).
 
-The e-commerce tables have fixed schemas, given explicitly (no inference pass
-over the data).  Dates on the e-commerce path are parsed leniently (bad values
-become NULL), as the reference does.  Parquet is read as-is.
+CSV columns are bound by the names in the header: any order, any subset, further
+columns as text.  Columns whose type is known are converted to it (a value that
+doesn't fit becomes NULL); a column that the file lacks is absent from the table.
+Dates on the e-commerce path are parsed leniently (bad values become NULL), as the
+reference does.  Parquet is read as it is: name it with ``fmt`` where the path
+doesn't end in ``.parquet``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kpiforge.operators.orders import prepare_orders
 
-ORDERS_SCHEMA = ("order_id string, customer_id string, customer_name string, product_id string, "
+ORDERS_TYPES = ("order_id string, customer_id string, customer_name string, product_id string, "
                  "product_name string, category string, quantity long, unit_price double, "
                  "cost_price double, order_date string, region string, city string, "
                  "payment_method string, status string")
-PRODUCTS_SCHEMA = ("product_id string, product_name string, category string, supplier string, "
+PRODUCTS_TYPES = ("product_id string, product_name string, category string, supplier string, "
                    "cost_price double, sell_price double, stock_quantity long, "
                    "reorder_level long, last_restock_date string")
-CAMPAIGNS_SCHEMA = ("campaign_id string, campaign_name string, start_date string, "
+CAMPAIGNS_TYPES = ("campaign_id string, campaign_name string, start_date string, "
                     "end_date string, channel string, budget double, orders long, "
                     "revenue double, impressions long, clicks long")
 
 
-def _read(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+def _read(spark: SparkSession, path: str, types: str | None = None, fmt: str | None = None, **options) -> DataFrame:
+    """``types``: known columns as "name type, ..."; without it they are inferred."""
+    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    reader = spark.read.options(header=True, mode="PERMISSIVE", enforceSchema=False, **options)
+    if types is None:
+        return reader.option("inferSchema", True).csv(path)
+    known = {f.name: f.dataType for f in StructType.fromDDL(types).fields}
+    table = reader.csv(path)  # every column as text, under its name in the header
+    return table.select(*[F.col(f"`{c}`").try_cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in table.columns])
 
 
-def load_ledger(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
-    """IO1 — a sales ledger (CSV with header, or parquet).  Without a schema the
-    CSV columns are inferred (one extra pass); pass ``schema`` in production."""
-    return _read(spark, path, schema, **options)
+def load_ledger(spark: SparkSession, path: str, types: str | None = None, fmt: str | None = None, **options) -> DataFrame:
+    """IO1 — a sales ledger (CSV with header, or parquet).  Without ``types`` the
+    CSV columns are inferred (one extra pass); pass them in production."""
+    return _read(spark, path, types, fmt, **options)
 
 
 def _coerce_dates(df: DataFrame, *cols: str) -> DataFrame:
@@ -45,18 +52,16 @@ def _coerce_dates(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns(present) if present else df
 
 
-def load_orders(spark: SparkSession, path: str, schema: str | None = ORDERS_SCHEMA) -> DataFrame:
+def load_orders(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """IO2 — orders + revenue / cost / profit enrichment (P1)."""
-    return prepare_orders(_read(spark, path, schema))
+    return prepare_orders(_read(spark, path, ORDERS_TYPES, fmt))
 
 
-def load_products(spark: SparkSession, path: str,
-                  schema: str | None = PRODUCTS_SCHEMA) -> DataFrame:
+def load_products(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """IO3 — product catalogue; ``last_restock_date`` parsed leniently."""
-    return _coerce_dates(_read(spark, path, schema), "last_restock_date")
+    return _coerce_dates(_read(spark, path, PRODUCTS_TYPES, fmt), "last_restock_date")
 
 
-def load_campaigns(spark: SparkSession, path: str,
-                   schema: str | None = CAMPAIGNS_SCHEMA) -> DataFrame:
+def load_campaigns(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """IO4 — campaigns; ``start_date`` / ``end_date`` parsed leniently."""
-    return _coerce_dates(_read(spark, path, schema), "start_date", "end_date")
+    return _coerce_dates(_read(spark, path, CAMPAIGNS_TYPES, fmt), "start_date", "end_date")

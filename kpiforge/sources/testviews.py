@@ -29,22 +29,8 @@ CHANNELS = ("Online", "Offline", "Omni", "Social", "Email")
 BUDGET_FACTORS = (0.3, 0.45, 0.58, 0.8, 1.2)
 
 
-_RELATIONS: dict[tuple[str, int, str], DataFrame] = {}
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver tables are read-only, so each relation is resolved (file
-    listing + parquet footers, ~0.1 s on the driver) once per session."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no SparkContext
-        app = spark.conf.get("spark.app.id", "")
-    key = (app, id(spark), path)
-    hit = _RELATIONS.get(key)
-    if hit is None or hit.sparkSession is not spark:
-        hit = _RELATIONS[key] = spark.read.parquet(path)
-    return hit
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def sales_ledger(spark: SparkSession, sf_dir: str,
@@ -106,23 +92,31 @@ def _cost_factor(partkey):
     return F.lit(0.25) + F.lit(0.12) * (partkey % 6)
 
 
-def ecom_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-commerce orders (one row per line item), before ``prepare_orders``."""
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice",
-                                                 "l_quantity")
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+ORDER_COLUMNS = ("order_id", "customer_id", "product_id", "category", "quantity", "unit_price",
+                 "cost_price", "order_date")
+
+
+def ecom_orders(spark: SparkSession, sf_dir: str, columns: Iterable[str] = ORDER_COLUMNS) -> DataFrame:
+    """E-commerce orders (one row per line item), before ``prepare_orders``.
+
+    ``orders`` is joined for the customer and the date only, ``part`` for the
+    category only: every line item has exactly one row in either (the keys match),
+    so without those columns the joins neither drop nor repeat a row."""
+    cols = list(columns)
+    df = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+    if {"customer_id", "order_date"} & set(cols):
+        o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        df = df.join(o, df.l_orderkey == o.o_orderkey)
+    if "category" in cols:
+        p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+        df = df.join(p, df.l_partkey == p.p_partkey)
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .join(p, li.l_partkey == p.p_partkey)
-            .select(F.col("l_orderkey").alias("order_id"),
-                    F.col("o_custkey").alias("customer_id"),
-                    F.col("l_partkey").alias("product_id"),
-                    F.col("p_brand").alias("category"),
-                    F.col("l_quantity").alias("quantity"),
-                    round_half_even(unit).alias("unit_price"),
-                    round_half_even(unit * _cost_factor(F.col("l_partkey"))).alias("cost_price"),
-                    F.col("o_orderdate").alias("order_date")))
+    expr = {
+        "order_id": F.col("l_orderkey"), "customer_id": F.col("o_custkey"), "product_id": F.col("l_partkey"),
+        "category": F.col("p_brand"), "quantity": F.col("l_quantity"), "unit_price": round_half_even(unit),
+        "cost_price": round_half_even(unit * _cost_factor(F.col("l_partkey"))), "order_date": F.col("o_orderdate"),
+    }
+    return df.select(*[expr[c].alias(c) for c in cols])
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,3 +251,25 @@ DIRTY_SQL = """v_dirty AS (
     CASE WHEN (l_orderkey * 7 + l_linenumber) % 11 <> 0 THEN l_returnflag END AS returnflag,
     l_linestatus AS linestatus
   FROM lineitem)"""
+
+
+def nan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty line items with NaN in place of some of their numbers (NaN is
+    missing, as NULL is), and the ship date."""
+    li = _read(spark, sf_dir, "lineitem")
+    h = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    nan = F.lit(float("nan"))
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(h % 13 == 0, F.lit(None)).when(h % 19 == 0, nan).otherwise(F.col("l_quantity")).cast("double").alias("quantity"),
+        F.when(h % 23 == 0, nan).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.col("l_linestatus").alias("linestatus"), F.col("l_shipdate").alias("date"))
+
+
+NAN_SQL = """v_nan AS (
+  SELECT l_orderkey, l_linenumber,
+    CAST(CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 <> 0 AND (l_orderkey * 7 + l_linenumber) % 19 <> 0
+              THEN l_quantity END AS DOUBLE) AS quantity,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 23 <> 0 THEN l_extendedprice END AS price,
+    l_linestatus AS linestatus, l_shipdate AS date
+  FROM lineitem)"""

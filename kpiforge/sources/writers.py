@@ -12,7 +12,7 @@ from kpiforge.functions.numeric import money_sum
 
 def for_json(df: DataFrame) -> DataFrame:
     """Dates and timestamps as ``yyyy-MM-dd`` strings, NaN as NULL (the
-    reference's JSON records)."""
+    reference's JSON records, which keep a key whose value is null)."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -35,7 +35,7 @@ def emit(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "json":
-        w.json(path)
+        w.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
@@ -50,7 +50,7 @@ def report_totals(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFr
     if not keys:
         return df.sparkSession.createDataFrame([], "sheet string, key string, revenue double")
     sets = [[F.col(k)] for k in keys]
-    gs = led.groupingSets(sets, *keys).agg(money_sum(F.col("amount")).alias("revenue"),
+    gs = led.groupingSets(sets, *keys).agg(money_sum(F.col("amount"), ColumnMap.of(cols).scale).alias("revenue"),
                                            F.grouping_id().alias("_gid"))
     if len(keys) == 1:
         return (gs.where(F.col(keys[0]).isNotNull())
@@ -65,13 +65,10 @@ def report_totals(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFr
 
 def export_report(df: DataFrame, base_path: str, cols: ColumnMap | dict | None = None,
                   fmt: str = "parquet") -> None:
-    """IO6 — raw rows plus category and region totals, one sub-directory each."""
+    """IO6 — raw rows in ``raw`` and the totals in ``totals``, one sub-directory per
+    sheet (``sheet=category``, ``sheet=region``), written in one pass."""
     emit(df, f"{base_path.rstrip('/')}/raw", fmt)
-    totals = report_totals(df, cols)
-    emit(totals.where(F.col("sheet") == "category").drop("sheet"),
-         f"{base_path.rstrip('/')}/category_totals", fmt)
-    emit(totals.where(F.col("sheet") == "region").drop("sheet"),
-         f"{base_path.rstrip('/')}/region_totals", fmt)
+    emit(report_totals(df, cols), f"{base_path.rstrip('/')}/totals", fmt, partition_by=["sheet"])
 
 
 def head_sample(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:

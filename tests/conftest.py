@@ -1,6 +1,5 @@
 import datetime as dt
 import os
-import random
 import sys
 
 import pytest
@@ -13,7 +12,7 @@ from kpiforge.functions.columns import DEFAULT_COLUMNS as C  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     from kpiforge.session import get_session
-    return get_session(master="local[*]", shuffle_partitions=8)
+    return get_session(master="local[*]", shuffle_partitions=8, driver_memory="8g")
 
 
 LEDGER_SCHEMA = (f"`{C['date']}` timestamp, `{C['amount']}` double, `{C['qty']}` long, "
@@ -24,31 +23,31 @@ def make_ledger(spark, rows):
     return spark.createDataFrame(rows, LEDGER_SCHEMA)
 
 
+REGIONS = ["东部", "西部", "海岛"]
+
+
 @pytest.fixture(scope="session")
-def ledger_120d(spark):
-    """1-3 rows per day for 120 days from 2024-01-01 (seeded)."""
-    rnd = random.Random(42)
-    cats, regs = ["电子产品", "服装", "食品", "家居"], ["华东", "华北", "华南", "西南"]
+def spring_ledger(spark):
+    """100 days from 2023-02-10, one to four sales a day, by formula."""
+    kinds = ["家具", "文具", "玩具", "园艺", "乐器"]
     rows = []
-    for d in range(120):
-        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
-        for _ in range(rnd.randint(1, 3)):
-            rows.append((day, round(rnd.uniform(500, 5000), 2), rnd.randint(1, 19),
-                         rnd.choice(cats), rnd.choice(regs), f"C{rnd.randint(1000, 1049)}"))
+    for d in range(100):
+        day = dt.datetime(2023, 2, 10) + dt.timedelta(days=d)
+        for j in range(1 + d * d % 4):
+            n = 97 * d + 53 * j
+            rows.append((day, 40 + n % 811 * 1.25, 1 + n % 6, kinds[n % 5], REGIONS[n % 3], f"K{n % 23:02d}"))
     return make_ledger(spark, rows)
 
 
 @pytest.fixture(scope="session")
-def ledger_weighted_90d(spark):
-    rnd = random.Random(7)
-    weights = {"A": 8, "B": 4, "C": 2, "D": 3, "E": 1}
+def tilted_ledger(spark):
+    """70 days; of six kinds each sells for less than half of what the one before does."""
     rows = []
-    for d in range(90):
-        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
-        for _ in range(rnd.randint(1, 3)):
-            cat = rnd.choice(list(weights))
-            rows.append((day, round(rnd.uniform(100, 1000) * weights[cat], 2), 1, cat, "华东",
-                         f"C{rnd.randint(1000, 1029)}"))
+    for d in range(70):
+        day = dt.datetime(2023, 9, 1) + dt.timedelta(days=d)
+        for k in range(6):
+            if (d + k) % 3:
+                rows.append((day, round(900 / 2.5**k + (13 * d + k) % 17, 2), 1, f"kind{k}", REGIONS[d % 3], f"K{(5 * d + k) % 31:02d}"))
     return make_ledger(spark, rows)
 
 

@@ -1,20 +1,14 @@
-import datetime as dt
-import os
-
-from conftest import C
 from kpiforge.plans import bundles
-from kpiforge.streaming import recompute_on_batches
-from kpiforge.operators import sales
 
 
-def test_bundles_run(spark, ledger_120d):
-    for frames in (bundles.breakdown(ledger_120d), bundles.segments_bundle(ledger_120d),
-                   bundles.commentary(ledger_120d)):
+def test_bundles_run(spark, spring_ledger):
+    for frames in (bundles.breakdown(spring_ledger), bundles.segments_bundle(spring_ledger),
+                   bundles.commentary(spring_ledger)):
         for name, df in frames.items():
             df.collect()
-    assert bundles.summary(ledger_120d).count() == 1
-    assert bundles.trend(ledger_120d, "W").count() > 0
-    assert bundles.forecast_bundle(ledger_120d, "ma").count() == 7
+    assert bundles.summary(spring_ledger).count() == 1
+    assert bundles.trend(spring_ledger, "W").count() > 0
+    assert bundles.forecast_bundle(spring_ledger, "ma").count() == 7
     orders = spark.createDataFrame(
         [("O1", "C1", "P1", "Cat", 2, 10.0, 4.0), ("O2", "C1", "P2", "Cat", 1, 5.0, 1.0)],
         "order_id string, customer_id string, product_id string, category string, "
@@ -31,15 +25,3 @@ def test_bundles_run(spark, ledger_120d):
                                   "campaign_id string, channel string, budget double, orders long, "
                                   "revenue double, impressions long, clicks long")
     assert bundles.marketing_bundle(camps)["budget_allocation"].count() == 1
-
-
-def test_recompute_on_batches(spark, tmp_path, ledger_120d):
-    src, table, out, ckpt = (str(tmp_path / x) for x in ("src", "table", "out", "ckpt"))
-    ledger_120d.limit(50).write.parquet(src)
-    stream = spark.readStream.schema(ledger_120d.schema).parquet(src)
-    q = recompute_on_batches(stream, table, lambda d: sales.category_breakdown(d), out, ckpt,
-                             trigger_once=True)
-    q.awaitTermination(120)
-    res = spark.read.parquet(out)
-    assert res.count() > 0 and set(res.columns) == {"category", "revenue"}
-    assert os.path.isdir(table)

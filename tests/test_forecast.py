@@ -117,18 +117,6 @@ def test_evaluate_trend(spark):
     assert r["mae"] == pytest.approx(0.0, abs=1e-9) and r["r2"] == pytest.approx(1.0)
 
 
-def test_arima_shapes(spark):
-    rnd = np.random.default_rng(0)
-    y = [100.0]
-    for _ in range(199):
-        y.append(y[-1] + 0.5 * (y[-1] - (y[-2] if len(y) > 1 else y[-1])) + rnd.normal(0, 1))
-    out = collect(fc.arima(series_ledger(spark, y), (1, 1, 1), periods=10))
-    assert len(out) == 10
-    widths = [r["upper"] - r["lower"] for r in sorted(out, key=lambda r: r["step"])]
-    assert widths == sorted(widths) and all(w > 0 for w in widths)
-    assert fc.arima(series_ledger(spark, [1.0, 2.0]), (1, 1, 1), periods=3).count() == 0
-
-
 def test_compare_and_summary(linear60):
     led, _ = linear60
     out = collect(fc.compare(led, periods=5), "method")

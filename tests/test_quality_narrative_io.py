@@ -31,12 +31,21 @@ def test_iqr_and_zscore(spark):
     assert quality.clean(df, "drop", True, "iqr").count() == 5
 
 
-def test_distributed_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quantiles_match_numpy(spark, seed, monkeypatch):
     import numpy as np
-    vals = [float(v) for v in np.random.default_rng(1).integers(0, 50, 5000)]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    got = quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], rows_per_bucket=300)
-    assert got == pytest.approx(list(np.quantile(vals, [0.1, 0.25, 0.5, 0.9])))
+
+    from kpiforge.functions import stats
+
+    monkeypatch.setattr(stats, "BINS", 16)
+    monkeypatch.setattr(stats, "FETCH", 5)
+    rng = np.random.default_rng(seed)
+    vals = [rng.integers(0, 50, 3000), np.concatenate([np.full(4000, 7.0), rng.normal(0, 10, 8000).round(3)]),
+            np.concatenate([rng.normal(0, 1e-9, 500), rng.normal(0, 1e12, 500), [1.7e308, -1.7e308, 5e-324]])][seed - 1]
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "x double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.9, 1.0]
+    assert quantiles(df, "x", probs) == pytest.approx(list(np.quantile(vals.astype(float), probs)))
+    assert quantiles(df.where("x is null"), "x", probs) == [None] * 7
 
 
 def test_profile(spark):
@@ -83,7 +92,7 @@ def test_parse_responses(spark):
     resp = spark.createDataFrame([("1", good), ("2", "not json"), ("3", "```json\n" + good + "\n```")],
                                  "id string, text string")
     out = {r["id"]: r for r in collect(narrative.parse_response(resp, "text", fb))}
-    assert out["1"]["backend"] == "llm" and out["1"]["highlights"] == ["a"]
+    assert out["1"]["backend"] == "llm:llm" and out["1"]["highlights"] == ["a"]
     assert out["2"]["backend"] == "heuristic" and out["2"]["overview"].startswith("2024-01-01")
     assert out["3"]["overview"] == "ok"
 
@@ -101,7 +110,58 @@ def test_readers_and_writers(spark, tmp_path):
     writers.emit(o, str(out), "json")
     lines = [json.loads(x) for f in os.listdir(out) if f.endswith(".json")
              for x in (out / f).read_text().splitlines()]
-    assert sorted(x["order_date"] for x in lines if "order_date" in x) == ["2024-01-05"]
+    assert sorted((x["order_id"], x["order_date"]) for x in lines) == [("O1", "2024-01-05"), ("O2", None)]  # nulls keep their key
+
+
+def test_columns_are_bound_by_name(spark, tmp_path):
+    p = tmp_path / "orders.csv"
+    p.write_text("quantity,order_id,note,unit_price,customer_id\n2,O1,hi,5.0,C1\nx,O2,,3.0,C2\n")
+    o = readers.load_orders(spark, str(p))
+    assert collect(o, "order_id", "customer_id", "quantity", "unit_price", "note", "revenue", "profit") == [
+        ("O1", "C1", 2, 5.0, "hi", 10.0, 10.0), ("O2", "C2", None, 3.0, None, None, None)]
+    assert "cost_price" not in o.columns and "cost" not in o.columns
+    c = tmp_path / "campaigns.csv"
+    c.write_text("impressions,campaign_id,budget,start_date\n100,A,7.5,2024-02-30\n")
+    assert collect(readers.load_campaigns(spark, str(c)), "campaign_id", "budget", "impressions", "start_date") == [("A", 7.5, 100, None)]
+    o.select("order_id", "quantity", "unit_price").write.parquet(str(tmp_path / "plain_folder"))
+    assert readers.load_orders(spark, str(tmp_path / "plain_folder"), fmt="parquet").count() == 2
+
+
+def test_nan_is_missing_in_quality(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i), i % 2 * 1.0) for i in range(50)] + [(nan, 1.0)], "a double, b double")
+    assert collect(quality.profile(df), "column", "n_missing") == [("a", 1), ("b", 0)]
+    assert quality.zscore_filter(df).count() == 50 and quality.iqr_filter(df).count() == 50
+    assert collect(quality.fill_missing(df))[-1] == {"a": 24.5, "b": 1.0}
+    assert quality.drop_missing(df).count() == 50
+    before, seen = quality.count_rows(df, "before")
+    quality.drop_missing(before).collect()
+    assert seen.get["rows"] == 51
+
+
+def test_parse_rules(spark):
+    fb = narrative.commentary_report(_summary(spark, 20.0), spark.createDataFrame([], ALERTS))
+    good = '{"overview": "ok", "highlights": [0, 7, "0", false, true, null, "", 1.5], "risks": null}'
+    texts = {"good": good, "trailing": good + " thanks", "two": good + "," + good, "quotes": good.replace('"', "'"), "bare": '{"risks": ["r"]}',
+             "list": "[" + good + "]", "broken": good[:-1], "empty": "", "null": None}
+    resp = spark.createDataFrame(list(texts.items()), "id string, text string")
+    out = {r["id"]: r for r in collect(narrative.parse_response(resp, "text", fb, backend="x"))}
+    assert out["good"]["highlights"] == ["7", "0", "True", "1.5"] and out["good"]["backend"] == "llm:x" and out["good"]["risks"] == []
+    assert (out["bare"]["overview"], out["bare"]["risks"], out["bare"]["backend"]) == ("", ["r"], "llm:x")
+    assert {k for k, r in out.items() if r["backend"] == "heuristic"} == {"trailing", "two", "quotes", "list", "broken", "empty", "null"}
+    none = {r["id"]: r for r in collect(narrative.parse_response(resp, "text", fb.limit(0)))}
+    assert len(none) == len(texts) and none["good"]["overview"] == "ok" and none["broken"]["overview"] is None
+
+
+def test_payload_shape(spark):
+    days = [dt.date(2024, 1, d) for d in range(1, 9)]
+    trend = spark.createDataFrame([(d, float(i), i, None) for i, d in enumerate(days)], "period date, revenue double, n_orders long, growth_pct double")
+    alerts = spark.createDataFrame([(d, 1.0, 2.0, -2.5, "drop") for d in days], ALERTS)
+    kinds = spark.createDataFrame([(f"k{i}", float(i)) for i in range(7)], "category string, revenue double")
+    p = json.loads(narrative.payload(_summary(spark, None), trend, alerts, kinds, kinds.withColumnRenamed("category", "region")).first()[0])
+    assert list(p["category_breakdown_top5"].items()) == [(f"k{i}", float(i)) for i in (6, 5, 4, 3, 2)]
+    assert [x["period"] for x in p["trend_last_6"]] == [str(d) for d in days[2:]] and p["trend_last_6"][0]["growth_pct"] is None
+    assert len(p["anomalies_top_3"]) == 3 and p["summary"]["growth_first_to_last_month"] is None
 
 
 def test_synthetic_and_report_bundle(spark, tmp_path):
@@ -111,7 +171,8 @@ def test_synthetic_and_report_bundle(spark, tmp_path):
     totals = collect(writers.report_totals(s))
     assert {t["sheet"] for t in totals} == {"category", "region"}
     writers.export_report(s, str(tmp_path / "rep"))
-    assert sorted(os.listdir(tmp_path / "rep")) == ["category_totals", "raw", "region_totals"]
+    assert sorted(os.listdir(tmp_path / "rep")) == ["raw", "totals"]
+    assert {"sheet=category", "sheet=region"} <= set(os.listdir(tmp_path / "rep" / "totals"))
     head = writers.head_sample(s, 3, [s.columns[0]])
     assert head.count() == 3
     summary = sales.summary(s).collect()[0]
@@ -126,16 +187,6 @@ def test_entry_contract(spark):
     assert set(o) <= set(q) and len(q) >= 60
 
 
-def test_quantiles_recursive_and_hot_value(spark):
-    import numpy as np
-    rng = np.random.default_rng(2)
-    vals = [7.0] * 4000 + [float(x) for x in rng.normal(0, 10, 8000).round(3)]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    probs = [0.0, 0.05, 0.3, 0.5, 0.77, 1.0]
-    got = quantiles(df, "x", probs, rows_per_bucket=50)   # forces two or more levels
-    assert got == pytest.approx(list(np.quantile(vals, probs)))
-
-
 def test_fill_all_null_non_text_column(spark):
     df = spark.createDataFrame([(1.0, None), (None, None)], "a double, d date")
     out = collect(quality.fill_missing(df))

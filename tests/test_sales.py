@@ -3,17 +3,18 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import C, collect, make_ledger
+from conftest import C, REGIONS, collect, make_ledger
+from kpiforge.functions.columns import ColumnMap
 from kpiforge.operators import sales
 
 
-def test_summary_basic(ledger_120d):
-    s = sales.summary(ledger_120d).collect()[0]
-    pdf = ledger_120d.toPandas()
+def test_summary_basic(spring_ledger):
+    s = sales.summary(spring_ledger).collect()[0]
+    pdf = spring_ledger.toPandas()
     assert s.n_records == len(pdf) == s.total_orders
     assert s.total_revenue == pytest.approx(pdf[C["amount"]].sum())
     assert s.avg_order_value == pytest.approx(s.total_revenue / s.n_records)
-    assert s.date_start == "2024-01-01" and s.date_end == "2024-04-29"
+    assert s.date_start == "2023-02-10" and s.date_end == "2023-05-20"
     by_cat = pdf.groupby(C["category"])[C["amount"]].sum()
     assert s.top_category == by_cat.idxmax()
     assert s.top_category_revenue == pytest.approx(by_cat.max())
@@ -51,12 +52,12 @@ def test_summary_tie_takes_smallest_key(spark):
     assert s.top_category == "a" and s.top_region == "x"
 
 
-def test_trend_conserves_total(ledger_120d):
-    t = sales.trend(ledger_120d, "M").collect()
-    total = ledger_120d.agg(F.sum(C["amount"])).first()[0]
+def test_trend_conserves_total(spring_ledger):
+    t = sales.trend(spring_ledger, "M").collect()
+    total = spring_ledger.agg(F.sum(C["amount"])).first()[0]
     assert sum(r.revenue for r in t) == pytest.approx(total)
-    assert [r.period for r in t] == [dt.date(2024, 1, 31), dt.date(2024, 2, 29),
-                                     dt.date(2024, 3, 31), dt.date(2024, 4, 30)]
+    assert [r.period for r in t] == [dt.date(2023, 2, 28), dt.date(2023, 3, 31),
+                                     dt.date(2023, 4, 30), dt.date(2023, 5, 31)]
     assert t[0].growth_pct is None
     assert t[1].growth_pct == pytest.approx((t[1].revenue / t[0].revenue - 1) * 100)
 
@@ -90,17 +91,17 @@ def test_trend_pct_change_rule(spark):
     assert collect(sales.trend(led, "D", growth_rule="pct_change"), "growth_pct")[1] == (-150.0,)
 
 
-def test_trend_column_map(spark, ledger_120d):
-    renamed = ledger_120d.select(F.col(C["date"]).alias("date"), F.col(C["amount"]).alias("amount"))
+def test_trend_column_map(spark, spring_ledger):
+    renamed = spring_ledger.select(F.col(C["date"]).alias("date"), F.col(C["amount"]).alias("amount"))
     a = collect(sales.trend(renamed, "M", {"date": "date", "amount": "amount"}))
-    b = collect(sales.trend(ledger_120d, "M"))
+    b = collect(sales.trend(spring_ledger, "M"))
     assert a == b
 
 
-def test_anomalies_threshold_monotone(ledger_120d):
-    n = [sales.anomalies(ledger_120d, "D", z).count() for z in (1.0, 1.5, 2.0, 2.5)]
+def test_anomalies_threshold_monotone(spring_ledger):
+    n = [sales.anomalies(spring_ledger, "D", z).count() for z in (1.0, 1.5, 2.0, 2.5)]
     assert n == sorted(n, reverse=True) and n[0] > 0
-    assert sales.anomalies(ledger_120d, "D", 3.5).count() == 0   # |z| <= 13/sqrt(14)
+    assert sales.anomalies(spring_ledger, "D", 3.5).count() == 0   # |z| <= 13/sqrt(14)
 
 
 def test_anomalies_spike_and_short_series(spark):
@@ -114,21 +115,21 @@ def test_anomalies_spike_and_short_series(spark):
     assert sales.anomalies(short).count() == 0
 
 
-def test_anomalies_grouped(ledger_120d):
-    g = sales.anomalies(ledger_120d.withColumnRenamed(C["region"], "region"), "D", 1.5,
+def test_anomalies_grouped(spring_ledger):
+    g = sales.anomalies(spring_ledger.withColumnRenamed(C["region"], "region"), "D", 1.5,
                         group_cols=["region"])
-    assert set(r.region for r in g.collect()) <= {"华东", "华北", "华南", "西南"}
+    assert set(r.region for r in g.collect()) <= set(REGIONS)
 
 
-def test_breakdowns(ledger_120d, spark):
-    cat = collect(sales.category_breakdown(ledger_120d), "category", "revenue")
+def test_breakdowns(spring_ledger, spark):
+    cat = collect(sales.category_breakdown(spring_ledger), "category", "revenue")
     assert [r[1] for r in cat] == sorted((r[1] for r in cat), reverse=True)
-    total = ledger_120d.agg(F.sum(C["amount"])).first()[0]
+    total = spring_ledger.agg(F.sum(C["amount"])).first()[0]
     assert sum(r[1] for r in cat) == pytest.approx(total)
-    no_cat = ledger_120d.drop(C["category"])
+    no_cat = spring_ledger.drop(C["category"])
     assert sales.category_breakdown(no_cat).count() == 0
-    reg = sales.region_breakdown(ledger_120d)
-    assert reg.count() == 4
+    reg = sales.region_breakdown(spring_ledger)
+    assert reg.count() == 3
 
 
 def test_null_keys_dropped(spark):
@@ -140,14 +141,14 @@ def test_null_keys_dropped(spark):
     assert s.n_records == 2 and s.n_customers == 1 and s.total_revenue == 15.0
 
 
-def test_v1_stats(ledger_120d):
-    rs = collect(sales.regional_stats(ledger_120d))
-    assert sum(r["n_orders"] for r in rs) == ledger_120d.count()
-    pt = collect(sales.product_totals(ledger_120d.withColumn(C["product"], F.col(C["category"]))))
+def test_v1_stats(spring_ledger):
+    rs = collect(sales.regional_stats(spring_ledger))
+    assert sum(r["n_orders"] for r in rs) == spring_ledger.count()
+    pt = collect(sales.product_totals(spring_ledger.withColumn(C["product"], F.col(C["category"]))))
     assert {r["level"] for r in pt} == {"category", "product"}
-    st = sales.summary_statistics(ledger_120d).collect()[0]
-    assert st.date_range == "2024-01-01 至 2024-04-29"
-    h = sales.trend_headline(ledger_120d, "M").collect()[0]
+    st = sales.summary_statistics(spring_ledger).collect()[0]
+    assert st.date_range == "2023-02-10 至 2023-05-20"
+    h = sales.trend_headline(spring_ledger, "M").collect()[0]
     assert h.n_periods == 4 and h.max_revenue >= h.min_revenue
 
 
@@ -172,8 +173,37 @@ def test_trend_grouped_series_each_gap_filled(spark):
                  ("x", dt.date(2024, 3, 31), 2.0), ("y", dt.date(2024, 2, 29), 3.0)]
 
 
-def test_summary_approx_customers(ledger_120d):
-    exact = sales.summary(ledger_120d).collect()[0]
-    approx = sales.summary(ledger_120d, approx_customers=True).collect()[0]
+def test_summary_approx_customers(spring_ledger):
+    exact = sales.summary(spring_ledger).collect()[0]
+    approx = sales.summary(spring_ledger, approx_customers=True).collect()[0]
     assert abs(approx.n_customers - exact.n_customers) <= 0.15 * exact.n_customers  # 3 x rsd
     assert approx.total_revenue == exact.total_revenue
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_declared_scale_sums_exactly(spark, parts):
+    day = dt.datetime(2024, 1, 1)
+    df = spark.range(2_000_000).select(
+        F.lit(day).alias("date"), (F.col("id") % 97 * 1234567.89 + 120_000_000.01).alias("amount")).repartition(parts)
+    from decimal import Decimal
+
+    want = sum(Decimal(2_000_000 // 97 + (i < 2_000_000 % 97)) * (i * Decimal("1234567.89") + Decimal("120000000.01")) for i in range(97))
+    got = sales.trend(df, "M", ColumnMap.identity(scale=2)).first()
+    assert want > 10**14 and got.revenue == float(want)
+    assert sales.summary(df, ColumnMap.identity(scale=2)).first().total_revenue == float(want)
+
+
+def test_undeclared_scale_rounds_nothing(spark):
+    df = spark.range(100_000).select(F.lit(dt.datetime(2024, 1, 1)).alias("date"), F.lit(0.00004).alias("amount"))
+    assert sales.trend(df, "M", ColumnMap.identity()).first().revenue == pytest.approx(4.0)
+    small = df.select("date", F.col("amount").cast("decimal(10,5)").alias("amount"))
+    assert sales.trend(small, "M", ColumnMap.identity()).first().revenue == 4.0
+
+
+def test_nan_is_missing_in_grouped_series(spark):
+    rows = [(dt.datetime(2024, 1, 1), v, 1, "a", "x", "c") for v in (float("nan"), 1.0)]
+    led = make_ledger(spark, rows).withColumnRenamed(C["region"], "region")
+    t = collect(sales.trend(led, "M", group_cols=["region"]), "revenue", "n_orders")
+    assert t == [(1.0, 1)] == collect(sales.trend(led, "M"), "revenue", "n_orders")
+    with pytest.raises(ValueError):
+        sales.trend(led, "M", group_cols=["nowhere"])

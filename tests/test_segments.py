@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from conftest import C, collect, make_ledger
 from kpiforge.operators import segments
-from kpiforge.operators.ranking import global_rank
+from kpiforge.functions.joins import attach_one_row
+from kpiforge.operators.ranking import global_rank, quintile, quintile_cuts
 
 
-def test_abc_monotone_to_100(ledger_weighted_90d):
-    rows = collect(segments.abc_analysis(ledger_weighted_90d).orderBy("cum_pct", F.desc("revenue")))
+def test_abc_monotone_to_100(tilted_ledger):
+    rows = collect(segments.abc_analysis(tilted_ledger).orderBy("cum_pct", F.desc("revenue")))
     cum = [r["cum_pct"] for r in rows]
     assert cum == sorted(cum) and cum[-1] == 100.0
-    assert rows[0]["item"] == "A"
+    assert rows[0]["item"] == "kind0"
     assert all(r["abc_class"] in "ABC" for r in rows)
 
 
@@ -25,27 +26,27 @@ def test_abc_dominant_first_item_is_not_a(spark):
     assert out == [("big", 95.0, "C"), ("small", 100.0, "C")]
 
 
-def test_abc_empty_cases(spark, ledger_weighted_90d):
-    assert segments.abc_analysis(ledger_weighted_90d.drop(C["category"])).count() == 0
+def test_abc_empty_cases(spark, tilted_ledger):
+    assert segments.abc_analysis(tilted_ledger.drop(C["category"])).count() == 0
     neg = make_ledger(spark, [(dt.datetime(2024, 1, 1), -5.0, 1, "a", "x", "c")])
     assert segments.abc_analysis(neg).count() == 0
     assert segments.abc_summary(neg).count() == 0
 
 
-def test_abc_summary_three_rows(ledger_weighted_90d):
-    s = collect(segments.abc_summary(ledger_weighted_90d))
+def test_abc_summary_three_rows(tilted_ledger):
+    s = collect(segments.abc_summary(tilted_ledger))
     assert [r["abc_class"] for r in s] == ["A", "B", "C"]
-    assert sum(r["n_items"] for r in s) == 5
-    assert sum(r["item_pct"] for r in s) == pytest.approx(100.0)
+    assert sum(r["n_items"] for r in s) == 6
+    assert sum(r["item_pct"] for r in s) == pytest.approx(100.0, abs=0.02)  # rounded shares
 
 
-def test_rfm_scores_and_counts(ledger_weighted_90d):
-    r = collect(segments.rfm_segments(ledger_weighted_90d, with_scores=True))
-    n_cust = ledger_weighted_90d.select(C["customer"]).distinct().count()
+def test_rfm_scores_and_counts(tilted_ledger):
+    r = collect(segments.rfm_segments(tilted_ledger, with_scores=True))
+    n_cust = tilted_ledger.select(C["customer"]).distinct().count()
     assert len(r) == n_cust
     assert all(3 <= x["rfm_score"] <= 15 for x in r)
     assert all(x["rfm_score"] == x["R_score"] + x["F_score"] + x["M_score"] for x in r)
-    counts = collect(segments.segment_counts(ledger_weighted_90d))
+    counts = collect(segments.segment_counts(tilted_ledger))
     assert sum(c["n_customers"] for c in counts) == n_cust
 
 
@@ -74,29 +75,49 @@ def test_rfm_recency_floor_days(spark):
     assert r == {"c1": 0, "c2": 1}   # 1 day 23 h -> 1
 
 
-def test_rfm_missing_columns(spark, ledger_weighted_90d):
+def test_rfm_missing_columns(spark, tilted_ledger):
     with pytest.raises(ValueError):
-        segments.rfm_segments(ledger_weighted_90d.drop(C["customer"]))
+        segments.rfm_segments(tilted_ledger.drop(C["customer"]))
 
 
-def test_bucketed_rank_equals_plain_window(spark):
+@pytest.mark.parametrize("keys", ["text", "long", "date"])
+def test_rank_and_running_sum(spark, keys):
     rnd = random.Random(3)
-    rows = [(rnd.choice([1, 1, 1, 2, 3]), f"k{i:05d}", float(rnd.randint(1, 9)))
-            for i in range(3000)]
-    df = spark.createDataFrame(rows, "v long, k string, amt double")
-    plain = global_rank(df, [("v", False), ("k", True)], sum_col="amt")
-    bucketed = global_rank(df, [("v", False), ("k", True)], sum_col="amt", rows_per_task=100)
-    a = sorted(collect(plain, "k", "_rank", "_cum"))
-    b = sorted(collect(bucketed, "k", "_rank", "_cum"))
-    assert a == b
-    assert sorted(x[1] for x in b) == list(range(1, 3001))
-
-
-def test_rfm_bucketed_equals_plain(ledger_weighted_90d):
-    a = sorted(collect(segments.rfm_segments(ledger_weighted_90d), "customer", "rfm_score"))
-    b = sorted(collect(segments.rfm_segments(ledger_weighted_90d, rows_per_task=4),
-                       "customer", "rfm_score"))
-    assert a == b
+    make = {"text": lambda i: f"customer {i * 7919 % 3000:05d}", "long": lambda i: i * 7919 % 3000 - 1500,
+            "date": lambda i: dt.date(1990, 1, 1) + dt.timedelta(days=i * 7919 % 3000)}[keys]
+    rows = [(rnd.choice([0.0, 0.0, 0.0, 2.5, -3.0, 1e300, 1e-300, float(i), -float(i)]), make(i), i % 10) for i in range(3000)]
+    kind = {"text": "string", "long": "long", "date": "date"}[keys]
+    df = spark.createDataFrame(rows, f"v double, k {kind}, amt long").select("v", "k", F.col("amt").cast("decimal(20,0)").alias("amt"))
+    for up in (True, False):
+        got = sorted(collect(global_rank(df, [("v", up), ("k", True)], sum_col="amt"), "_rank", "k", "_cum"))
+        total, want = 0, []
+        for i, (v, k, a) in enumerate(sorted(rows, key=lambda r: (r[0] if up else -r[0], r[1]))):
+            total += a
+            want.append((i + 1, k, total))
+        assert got == want
+
+
+def test_quintiles_with_a_hot_value(spark):
+    rnd = random.Random(4)
+    rows = [(f"c{rnd.randrange(10**6):06d}x{i}", rnd.choice([1, 1, 1, 2, 7]), rnd.choice([5.0, 5.0, float(rnd.randint(1, 900))])) for i in range(2003)]
+    df = spark.createDataFrame(rows, "k string, a long, b double")
+    cuts = quintile_cuts(df, ["a", "b"], "k")
+    for i, c in enumerate("ab"):
+        q = quintile(F.col(c), F.col("k"), F.col(f"cuts_{c}"), F.col("n"))
+        got = dict(collect(attach_one_row(df, cuts).select("k", q.alias("q")), "k", "q"))
+        order = sorted(rows, key=lambda r: (r[i + 1], r[0]))
+        assert [got[r[0]] for r in order] == [max(1, -(-5 * j // (len(rows) - 1))) for j in range(len(rows))]
+
+
+def test_building_runs_no_job(spark, tilted_ledger):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        segments.rfm_segments(tilted_ledger)
+        segments.abc_summary(tilted_ledger)
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_kmeans(spark):

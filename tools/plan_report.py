@@ -42,7 +42,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     import __spark_entry__ as entry
     from kpiforge.session import get_session
-    spark = get_session()
+    spark = get_session("local[8]", 8, driver_memory="8g")
     out = ["# Physical plans (digest)", "",
            f"Generated by `python tools/plan_report.py {sf_dir}` from each query's initial "
            "physical plan (`explain('formatted')`, before AQE re-planning).  Shuffles count "

@@ -22,7 +22,7 @@ def main() -> None:
 
     from kpiforge.operators.ranking import global_rank
     from kpiforge.session import get_session
-    spark = get_session()
+    spark = get_session("local[8]", 8, driver_memory="8g")
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 100_003).alias("v"),
         F.col("id").alias("k"), (F.col("id") % 5).cast("decimal(20,0)").alias("a"))
