@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,39 +166,70 @@ def rfmq_features(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFr
                     F.col("M").alias("Monetary"), F.col("Q").alias("Quantity"))
 
 
-def kmeans_customers(df: DataFrame, cols: ColumnMap | dict | None = None, *,
-                     n_clusters: int = 4, seed: int = 42, n_init: int = 10,
-                     max_iter: int = 300) -> tuple[DataFrame, DataFrame]:
+FEATURES = ("Recency", "Frequency", "Monetary", "Quantity")
+
+
+def _nearest(centres: list[tuple[int, list[float]]]) -> tuple[Column, Column]:
+    """Number of the nearest centre (the first of equals) and the squared distance to it."""
+    each = F.array(*[F.struct(sum(((F.col(f"_x{i}") - F.lit(v)) * (F.col(f"_x{i}") - F.lit(v)) for i, v in enumerate(x)),
+                                  F.lit(0.0)).alias("d"), F.lit(n).alias("n")) for n, x in centres])
+    best = F.array_min(each)
+    return best["n"], best["d"]
+
+
+def kmeans_customers(df: DataFrame, cols: ColumnMap | dict | None = None, *, n_clusters: int = 4,
+                     starts: Sequence[str] = FEATURES, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
     """C1 / A15 — k-means on standardised R, F, M, Q per customer.
 
-    Spark ML's distributed KMeans (k-means|| init) is fitted ``n_init`` times
-    with seeds ``seed .. seed+n_init-1`` (up to four fits run concurrently);
-    the model with the lowest training cost wins, ties to the smaller seed.  Returns (per-customer features with ``cluster``, per-cluster
-    profile: mean features and customer count).  Spark's scaler divides by the
-    sample standard deviation, sklearn by the population one: a common factor,
-    so the optimum is the same.
+    Lloyd's iterations as Spark aggregates, from fixed starts instead of random
+    ones: for each feature in ``starts`` the customers at evenly spaced ranks of it
+    (ties by customer).  A start ends when its centres stay or after ``max_iter``
+    rounds; the one with the smallest total squared distance wins.  A centre that
+    loses all its customers is dropped.  Clusters are numbered by mean Monetary,
+    the largest first.  Every iteration is one job whose result is a row per
+    centre.  Returns (per-customer features with ``cluster``, per-cluster profile:
+    mean features and customer count).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    feats = rfmq_features(df, cols).persist()
-    names = ["Recency", "Frequency", "Monetary", "Quantity"]
-    vec = VectorAssembler(inputCols=names, outputCol="_raw").transform(feats)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vec)
-    x = scaler.transform(vec).persist()
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(i):
-        model = KMeans(k=n_clusters, seed=seed + i, featuresCol="_x", predictionCol="cluster",
-                       maxIter=max_iter).fit(x)
-        return model.summary.trainingCost, i, model
-
-    # independent restarts: submitted concurrently, Spark interleaves their jobs
-    with ThreadPoolExecutor(max_workers=min(4, max(1, n_init))) as pool:
-        fits = list(pool.map(fit, range(max(1, n_init))))
-    best = min(fits, key=lambda t: (t[0], t[1]))
-    best = (best[0], best[2])
-    labelled = best[1].transform(x).select("customer", *names, F.col("cluster").cast("long"))
-    profile = labelled.groupBy("cluster").agg(*[F.avg(c).alias(f"avg_{c}") for c in names],
+    raw = rfmq_features(df, cols)
+    scale = raw.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(FEATURES)],
+                    *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(FEATURES)]).first()
+    x = {f"_x{i}": (F.col(c) - F.lit(scale[f"_m{i}"])) / F.lit(scale[f"_s{i}"]) if scale[f"_s{i}"] else F.lit(0.0)
+         for i, c in enumerate(FEATURES)}
+    feats = raw.withColumns(x)
+    n, names = scale["_n"], [f"_x{i}" for i in range(len(FEATURES))]
+    held = feats.persist()
+    centres: dict[int, list] = {}
+    try:
+        share = [(2 * i + 1) * n // (2 * n_clusters) for i in range(n_clusters)]
+        wanted = sorted({1 + k for k in share if k < n})
+        for k, start in enumerate(starts if n else ()):
+            ranked = global_rank(held, [(start, True), ("customer", True)])
+            rows = ranked.where(F.col("_rank").isin(wanted)).orderBy("_rank").select(*names).collect()
+            centres[k] = [(i, list(r)) for i, r in enumerate(rows)]
+        moving = set(centres)
+        for _ in range(max_iter):
+            if not moving:
+                break
+            near = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _nearest(centres[k])[0].alias("n")) for k in sorted(moving)]))
+            rows = (held.select(near.alias("_c"), *names).groupBy("_c.k", "_c.n").agg(*[F.avg(c).alias(c) for c in names])
+                    .orderBy("k", "n").collect())  # a row per start and centre
+            for k in sorted(moving):
+                moved = [(r["n"], [r[c] for c in names]) for r in rows if r["k"] == k]
+                if len(moved) == len(centres[k]) and all(
+                        abs(a - b) <= 1e-12 for (_, p), (_, q) in zip(centres[k], moved, strict=True) for a, b in zip(p, q, strict=True)):
+                    moving.discard(k)
+                centres[k] = moved
+        costs = held.agg(*[F.sum(_nearest(centres[k])[1]).alias(f"c{k}") for k in centres]).first() if centres else []
+    finally:
+        held.unpersist()
+    best = min(((round(costs[k], 6), k) for k in centres), default=None)
+    if best is None:
+        labelled = raw.withColumn("cluster", F.lit(None).cast("long"))
+    else:
+        money = FEATURES.index("Monetary")
+        order = sorted(centres[best[1]], key=lambda c: (-c[1][money], c[0]))
+        near, _ = _nearest([(i, c) for i, (_, c) in enumerate(order)])
+        labelled = feats.select("customer", *FEATURES, near.cast("long").alias("cluster"))
+    profile = labelled.groupBy("cluster").agg(*[F.avg(c).alias(f"avg_{c}") for c in FEATURES],
                                               F.count(F.lit(1)).alias("n_customers"))
     return labelled, profile

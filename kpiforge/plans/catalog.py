@@ -305,27 +305,28 @@ def q_rfmq_features(spark, sf):
     return out.withColumn("customer", F.col("customer").cast("string"))
 
 
+def _kmeans(spark, sf):
+    return seg.kmeans_customers(_ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT)
+
+
 @query("kmeans_customers")
 def q_kmeans_customers(spark, sf):
-    labelled, _ = seg.kmeans_customers(
-        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=10)
-    return labelled
+    return _kmeans(spark, sf)[0].withColumn("customer", F.col("customer").cast("string"))
 
 
 @query("kmeans_profile")
 def q_kmeans_profile(spark, sf):
-    _, profile = seg.kmeans_customers(
-        _ledger(spark, sf, "date", "amount", "customer", "order_id", "qty"), IDENT, n_init=10)
-    return profile
+    profile = _kmeans(spark, sf)[1]
+    return profile.select("cluster", *[_r4(f"avg_{c}").alias(f"avg_{c}") for c in seg.FEATURES], "n_customers")
 
 
-# ------------------------------------------------------------ forecasts (F1-F8)
+def _r4(c):
+    return F.rint(F.col(c) * F.lit(1e4)) / F.lit(1e4)
 
-from kpiforge.operators import forecast as fc  # noqa: E402
 
+# ------------------------------------------------------------ forecasts (F1-F8)
 
-def _r4(c):
-    return F.rint(F.col(c) * F.lit(1e4)) / F.lit(1e4)
+from kpiforge.operators import forecast as fc  # noqa: E402
 
 
 @query("forecast_ma")

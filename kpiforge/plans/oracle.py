@@ -359,6 +359,38 @@ SELECT CAST(customer AS VARCHAR) AS customer,
   CAST(floor((epoch_us(CAST(now AS TIMESTAMP)) - epoch_us(CAST(last AS TIMESTAMP))) / 86400000000)
     AS BIGINT) AS Recency, F AS Frequency, M AS Monetary, Q AS Quantity FROM per, nw""", SALES_SQL)
 
+
+
+# k-means: four starts at evenly spaced ranks, 20 rounds each, the cheapest wins.
+_FEAT = list(S.FEATURES)
+_Z = ", ".join(f"({c} - AVG({c}) OVER ()) / STDDEV_SAMP({c}) OVER () AS x{i}" for i, c in enumerate(_FEAT))
+_X = ", ".join(f"x{i}" for i in range(len(_FEAT)))
+_DIST = " + ".join(f"(p.x{i} - rec.x{i}) * (p.x{i} - rec.x{i})" for i in range(len(_FEAT)))
+_STARTS = " UNION ALL ".join(
+    f"SELECT {i} AS start, row_number() OVER (ORDER BY {c}, customer) AS rk, n, {_X} FROM p0" for i, c in enumerate(_FEAT))
+_KMEANS = f"""WITH RECURSIVE feats AS ({{feats}}),
+p0 AS (SELECT CAST(customer AS BIGINT) AS customer, {', '.join(_FEAT)}, COUNT(*) OVER () AS n, {_Z} FROM feats),
+starts AS ({_STARTS}),
+init AS (SELECT start, row_number() OVER (PARTITION BY start ORDER BY rk) - 1 AS c, {_X} FROM starts
+  WHERE rk IN (1 + n // 8, 1 + 3 * n // 8, 1 + 5 * n // 8, 1 + 7 * n // 8)),
+rec AS (
+  SELECT 0 AS it, start, c, {_X} FROM init
+  UNION ALL
+  SELECT it + 1, start, c, {', '.join(f'AVG(x{i})' for i in range(len(_FEAT)))} FROM (
+    SELECT rec.it, rec.start, p.customer, arg_min(rec.c, {_DIST}) AS c, {', '.join(f'any_value(p.x{i}) AS x{i}' for i in range(len(_FEAT)))}
+    FROM rec, p0 p WHERE rec.it < 20 GROUP BY rec.it, rec.start, p.customer) a
+  GROUP BY it, start, c),
+last AS (SELECT rec.start, p.customer, arg_min(rec.c, {_DIST}) AS c, MIN({_DIST}) AS d
+  FROM rec, p0 p WHERE rec.it = 20 GROUP BY 1, 2),
+best AS (SELECT start FROM (SELECT start, SUM(d) AS cost FROM last GROUP BY 1) ORDER BY round(cost, 6), start LIMIT 1),
+num AS (SELECT c, row_number() OVER (ORDER BY x2 DESC, c) - 1 AS cluster FROM rec WHERE it = 20 AND start = (SELECT start FROM best)),
+lab AS (SELECT CAST(p0.customer AS VARCHAR) AS customer, {', '.join(_FEAT)}, num.cluster FROM p0 JOIN last ON p0.customer = last.customer
+  JOIN num ON last.c = num.c WHERE last.start = (SELECT start FROM best))"""
+_KMEANS = _KMEANS.format(feats=SQL["rfmq_features"])
+SQL["kmeans_customers"] = _KMEANS + " SELECT * FROM lab"
+SQL["kmeans_profile"] = _KMEANS + f""" SELECT cluster, {', '.join(f"{P.r(f'AVG({c})', 4)} AS avg_{c}" for c in _FEAT)},
+  COUNT(*) AS n_customers FROM lab GROUP BY cluster"""
+
 # ------------------------------------------------------------ forecasts
 
 

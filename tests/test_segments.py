@@ -126,10 +126,16 @@ def test_kmeans(spark):
         rows.append((dt.datetime(2024, 1, 1 + i % 20), 100.0 if i < 20 else 5000.0, 1, "a", "x",
                      f"c{i % 10 if i < 20 else 10 + i % 10}"))
     led = make_ledger(spark, rows).withColumn(C["order_id"], F.lit("o"))
-    labelled, profile = segments.kmeans_customers(led, n_clusters=2, n_init=2)
+    labelled, profile = segments.kmeans_customers(led, n_clusters=2)
     assert labelled.count() == 20
     prof = collect(profile)
     assert sum(p["n_customers"] for p in prof) == 20 and len(prof) == 2
+    rich = {r["customer"] for r in collect(labelled) if r["cluster"] == 0}
+    assert rich == {f"c{i}" for i in range(10, 20)}
+    again, _ = segments.kmeans_customers(led, n_clusters=2)
+    assert sorted(map(str, collect(again))) == sorted(map(str, collect(labelled)))
+    assert segments.kmeans_customers(led.limit(0))[0].count() == 0
+    assert segments.kmeans_customers(led.where(F.col(C["customer"]) == "c1"))[1].count() == 1
 
 
 def test_rfm_v1_single_customer_middle_bin(spark):
