@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import automaton, edit_counts, licenses, packing, quality, repeats, simhash, simple8b, vector_index, wrapper
+from kpiforge.llm import automaton, edit_counts, licenses, oracle, packing, quality, repeats, simhash, simple8b, vector_index, wrapper
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -63,4 +63,4 @@ def op10_id_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_near_vectors, op4_license_scan,
                                    op5_bpe_automaton, op6_main_text, op7_simhash, op8_repeats,
                                    op9_edit_counts, op10_id_files)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": oracle.quality(), "op4_license_scan": oracle.license_scan()}
