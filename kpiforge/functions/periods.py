@@ -93,6 +93,13 @@ def resample(ledger: DataFrame, freq: str, value: str = "amount", date: str = "d
                        F.col(value).alias("_v"))
            .groupBy(*g, "period_start")
            .agg(total.alias("revenue"), F.count("_v").alias("n_orders")))
+    return fill_gaps(agg, f, g)
+
+
+def fill_gaps(agg: DataFrame, freq: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The gap-filled series of an aggregate (``*group_cols, period_start, revenue,
+    n_orders``, a row per period that has data), as :func:`resample` returns it."""
+    f, g = norm_freq(freq), list(group_cols)
     # Gap fill without a second pass: each period row also emits the empty
     # periods up to the next non-empty one (``lead`` over the small aggregate,
     # partitioned by series), so the ledger is scanned once and nothing joins.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
 from kpiforge.functions.joins import attach_one_row
 from kpiforge.functions.numeric import money_sum, partial_total, safe_div, total_value
-from kpiforge.functions.periods import norm_freq, period_start, resample
+from kpiforge.functions.periods import fill_gaps, norm_freq, period_start, resample
 
 
 def _ledger(df: DataFrame, cols, wanted, required=("date", "amount")) -> DataFrame:
@@ -52,12 +52,55 @@ def summary(df: DataFrame, cols: ColumnMap | dict | None = None, *, strict: bool
     if strict and led.isEmpty():
         raise ValueError("empty ledger")
     have, scale = set(led.columns), _scale(cols)
+    customers = None
+    if "customer" in have:
+        count = F.approx_count_distinct if approx_customers else F.count_distinct
+        customers = led.agg(count("customer").alias("n_customers"))
+    return _summary_of(_cube(led, scale), customers, scale)
+
+
+def _cube(led: DataFrame, scale: int | None) -> DataFrame:
+    """The ledger added up by day, category and region (those it has): _u (partial total
+    of the amount), _v (amounts), _c (rows), _a and _b (first and last date).
+
+    The filter always holds.  It makes every reader of the cube need all its columns,
+    so that Spark finds their shuffles equal and reads the ledger once for all of them."""
+    kinds = [k for k in ("category", "region") if k in led.columns]
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    kinds = [k for k in ("category", "region") if k in have]
     cube = (led.groupBy(period_start(F.col("date"), "D").alias("_day"), *kinds)
-            .agg(partial_total(F.col("amount"), scale).alias("_u"), F.count(F.lit(1)).alias("_c"),
-                 F.min("date").alias("_a"), F.max("date").alias("_b"))
-            .withColumn("_month", period_start(F.col("_day"), "M")))
+            .agg(partial_total(F.col("amount"), scale).alias("_u"), F.count("amount").alias("_v"), F.count(F.lit(1)).alias("_c"),
+                 F.min("date").alias("_a"), F.max("date").alias("_b")))
+    return cube.where((F.col("_v") <= F.col("_c")) & (F.col("_a").isNull() | (F.col("_a") <= F.col("_b"))))
+
+
+def _series_of(cube: DataFrame, period: str, scale: int | None) -> DataFrame:
+    agg = (cube.where(F.col("_day").isNotNull()).groupBy(period_start(F.col("_day"), period).alias("period_start"))
+           .agg(total_value(F.sum("_u"), scale).alias("revenue"), F.sum("_v").alias("n_orders")))
+    return fill_gaps(agg, period)
+
+
+def _totals_of(cube: DataFrame, key: str, scale: int | None) -> DataFrame:
+    if key not in cube.columns:
+        return cube.sparkSession.createDataFrame([], f"{key} string, revenue double")
+    return (cube.where(F.col(key).isNotNull()).groupBy(key).agg(total_value(F.sum("_u"), scale).alias("revenue"))
+            .orderBy(F.desc("revenue"), F.asc(key)))
+
+
+def report_inputs(df: DataFrame, cols: ColumnMap | dict | None = None, z_threshold: float = 2.0) -> dict[str, DataFrame]:
+    """What the written report needs, from one aggregate of the ledger and one pass over
+    its customers: summary, trend (monthly), anomalies (daily), category, region."""
+    scale = _scale(cols)
+    led = _ledger(df, cols, ["date", "amount", "category", "region", "customer"])
+    cube = _cube(led, scale)
+    customers = led.agg(F.count_distinct("customer").alias("n_customers")) if "customer" in led.columns else None
+    return {"summary": _summary_of(cube, customers, scale), "trend": _trend_of(_series_of(cube, "M", scale), [], "positive_prev"),
+            "anomalies": _alerts_of(_series_of(cube, "D", scale), [], z_threshold),
+            "category": _totals_of(cube, "category", scale), "region": _totals_of(cube, "region", scale)}
+
+
+def _summary_of(cube: DataFrame, customers: DataFrame | None, scale: int | None) -> DataFrame:
+    kinds = [k for k in ("category", "region") if k in cube.columns]
+    cube = cube.withColumn("_month", period_start(F.col("_day"), "M"))
     keys = [*kinds, "_month"]
     gs = (cube.groupingSets([[F.col(k)] for k in keys] + [[]], *[F.col(k) for k in keys])
           .agg(total_value(F.sum("_u"), scale).alias("_rev"), F.sum("_c").alias("_n"),
@@ -85,11 +128,7 @@ def summary(df: DataFrame, cols: ColumnMap | dict | None = None, *, strict: bool
              F.min(m).alias("_m0"), F.max(m).alias("_m1")]
     growth = F.when((F.col("_m1") > F.col("_m0")) & (F.col("_first") > 0),
                     (F.col("_last") / F.col("_first") - F.lit(1)) * F.lit(100.0))
-    if "customer" in have:
-        count = F.approx_count_distinct if approx_customers else F.count_distinct
-        out = attach_one_row(gs.agg(*aggs), led.agg(count("customer").alias("n_customers")))
-    else:
-        out = gs.agg(*aggs, F.lit(0).alias("n_customers"))
+    out = attach_one_row(gs.agg(*aggs), customers) if customers is not None else gs.agg(*aggs, F.lit(0).alias("n_customers"))
     return out.where(F.col("n_records") > 0).select(
         "n_records",
         F.date_format("_dmin", "yyyy-MM-dd").alias("date_start"),
@@ -114,7 +153,10 @@ def trend(df: DataFrame, period: str = "M", cols: ColumnMap | dict | None = None
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g)
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    series = resample(led, period, group_cols=g, scale=_scale(cols))
+    return _trend_of(resample(led, period, group_cols=g, scale=_scale(cols)), g, growth_rule)
+
+
+def _trend_of(series: DataFrame, g: list[str], growth_rule: str) -> DataFrame:
     w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
     prev = F.lag("revenue").over(w)
     if growth_rule == "positive_prev":
@@ -145,7 +187,11 @@ def anomalies(df: DataFrame, period: str = "D", z_threshold: float = 2.0,
     """
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g).withColumn("date", as_timestamp(F.col("date")))
-    series = resample(led, period, group_cols=g, scale=_scale(cols))
+    return _alerts_of(resample(led, period, group_cols=g, scale=_scale(cols)), g, z_threshold, window, min_periods, min_history)
+
+
+def _alerts_of(series: DataFrame, g: list[str], z_threshold: float, window: int = 14, min_periods: int = 3,
+               min_history: int = 5) -> DataFrame:
     base = Window.partitionBy(*g) if g else Window.partitionBy()
     w = (Window.partitionBy(*g) if g else Window).orderBy("period_start") \
         .rowsBetween(-(window - 1), 0)

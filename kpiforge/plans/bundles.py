@@ -46,8 +46,8 @@ def forecast_bundle(ledger: DataFrame, method: str = "trend", periods: int = 7,
 
 
 def commentary(ledger: DataFrame, cols=None) -> dict[str, DataFrame]:
-    report = narrative.commentary_report(sales.summary(ledger, cols),
-                                         sales.anomalies(ledger, "D", 2.0, cols))
+    made = sales.report_inputs(ledger, cols)
+    report = narrative.commentary_report(made["summary"], made["anomalies"])
     return {"report": report, "rows": narrative.report_rows(report),
             "markdown": narrative.markdown(report)}
 

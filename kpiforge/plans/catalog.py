@@ -497,28 +497,27 @@ from kpiforge.sources import writers  # noqa: E402
 
 
 def _report_inputs(spark, sf):
-    led = _ledger(spark, sf, "date", "amount", "category", "region", "customer")
-    summary = sales.summary(led, IDENT)
-    alerts = sales.anomalies(_ledger(spark, sf, "date", "amount"), "D", 2.0, IDENT)
-    return led, summary, alerts
+    return sales.report_inputs(_ledger(spark, sf, "date", "amount", "category", "region", "customer"), IDENT)
+
+
+def _report(spark, sf):
+    made = _report_inputs(spark, sf)
+    return nar.commentary_report(made["summary"], made["anomalies"])
 
 
 @query("commentary_rules")
 def q_commentary_rules(spark, sf):
-    _, summary, alerts = _report_inputs(spark, sf)
-    return nar.report_rows(nar.commentary_report(summary, alerts))
+    return nar.report_rows(_report(spark, sf))
 
 
 @query("commentary_markdown")
 def q_commentary_markdown(spark, sf):
-    _, summary, alerts = _report_inputs(spark, sf)
-    return nar.markdown(nar.commentary_report(summary, alerts))
+    return nar.markdown(_report(spark, sf))
 
 
 def _payload(spark, sf):
-    led, summary, alerts = _report_inputs(spark, sf)
-    return nar.payload(summary, sales.trend(led, "M", IDENT), alerts,
-                       sales.category_breakdown(led, IDENT), sales.region_breakdown(led, IDENT))
+    made = _report_inputs(spark, sf)
+    return nar.payload(made["summary"], made["trend"], made["anomalies"], made["category"], made["region"])
 
 
 @query("commentary_payload")
@@ -547,8 +546,7 @@ def q_parse_commentary(spark, sf):
     """Every text of ``conversations`` as a model response (none is JSON, so they
     fall back to the rules), and per nation five responses made from its row: an
     object, a fenced one, a broken one, one with text behind it, one without overview."""
-    _, summary, alerts = _report_inputs(spark, sf)
-    report = nar.commentary_report(summary, alerts)
+    report = _report(spark, sf)
     base = sf.rstrip("/")
     conv = spark.read.parquet(f"{base}/conversations.parquet")
     texts = conv.select(F.concat_ws("-", "conv_id", "turn").alias("response_id"), "text")
