@@ -34,7 +34,7 @@ from kpiforge.llm.tokens import Words, resolve
 
 NEVER = 1 << 60
 #: Words, and arcs, that a worker keeps; at the limit the table starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 900_000
 CACHE_ARCS = 1 << 20
 
 
@@ -51,7 +51,11 @@ class MergeAutomaton:
         self.arcs: dict[int, bool] = {}
         for time, (u, v) in enumerate(merges):
             self.gadget(time, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max((len(t.removesuffix(suffix)) for t in vocab), default=0)
+        # characters of the longest label that starts with three given ones
+        self.reach: dict[str, int] = {}
+        for t in vocab:
+            t = t.removesuffix(suffix)
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
 
     def gadget(self, time: int, u: int, v: int, uv: int) -> None:
         if self.birth[uv] >= 0:
@@ -75,34 +79,32 @@ class MergeAutomaton:
             else:
                 return True
 
-    def arc(self, x: int, t: int) -> bool:
-        key = x * self.size + t
-        got = self.arcs.get(key)
-        if got is None:
-            if len(self.arcs) > CACHE_ARCS:
-                self.arcs.clear()
-            got = self.arcs[key] = self.follows(x, t)
-        return got
-
     def run(self, word: str) -> list[int]:
         """The labels (token ids) on the accepting path of a word; symbols are its
         characters, the last one with the suffix."""
-        n, vocab = len(word), self.vocab
+        n, vocab, birth, arcs, size, reach = len(word), self.vocab, self.birth, self.arcs, self.size, self.reach
+        if len(arcs) > CACHE_ARCS:
+            arcs.clear()
         path: list[int] = []  # token ids
         ends: list[int] = []
         dead: set[int] = set()
         at, end = 0, n
         while at < n:
-            found = None
-            end = min(end, at + self.longest)
+            most = at + reach.get(word[at : at + 3], 2)
+            end = most if most < end else end
+            last = path[-1] * size if path else -1
             while end > at:
-                if end not in dead:
-                    t = vocab.get(word[at:] + self.suffix if end == n else word[at:end])
-                    if t is not None and self.birth[t] < NEVER and (not path or self.arc(path[-1], t)):
-                        found = t
+                t = vocab.get(word[at:] + self.suffix if end == n else word[at:end])
+                if t is not None and end not in dead and birth[t] < NEVER:
+                    if last < 0:
+                        break
+                    ok = arcs.get(last + t)
+                    if ok is None:
+                        ok = arcs[last + t] = self.follows(path[-1], t)
+                    if ok:
                         break
                 end -= 1
-            if found is None:
+            if end == at:
                 dead.add(at)
                 if not path:
                     raise ValueError(f"no path for {word!r}")
@@ -110,7 +112,7 @@ class MergeAutomaton:
                 end = ends.pop() - 1
                 at = ends[-1] if ends else 0
             else:
-                path.append(found)
+                path.append(t)
                 ends.append(end)
                 at, end = end, n
         return path
