@@ -200,7 +200,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     blocks = spark.read.parquet(path)
     kind = blocks.schema["ids"].dataType.elementType
     arrow_id = to_arrow_type(kind)
-    # a row per part, as many as tasks wrote: no data grows in this window or in its broadcast
+    # a row per part: as many as tasks wrote the files, whatever they hold, so the window is small
+    # and the broadcast saves the blocks a shuffle
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", offset.alias("offset"))
@@ -219,7 +220,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                         pa.array([zlib.crc32(x) for x in data], pa.int64())] + [pa.array(data, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    both = blocks.join(parts, "part").select("before", "offset", "n_ids", "ids", "ends", "words")
+    both = blocks.join(F.broadcast(parts), "part").select("before", "offset", "n_ids", "ids", "ends", "words")
     return both.mapInArrow(run, f"id {kind.simpleString()}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
