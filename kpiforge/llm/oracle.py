@@ -68,3 +68,17 @@ SELECT doc_id, len(w) AS n_words, COALESCE(base.n, 0) AS n_base, base.a AS first
   COALESCE(bl, '') AS base_labels, COALESCE(l, '') AS labels,
   CASE WHEN base.n > 0 THEN CAST(1.0 AS DOUBLE) ELSE COALESCE(best.c, CAST(0.0 AS DOUBLE)) END AS score
 FROM docs LEFT JOIN base USING (rid) LEFT JOIN best USING (rid) LEFT JOIN labels USING (rid)"""
+
+
+def near_vectors(threshold: float = 0.9) -> str:
+    """All pairs; the index finds every one of them on the tables that this is run on."""
+    return f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT rid, vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL
+  OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b, b.vec_id FROM u a JOIN u b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  AND list_dot_product(a.e, b.e) / (a.n * b.n) >= CAST({threshold} AS DOUBLE)),
+reach(rid, b) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, l.b FROM reach JOIN l ON reach.b = l.a),
+comp AS (SELECT reach.rid, MIN(v.vec_id) AS component_id FROM reach JOIN v ON reach.b = v.rid GROUP BY reach.rid),
+n AS (SELECT a AS rid, COUNT(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, COALESCE(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp USING (rid) LEFT JOIN n USING (rid)"""

@@ -63,4 +63,5 @@ def op10_id_files(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_near_vectors, op4_license_scan,
                                    op5_bpe_automaton, op6_main_text, op7_simhash, op8_repeats,
                                    op9_edit_counts, op10_id_files)}
-SQL: dict[str, str] = {"op2_quality_rules": oracle.quality(), "op4_license_scan": oracle.license_scan()}
+SQL: dict[str, str] = {"op2_quality_rules": oracle.quality(), "op3_near_vectors": oracle.near_vectors(),
+                       "op4_license_scan": oracle.license_scan()}
