@@ -40,7 +40,7 @@ def digest(df) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from kpiforge.plans.catalog import QUERIES
     from kpiforge.session import get_session
     spark = get_session("local[8]", 8, driver_memory="8g")
     out = ["# Physical plans (digest)", "",
@@ -48,14 +48,11 @@ def main() -> None:
            "physical plan (`explain('formatted')`, before AQE re-planning).  Shuffles count "
            "hash, range and single-partition exchanges; single-partition ones are global "
            "aggregates of already aggregated data or windows over bounded series.  Broadcasts "
-           "are of size-checked tables or of one-row / top-n frames; nested-loop joins only "
+           "are of size-checked tables or of one-row frames; nested-loop joins only "
            "attach one-row aggregates.", "",
            "| query | shuffles | of which single-partition | broadcasts | windows | nested-loop joins | scans (table: columns read) |",
            "|---|---|---|---|---|---|---|"]
-    for name, fn in sorted(entry.queries().items()):
-        if name.startswith("kmeans"):
-            out.append(f"| {name} | (Spark ML iterations) | | | | | |")
-            continue
+    for name, fn in sorted(QUERIES.items()):
         d = digest(fn(spark, sf_dir))
         scans = "; ".join(f"{t}: {c}" for t, c, _ in d["scans"])
         out.append(f"| {name} | {d['shuffle']} | {d['single']} | {d['broadcast']} | {d['windows']} "

@@ -1,9 +1,8 @@
-"""Skew check for the distributed global rank.
+"""Skew check for the rank and the quantiles.
 
-A 6M-row table in which one value holds a third of all rows is ranked with the
-default settings (so the range-sort path runs).  Prints the time, whether the
-ranks are exactly 1..n with the right running sum, and how evenly the sort
-spread the rows (largest / mean partition), using the same composite order.
+A 6M-row table in which one value holds a third of all rows is ranked and its
+quantiles are taken.  Prints the times, whether the ranks are exactly 1..n with the
+right running sum, and the rows of the largest cell, which is one task's work.
 usage: python tools/skew_check.py [rows]
 """
 
@@ -20,7 +19,7 @@ def main() -> None:
     n = int(sys.argv[1]) if len(sys.argv) > 1 else 6_000_000
     from pyspark.sql import functions as F
 
-    from kpiforge.operators.ranking import global_rank
+    from kpiforge.operators.ranking import _binned, global_rank
     from kpiforge.session import get_session
     spark = get_session("local[8]", 8, driver_memory="8g")
     df = spark.range(n).select(
@@ -32,16 +31,14 @@ def main() -> None:
                      F.count_distinct("_rank").alias("nd"), F.max("_cum").alias("cum"),
                      F.sum("a").alias("total")).first()
     dt = time.perf_counter() - t0
-    sizes = [r["count"] for r in df.orderBy(F.desc("v"), F.asc("k"))
-             .groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    largest = _binned(df, "k").groupBy("v", "_bin").count().agg(F.max("count")).first()[0]
     print(f"rows={n} hot_value_share=1/3 seconds={dt:.1f} ranks_exact="
           f"{row['lo'] == 1 and row['hi'] == n and row['nd'] == n} running_sum_exact="
-          f"{row['cum'] == row['total']} partitions={len(sizes)} "
-          f"max/mean={max(sizes) / (sum(sizes) / len(sizes)):.2f}")
+          f"{row['cum'] == row['total']} largest_cell={largest}")
     from kpiforge.functions.stats import quantiles
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     t0 = time.perf_counter()
-    got = quantiles(df, "v", probs)             # > 1M rows: recursive bucket selection
+    got = quantiles(df, "v", probs)
     dt = time.perf_counter() - t0
     want = df.agg(F.percentile("v", probs).alias("q")).first()["q"]
     print(f"quantiles seconds={dt:.1f} exact={list(got) == [float(x) for x in want]}")
