@@ -6,6 +6,7 @@ DataFrames.  ``get_session`` is for tests, the benchmark and scripts.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", "")
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # not local-cluster[...]
             raise RuntimeError("set spark.checkpoint.dir to a shared folder "
                                "(operators cut their lineage there)")
         current = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
