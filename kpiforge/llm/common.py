@@ -52,8 +52,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def rows_of(batch, step: int = 256) -> Iterator[tuple]:
-    """The rows of an Arrow batch, a few at a time as Python values."""
+def rows_of(batch, *columns: int, step: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch (its given columns, or all), a few at a time as Python values."""
+    if columns:
+        batch = batch.select(list(columns))
     for at in range(0, batch.num_rows, step):
         yield from zip(*[c.to_pylist() for c in batch.slice(at, step).columns], strict=True)
 

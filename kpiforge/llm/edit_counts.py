@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kpiforge.llm.common import rows_of
 from kpiforge.llm.tokens import encoder
 
 LEAF = 256
@@ -144,9 +145,9 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits_col: str = "edits", id_
 
         for batch in batches:
             rows = []
-            heaps = zip(*[batch.column(i).to_pylist() for i in (3, 4)], strict=True) if kept else ((None, None) for _ in range(len(batch)))
-            for text, edits, (chars, tokens) in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), heaps, strict=True):
+            for _, text, edits, *heaps in rows_of(batch):
                 text = text or ""
+                chars, tokens = heaps or (None, None)
                 tree = CountTree(np.array(chars), np.array(tokens)) if chars else CountTree.build(text, count)
                 before = int(tree.tokens[1]) if tree.width > 1 else int(tree.tokens[-1])
                 for e in edits or []:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import written
+from kpiforge.llm.common import rows_of, written
 
 # Elements of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,7 +235,7 @@ def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         names = ["host", "page", "shape", "slot", "text"]
         for batch in batches:
             out: list[tuple] = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, html in rows_of(batch):
                 page = xxh3_64_intdigest((html or "").encode()) - (1 << 63)
                 got = slots(parse(html or ""))
                 shape = json.dumps(folded([s[0] for s in got]))
@@ -317,8 +317,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(html, {(f["slot"], f["text"]) for f in fixed or []}) for html, fixed in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(html, {(f["slot"], f["text"]) for f in fixed or []}) for html, fixed in rows_of(batch, 2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
