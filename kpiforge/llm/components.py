@@ -13,9 +13,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     node it reaches.  Nulls and self-links are dropped; repeated links don't matter.
 
     Each round links every node's larger neighbours, then its smaller ones, to the
-    smallest of them.  Minima are combined before they are shuffled, a hub's links
-    are split by the skew join, and each round is written to the shared folder, so
-    nothing but two numbers comes to the driver.
+    smallest of them.  Minima are combined before they are shuffled, and minima and
+    links are written to the shared folder, so that a join reads two plain tables and
+    Spark can split a hub's links.  Nothing but two numbers comes to the driver.
     """
     pairs = (links.where(F.col(a) != F.col(b))
              .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
@@ -27,10 +27,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = (seen["n"], seen["h"])
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = (both.where("v > u").join(least, "u").where("v != m")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low, "hi")
         new = (small.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                .union(low.select("hi", F.col("m").alias("lo"))).distinct())

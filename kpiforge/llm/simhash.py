@@ -121,7 +121,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits:
     parts = components(links(classes.select("fp"), max_bits), "a", "b")
     of = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a large component's rows can be split in the join
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = of.join(least, "root").select("fp", "root", "component_id")
     return prints.join(of, "fp")
 

@@ -203,7 +203,7 @@ def _compared(rows: DataFrame, threshold: float, step: int = 1024) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98,
-                 sample: int = 20_000, cell_rows: int = 64, block: int = 4096) -> DataFrame:
+                 sample: int = 10_000, cell_rows: int = 64, block: int = 4096) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = written(_classes(vectors, id_col, vector_col), "vectors")
     classes = written(rows.where("node is not null").groupBy("node").agg(
@@ -224,7 +224,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of = (classes.select("node", "weight", "least").join(counts, "node", "left").join(parts, "node", "left")
           .select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                   F.coalesce("root", "node").alias("root")))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a large component's rows can be split in the join
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = of.join(least, "root").select("node", "n_links", "component_id")
     done = rows.select("id", "node").join(of, "node", "left")
     component = F.coalesce("component_id", "id")
