@@ -43,7 +43,7 @@ SPAN = 1 << 16
 #: stay in the processor's cache.
 INDEX_BYTES = 1 << 17
 #: Segments of one anchor that are indexed together; beyond it windows are counted.
-GROUP_SEGMENTS = 2048
+GROUP_SEGMENTS = 4096
 
 _U = np.uint64
 
@@ -231,7 +231,7 @@ def _segment_rows(docs: DataFrame, id_col: str, text_col: str, length: int, gram
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The bytes of the wanted segments: anchor, copies, id, k, start, bytes."""
-    lists = wanted.groupBy("id", "k").agg(F.collect_list(F.struct("anchor", "copies", "start", "size")).alias("parts"))
+    lists = wanted.groupBy("id", "k").agg(F.collect_set(F.struct("anchor", "copies", "start", "size")).alias("parts"))
     texts = docs.select(F.col(id_col).alias("own_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("data"),
                         _key(text_col).alias("own_k"))
     both = texts.join(lists, texts["own_id"].eqNullSafe(lists["id"]) & (F.col("own_k") == F.col("k")))
@@ -248,6 +248,9 @@ def _indexed(texts: DataFrame, id_type: str, length: int) -> DataFrame:
         import pyarrow as pa
 
         for part in sorted_runs(batches, "anchor"):
+            # equal rows of the table give equal segments: one is enough
+            once = list({(a, x): i for i, (a, x) in enumerate(zip(part["anchor"].tolist(), part["bytes"], strict=True))}.values())
+            part = {n: v[once] for n, v in part.items()}
             starts, ends = run_bounds(part["anchor"])
             sizes = np.add.reduceat(np.array([len(x) for x in part["bytes"]]), starts)
             at = 0
@@ -304,11 +307,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       .where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("alike")), "anchors")
     met = written(rows.join(anchors, "anchor"), "met")
     mixed = met.where("not alike")
-    kinds = written(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min("k").alias("k0")), "kinds")
-    crowded = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > group_segments)
-                      .select("anchor"), "crowded")
+    place = F.struct("k", "id", "start")
+    kinds = written(mixed.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(place).alias("first")), "kinds")
+    most = min(group_segments, ((1 << 21) - 1) // (2 * length))  # an index holds 2 MB, a segment two windows
+    crowded = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor"), "crowded")
     mixed = written(mixed.join(kinds, ["anchor", "seg"]), "mixed")
-    texts = written(_texts(docs, mixed.where("copies = 1 or k = k0"), id_col, text_col), "texts")
+    # the text of a segment that has no copy, and of the first of its copies
+    texts = written(_texts(docs, mixed.where(place.eqNullSafe(F.col("first"))), id_col, text_col), "texts")
     span = ["id", "k", "start", "size"]
     marks = (met.where("alike").select(span).union(mixed.where("copies > 1").select(span))
              .union(_indexed(texts.join(crowded, "anchor", "left_anti"), id_type, length))
@@ -345,7 +350,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             out: list[tuple] = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in rows_of(batch, 1, 2):
                 data = (text or "").encode()
                 cuts = merged(found or [])
                 at, left = 0, []
