@@ -275,6 +275,20 @@ def test_repeated_strings_go(docs, rows, group_segments):
         (i, *w[:4]) for (i, _, _), w in zip(rows, want))
 
 
+def test_many_equal_and_periodic_rows(spark):
+    """Hot groups: copies, repeated rows, periods, and one passage in many surroundings."""
+    rng = random.Random(5)
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(1, "abc" * 2000, "s")] * 3 + [(i, passage + f" end {i % 3}", "s") for i in range(10, 60)]
+    rows += [(100 + i, "".join(rng.choice("abcdefgh ") for _ in range(300)) + passage + "".join(rng.choice("xyz ") for _ in range(260)), "s") for i in range(120)]
+    rows += [(300 + i, "a" * (150 + 20 * i), "s") for i in range(8)]
+    want = brute.without_repeats([t for _, t, _ in rows])
+    for group in (4096, 50):
+        got = repeats.without_repeats(brute.documents(spark, rows), group_segments=group).collect()
+        assert by_row((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == by_row(
+            (i, *w[:4]) for (i, _, _), w in zip(rows, want))
+
+
 def test_repeated_strings_of_small_alphabets(spark):
     rng = random.Random(8)
     rows = []
