@@ -108,6 +108,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     measured = written(_measured(docs, id_col, text_col, host_col), "measured")
     gone = _frequent(measured, max_docs, max_share).groupBy("host", "tx").agg(
         F.sum("words").alias("n_line_words"), F.collect_list("h").alias("gone"))
+    gone = written(gone, "gone")
     both = measured.drop("lines").join(gone, ["host", "tx"], "left").withColumn(
         "n_line_words", F.coalesce("n_line_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_line_words")
@@ -141,6 +142,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verdict = judge(docs, id_col, text_col, host_col, **limits).where("kept")
     # equal host and text give equal verdicts, so rows that share an id keep apart
     verdict = verdict.groupBy(F.col("host").alias("kf_h"), F.col("tx").alias("kf_t")).agg(F.first("gone").alias("kf_gone"))
+    verdict = written(verdict, "verdict")  # a plain table: many copies of one text can be split in the join
     own = docs.withColumn("kf_host", F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).withColumn(
         "kf_tx", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     both = own.join(verdict, (F.col("kf_host") == F.col("kf_h")) & (F.col("kf_tx") == F.col("kf_t")))
