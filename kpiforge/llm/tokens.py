@@ -20,8 +20,8 @@ from kpiforge.llm.common import worker_state
 #: Words kept per worker (about 200 MB); at the limit the cache starts anew.
 CACHE_WORDS = 1 << 20
 
-#: All but the characters whose class and case mapping no Unicode version changed.
-_ODD = re.compile("[^\n\x20-\x7e¡-įı-ɏ‐-‧€]|<\\|")
+#: Texts of characters whose class and case mapping no Unicode version changed.
+_PLAIN = re.compile("[\n\x20-\x7e¡-įı-ɏ‐-‧€]*")
 
 
 def _ascii(pattern: str) -> str:
@@ -77,7 +77,7 @@ class Words:
         self.letters = byte_letters()
 
     def odd(self, text: str) -> bool:
-        return not self.known or _ODD.search(text) is not None or (not self.folded and (
+        return not self.known or not _PLAIN.fullmatch(text) or "<|" in text or (not self.folded and (
             "  " in text or " \n" in text or "\n " in text or "\n\n" in text))
 
     def cut(self, text: str) -> list[str]:
