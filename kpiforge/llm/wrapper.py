@@ -10,8 +10,11 @@ slot whose text is the same on ``constant`` of the host's different pages that h
 What is no content by its meaning stays out however much it varies: menus, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
 comments, told by element, role or the words of class and id, and link lists.  Where a
-page has an article (or main) element, its other slots are the content; elsewhere it
-is the slots that vary.
+page has an article (or main) element, only the slots in it can be content.  The template
+decides on both: articles are trees of their own, aligned with the host's most frequent
+one, and what is constant in them goes like what is constant around them.  Articles with
+equal texts count once there, so that copies don't make an article template, and as the
+element speaks for content, a text must be in twice ``min_pages`` of them.
 
 Counting is by (host, slot, text hash) and combined before it is shuffled, so a host
 with a third of all pages is no single task's work; what a page needs of it is the
@@ -218,13 +221,25 @@ def aligned(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple[str, ...], tuple[
     return match(a, b, (), ())
 
 
+def content(got: list[tuple]) -> list[tuple[str, str, int]]:
+    """The blocks that the template decides on, as (slot, text, characters of links): those in
+    articles, with their paths from the article on, and on a page without them the others."""
+    inner = [("\t".join(_within(s[0])), s[1], s[4]) for s in got if s[3] and not s[2]]
+    return inner or [("\t".join(s[0]), s[1], s[4]) for s in got if not s[2]]
+
+
+def _within(path: tuple[str, ...]) -> tuple[str, ...]:
+    return path[next(i for i, name in enumerate(path) if name in ("article", "main")) :]
+
+
 def _host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
 def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """host, page (hash of the html), shape (folded tree as JSON), slot (path), text hash;
-    and one row per page whose slot is null."""
+    """One row per tree, at most two a page: host, inside (the tree is of the page's articles, not
+    of what is around them), page (hash of the html, or of the articles' texts), shape (folded
+    tree as JSON) and its blocks (slot, text hash)."""
 
     def run(batches):
         import json
@@ -232,34 +247,46 @@ def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        names = ["host", "page", "shape", "slot", "text"]
+        def number(text):
+            return xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+        names = ["host", "inside", "page", "shape", "blocks"]
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.struct([("slot", pa.string()), ("text", pa.int64())]))]
         for batch in batches:
             out: list[tuple] = []
             for host, html in rows_of(batch):
-                page = xxh3_64_intdigest((html or "").encode()) - (1 << 63)
                 got = slots(parse(html or ""))
-                shape = json.dumps(folded([s[0] for s in got]))
-                out.append((host, page, shape, None, 0))
-                out += {(host, page, shape, "\t".join(s[0]), xxh3_64_intdigest(s[1].encode()) - (1 << 63)) for s in got}
+                around = [(s[0], s[1]) for s in got if not s[3]]
+                inner = [(_within(s[0]), s[1]) for s in got if s[3] and not s[2]]
+                for inside, found in ((False, around), (True, inner)):
+                    if found:
+                        page = number("\n".join(t for _, t in found) if inside else html)
+                        held = sorted({("\t".join(path), number(t)) for path, t in found})
+                        out.append((host, inside, page, json.dumps(folded([path for path, _ in found])),
+                                    [{"slot": slot, "text": t} for slot, t in held]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     return pages.select(_host(url_col).alias("host"), html_col).mapInArrow(
-        run, "host string, page bigint, shape string, slot string, text bigint")
+        run, "host string, inside boolean, page bigint, shape string, blocks array<struct<slot: string, text: bigint>>")
 
 
 def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", constant: float = 0.9, min_pages: int = 5) -> DataFrame:
     """(host, slot, text) of the blocks that are template: the hash of a text that
     ``constant`` of a host's different pages have in the same slot of its model."""
-    blocks = _blocks(pages, url_col, html_col)
-    # pages with equal html count once
-    counted = blocks.distinct().groupBy("host", "shape", "slot", "text").agg(F.count("*").alias("n"))
+    side = ["host", "inside"]
+    # pages with equal html, and articles with equal texts, count once, in the first of their shapes
+    trees = written(_blocks(pages, url_col, html_col).groupBy(*side, "page", "shape").agg(F.first("blocks").alias("blocks")), "trees")
+    once = trees.groupBy(*side, "page").agg(F.min("shape").alias("once"))
+    trees = trees.join(once, [*side, "page"]).withColumn("n", (F.col("shape") == F.col("once")).cast("bigint"))
+    counted = trees.select(*side, "shape", "n", F.explode(F.concat(F.col("blocks"), F.array(F.struct(
+        F.lit(None).cast("string").alias("slot"), F.lit(0).cast("bigint").alias("text"))))).alias("b"))
+    counted = counted.groupBy(*side, "shape", F.col("b.slot").alias("slot"), F.col("b.text").alias("text")).agg(F.sum("n").alias("n"))
     counted = written(counted, "slots")
-    shapes = counted.where("slot is null").select("host", "shape", "n")
+    shapes = counted.where("slot is null").select(*side, "shape", "n")
     counted = counted.where("slot is not null")
-    model = shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("model"))
-    pairs = shapes.select("host", "shape").join(model, "host")
+    model = shapes.groupBy(*side).agg(F.max(F.struct("n", "shape"))["shape"].alias("model"))
+    pairs = shapes.select(*side, "shape").join(model, side)
 
     def align(batches):
         import json
@@ -272,36 +299,38 @@ def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", con
         known: dict = {}
         for batch in batches:
             out = []
-            for host, shape, other in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for host, inside, shape, other in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if (shape, other) not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[shape, other] = aligned(tree(json.loads(shape)), tree(json.loads(other)))[1]
-                out += [(host, shape, "\t".join(x), "\t".join(y)) for x, y in known[shape, other]]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["host", "shape", "slot", "model_slot"])
+                out += [(host, inside, shape, "\t".join(x), "\t".join(y)) for x, y in known[shape, other]]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.string(), pa.bool_(), *[pa.string()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                                             [*side, "shape", "slot", "model_slot"])
 
-    names = pairs.select("host", "shape", "model").mapInArrow(align, "host string, shape string, slot string, model_slot string")
-    named = counted.join(written(names, "names"), ["host", "shape", "slot"], "left").withColumn(
+    names = pairs.mapInArrow(align, "host string, inside boolean, shape string, slot string, model_slot string")
+    named = counted.join(written(names, "names"), [*side, "shape", "slot"], "left").withColumn(
         "model_slot", F.coalesce("model_slot", "slot"))
-    texts = named.groupBy("host", "model_slot", "text").agg(F.sum("n").alias("n"))
-    sizes = shapes.join(named.select("host", "shape", "model_slot").distinct(), ["host", "shape"]).groupBy("host", "model_slot").agg(
+    texts = named.groupBy(*side, "model_slot", "text").agg(F.sum("n").alias("n"))
+    sizes = shapes.join(named.select(*side, "shape", "model_slot").distinct(), [*side, "shape"]).groupBy(*side, "model_slot").agg(
         F.sum("n").alias("pages"))
-    fixed = texts.join(sizes, ["host", "model_slot"]).where((F.col("n") >= min_pages) & (F.col("n") >= constant * F.col("pages")))
-    return named.join(fixed.select("host", "model_slot", "text"), ["host", "model_slot", "text"]).select("host", "slot", "text").distinct()
+    least = F.when(F.col("inside"), 2 * min_pages).otherwise(min_pages)
+    fixed = texts.join(sizes, [*side, "model_slot"]).where((F.col("n") >= least) & (F.col("n") >= constant * F.col("pages")))
+    return named.join(fixed.select(*side, "model_slot", "text"), [*side, "model_slot", "text"]).select("host", "slot", "text").distinct()
 
 
 def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
     """The content blocks of a page, joined by a blank; ``fixed`` holds its host's
-    template blocks (slot, text hash)."""
+    template blocks (slot, text hash), those of articles with paths from the article on."""
     from xxhash import xxh3_64_intdigest
 
     got = slots(parse(html or ""))
-    if any(s[3] and not s[2] for s in got):
-        return " ".join(s[1] for s in got if s[3] and not s[2])
-    keep = [s for s in got if not s[2] and 2 * s[4] <= len(s[1])]
+    whole = any(s[3] and not s[2] for s in got)
+    keep = [s for s in content(got) if whole or 2 * s[2] <= len(s[1])]
     if fixed:
-        keep = [s for s in keep if ("\t".join(s[0]), xxh3_64_intdigest(s[1].encode()) - (1 << 63)) not in fixed]
+        keep = [s for s in keep if (s[0], xxh3_64_intdigest(s[1].encode()) - (1 << 63)) not in fixed]
     return " ".join(s[1] for s in keep)
 
 

@@ -49,6 +49,20 @@ def test_template_slots_go_where_no_article_is(spark):
     assert {r.text for r in wrapper.extracted(table(spark, copies)).collect()} == {"Our site Head 1 Story 1 of many More 7 Contact us"}
 
 
+def test_template_slots_go_inside_articles_too(spark):
+    def page(i, story):
+        return (f"<body><p>Site {i}</p><article><h1>Head {story}</h1><div id=post-{i}><p>Story {story} of many</p><p>Shared by all</p>"
+                f"<div class=box>Written by our editors</div></div></article></body>")
+
+    rows = [(i, f"http://e.example/{i}", page(i, i)) for i in range(20)]
+    rows += [(100 + i, f"http://copy.example/{i}", page(i, 1)) for i in range(50)]  # one article on 50 different pages
+    got = {r.page_id: r.text for r in wrapper.extracted(table(spark, rows)).collect()}
+    for i in range(20):
+        assert got[i] == f"Head {i} Story {i} of many"
+    for i in range(50):
+        assert got[100 + i] == "Head 1 Story 1 of many Shared by all Written by our editors"
+
+
 def test_tree_matching_is_the_best_alignment():
     a = ("#page", (("body", (("nav", ()), ("div.x", (("p", ()), ("h1", ()))), ("footer", ()))),))
     b = ("#page", (("body", (("div.ad", ()), ("div.x", (("h1", ()), ("p", ()), ("h1", ()))), ("footer", ()))),))
