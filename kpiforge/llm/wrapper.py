@@ -9,7 +9,8 @@ slot whose text is the same on ``constant`` of the host's different pages that h
 
 What is no content by its meaning stays out however much it varies: menus, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, told by element, role or the words of class and id, and link lists.  Where a
+comments, told by element, role or a whole name of class or id.  An article in an element
+with such a name comes back if the page has no other, a main element always.  Where a
 page has an article (or main) element, only the slots in it can be content.  The template
 decides on both: articles are trees of their own, aligned with the host's most frequent
 one, and what is constant in them goes like what is constant around them.  Articles with
@@ -45,7 +46,16 @@ ROLES = set("navigation banner contentinfo complementary search dialog alert men
 MARKS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar "
             "navigation menu menubar sidebar breadcrumb breadcrumbs cookie cookies consent notice alert popup modal overlay "
             "newsletter subscribe signup login share sharing social related recommended widget comment comments disqus "
-            "replies footer masthead pagination pager skip".split())
+            "replies footer masthead pagination pager skip "
+          # names of several words count as they are written
+          "ad-banner ad-container ad-slot ad-unit main-nav main-navigation site-navigation nav-menu main-menu top-bar site-header "
+          "page-header-nav site-footer page-footer footer-widgets widget-area widget-title left-sidebar right-sidebar sidebar-left "
+          "sidebar-right cookie-banner cookie-notice cookie-consent cookie-bar share-buttons share-bar social-share social-links "
+          "social-icons sharing-buttons related-posts related-articles related-links comment-list comments-area comment-form "
+          "comment-respond newsletter-signup skip-link skip-to-content login-form".split())
+#: What marks a block: nothing, an element or role that is no content, an article in an element of
+#: such a name, and such a name.
+CLEAR, OUT, HELD, MARKED = range(4)
 #: Elements that an opening tag of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
@@ -60,14 +70,13 @@ DEPTH = 200
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "out", "kids")
+    __slots__ = ("tag", "marks", "out", "marked", "kids")
 
-    def __init__(self, tag: str, marks: str = "", out: bool = False):
-        self.tag, self.marks, self.out = tag, marks, out
+    def __init__(self, tag: str, marks: str = "", out: bool = False, marked: bool = False):
+        self.tag, self.marks, self.out, self.marked = tag, marks, out, marked
         self.kids: list = []  # nodes and strings in page order
 
     @property
@@ -76,7 +85,7 @@ class Node:
 
 
 def _opened(tag: str, attributes: str) -> Node:
-    marks, out = [], tag in DROPPED
+    marks, out, marked = [], tag in DROPPED, False
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, *value in _ATTR.findall(attributes):
             value = "".join(value)
@@ -87,8 +96,8 @@ def _opened(tag: str, attributes: str) -> Node:
                 out = True
             elif key in ("class", "id") and tag not in ("html", "body", "article", "main"):
                 marks += value.split()
-                out = out or any(w.lower() in MARKS for w in _WORD.findall(value))
-    return Node(tag, " ".join(sorted(set(marks)))[:60], out)
+                marked = marked or any(w.lower() in MARKS for w in value.split())
+    return Node(tag, " ".join(sorted(set(marks)))[:60], out, marked)
 
 
 def parse(html: str) -> Node:
@@ -138,44 +147,48 @@ def clean(text: str) -> str:
     return " ".join(references.unescape(text).split())
 
 
-def slots(root: Node) -> list[tuple[tuple[str, ...], str, bool, bool, int]]:
+def slots(root: Node) -> list[tuple[tuple[str, ...], str, bool, bool]]:
     """The page's blocks in order: path of node names, text, whether it is out by its
-    meaning, whether it lies in an article, and characters of its links."""
+    meaning, and whether it lies in an article."""
     found: list = []
     buffer: list[str] = []
-    linked = 0
 
     def flush(path, out, inside):
-        nonlocal linked
         if buffer:
             text = clean("".join(buffer))
             if text:
-                found.append((path, text, out, inside, linked))
+                found.append((path, text, out, inside))
             buffer.clear()
-        linked = 0
 
-    def walk(node, path, out, inside, link):
-        nonlocal linked
+    def entered(kid, out, inside):
+        if out == OUT or kid.out or kid.tag == "header" and not inside:
+            return OUT
+        if kid.marked:
+            return OUT if out == HELD else MARKED
+        if out == MARKED and kid.tag in ("article", "main"):
+            return HELD if inside or kid.tag == "article" else CLEAR
+        return out
+
+    def walk(node, path, out, inside):
         for kid in node.kids:
             if isinstance(kid, str):
                 buffer.append(kid)
-                if link:
-                    linked += len(clean(kid))
-            elif kid.tag in INLINE and not kid.out:
-                walk(kid, path, out, inside, link or kid.tag == "a")
+            elif kid.tag in INLINE and not kid.out and not kid.marked:
+                walk(kid, path, out, inside)
             elif kid.tag == "br":
                 buffer.append(" ")
             else:
                 flush(path, out, inside)
-                drop = out or kid.out or kid.tag == "header" and not inside
+                state = entered(kid, out, inside)
                 walk_in = (*path, kid.name)
                 into = inside or kid.tag in ("article", "main")
-                walk(kid, walk_in, drop, into, link)
-                flush(walk_in, drop, into)
+                walk(kid, walk_in, state, into)
+                flush(walk_in, state, into)
 
-    walk(root, (), False, False, False)
-    flush((), False, False)
-    return found
+    walk(root, (), CLEAR, False)
+    flush((), CLEAR, False)
+    only = {CLEAR} if any(s[3] and s[2] == CLEAR for s in found) else {CLEAR, HELD}
+    return [(path, text, out not in only, inside) for path, text, out, inside in found]
 
 
 def folded(paths: list[tuple[str, ...]]) -> tuple:
@@ -221,11 +234,11 @@ def aligned(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple[str, ...], tuple[
     return match(a, b, (), ())
 
 
-def content(got: list[tuple]) -> list[tuple[str, str, int]]:
-    """The blocks that the template decides on, as (slot, text, characters of links): those in
-    articles, with their paths from the article on, and on a page without them the others."""
-    inner = [("\t".join(_within(s[0])), s[1], s[4]) for s in got if s[3] and not s[2]]
-    return inner or [("\t".join(s[0]), s[1], s[4]) for s in got if not s[2]]
+def content(got: list[tuple]) -> list[tuple[str, str]]:
+    """The blocks that the template decides on, as (slot, text): those in articles, with
+    their paths from the article on, and on a page without them the others."""
+    inner = [("\t".join(_within(s[0])), s[1]) for s in got if s[3] and not s[2]]
+    return inner or [("\t".join(s[0]), s[1]) for s in got if not s[2]]
 
 
 def _within(path: tuple[str, ...]) -> tuple[str, ...]:
@@ -326,9 +339,7 @@ def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
     template blocks (slot, text hash), those of articles with paths from the article on."""
     from xxhash import xxh3_64_intdigest
 
-    got = slots(parse(html or ""))
-    whole = any(s[3] and not s[2] for s in got)
-    keep = [s for s in content(got) if whole or 2 * s[2] <= len(s[1])]
+    keep = content(slots(parse(html or "")))
     if fixed:
         keep = [s for s in keep if (s[0], xxh3_64_intdigest(s[1].encode()) - (1 << 63)) not in fixed]
     return " ".join(s[1] for s in keep)

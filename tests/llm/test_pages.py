@@ -63,6 +63,18 @@ def test_template_slots_go_inside_articles_too(spark):
         assert got[100 + i] == "Head 1 Story 1 of many Shared by all Written by our editors"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div class='layout with-sidebar'><p>One</p><div class='elementor-element elementor-widget'><p>Two</p></div></div>", "One Two"),
+    ("<div class='page sidebar'><p>Side</p><article><p>Story</p><div class=ad>Buy</div></article></div>", "Story"),
+    ("<div id=widget><main><p>Story</p><div class=comments><article>Reader</article></div></main></div>", "Story"),
+    ("<article>Story</article><div class=related><article>Teaser</article></div>", "Story"),
+    ("<p>See</p><ul><li><a href=/1>A first reference</a></li></ul><p class='Share box'>Send it on</p>", "See A first reference"),
+    ("<nav><article>Menu</article></nav><p>Text</p>", "Text"),
+])
+def test_whole_names_mark_and_an_article_inside_comes_back(html, text):
+    assert wrapper.main_text(html, set()) == text
+
+
 def test_tree_matching_is_the_best_alignment():
     a = ("#page", (("body", (("nav", ()), ("div.x", (("p", ()), ("h1", ()))), ("footer", ()))),))
     b = ("#page", (("body", (("div.ad", ()), ("div.x", (("h1", ()), ("p", ()), ("h1", ()))), ("footer", ()))),))
