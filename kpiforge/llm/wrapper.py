@@ -1,8 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages become trees; sibling runs of like elements are folded into one repeated node.
-The folded trees of a host are few.  The host's most frequent one is its model, and
-every other is aligned with it by simple tree matching (most pairs of equal nodes that
+The host's most frequent folded tree is its model, and every other is aligned with it by simple tree matching (most pairs of equal nodes that
 keep order and ancestors), so that all pages of the host name their slots alike.  A
 slot whose text is the same on ``constant`` of the host's different pages that have it
 (and on ``min_pages`` of them at least) is template; a slot that varies is content.
@@ -18,8 +17,9 @@ equal texts count once there, so that copies don't make an article template, and
 element speaks for content, a text must be in twice ``min_pages`` of them.
 
 Counting is by (host, slot, text hash) and combined before it is shuffled, so a host
-with a third of all pages is no single task's work; what a page needs of it is the
-constant texts of its host.  Defined cases: null or empty html, and pages without
+with a third of all pages is no single task's work.  A page gets the constant texts of
+its own shape, which are no more than the blocks of a page, however many shapes its host
+has (pages with an id of their own in a slot's path are a shape each).  Defined cases: null or empty html, and pages without
 content, give an empty text; a null or odd url is a host of its own kind; equal rows get
 equal texts; an empty table gives no rows.
 """
@@ -249,6 +249,11 @@ def _host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def sides(got: list[tuple]) -> list[tuple[bool, list[tuple[tuple[str, ...], str]]]]:
+    """The blocks (path, text) around the page's articles, and those in them that are no menus and so on."""
+    return [(False, [s[:2] for s in got if not s[3]]), (True, [(_within(s[0]), s[1]) for s in got if s[3] and not s[2]])]
+
+
 def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """One row per tree, at most two a page: host, inside (the tree is of the page's articles, not
     of what is around them), page (hash of the html, or of the articles' texts), shape (folded
@@ -268,10 +273,7 @@ def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for host, html in rows_of(batch):
-                got = slots(parse(html or ""))
-                around = [(s[0], s[1]) for s in got if not s[3]]
-                inner = [(_within(s[0]), s[1]) for s in got if s[3] and not s[2]]
-                for inside, found in ((False, around), (True, inner)):
+                for inside, found in sides(slots(parse(html or ""))):
                     if found:
                         page = number("\n".join(t for _, t in found) if inside else html)
                         held = sorted({("\t".join(path), number(t)) for path, t in found})
@@ -285,8 +287,10 @@ def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 
 
 def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", constant: float = 0.9, min_pages: int = 5) -> DataFrame:
-    """(host, slot, text) of the blocks that are template: the hash of a text that
-    ``constant`` of a host's different pages have in the same slot of its model."""
+    """(host, inside, shape, slot, text) of the blocks that are template, for every shape of
+    a tree: the hash of a text that ``constant`` of a host's different pages have in the same
+    slot of its model, where that shape has it.  A shape's texts are each in nine of ten
+    pages with their slot, so a shape has about as many as a page has blocks."""
     side = ["host", "inside"]
     # pages with equal html, and articles with equal texts, count once, in the first of their shapes
     trees = written(_blocks(pages, url_col, html_col).groupBy(*side, "page", "shape").agg(F.first("blocks").alias("blocks")), "trees")
@@ -331,11 +335,11 @@ def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", con
         F.sum("n").alias("pages"))
     least = F.when(F.col("inside"), 2 * min_pages).otherwise(min_pages)
     fixed = texts.join(sizes, [*side, "model_slot"]).where((F.col("n") >= least) & (F.col("n") >= constant * F.col("pages")))
-    return named.join(fixed.select(*side, "model_slot", "text"), [*side, "model_slot", "text"]).select("host", "slot", "text").distinct()
+    return named.join(fixed.select(*side, "model_slot", "text"), [*side, "model_slot", "text"]).select(*side, "shape", "slot", "text")
 
 
 def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
-    """The content blocks of a page, joined by a blank; ``fixed`` holds its host's
+    """The content blocks of one page, joined by a blank; ``fixed`` holds its shape's
     template blocks (slot, text hash), those of articles with paths from the article on."""
     from xxhash import xxh3_64_intdigest
 
@@ -348,18 +352,36 @@ def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = 0.9,
               min_pages: int = 5) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    fixed = template(pages, url_col, html_col, constant, min_pages)
-    per_host = written(fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("fixed")), "template")
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("own_host"))
-    both = own.join(per_host, F.col("own_host") == F.col("host"), "left")
+    key = ["host", "inside", "shape"]
+    fixed = template(pages, url_col, html_col, constant, min_pages).withColumn("shape", F.xxhash64("shape"))
+    fixed = written(fixed.groupBy(*key).agg(F.collect_set(F.xxhash64("slot", "text")).alias("gone")), "template")
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
 
     def run(batches):
+        import json
+
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
+        block = pa.struct([("slot", pa.string()), ("text", pa.int64()), ("words", pa.string())])
         for batch in batches:
-            texts = [main_text(html, {(f["slot"], f["text"]) for f in fixed or []}) for html, fixed in rows_of(batch, 2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                                              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return both.select("page_id", "url", "html", "fixed").mapInArrow(
-        run, f"page_id {dict(own.dtypes)['page_id']}, url {dict(own.dtypes)['url']}, text string, n_chars bigint")
+            out: list[tuple] = []
+            for (html,) in rows_of(batch, 3):
+                got = slots(parse(html or ""))
+                (_, around), (_, inner) = sides(got)
+                out.append((bool(inner), json.dumps(folded([path for path, _ in inner or around])),
+                            [{"slot": slot, "text": xxh3_64_intdigest(t.encode()) - (1 << 63), "words": t} for slot, t in content(got)]))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            kinds = [pa.bool_(), pa.string(), pa.list_(block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]],
+                                             ["page_id", "url", *key, "blocks"])
+
+    types = dict(own.dtypes)
+    own = own.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, host string, inside boolean, shape string, "
+                              "blocks array<struct<slot: string, text: bigint, words: string>>")
+    own = own.withColumn("shape", F.xxhash64("shape")).withColumn("blocks", F.transform("blocks", lambda b: F.struct(
+        F.xxhash64(b["slot"], b["text"]).alias("key"), b["words"].alias("words"))))
+    keep = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), b["key"]))
+    text = F.array_join(F.transform(keep, lambda b: b["words"]), " ")
+    return own.join(fixed, key, "left").select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.length("text").cast("bigint"))

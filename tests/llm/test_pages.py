@@ -63,6 +63,16 @@ def test_template_slots_go_inside_articles_too(spark):
         assert got[100 + i] == "Head 1 Story 1 of many Shared by all Written by our editors"
 
 
+def test_a_page_gets_the_template_of_its_own_shape(spark):
+    """Every page has an id of its own above its constant texts."""
+    rows = [(i, f"http://ids.example/{i}", f"<body><div id=post-{i}><h1>Head {i}</h1><div class=a>Our site</div><div class=b>Contact</div></div></body>")
+            for i in range(60)]
+    pages = table(spark, rows)
+    got = wrapper.template(pages).groupBy("host", "inside", "shape").count().collect()
+    assert len(got) == 60 and {r["count"] for r in got} == {2}
+    assert {r.page_id: r.text for r in wrapper.extracted(pages).collect()} == {i: f"Head {i}" for i in range(60)}
+
+
 @pytest.mark.parametrize("html, text", [
     ("<div class='layout with-sidebar'><p>One</p><div class='elementor-element elementor-widget'><p>Two</p></div></div>", "One Two"),
     ("<div class='page sidebar'><p>Side</p><article><p>Story</p><div class=ad>Buy</div></article></div>", "Story"),
