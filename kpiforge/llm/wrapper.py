@@ -4,7 +4,8 @@ Pages become trees; sibling runs of like elements are folded into one repeated n
 The host's most frequent folded tree is its model, and every other is aligned with it by simple tree matching (most pairs of equal nodes that
 keep order and ancestors), so that all pages of the host name their slots alike.  A
 slot whose text is the same on ``constant`` of the host's different pages that have it
-(and on ``min_pages`` of them at least) is template; a slot that varies is content.
+(and on ``min_pages`` of them at least) is template; a slot that varies is content.  On
+a host with fewer pages, ``few_pages`` at least, it must be on all of them.
 
 What is no content by its meaning stays out however much it varies: menus, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
@@ -286,7 +287,8 @@ def _blocks(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         run, "host string, inside boolean, page bigint, shape string, blocks array<struct<slot: string, text: bigint>>")
 
 
-def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", constant: float = 0.9, min_pages: int = 5) -> DataFrame:
+def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", constant: float = 0.9, min_pages: int = 5,
+             few_pages: int = 3) -> DataFrame:
     """(host, inside, shape, slot, text) of the blocks that are template, for every shape of
     a tree: the hash of a text that ``constant`` of a host's different pages have in the same
     slot of its model, where that shape has it.  A shape's texts are each in nine of ten
@@ -334,8 +336,11 @@ def template(pages: DataFrame, url_col: str = "url", html_col: str = "html", con
     sizes = shapes.join(named.select(*side, "shape", "model_slot").distinct(), [*side, "shape"]).groupBy(*side, "model_slot").agg(
         F.sum("n").alias("pages"))
     least = F.when(F.col("inside"), 2 * min_pages).otherwise(min_pages)
-    fixed = texts.join(sizes, [*side, "model_slot"]).where((F.col("n") >= least) & (F.col("n") >= constant * F.col("pages")))
-    return named.join(fixed.select(*side, "model_slot", "text"), [*side, "model_slot", "text"]).select(*side, "shape", "slot", "text")
+    often = texts.join(sizes, [*side, "model_slot"]).where((F.col("n") >= least) & (F.col("n") >= constant * F.col("pages")))
+    few = shapes.where("not inside").groupBy(*side).agg(F.sum("n").alias("all")).where(F.col("all").between(few_pages, min_pages - 1))
+    everywhere = texts.join(few, side).where(F.col("n") == F.col("all"))
+    fixed = often.select(*side, "model_slot", "text").union(everywhere.select(*side, "model_slot", "text"))
+    return named.join(fixed, [*side, "model_slot", "text"]).select(*side, "shape", "slot", "text")
 
 
 def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
@@ -350,10 +355,10 @@ def main_text(html: str | None, fixed: set[tuple[str, int]]) -> str:
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = 0.9,
-              min_pages: int = 5) -> DataFrame:
+              min_pages: int = 5, few_pages: int = 3) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     key = ["host", "inside", "shape"]
-    fixed = template(pages, url_col, html_col, constant, min_pages).withColumn("shape", F.xxhash64("shape"))
+    fixed = template(pages, url_col, html_col, constant, min_pages, few_pages).withColumn("shape", F.xxhash64("shape"))
     fixed = written(fixed.groupBy(*key).agg(F.collect_set(F.xxhash64("slot", "text")).alias("gone")), "template")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
 

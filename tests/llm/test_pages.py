@@ -73,6 +73,18 @@ def test_a_page_gets_the_template_of_its_own_shape(spark):
     assert {r.page_id: r.text for r in wrapper.extracted(pages).collect()} == {i: f"Head {i}" for i in range(60)}
 
 
+def test_small_hosts_have_a_template_of_what_is_on_all_pages(spark):
+    def page(i, more):
+        return f"<body><div id=top>Our site</div><p>Story {i}</p>{more}<div id=end>Contact us</div></body>"
+
+    rows = [(100 * n + i, f"http://n{n}.example/{i}", page(i, "<p>On most</p>" if i else "")) for n in (1, 2, 3, 4) for i in range(n)]
+    got = {r.page_id: r.text for r in wrapper.extracted(table(spark, rows)).collect()}
+    for n in (1, 2, 3, 4):
+        for i in range(n):
+            own = f"Story {i}" + (" On most" if i else "")
+            assert got[100 * n + i] == (own if n > 2 else f"Our site {own} Contact us")
+
+
 @pytest.mark.parametrize("html, text", [
     ("<div class='layout with-sidebar'><p>One</p><div class='elementor-element elementor-widget'><p>Two</p></div></div>", "One Two"),
     ("<div class='page sidebar'><p>Side</p><article><p>Story</p><div class=ad>Buy</div></article></div>", "Story"),
