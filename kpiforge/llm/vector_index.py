@@ -9,9 +9,11 @@ vector and one turned away from it by the threshold angle in a random direction,
 farthest that still links.  Everything that shares a visited cell is compared in double
 precision, in blocks.
 
-Equal vectors are one class before the index.  Cells are split into blocks of
-``block`` classes, so a cell with a third of all rows is many tasks' work; a block
-adds up link counts and emits a tree of its links, never pairs.  The codebooks are fitted
+Equal vectors are one class before the index.  A cell's classes are split into blocks of
+about ``block`` by their hashes, and those that visit it into blocks of about ``visitors``;
+every block of the one meets every block of the other in a place of its own, so a cell with a
+third of all rows is many tasks' work, and a task holds a place at a time.  A place adds up
+link counts and emits a tree of its links, never pairs.  The codebooks are fitted
 on ``sample`` classes, those with the smallest hashes; every vector is indexed.
 
 Defined cases: a vector that is null, empty, zero or has a null or non-finite component
@@ -149,7 +151,7 @@ def _visits(classes: DataFrame, model: dict) -> DataFrame:
 
 
 def _compared(rows: DataFrame, threshold: float, step: int = 1024) -> DataFrame:
-    """Per block: link counts (node, n) and links (a, b) that span its clusters."""
+    """Per place: link counts (node, n) of its visitors and members, and links (a, b) that span its clusters."""
 
     def run(batches):
         import pyarrow as pa
@@ -161,18 +163,20 @@ def _compared(rows: DataFrame, threshold: float, step: int = 1024) -> DataFrame:
                     continue
                 order = np.concatenate([np.flatnonzero(member), np.flatnonzero(~member)]) + lo
                 m = int(member.sum())
+                asking = np.flatnonzero(part["visitor"][order].astype(bool))  # members of other visitor blocks are only met
                 units = np.stack([np.frombuffer(part["unit"][i], "<f8") for i in order])
                 weight, node, home = part["weight"][order].astype(np.int64), part["node"][order], part["home"][order]
                 cells = part["cells"][order[:m]]
                 count = np.zeros(len(order), np.int64)
                 label = np.arange(m)
                 a, b = [], []
-                for at in range(0, len(order), step):
-                    rows_at = slice(at, min(at + step, len(order)))
+                for at in range(0, len(asking), step):
+                    rows_at = asking[at : at + step]
                     hit = units[rows_at] @ units[:m].T >= threshold
-                    x, y = np.nonzero(hit)
-                    own = x + at == y
-                    x, y = x[~own] + at, y[~own]
+                    line, y = np.nonzero(hit)
+                    own = rows_at[line] == y
+                    line, y = line[~own], y[~own]
+                    x = rows_at[line]
                     np.add.at(count, x, weight[y])
                     outer = x >= m  # a member that doesn't visit the other's cell is found from here only
                     ox, oy = x[outer], y[outer]
@@ -181,8 +185,9 @@ def _compared(rows: DataFrame, threshold: float, step: int = 1024) -> DataFrame:
                     back[other] = [home[i] in cells[j] for i, j in zip(ox[other].tolist(), oy[other].tolist(), strict=True)]
                     np.add.at(count, oy[~back], weight[ox[~back]])
                     # one link per row and cluster found so far
-                    for i in np.unique(x).tolist():
-                        tops = np.unique(label[y[x == i]]) if len(x) < 64 else np.unique(label[hit[i - at]])
+                    for k in np.unique(line).tolist():
+                        i = int(rows_at[k])
+                        tops = np.unique(label[y[line == k]]) if len(x) < 64 else np.unique(label[hit[k]])
                         if i < m:
                             tops = np.unique(np.append(tops, label[i]))
                             if len(tops) > 1:
@@ -202,22 +207,38 @@ def _compared(rows: DataFrame, threshold: float, step: int = 1024) -> DataFrame:
     return rows.mapInArrow(run, "node string, n bigint, a string, b string")
 
 
+def _spread(visits: DataFrame, block: int, visitors: int) -> DataFrame:
+    """A row per place that a class goes to: as a visitor to all member blocks of its cells, in its
+    visitor block; as a member to all visitor blocks of its home, in its member block."""
+    # a row per cell in use, 256 * 256 for a vector length at most
+    each = visits.select("home", F.explode("cells").alias("cell"))
+    blocks = each.groupBy("cell").agg(F.sum((F.col("cell") == F.col("home")).cast("bigint")).alias("members"), F.count("*").alias("n"))
+    blocks = written(blocks.where("members > 0").select(
+        "cell", F.ceil(F.col("members") / block).alias("blocks"), F.ceil(F.col("n") / visitors).alias("rounds")), "blocks")
+    spread = visits.select("node", "weight", "unit", "home", "cells", F.explode("cells").alias("cell")).join(blocks, "cell")
+    at_home, zero = F.col("cell") == F.col("home"), F.lit(0).cast("bigint")
+    own_b, own_v = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rounds"))
+
+    def place(b, v, member, visitor):
+        return F.struct(b.alias("b"), v.alias("v"), member.alias("member"), F.lit(visitor).alias("visitor"))
+
+    asks = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda b: place(b, own_v, at_home & (b == own_b), True))
+    met = F.transform(F.filter(F.sequence(zero, F.col("rounds") - 1), lambda v: at_home & (v != own_v)),
+                      lambda v: place(own_b, v, F.lit(True), False))
+    spread = spread.select("*", F.explode(F.concat(asks, met)).alias("p"))
+    return spread.select(F.xxhash64("cell", "p.b", "p.v").alias("place"), F.col("p.member").alias("member"), F.col("p.visitor").alias("visitor"),
+                         "node", "weight", "unit", "home", F.when(F.col("p.member"), F.col("cells")).alias("cells"))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98,
-                 sample: int = 10_000, cell_rows: int = 64, block: int = 4096) -> DataFrame:
+                 sample: int = 10_000, cell_rows: int = 64, block: int = 4096, visitors: int = 8192) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = written(_classes(vectors, id_col, vector_col), "vectors")
     classes = written(rows.where("node is not null").groupBy("node").agg(
         F.count("*").alias("weight"), F.min("id").alias("least"), F.first("unit").alias("unit")), "classes")
     model = fit(classes, threshold, recall, sample, cell_rows)
     visits = written(_visits(classes, model).withColumn("home", F.col("cells")[0]), "visits")
-    # a row per cell in use, 256 * 256 for a vector length at most
-    blocks = written(visits.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
-    spread = (visits.select("node", "weight", "unit", "home", "cells", F.explode("cells").alias("cell"))
-              .join(blocks.withColumnRenamed("home", "cell"), "cell")
-              .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b")))
-    member = (F.col("cell") == F.col("home")) & (F.col("b") == F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = spread.select(F.xxhash64("cell", "b").alias("place"), member.alias("member"), "node", "weight", "unit", "home",
-                           F.when(member, F.col("cells")).alias("cells"))
+    spread = _spread(visits, block, visitors)
     found = written(_compared(spread.repartition("place").sortWithinPartitions("place"), threshold), "found")
     counts = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.where("a is not null"), "a", "b")

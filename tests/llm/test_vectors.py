@@ -72,6 +72,23 @@ def test_all_cells_give_all_links(spark, rows):
     assert [got[i].component_id for i, _ in rows] == root
 
 
+def test_a_hot_cell_is_split_on_both_sides(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(8)
+    near = centre + rng.standard_normal((600, 8)) * rng.choice([0.05, 0.4, 1.0], (600, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(near)]
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = [{r.vec_id: (r.n_links, r.component_id) for r in vector_index.near_vectors(
+        table(spark, rows), recall=1.0, cell_rows=100_000, block=block, visitors=visitors).collect()}
+        for block, visitors in ((4096, 8192), (64, 100), (50, 8))]
+    assert [got[0][i][0] for i in range(600)] == want.tolist() and got[0] == got[1] == got[2]
+    visits = spark.createDataFrame([(f"{i:032d}", 1, b"", 7, [7]) for i in range(2000)] + [(f"x{i}", 1, b"", 8, [8, 7]) for i in range(4000)],
+                                   "node string, weight bigint, unit binary, home bigint, cells array<bigint>")
+    places = vector_index._spread(visits, block=100, visitors=200).groupBy("place").count().toPandas()["count"]
+    assert len(places) > 600 and places.max() < 500
+
+
 def test_order_of_visits_is_that_of_the_distances():
     rng = np.random.default_rng(1)
     points = rng.standard_normal((30, 8))
