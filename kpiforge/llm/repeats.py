@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with run-length compressed indexes.
+"""Removal of repeated byte strings with suffix arrays sampled at run ends.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 else in the corpus.  The corpus is dealt out so that equal strings meet:
@@ -13,10 +13,11 @@ else in the corpus.  The corpus is dealt out so that equal strings meet:
    however many copies there are.
 3. What is left are segments without a copy whose anchor occurs elsewhere, the
    edges of repeated passages.  Their text, with one text of each copied segment of
-   the same anchor, is indexed: a Burrows-Wheeler transform in runs, suffix
-   positions and match lengths sampled at the run ends.  Streaming the samples in
-   text order gives the matching statistics of all positions, and matches of
-   ``length`` bytes or more are marked.
+   the same anchor, is indexed: a plain suffix array in place of a run-length index,
+   of which the suffix positions and match lengths at the ends of the runs of the
+   Burrows-Wheeler transform are kept.  Carrying these samples through the text gives
+   the matching statistics of all positions, and matches of ``length`` bytes or more
+   are marked; the runs themselves aren't searched.
 4. An anchor with more than ``group_segments`` such segments is settled by counting
    its windows' 128-bit hashes, combined before they are shuffled.
 
