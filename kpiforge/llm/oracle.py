@@ -82,3 +82,56 @@ comp AS (SELECT reach.rid, MIN(v.vec_id) AS component_id FROM reach JOIN v ON re
 n AS (SELECT a AS rid, COUNT(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, COALESCE(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN comp USING (rid) LEFT JOIN n USING (rid)"""
+
+
+def _crc32(x: str) -> str:
+    """The crc32 of a decimal string, bit by bit: a byte goes in with the first of its eight steps."""
+    byte = "lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]"
+    step = "lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))"
+    return (f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_concat([CAST(4294967295 AS BIGINT)], "
+            f"flatten(list_transform(string_split({x}, ''), {byte}))), {step}))")
+
+
+def periodic_runs() -> str:
+    """Pairs of places with equal five words at one distance, put together where they follow each other."""
+    return f"""WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(COALESCE(text, ''), '{WORD}') AS w,
+  {_crc32('CAST(doc_id AS VARCHAR)')} AS h FROM documents),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM d0),
+d2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM d1),
+d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d2),
+docs AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n),
+  lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM d3),
+tok AS (SELECT rid, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM docs),
+five AS (SELECT rid, n, i, x || ' ' || lead(x) OVER s || ' ' || lead(x, 2) OVER s || ' ' || lead(x, 3) OVER s || ' ' || lead(x, 4) OVER s AS k
+  FROM tok WINDOW s AS (PARTITION BY rid ORDER BY i)),
+pairs AS (SELECT a.rid, a.i, b.i - a.i AS q FROM five a JOIN five b ON a.rid = b.rid AND a.k = b.k AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+step AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs),
+cand AS (SELECT rid, q, MIN(i) AS s, COUNT(*) + 4 + q AS l FROM step GROUP BY rid, q, island),
+runs AS (SELECT rid, s, l, MIN(q) AS q FROM cand WHERE l >= 6 AND l >= 4 * q GROUP BY rid, s, l),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY l DESC, s, q) AS r FROM runs) z WHERE r = 1),
+lines AS (SELECT rid, COUNT(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(range(s + q, s + l)) AS i FROM runs) z),
+kept AS (SELECT tok.rid, string_agg(x, ' ' ORDER BY tok.i) AS t FROM tok LEFT JOIN gone ON tok.rid = gone.rid AND tok.i = gone.i
+  WHERE gone.rid IS NULL GROUP BY tok.rid)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+  CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(COALESCE(lines.t, '')) AS runs_sha256, sha256(COALESCE(kept.t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN lines USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+def prefix_trie() -> str:
+    """Prefixes as lists of turns."""
+    return f"""WITH t AS (SELECT conv_id, COALESCE(role, '') AS r, COALESCE(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST) AS w FROM t GROUP BY conv_id),
+h AS (SELECT *, {_crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM own),
+conv AS (SELECT h.conv_id, list_concat(COALESCE(b.w[1 : h.h], []), h.w[h.h + 1 :]) AS w FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+pre AS (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM conv),
+mem AS (SELECT conv_id, d, w[1 : d] AS k, len(w) = d AS ends FROM pre),
+node AS (SELECT d, k, MIN(conv_id) AS c, COUNT(*) AS n, string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS e,
+  CASE WHEN d > 0 THEN (COUNT(*) - 1) * strlen(k[d].x) ELSE 0 END AS v FROM mem GROUP BY d, k),
+kid AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, COUNT(*) AS kids FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, COALESCE(kids, 0) AS kids FROM node LEFT JOIN kid ON node.d = kid.d AND node.k = kid.k),
+up AS (SELECT v, kids, k, unnest(range(0, d + 1)) AS d FROM full_node),
+total AS (SELECT d, k[1 : d] AS k, SUM(v) AS saved, COUNT(*) FILTER (WHERE kids = 0) AS leaves FROM up GROUP BY ALL)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(COALESCE(f.e, '')) AS ends_sha256
+FROM full_node f JOIN total ON f.d = total.d AND f.k = total.k LEFT JOIN node p ON p.d = f.d - 1 AND p.k = f.k[1 : f.d - 1]"""
