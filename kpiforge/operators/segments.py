@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, nan_to_null, to_logical
+from kpiforge.functions.cut import Cut
 from kpiforge.functions.numeric import (days_between, money_sum, partial_total, round_half_even,
                                         safe_div, total_value)
 from kpiforge.functions.joins import attach_one_row
-from kpiforge.operators.ranking import global_rank, quintile, quintile_cuts
+from kpiforge.operators.ranking import global_rank, quintile, quintile_cuts, rows_at
 
 # The reference's customer segment labels, best to worst, and the
 # score thresholds (sum of three 1-5 scores) that select them.
@@ -169,66 +170,79 @@ def rfmq_features(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFr
 FEATURES = ("Recency", "Frequency", "Monetary", "Quantity")
 
 
-def _nearest(centres: list[tuple[int, list[float]]]) -> tuple[Column, Column]:
-    """Number of the nearest centre (the first of equals) and the squared distance to it."""
-    each = F.array(*[F.struct(sum(((F.col(f"_x{i}") - F.lit(v)) * (F.col(f"_x{i}") - F.lit(v)) for i, v in enumerate(x)),
-                                  F.lit(0.0)).alias("d"), F.lit(n).alias("n")) for n, x in centres])
-    best = F.array_min(each)
-    return best["n"], best["d"]
+def _nearest(centres: list[tuple[int, list[float]]], field: str) -> str:
+    """SQL for the number ``n`` of the nearest centre (the first of equals) or the squared
+    distance ``d`` to it.  The centres are one array, so that rounds share their code."""
+    flat = ", ".join(f"{v!r}D" for _, x in centres for v in x)
+    each = ", ".join("struct(" + " + ".join(f"pow(_x{i} - _v[{at * len(x) + i}], 2)" for i in range(len(x))) + f" AS d, {n} AS n)"
+                     for at, (n, x) in enumerate(centres))
+    return f"array_min(array({each})).{field}".replace("_v[", f"array({flat})[")
+
+
+def _observed(df: DataFrame, figures: dict[str, str]) -> dict:
+    """Aggregates (name: SQL) of all rows by one job without a shuffle: tasks hand in their part of
+    each figure, and nothing else."""
+    seen = Observation()
+    df.observe(seen, *[F.expr(c).alias(n) for n, c in figures.items()]).write.format("noop").mode("overwrite").save()
+    return seen.get
 
 
 def kmeans_customers(df: DataFrame, cols: ColumnMap | dict | None = None, *, n_clusters: int = 4,
-                     starts: Sequence[str] = FEATURES, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+                     starts: Sequence[str] = FEATURES, max_iter: int = 20, cut: Cut | None = None) -> tuple[DataFrame, DataFrame]:
     """C1 / A15 — k-means on standardised R, F, M, Q per customer.
 
-    Lloyd's iterations as Spark aggregates, from fixed starts instead of random
-    ones: for each feature in ``starts`` the customers at evenly spaced ranks of it
-    (ties by customer).  A start ends when its centres stay or after ``max_iter``
-    rounds; the one with the smallest total squared distance wins.  A centre that
-    loses all its customers is dropped.  Clusters are numbered by mean Monetary,
-    the largest first.  Every iteration is one job whose result is a row per
-    centre.  Returns (per-customer features with ``cluster``, per-cluster profile:
-    mean features and customer count).
+    Lloyd's iterations from fixed starts instead of random ones: for each feature in
+    ``starts`` the customers at evenly spaced ranks of it (ties by customer), all found
+    in one selection.  A start ends when its centres stay or after ``max_iter`` rounds; the
+    one with the smallest total squared distance wins.  A centre that loses all its
+    customers is dropped.  Clusters are numbered by mean Monetary, the largest first.
+
+    The features are written once to ``cut`` (by default one that lives as long as the
+    application), so neither the rounds nor the result nor a lost executor repeats the ledger's
+    aggregate.  A round is one job for all starts whose tasks hand in sums per centre.
+    Returns (per-customer features with ``cluster``, per-cluster profile: mean features and
+    customer count).
     """
-    raw = rfmq_features(df, cols)
-    scale = raw.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(FEATURES)],
-                    *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(FEATURES)]).first()
-    x = {f"_x{i}": (F.col(c) - F.lit(scale[f"_m{i}"])) / F.lit(scale[f"_s{i}"]) if scale[f"_s{i}"] else F.lit(0.0)
-         for i, c in enumerate(FEATURES)}
-    feats = raw.withColumns(x)
-    n, names = scale["_n"], [f"_x{i}" for i in range(len(FEATURES))]
-    held = feats.persist()
+    seen = Observation()
+    figures = [F.count(F.lit(1)).alias("n")] + [f(F.col(c)).alias(f"{f.__name__}_{c}") for c in FEATURES for f in (F.avg, F.stddev_samp)]
+    raw = (cut or Cut(df.sparkSession, "features")).table(rfmq_features(df, cols).observe(seen, *figures))
+    scale = seen.get
+    n, names = scale["n"], [f"_x{i}" for i in range(len(FEATURES))]
+    feats = raw.withColumns({
+        x: (F.col(c) - F.lit(scale[f"avg_{c}"])) / F.lit(scale[f"stddev_samp_{c}"]) if scale[f"stddev_samp_{c}"] else F.lit(0.0)
+        for x, c in zip(names, FEATURES, strict=True)})
     centres: dict[int, list] = {}
+    held = feats.persist()
     try:
-        share = [(2 * i + 1) * n // (2 * n_clusters) for i in range(n_clusters)]
-        wanted = sorted({1 + k for k in share if k < n})
-        for k, start in enumerate(starts if n else ()):
-            ranked = global_rank(held, [(start, True), ("customer", True)])
-            rows = ranked.where(F.col("_rank").isin(wanted)).orderBy("_rank").select(*names).collect()
-            centres[k] = [(i, list(r)) for i, r in enumerate(rows)]
+        if n:
+            share = F.transform(F.sequence(F.lit(0), F.lit(n_clusters - 1)), lambda i: 1 + F.floor((2 * i + 1) * F.lit(n) / F.lit(2 * n_clusters)))
+            picked = rows_at(held, starts, "customer", lambda n: F.array_distinct(F.filter(share, lambda r: r <= n)), n).select("m", "b", "k")
+            rows = held.join(F.broadcast(picked), F.col("customer") == F.col("k")).select("m", "b", *names).collect()
+            for r in sorted(rows):  # a row per start and rank
+                centres.setdefault(r["m"], []).append((len(centres.get(r["m"], [])), list(r[2:])))
         moving = set(centres)
         for _ in range(max_iter):
             if not moving:
                 break
-            near = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _nearest(centres[k])[0].alias("n")) for k in sorted(moving)]))
-            rows = (held.select(near.alias("_c"), *names).groupBy("_c.k", "_c.n").agg(*[F.avg(c).alias(c) for c in names])
-                    .orderBy("k", "n").collect())  # a row per start and centre
+            near = held.selectExpr(*names, *[f"{_nearest(centres[k], 'n')} AS c{k}" for k in sorted(moving)])
+            got = _observed(near, {f"n_{k}_{c}": f"count_if(c{k} = {c})" for k in moving for c, _ in centres[k]}
+                            | {f"{x}_{k}_{c}": f"sum(CASE WHEN c{k} = {c} THEN {x} END)" for k in moving for c, _ in centres[k] for x in names})
             for k in sorted(moving):
-                moved = [(r["n"], [r[c] for c in names]) for r in rows if r["k"] == k]
+                moved = [(c, [got[f"{x}_{k}_{c}"] / got[f"n_{k}_{c}"] for x in names]) for c, _ in centres[k] if got[f"n_{k}_{c}"]]
                 if len(moved) == len(centres[k]) and all(
                         abs(a - b) <= 1e-12 for (_, p), (_, q) in zip(centres[k], moved, strict=True) for a, b in zip(p, q, strict=True)):
                     moving.discard(k)
                 centres[k] = moved
-        costs = held.agg(*[F.sum(_nearest(centres[k])[1]).alias(f"c{k}") for k in centres]).first() if centres else []
+        costs = _observed(held, {f"c{k}": f"sum({_nearest(centres[k], 'd')})" for k in centres}) if centres else {}
     finally:
         held.unpersist()
-    best = min(((round(costs[k], 6), k) for k in centres), default=None)
+    best = min(((round(costs[f"c{k}"], 6), k) for k in centres), default=None)
     if best is None:
         labelled = raw.withColumn("cluster", F.lit(None).cast("long"))
     else:
         money = FEATURES.index("Monetary")
         order = sorted(centres[best[1]], key=lambda c: (-c[1][money], c[0]))
-        near, _ = _nearest([(i, c) for i, (_, c) in enumerate(order)])
+        near = F.expr(_nearest([(i, c) for i, (_, c) in enumerate(order)], "n"))
         labelled = feats.select("customer", *FEATURES, near.cast("long").alias("cluster"))
     profile = labelled.groupBy("cluster").agg(*[F.avg(c).alias(f"avg_{c}") for c in FEATURES],
                                               F.count(F.lit(1)).alias("n_customers"))

@@ -1,11 +1,13 @@
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import C, collect, make_ledger
-from kpiforge.operators import segments
+from kpiforge.operators import ranking, segments
+from kpiforge.functions.cut import Cut
 from kpiforge.functions.joins import attach_one_row
 from kpiforge.operators.ranking import global_rank, quintile, quintile_cuts
 
@@ -109,6 +111,32 @@ def test_quintiles_with_a_hot_value(spark):
         assert [got[r[0]] for r in order] == [max(1, -(-5 * j // (len(rows) - 1))) for j in range(len(rows))]
 
 
+@pytest.mark.parametrize("key", ["id", "if(id = 77, 1000000000000000, id)", "if(id = 77, 'guest', format_string('C%08d', id))", "if(id = 77, '', format_string('C%08d', id))"])
+def test_a_hot_value_is_divided_whatever_its_keys(spark, key, monkeypatch):
+    monkeypatch.setattr(ranking, "PARTS", 8)
+    monkeypatch.setattr(ranking, "SAMPLE", 1024)
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 7.0, id) AS v", f"{key} AS k").repartition(5)
+    rows = df.withColumn("_own", F.struct("v", "k"))
+    sample = ranking._sampled(rows, "k").agg(F.array_sort(F.collect_list("_own")).alias("_sample"))
+    size = collect(sample.select(F.size("_sample").alias("n")))[0]["n"]
+    assert 900 < size < 1150
+    counts = [r["count"] for r in collect(ranking._in_ranges(rows, sample).groupBy("_range").count())]
+    assert len(counts) == 64 and sum(counts) == 20_000 and max(counts) < 3 * 20_000 / 64
+    ranked = collect(global_rank(df, [("v", True), ("k", True)]), "_rank", "v", "k")
+    assert [r[1:] for r in sorted(ranked)] == sorted((r[1], r[2]) for r in ranked)
+    assert sorted(r[0] for r in ranked) == list(range(1, 20_001))
+
+
+def test_rows_at_ranks(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS a", "if(id % 2 = 0, 0, id) AS b", "concat('k', lpad(id * 379 % 1000, 4, '0')) AS k")
+    rows = collect(df, "a", "b", "k")
+    for n in (None, 1000):
+        got = collect(ranking.rows_at(df, ["a", "b"], "k", lambda n: F.array(F.lit(1), F.floor(n / 2), n, n + 1), n), "m", "b", "n", "v", "k")
+        want = [(m, b + 1, 1000, *[(float(r[m]), r[2]) for r in sorted(rows, key=lambda r: (r[m], r[2]))][rank - 1])
+                for m in (0, 1) for b, rank in enumerate((1, 500, 1000))]
+        assert sorted(got) == want
+
+
 def test_building_runs_no_job(spark, tilted_ledger):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "")
@@ -132,6 +160,10 @@ def test_kmeans(spark):
     assert sum(p["n_customers"] for p in prof) == 20 and len(prof) == 2
     rich = {r["customer"] for r in collect(labelled) if r["cluster"] == 0}
     assert rich == {f"c{i}" for i in range(10, 20)}
+    with Cut(spark, "test") as cut:
+        mine, _ = segments.kmeans_customers(led, n_clusters=2, cut=cut)
+        assert mine.count() == 20 and os.path.isdir(cut.path.removeprefix("file:"))
+    assert not os.path.exists(cut.path.removeprefix("file:"))
     again, _ = segments.kmeans_customers(led, n_clusters=2)
     assert sorted(map(str, collect(again))) == sorted(map(str, collect(labelled)))
     assert segments.kmeans_customers(led.limit(0))[0].count() == 0
