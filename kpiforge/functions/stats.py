@@ -1,89 +1,107 @@
 """Exact quantiles without funnelling a column into one task.
 
 Spark's exact ``percentile`` keeps every distinct value of the column in one
-aggregation buffer, merged in a single final task.  ``quantiles`` closes in on
-the wanted order statistics instead: one job counts the values in ``BINS`` equal
-steps between the smallest and the largest one, with the least and greatest value
-of each step; the steps that hold wanted ranks are divided in the next job, and so
-on, until a step holds a single value (which a hot value does at once) or no more
-than ``FETCH`` rows, which are then read.  Each job divides the range by ``BINS``,
-so numbers of any spread take a few, and there is one path for every size.
-
-The driver receives per-step statistics and at most ``FETCH`` values a rank.
-Interpolation is linear between neighbouring order statistics (pandas/numpy
-``linear``).
+aggregation buffer, merged in a single final task.  ``quantiles`` selects the wanted
+order statistics by radix instead: a DOUBLE is an integer of 64 bits that grows with it,
+and each job counts the values by the next ``BITS`` bits, in the cells only that hold a
+wanted rank, until a cell holds a single value.  So it takes at most six jobs whatever the
+values are (infinite ones, tiny and huge ones, one value held by a third of all
+rows), for all columns together, and there is one path for every size.
+
+The driver receives at most ``2**BITS`` counts per wanted rank and job.  Interpolation is
+linear between neighbouring order statistics (pandas/numpy ``linear``); an order
+statistic that is hit exactly is returned as it is, also beside an infinite one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
-FETCH = 5000
-
-
-def _select(v: DataFrame, ranks: set[int], low: float, high: float) -> dict[int, float]:
-    """Values at the 0-based ``ranks`` of column ``_v`` (no NULLs), which spans [low, high]."""
-    out: dict[int, float] = {}
-    spans = [(low, high, 0, set(ranks))]  # smallest and largest value, rank of the first, wanted ranks
-    while spans:
-        # the spans don't overlap, so a row is in one of them at most
-        span, step = F.lit(None), F.lit(None)
-        for i, (a, b, _, _) in enumerate(spans):
-            inside = F.col("_v").between(a, b)
-            width = b / 2 - a / 2  # half, so that it can't overflow
-            place = F.least(F.floor((F.col("_v") / 2 - a / 2) / width * BINS), F.lit(BINS - 1))
-            span, step = F.when(inside, i).otherwise(span), F.when(inside, place).otherwise(step)
-        cells = v.select("_v", span.cast("int").alias("_i"), step.cast("int").alias("_b")).where("_i is not null")
-        cells = cells.groupBy("_i", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"))
-        found: dict[int, list] = {}
-        for r in cells.collect():  # at most BINS rows a span, a span per wanted rank
-            found.setdefault(r["_i"], []).append((r["_b"], r["n"], r["a"], r["b"]))
-        after, small = [], []
-        for i, (_, _, first, wanted) in enumerate(spans):
-            for _, n, a, b in sorted(found[i]):
-                here = {r for r in wanted if first <= r < first + n}
-                if here and a == b:
-                    out.update(dict.fromkeys(here, a))
-                elif here:
-                    (small if n <= FETCH else after).append((a, b, first, here))
-                first += n
-        if small:
-            near = F.lit(False)
-            for a, b, _, _ in small:
-                near = near | F.col("_v").between(a, b)
-            values = sorted(r[0] for r in v.where(near).collect())
-            at = 0
-            for a, b, first, wanted in sorted(small):
-                n = sum(a <= x <= b for x in values)
-                out.update({r: values[at + r - first] for r in wanted})
-                at += n
-        spans = after
+BITS = 12
+_MANTISSA = 52
+
+
+def ordered_bits(x: Column) -> Column:
+    """A DOUBLE without NaN as a BIGINT that grows with it: the bits of its amount, with its
+    sign (both zeros are 0)."""
+    size = F.abs(x)
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # noqa: E731 - exact for whole exponents
+    guess = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
+    part = size / power(guess)
+    exponent = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
+    unit = F.lit(1 << _MANTISSA)
+    normal = (exponent.cast("bigint") + 1022) * unit + (size / power(exponent) * unit.cast("double")).cast("bigint")
+    small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")  # below the normal numbers
+    bits = F.when(size == float("inf"), F.lit(2047 << _MANTISSA)).when(size >= 2.0**-1022, normal).otherwise(small)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def _between(a: float, b: float, share: float) -> float:
+    return a if share == 0 or a == b else a + (b - a) * share
+
+
+def _column(name: str) -> Column:
+    x = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """Quantiles of the non-NULL, non-NaN values of several columns (None for a column
+    without any), all columns in one job a round."""
+    names = list(wanted)
+    if not names:
+        return {}
+    values = df.select(*[_column(c).alias(f"v{i}") for i, c in enumerate(names)])
+    found: dict[tuple[int, int], float] = {}  # (column, rank): value
+    cells: dict[tuple[int, int], tuple[int, set[int]]] = {}  # (column, leading bits): rank of the first value, wanted ranks
+    sizes: dict[int, int] = {}
+    shift = _MANTISSA
+    for at in (*range(_MANTISSA, 0, -BITS), 0):
+        parts = []
+        for i in range(len(names)):
+            v, bits = F.col(f"v{i}"), ordered_bits(F.col(f"v{i}"))
+            open_cells = [cell for column, cell in cells if column == i]
+            inside = v.isNotNull() if at == _MANTISSA else F.shiftright(bits, shift).isin(open_cells) if open_cells else None
+            if inside is not None:
+                parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.shiftright(bits, at).alias("cell"), v.alias("v"))))
+        if not parts:
+            break
+        rows = values.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x.v").alias("a"), F.max("x.v").alias("b")).collect()
+        if at == _MANTISSA:
+            for i, c in enumerate(names):
+                n = sizes[i] = sum(r["n"] for r in rows if r["i"] == i)
+                ranks = {int(f((n - 1) * p)) for p in wanted[c] for f in (math.floor, math.ceil)} if n else set()
+                cells[i, 0] = 0, ranks
+        after: dict[tuple[int, int], tuple[int, set[int]]] = {}
+        before: dict[tuple[int, int], int] = {}
+        for r in sorted(rows, key=lambda r: (r["i"], r["cell"])):
+            outer = r["i"], 0 if at == _MANTISSA else r["cell"] >> (shift - at)
+            first, ranks = cells[outer]
+            first += before.get(outer, 0)
+            before[outer] = before.get(outer, 0) + r["n"]
+            here = {k for k in ranks if first <= k < first + r["n"]}
+            if r["a"] == r["b"]:
+                found.update({(r["i"], k): r["a"] for k in here})
+            elif here:
+                after[r["i"], r["cell"]] = first, here
+        cells, shift = after, at
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(names):
+        at_rank = [(sizes[i] - 1) * float(p) for p in wanted[c]]
+        out[c] = [_between(found[i, math.floor(h)], found[i, math.ceil(h)], h - math.floor(h)) if sizes[i] else None for h in at_rank]
     return out
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], *, exact: bool = True,
               accuracy: int = 100_000) -> list[float | None]:
     """Quantiles of the non-NULL, non-NaN values of ``col`` (None if there are none)."""
-    v = df.select(F.col(f"`{col}`").cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    probs = [float(p) for p in probs]
-    if not exact:
-        row = v.agg(F.percentile_approx("_v", probs, accuracy).alias("q")).first()
-        return list(row["q"]) if row["q"] is not None else [None] * len(probs)
-    ends = v.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b")).first()
-    n, low, high = ends["n"], ends["a"], ends["b"]
-    if n == 0:
-        return [None] * len(probs)
-    ranks = {int(f((n - 1) * p)) for p in probs for f in (math.floor, math.ceil)}
-    got = dict.fromkeys(ranks, low) if low == high else _select(v, ranks, low, high)
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        out.append(got[lo] + (got[hi] - got[lo]) * (h - lo))
-    return out
+    if exact:
+        return quantiles_of(df, {col: list(probs)})[col]
+    v = df.select(_column(col).alias("_v")).where(F.col("_v").isNotNull())
+    q = v.agg(F.percentile_approx("_v", [float(p) for p in probs], accuracy).alias("q")).first()["q"]
+    return list(q) if q is not None else [None] * len(probs)

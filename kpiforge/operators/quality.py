@@ -4,7 +4,8 @@ NaN is missing, like NULL.  The outlier filters are *sequential* as in the
 reference: each numeric column's statistics are computed on the rows kept by the
 previous columns.  Statistics are actions (they decide later filters) that read
 the column and those filtered before it; the returned DataFrame is a chain of
-filters with literal bounds over the caller's table, and nothing is cached.
+filters with literal bounds over the caller's table, or over a table that
+:func:`clean` has written in between, so that no statistic repeats what came before.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.functions.columns import nan_as_null
-from kpiforge.functions.stats import quantiles
+from kpiforge.functions.cut import Cut
+from kpiforge.functions.stats import quantiles, quantiles_of
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
@@ -33,9 +35,9 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     """Q2 — numeric columns: median; others: the most frequent value (smallest
     on ties), or 'Unknown' when the column is entirely NULL.
 
-    One job counts every column's missing values; a column that has some takes
-    one job for its mode, or a few for its median (:func:`quantiles`).  A numeric
-    column that receives a fractional median becomes DOUBLE (pandas makes it float64).
+    One job counts every column's missing values, one finds the modes of all columns that
+    need one, and at most six the medians of all that need one (:func:`quantiles_of`).  A
+    numeric column that receives a fractional median becomes DOUBLE (pandas makes it float64).
     """
     df = nan_as_null(df)
     fields = df.schema.fields
@@ -44,13 +46,17 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     todo = [f for i, f in enumerate(fields) if nulls_row[f"n{i}"] > 0]
     if not todo:
         return df
-    others = [f for f in todo if not isinstance(f.dataType, NUMERIC)]
-    modes = {f.name: most_frequent(df, f.name) for f in others}
+    modes = most_frequent(df, [f.name for f in todo if not isinstance(f.dataType, NUMERIC)])
+    numbers = [f.name for f in todo if isinstance(f.dataType, NUMERIC)]
+    if exact:
+        medians = {c: q[0] for c, q in quantiles_of(df, {c: [0.5] for c in numbers}).items()}
+    else:
+        medians = {c: quantiles(df, c, [0.5], exact=False)[0] for c in numbers}
     exprs = {}
     for f in todo:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, NUMERIC):
-            med = quantiles(df, f.name, [0.5], exact=exact)[0]
+        if f.name in medians:
+            med = medians[f.name]
             exprs[f.name] = c if med is None else F.coalesce(c.cast("double"), F.lit(med))
         else:
             m = modes.get(f.name)
@@ -62,21 +68,47 @@ def fill_missing(df: DataFrame, *, exact: bool = True) -> DataFrame:
     return df.withColumns(exprs)
 
 
-def most_frequent(df: DataFrame, col: str):
-    """pandas ``mode()[0]``: the most frequent non-NULL value, smallest on ties.
+def most_frequent(df: DataFrame, columns: list[str]) -> dict:
+    """pandas ``mode()[0]`` of each column: the most frequent non-NULL value, smallest on
+    ties (absent for a column without values).
 
-    A distributed ``groupBy(value).count()`` (combined map-side, so a hot
-    value costs nothing extra) followed by a top-1: never a single buffer of
-    all distinct values as Spark's ``mode`` aggregate would hold."""
-    c = F.col(f"`{col}`")
-    top = (df.where(c.isNotNull()).groupBy(c.alias("_v")).count()
-           .orderBy(F.desc("count"), F.asc("_v")).limit(1).collect())
-    return top[0]["_v"] if top else None
+    One distributed count of (column, value), combined map-side, so a hot value costs
+    nothing extra, and the largest count per column: never a buffer of all distinct
+    values as Spark's ``mode`` aggregate would hold."""
+    if not columns:
+        return {}
+    each = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"`{c}`").alias(f"v{k}") if k == i else F.lit(None).cast(df.schema[c].dataType).alias(f"v{k}")
+                                                    for k, c in enumerate(columns)]) for i in range(len(columns))])
+    names = [f"v{k}" for k in range(len(columns))]
+    rows = df.select(F.explode(each).alias("e")).select("e.*").where(F.coalesce(*[F.col(v).cast("string") for v in names]).isNotNull())
+    counts = rows.groupBy("i", *names).count()
+    top = counts.groupBy("i").agg(F.min(F.struct((-F.col("count")).alias("n"), *names)).alias("t")).collect()
+    return {columns[r["i"]]: r["t"][f"v{r['i']}"] for r in top}
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Q3 — remove full-row duplicates (NULLs compare equal)."""
-    return df.dropDuplicates()
+#: Hashes of 16 bytes that are sent to every executor at most (16 MB).
+HASHES = 1 << 20
+
+
+def drop_duplicates(df: DataFrame, *, cut: Cut | None = None) -> DataFrame:
+    """Q3 — remove full-row duplicates (NULLs compare equal).
+
+    Only a 128-bit hash of each row is shuffled at first, counted with a map-side combine.
+    Rows whose hash occurs once are passed on as they are; those whose hash occurs
+    again, equal rows or not, are shuffled whole and compared in full.  The hashes
+    that occur again are written to ``cut`` and counted; if they are more than
+    ``HASHES``, too many to be sent to every executor, all rows are shuffled and compared.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    given = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])  # hashes pass over nulls
+    keyed = df.withColumns({"_h1": F.xxhash64(given, *columns), "_h2": F.xxhash64(F.lit(1), *reversed(columns), given)})
+    again = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h1", "_h2")
+    again = (cut or Cut(df.sparkSession, "duplicates")).table(again)
+    if again.count() > HASHES:
+        return df.dropDuplicates()
+    once = keyed.join(F.broadcast(again), ["_h1", "_h2"], "left_anti")
+    more = keyed.join(F.broadcast(again), ["_h1", "_h2"], "left_semi").dropDuplicates()
+    return once.unionByName(more).select(*columns)
 
 
 def iqr_filter(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
@@ -112,20 +144,24 @@ def zscore_filter(df: DataFrame, columns: list[str] | None = None, *, threshold:
 
 
 def clean(df: DataFrame, handle_missing: str = "drop", remove_duplicates: bool = True,
-          outlier_method: str | None = None, *, exact: bool = True) -> DataFrame:
+          outlier_method: str | None = None, *, exact: bool = True, cut: Cut | None = None) -> DataFrame:
     """Q6 — missing values ('drop' | 'fill') → duplicates → outliers
-    (None | 'iqr' | 'zscore'), in the reference's order."""
+    (None | 'iqr' | 'zscore'), in the reference's order.
+
+    What the outlier statistics read is written once to ``cut`` first, so they repeat neither
+    the filling nor the search for duplicates.  The result reads it, too: use it before
+    ``cut.release()``.  Without a ``cut`` of the caller's it lives as long as the application."""
+    cut = cut or Cut(df.sparkSession, "clean")
     out = df
     if handle_missing == "drop":
         out = drop_missing(out)
     elif handle_missing == "fill":
         out = fill_missing(out, exact=exact)
     if remove_duplicates:
-        out = drop_duplicates(out)
-    if outlier_method == "iqr":
-        out = iqr_filter(out, exact=exact)
-    elif outlier_method == "zscore":
-        out = zscore_filter(out)
+        out = drop_duplicates(out, cut=cut)
+    if outlier_method in ("iqr", "zscore"):
+        out = cut.table(out)
+        out = iqr_filter(out, exact=exact) if outlier_method == "iqr" else zscore_filter(out)
     return out
 
 

@@ -455,6 +455,12 @@ def q_clean_dedupe(spark, sf):
     return qa.drop_duplicates(dirty.unionByName(dirty))
 
 
+@query("clean_few_repeats")
+def q_clean_few_repeats(spark, sf):
+    """Every column of the dirty lines, one line in 29 twice."""
+    return qa.drop_duplicates(tv.repeated_lines(spark, sf))
+
+
 @query("clean_iqr")
 def q_clean_iqr(spark, sf):
     return qa.iqr_filter(tv.dirty_lines(spark, sf))
@@ -467,7 +473,7 @@ def q_clean_zscore(spark, sf):
 
 @query("clean_pipeline")
 def q_clean_pipeline(spark, sf):
-    return qa.clean(tv.dirty_lines(spark, sf), handle_missing="fill", remove_duplicates=True, outlier_method="iqr")
+    return qa.clean(tv.repeated_lines(spark, sf), handle_missing="fill", remove_duplicates=True, outlier_method="iqr")
 
 
 @query("clean_fill_nan")

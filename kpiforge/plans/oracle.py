@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from kpiforge.plans import sqlparts as P
 from kpiforge.operators import marketing as M, narrative as N, products as PR, segments as S
-from kpiforge.sources.testviews import (CAMPAIGNS_SQL, DIRTY_SQL, ECOM_SQL, EVENTS_SQL, NAN_SQL,
+from kpiforge.sources.testviews import (CAMPAIGNS_SQL, DIRTY_SQL, ECOM_SQL, EVENTS_SQL, NAN_SQL, REPEATED_SQL,
                                         PRODUCTS_SQL, SALES_SQL, with_views)
 
 SQL: dict[str, str] = {}
@@ -565,6 +565,7 @@ SELECT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, price,
   COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus
 FROM v_dirty, st""", DIRTY_SQL)
 SQL["clean_dedupe"] = with_views("SELECT DISTINCT * FROM v_dirty", DIRTY_SQL)
+SQL["clean_few_repeats"] = with_views("SELECT DISTINCT * FROM v_repeated", REPEATED_SQL)
 
 
 def _iqr_step(prev, cur, col):
@@ -590,11 +591,11 @@ SQL["clean_zscore"] = with_views(f"WITH {_steps('SELECT * FROM v_dirty', _z_step
 SQL["clean_zscore_nan"] = with_views(
     f"WITH {_steps('SELECT * FROM v_nan', _z_step, _NUMBERS[:4])} SELECT * FROM c4", NAN_SQL)
 _FILLED = """SELECT DISTINCT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, price,
-  COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus FROM v_dirty, st"""
+  COALESCE(discount, md) AS discount, COALESCE(returnflag, mr) AS returnflag, linestatus FROM v_repeated, st"""
 SQL["clean_pipeline"] = with_views(f"""WITH st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(discount, 0.5) AS md,
-  (SELECT returnflag FROM v_dirty WHERE returnflag IS NOT NULL GROUP BY 1
-   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_dirty),
-{_steps(_FILLED, _iqr_step, _NUMBERS)} SELECT * FROM c5""", DIRTY_SQL)
+  (SELECT returnflag FROM v_repeated WHERE returnflag IS NOT NULL GROUP BY 1
+   ORDER BY COUNT(*) DESC, returnflag LIMIT 1) AS mr FROM v_repeated),
+{_steps(_FILLED, _iqr_step, _NUMBERS)} SELECT * FROM c5""", REPEATED_SQL)
 SQL["clean_fill_nan"] = with_views("""WITH st AS (SELECT quantile_cont(quantity, 0.5) AS mq, quantile_cont(price, 0.5) AS mp FROM v_nan)
 SELECT l_orderkey, l_linenumber, COALESCE(quantity, mq) AS quantity, COALESCE(price, mp) AS price, linestatus, date
 FROM v_nan, st""", NAN_SQL)

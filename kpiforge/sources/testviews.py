@@ -230,29 +230,41 @@ def with_views(sql: str, *views: str) -> str:
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with missing values at fixed positions, for the data-quality
-    operators (the driver tables have no NULLs).  Every row is kept."""
+    """Line items with missing values and outliers at fixed positions, for the
+    data-quality operators (the driver tables have neither).  Every row is kept."""
     li = _read(spark, sf_dir, "lineitem")
     h = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     return li.select(
         "l_orderkey", "l_linenumber",
-        F.when(h % 13 != 0, F.col("l_quantity")).alias("quantity"),
-        F.col("l_extendedprice").alias("price"),
-        F.when(h % 17 != 0, F.col("l_discount")).alias("discount"),
+        F.when(h % 13 != 0, F.when(h % 101 == 0, F.col("l_quantity") * 50).otherwise(F.col("l_quantity"))).alias("quantity"),
+        F.when(h % 97 == 0, F.col("l_extendedprice") * 20).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.when(h % 17 != 0, F.when(h % 103 == 0, F.col("l_discount") - 5).otherwise(F.col("l_discount"))).alias("discount"),
         F.when(h % 11 != 0, F.col("l_returnflag")).alias("returnflag"),
         F.col("l_linestatus").alias("linestatus"))
 
 
 DIRTY_SQL = """v_dirty AS (
   SELECT l_orderkey, l_linenumber,
-    CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 <> 0 THEN l_quantity END AS quantity,
-    l_extendedprice AS price,
-    CASE WHEN (l_orderkey * 7 + l_linenumber) % 17 <> 0 THEN l_discount END AS discount,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 <> 0
+      THEN CASE WHEN (l_orderkey * 7 + l_linenumber) % 101 = 0 THEN l_quantity * 50 ELSE l_quantity END END AS quantity,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 97 = 0 THEN l_extendedprice * 20 ELSE l_extendedprice END AS price,
+    CASE WHEN (l_orderkey * 7 + l_linenumber) % 17 <> 0
+      THEN CASE WHEN (l_orderkey * 7 + l_linenumber) % 103 = 0 THEN l_discount - 5 ELSE l_discount END END AS discount,
     CASE WHEN (l_orderkey * 7 + l_linenumber) % 11 <> 0 THEN l_returnflag END AS returnflag,
     l_linestatus AS linestatus
   FROM lineitem)"""
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty line items, one in 29 of them twice."""
+    dirty = dirty_lines(spark, sf_dir)
+    return dirty.unionByName(dirty.where((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 29 == 0))
+
+
+REPEATED_SQL = DIRTY_SQL + """,
+v_repeated AS (SELECT * FROM v_dirty UNION ALL SELECT * FROM v_dirty WHERE (l_orderkey * 7 + l_linenumber) % 29 = 0)"""
+
+
 def nan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty line items with NaN in place of some of their numbers (NaN is
     missing, as NULL is), and the ship date."""

@@ -26,17 +26,15 @@ def shop_products(spark):
 
 
 def test_prepare_orders_values_and_idempotence(spark):
-    df = spark.createDataFrame([(2, 10.0, 5.0), (3, 20.0, 10.0)],
+    df = spark.createDataFrame([(7, 1.5, 0.25), (4, 36.0, 45.0), (0, 12.0, 3.0)],
                                "quantity long, unit_price double, cost_price double")
     p = orders.prepare_orders(df)
-    assert collect(p, "revenue", "cost", "profit") == [(20.0, 10.0, 10.0), (60.0, 30.0, 30.0)]
+    assert collect(p, "revenue", "cost", "profit") == [(10.5, 1.75, 8.75), (144.0, 180.0, -36.0), (0.0, 0.0, 0.0)]
     assert collect(orders.prepare_orders(p)) == collect(p)
-    kept = orders.prepare_orders(spark.createDataFrame([(2, 10.0, 99.0)],
-                                                       "quantity long, unit_price double, revenue double"))
-    assert collect(kept, "revenue", "profit") == [(99.0, 99.0)]
-    bad = orders.prepare_orders(spark.createDataFrame([(1, 1.0, "not a date")],
-                                                      "quantity long, unit_price double, order_date string"))
-    assert collect(bad, "order_date") == [(None,)]
+    given = orders.prepare_orders(spark.createDataFrame([(6, 2.5, 13.25)], "quantity long, unit_price double, revenue double"))
+    assert collect(given, "revenue", "profit") == [(13.25, 13.25)]
+    dates = orders.prepare_orders(spark.createDataFrame([(1, 4.0, "31st of May")], "quantity long, unit_price double, order_date string"))
+    assert collect(dates, "order_date") == [(None,)]
 
 
 def test_overview_and_repeat(shop_orders, spark):
