@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
+from kpiforge.functions.joins import attach_one_row
 from kpiforge.functions.periods import norm_freq, offset_start, period_end, resample
 
 
@@ -137,39 +138,81 @@ def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
                     "step", "period", "value"))
 
 
-def _holt_best(ys, alpha: float, beta: float | None, beta_grid: int):
-    """Best Holt fit of one series as struct(sse, beta, l, b) (smallest error,
-    then smallest beta), evaluated per row: ``transform`` over the beta grid,
-    an ``aggregate`` fold over the series for each beta, ``array_min``."""
+#: Periods that one task folds at once.
+BLOCK = 1024
+
+
+def _block_map(ys, first, alpha: float, beta):
+    """What a block of periods does to Holt's state (level l, trend b), as a struct.
+
+    A step is affine in the state and its error is linear in it, so a block maps a state
+    that starts at d = (l, b) - (rl, rb) from the reference state to (l, b) + A d, with a
+    squared error of s - 2 g.d + d'H d; all of these are folded along the block's periods.
+    The reference is the true start in the first block, where d is zero, and the block's
+    first value without a trend in the others.
+    """
     a = F.lit(float(alpha))
+    rl, rb = ys[0]["y"], F.when(first, ys[1]["y"] - ys[0]["y"]).otherwise(0.0)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    names = ("l", "b", "a11", "a12", "a21", "a22", "s", "g1", "g2", "h11", "h12", "h22")
+    init = F.struct(*[x.alias(n) for n, x in zip(names, (rl, rb, one, zero, zero, one, *[zero] * 6), strict=True)])
+
+    def step(acc, e):
+        pred = acc["l"] + acc["b"]
+        err = e["y"] - pred
+        level = a * e["y"] + (one - a) * pred
+        p1, p2 = acc["a11"] + acc["a21"], acc["a12"] + acc["a22"]  # the prediction moves by p.d
+        n11, n12 = (one - a) * p1, (one - a) * p2
+        after = (level, beta * (level - acc["l"]) + (one - beta) * acc["b"], n11, n12,
+                 beta * (n11 - acc["a11"]) + (one - beta) * acc["a21"], beta * (n12 - acc["a12"]) + (one - beta) * acc["a22"],
+                 acc["s"] + err * err, acc["g1"] + err * p1, acc["g2"] + err * p2,
+                 acc["h11"] + p1 * p1, acc["h12"] + p1 * p2, acc["h22"] + p2 * p2)
+        return F.struct(*[x.alias(n) for n, x in zip(names, after, strict=True)])
+
+    rest = F.when(first, F.slice(ys, 2, F.size(ys))).otherwise(ys)
+    return F.aggregate(rest, init, step, lambda m: F.struct(rl.alias("rl"), rb.alias("rb"), *[m[n].alias(n) for n in names]))
+
+
+def _holt_fits(s: DataFrame, g: list[str], alpha: float, beta: float | None, beta_grid: int) -> DataFrame:
+    """Best Holt fit of each series (smallest squared error, then smallest beta):
+    *g, _h (struct of sse, beta, l, b).
+
+    Blocks of at most ``BLOCK`` periods are folded for each beta in tasks of their own, and
+    their maps are applied to the start one after another: no task holds a series.
+    """
     if beta is None:
-        betas = F.transform(F.sequence(F.lit(0), F.lit(beta_grid - 1)),
-                            lambda i: i.cast("double") / F.lit(float(beta_grid - 1)))
+        betas = F.transform(F.sequence(F.lit(0), F.lit(beta_grid - 1)), lambda i: i.cast("double") / F.lit(float(beta_grid - 1)))
     else:
         betas = F.array(F.lit(float(beta)))
-
-    def fit(bt):
-        init = F.struct(ys[0]["y"].alias("l"), (ys[1]["y"] - ys[0]["y"]).alias("b"),
-                        F.lit(0.0).alias("sse"))
-
-        def step(acc, e):
-            pred = acc["l"] + acc["b"]
-            lvl = a * e["y"] + (F.lit(1.0) - a) * pred
-            trend_ = bt * (lvl - acc["l"]) + (F.lit(1.0) - bt) * acc["b"]
-            err = e["y"] - pred
-            return F.struct(lvl.alias("l"), trend_.alias("b"), (acc["sse"] + err * err).alias("sse"))
-
-        return F.aggregate(F.slice(ys, 2, F.size(ys)), init, step,
-                           lambda st: F.struct(st["sse"].alias("sse"), bt.alias("beta"),
-                                               st["l"].alias("l"), st["b"].alias("b")))
-
-    return F.array_min(F.transform(betas, fit))
-
-
-def _series_arrays(s: DataFrame, g: list[str], *extra) -> DataFrame:
-    return s.groupBy(*g).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("t"), F.col("y")))).alias("_ys"),
-        F.max("period_start").alias("_last"), F.max("n").alias("history_periods"), *extra)
+    block = F.greatest(F.lit(0), F.floor((F.col("t") - 1) / F.lit(BLOCK)))
+    blocks = s.where(F.col("n") >= 2).groupBy(*g, block.alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("t", "y"))).alias("_ys"))  # BLOCK + 1 values at most
+    blocks = blocks.select(*g, "_block", "_ys", F.explode(betas).alias("_beta"))
+    blocks = blocks.select(*g, "_beta", "_block", _block_map(F.col("_ys"), F.col("_block") == 0, alpha, F.col("_beta")).alias("_map"))
+    # a row per block: a daily series of ten thousand years has 3,600
+    maps = blocks.groupBy(*g, "_beta").agg(F.array_sort(F.collect_list(F.struct("_block", "_map"))).alias("_maps"))
+    start = F.get("_maps", F.lit(0))["_map"]
+
+    def follow(acc, e):
+        m = e["_map"]
+        d1, d2 = acc["l"] - m["rl"], acc["b"] - m["rb"]
+        sse = m["s"] - 2 * (m["g1"] * d1 + m["g2"] * d2) + m["h11"] * d1 * d1 + 2 * m["h12"] * d1 * d2 + m["h22"] * d2 * d2
+        return F.struct((acc["sse"] + F.greatest(sse, F.lit(0.0))).alias("sse"), (m["l"] + m["a11"] * d1 + m["a12"] * d2).alias("l"),
+                        (m["b"] + m["a21"] * d1 + m["a22"] * d2).alias("b"))
+
+    end = F.aggregate("_maps", F.struct(F.lit(0.0).alias("sse"), start["rl"].alias("l"), start["rb"].alias("b")), follow)
+    fit = maps.select(*g, "_beta", end.alias("_e")).select(
+        *g, F.struct(F.col("_e.sse").alias("sse"), F.col("_beta").alias("beta"), F.col("_e.l").alias("l"), F.col("_e.b").alias("b")).alias("_h"))
+    return fit.groupBy(*g).agg(F.min("_h").alias("_h"))
+
+
+def _with_fits(stats: DataFrame, fits: DataFrame, g: list[str]) -> DataFrame:
+    """The series' figures with their fit; a series without one has NULL."""
+    if not g:
+        return attach_one_row(stats, fits)
+    fits = fits.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(g)], "_h")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(g)]
+    return stats.join(fits, same, "left").drop(*[f"_{i}" for i in range(len(g))])
 
 
 def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
@@ -180,19 +223,17 @@ def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
     Start l1 = y1, b1 = y2 - y1; l = a*y + (1-a)(l+b); b = B(l - l_prev) + (1-B) b.
     ``beta`` fixed, or chosen on an even grid of ``beta_grid`` values in [0, 1]
     by the smallest one-step-ahead squared error (our own fitting rule; the
-    reference delegates to a maximum-likelihood library).  The recursion is a
-    SQL ``aggregate`` fold over the series' ordered (t, y) array — one array
-    per series, one element per period, so its size is bounded by the
-    calendar, not by the data.  Forecast h: l_n + h*b_n.  Needs n >= 2.
+    reference delegates to a maximum-likelihood library).  Blocks of periods are folded
+    apart and put together (:func:`_holt_fits`).  Forecast h: l_n + h*b_n.  Needs n >= 2.
     """
     g = list(group_cols)
-    arr = _series_arrays(series(df, freq, cols, g), g).where(F.col("history_periods") >= 2)
-    best = arr.withColumn("_m", _holt_best(F.col("_ys"), alpha, beta, beta_grid))
-    fut = _future(best, freq, periods, g)
+    s = series(df, freq, cols, g)
+    stats = s.groupBy(*g).agg(F.max("period_start").alias("_last"), F.max("n").alias("history_periods")).where(F.col("history_periods") >= 2)
+    fut = _future(_with_fits(stats, _holt_fits(s, g, alpha, beta, beta_grid), g), freq, periods, g)
     return fut.select(*g, F.lit("holt").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                       F.col("history_periods").cast("long").alias("history_periods"),
-                      F.col("_m")["beta"].alias("beta"), "step", "period",
-                      (F.col("_m")["l"] + F.col("step") * F.col("_m")["b"]).alias("value"))
+                      F.col("_h")["beta"].alias("beta"), "step", "period",
+                      (F.col("_h")["l"] + F.col("step") * F.col("_h")["b"]).alias("value"))
 
 
 def evaluate(df: DataFrame, method: str = "ma", train_ratio: float = 0.8, freq: str = "D",
@@ -255,17 +296,17 @@ def compare(df: DataFrame, periods: int = 30, freq: str = "D",
             window: int = 7, alpha: float = 0.3) -> DataFrame:
     """F7 — moving average, Holt and the unclipped trend side by side.
 
-    One pass: a single grouped aggregate per series yields the tail mean, the
-    least-squares line and the ordered values for the Holt fold; the future
-    steps are then exploded.  Columns: *group_cols, method, step, period, value.
+    A grouped aggregate per series yields the tail mean and the least-squares line, the Holt
+    fits come from blocks of the series; the future steps are then exploded.
+    Columns: *group_cols, method, step, period, value.
     """
     g = list(group_cols)
     s = series(df, freq, cols, g)
-    stats = _series_arrays(
-        s, g, F.avg(F.when(F.col("t") >= F.col("n") - F.lit(int(window)), F.col("y"))).alias("_ma"),
-        F.regr_slope("y", "t").alias("_slope"), F.regr_intercept("y", "t").alias("_icpt"))
-    stats = stats.withColumn("_h", F.when(F.col("history_periods") >= 2,
-                                          _holt_best(F.col("_ys"), alpha, None, 101)))
+    stats = s.groupBy(*g).agg(
+        F.avg(F.when(F.col("t") >= F.col("n") - F.lit(int(window)), F.col("y"))).alias("_ma"),
+        F.regr_slope("y", "t").alias("_slope"), F.regr_intercept("y", "t").alias("_icpt"),
+        F.max("period_start").alias("_last"), F.max("n").alias("history_periods"))
+    stats = _with_fits(stats, _holt_fits(s, g, alpha, None, 101), g)
     fut = _future(stats, freq, periods, g)
     x = F.col("history_periods") - 1 + F.col("step")
     methods = F.array(
@@ -280,13 +321,17 @@ def compare(df: DataFrame, periods: int = 30, freq: str = "D",
                     F.col("_m")["value"].alias("value")))
 
 
+#: Forecast methods of this module: moving average, exponential smoothing (simple, with trend), line.
+METHODS = ("ma", "ses", "holt", "trend")
+
+
 def input_summary(df: DataFrame, cols: ColumnMap | dict | None = None) -> DataFrame:
-    """F8 — date range and record count of the forecast input."""
+    """F8 — the methods there are, date range and record count of the forecast input."""
     led = to_logical(df, cols, ["date"], ["date"])
     d = as_timestamp(F.col("date"))
     fmt = "yyyy-MM-dd HH:mm:ss"
     return led.agg(F.count(F.lit(1)).alias("total_records"),
                    F.min(d).alias("_d0"), F.max(d).alias("_d1")).select(
-        F.array(*[F.lit(m) for m in ("ma", "es", "arima", "trend")]).alias("methods_available"),
+        F.array(*[F.lit(m) for m in METHODS]).alias("methods_available"),
         F.concat(F.date_format("_d0", fmt), F.lit(" 至 "), F.date_format("_d1", fmt))
         .alias("data_range"), "total_records")

@@ -430,7 +430,7 @@ def q_compare_forecasts(spark, sf):
 
 @query("forecast_input_summary")
 def q_forecast_input_summary(spark, sf):
-    return fc.input_summary(_ledger(spark, sf, "date"), IDENT).select("data_range", "total_records")
+    return fc.input_summary(_ledger(spark, sf, "date"), IDENT).withColumn("methods_available", F.array_join("methods_available", ","))
 
 
 # ------------------------------------------------------------ data quality (Q1-Q6, A12)

@@ -550,7 +550,7 @@ SQL["evaluate_trend"] = _eval_sql("trend")
 SQL["evaluate_ma"] = _eval_sql("ma")
 SQL["forecast_input_summary"] = with_views("""SELECT
   strftime(MIN(date), '%Y-%m-%d %H:%M:%S') || ' 至 ' || strftime(MAX(date), '%Y-%m-%d %H:%M:%S')
-    AS data_range, COUNT(*) AS total_records FROM v_sales""", SALES_SQL)
+    AS data_range, COUNT(*) AS total_records, 'ma,ses,holt,trend' AS methods_available FROM v_sales""", SALES_SQL)
 
 # ------------------------------------------------------------ data quality
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import collect, make_ledger
+from conftest import C, collect, make_ledger
 from kpiforge.operators import forecast as fc
 
 
@@ -95,6 +95,41 @@ def test_holt_fixed_beta_recursion(spark):
     assert out[0][0] == pytest.approx(lvl + b) and out[1][0] == pytest.approx(lvl + 2 * b)
 
 
+def plain_holt(ys, alpha, betas):
+    best = None
+    for beta in betas:
+        level, trend, sse = ys[0], ys[1] - ys[0], 0.0
+        for y in ys[1:]:
+            pred = level + trend
+            new = alpha * y + (1 - alpha) * pred
+            trend = beta * (new - level) + (1 - beta) * trend
+            level, sse = new, sse + (y - pred) ** 2
+        best = min(best or (math.inf,), (sse, beta, level, trend))
+    return best
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_holt_from_blocks_equals_the_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(fc, "BLOCK", block)
+    shapes = {"wave": [100 + 40 * math.sin(i / 5) + i % 7 for i in range(100)], "steps": [float(i // 9 * 50 + i * i % 13) for i in range(61)],
+              "two": [5.0, 8.0], "one": [3.0], "flat": [6.5] * 40, "line": [2.0 + 3 * i for i in range(30)]}
+    rows = [(dt.datetime(2023, 1, 1) + dt.timedelta(days=i), y, 1, "a", name, "c") for name, ys in shapes.items() for i, y in enumerate(ys)]
+    led = make_ledger(spark, rows)
+    for beta in (None, 0.35):
+        got = collect(fc.holt(led, periods=3, alpha=0.4, beta=beta, beta_grid=21, group_cols=[C["region"]]), C["region"], "beta", "step", "value")
+        want = []
+        for name, ys in shapes.items():
+            if len(ys) > 1:
+                _, b, level, trend = plain_holt(ys, 0.4, [i / 20 for i in range(21)] if beta is None else [beta])
+                # every trend weight fits a straight line, and rounding decides between them
+                want += [(name, pytest.approx(b) if name != "line" or beta else got_beta(got, name), h, pytest.approx(level + h * trend)) for h in (1, 2, 3)]
+        assert sorted(got) == sorted(want, key=lambda r: (r[0], r[2]))
+
+
+def got_beta(got, name):
+    return next(r[1] for r in got if r[0] == name)
+
+
 def test_evaluate_ma_closed_form(spark):
     rnd = random.Random(9)
     vals = [round(100 + rnd.random() * 20, 2) for _ in range(100)]
@@ -123,7 +158,7 @@ def test_compare_and_summary(linear60):
     assert sorted(set(out)) == [("holt",), ("linear_trend",), ("moving_average",)]
     s = collect(fc.input_summary(led))[0]
     assert s["total_records"] == 60 and s["data_range"].startswith("2024-01-01 00:00:00 至 ")
-    assert not math.isnan(len(s["methods_available"]))
+    assert s["methods_available"] == list(fc.METHODS)
 
 
 def test_empty_series_give_no_rows(spark):
