@@ -3,7 +3,11 @@
 Every forecast takes an optional ``group_cols``: many series are forecast in
 one job, each series handled by ordinary grouped aggregates or windows
 partitioned by the series key.  Ungrouped = the reference's behaviour.
-Series are one row per period (thousands at most), not per ledger row.
+
+Forecasts are taken from the periods that have rows and their places in the calendar
+(:func:`sums`): an empty period adds nothing to a sum, and Holt passes a stretch of
+empty blocks at once, so a wrong date far away costs nothing.  The hold-out evaluation
+and the fitted line look at every period (:func:`series`).
 """
 
 from __future__ import annotations
@@ -15,7 +19,20 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
 from kpiforge.functions.joins import attach_one_row
-from kpiforge.functions.periods import norm_freq, offset_start, period_end, resample
+from kpiforge.functions.periods import norm_freq, offset_start, period_end, placed, resample, sums_by_period
+
+
+def _dated(df: DataFrame, cmap: ColumnMap, g: list[str]) -> DataFrame:
+    led = to_logical(df, cmap, ["date", "amount"], ["date", "amount"], keep=g)
+    return led.withColumn("date", as_timestamp(F.col("date")))
+
+
+def sums(df: DataFrame, freq: str = "D", cols: ColumnMap | dict | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The periods that have rows: *group_cols, period_start, y, t (0-based place in the
+    series' calendar, empty periods counted), n (length of that calendar)."""
+    g, cmap = list(group_cols), ColumnMap.of(cols)
+    rows = placed(sums_by_period(_dated(df, cmap, g), freq, group_cols=g, scale=cmap.scale), freq, g)
+    return rows.select(*g, "period_start", F.col("revenue").alias("y"), "t", "n")
 
 
 def series(df: DataFrame, freq: str = "D", cols: ColumnMap | dict | None = None,
@@ -23,9 +40,7 @@ def series(df: DataFrame, freq: str = "D", cols: ColumnMap | dict | None = None,
     """Gap-filled series with its position ``t`` (0-based) and length ``n``."""
     g = list(group_cols)
     cmap = ColumnMap.of(cols)
-    led = to_logical(df, cmap, ["date", "amount"], ["date", "amount"], keep=g)
-    led = led.withColumn("date", as_timestamp(F.col("date")))
-    s = resample(led, freq, group_cols=g, scale=cmap.scale)
+    s = resample(_dated(df, cmap, g), freq, group_cols=g, scale=cmap.scale)
     w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
     wn = Window.partitionBy(*g) if g else Window.partitionBy()
     return s.select(*g, "period_start", "period", F.col("revenue").alias("y"),
@@ -40,6 +55,11 @@ def _future(stats: DataFrame, freq: str, periods: int, g: list[str]) -> DataFram
     return fut.withColumn("period", period_end(offset_start(F.col("_last"), f, F.col("step")), f))
 
 
+def _tail_mean(window: int):
+    """Mean of the last ``min(window, n)`` periods of a series, from those that have rows."""
+    return F.sum(F.when(F.col("t") >= F.col("n") - F.lit(int(window)), F.col("y"))) / F.least(F.lit(int(window)), F.max("n"))
+
+
 def moving_average(df: DataFrame, periods: int = 7, window: int = 7, freq: str = "D",
                    cols: ColumnMap | dict | None = None,
                    group_cols: Sequence[str] = ()) -> DataFrame:
@@ -50,21 +70,29 @@ def moving_average(df: DataFrame, periods: int = 7, window: int = 7, freq: str =
     same number since all n < window periods are used).
     """
     g = list(group_cols)
-    s = series(df, freq, cols, g)
-    tail = s.where(F.col("t") >= F.col("n") - F.lit(int(window)))
-    stats = tail.groupBy(*g).agg(F.avg("y").alias("value"), F.max("period_start").alias("_last"),
-                                 F.max("n").alias("history_periods")) \
-        .where(F.col("history_periods").isNotNull())
+    stats = sums(df, freq, cols, g).groupBy(*g).agg(
+        _tail_mean(window).alias("value"), F.max("period_start").alias("_last"),
+        F.max("n").alias("history_periods")).where(F.col("history_periods").isNotNull())
     return (_future(stats, freq, periods, g)
             .select(*g, F.lit("moving_average").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
                     F.col("history_periods").cast("long").alias("history_periods"),
                     "step", "period", "value"))
 
 
-def _ols(s: DataFrame, g: list[str]) -> DataFrame:
-    return s.groupBy(*g).agg(
-        F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"),
-        F.max("n").alias("history_periods"), F.max("period_start").alias("_last"))
+def _ols(n, sum_y, sum_ty):
+    """Least-squares slope and intercept on t = 0..n-1 (NULL for n < 2) from n, the sum of y
+    and the sum of (t - (n - 1) / 2) y."""
+    slope = F.when(n >= 2, sum_ty / (n * (n.cast("double") * n - 1) / 12))
+    return slope, sum_y / n - slope * (n - 1) / 2
+
+
+def _line(s: DataFrame, g: list[str], *more) -> DataFrame:
+    """Per series: slope, intercept, history_periods, _last and ``more`` aggregates."""
+    moment = (F.col("t") - (F.col("n") - 1) / 2) * F.col("y")
+    rows = s.groupBy(*g).agg(F.sum("y").alias("_y"), F.sum(moment).alias("_ty"), F.max("n").alias("history_periods"),
+                             F.max("period_start").alias("_last"), *more)
+    slope, intercept = _ols(F.col("history_periods"), F.col("_y"), F.col("_ty"))
+    return rows.withColumns({"slope": slope, "intercept": intercept}).drop("_y", "_ty")
 
 
 def linear_trend(df: DataFrame, periods: int = 7, freq: str = "D",
@@ -77,7 +105,7 @@ def linear_trend(df: DataFrame, periods: int = 7, freq: str = "D",
     step, period, value.
     """
     g = list(group_cols)
-    stats = _ols(series(df, freq, cols, g), g).where(F.col("history_periods") >= 2)
+    stats = _line(sums(df, freq, cols, g), g).where(F.col("history_periods") >= 2)
     fut = _future(stats, freq, periods, g)
     x = F.col("history_periods") - 1 + F.col("step")
     val = F.col("slope") * x + F.col("intercept")
@@ -124,7 +152,7 @@ def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
     so it is one grouped aggregate: no sequential fold, no collected list.
     """
     g = list(group_cols)
-    s = series(df, freq, cols, g)
+    s = sums(df, freq, cols, g)
     a = float(alpha)
     wgt = F.pow(F.lit(1.0 - a), (F.col("n") - 1 - F.col("t")).cast("double")) * \
         F.when(F.col("t") == 0, F.lit(1.0)).otherwise(F.lit(a))
@@ -142,65 +170,83 @@ def ses(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
 BLOCK = 1024
 
 
-def _block_map(ys, first, alpha: float, beta):
-    """What a block of periods does to Holt's state (level l, trend b), as a struct.
+_STATE = ("l", "b", "a11", "a12", "a21", "a22", "s", "g1", "g2", "h11", "h12", "h22")
+
 
-    A step is affine in the state and its error is linear in it, so a block maps a state
+def _block_map(ys, rl, rb, alpha: float, beta):
+    """What the periods ``ys`` do to Holt's state (level l, trend b), as a struct.
+
+    A step is affine in the state and its error is linear in it, so the periods map a state
     that starts at d = (l, b) - (rl, rb) from the reference state to (l, b) + A d, with a
-    squared error of s - 2 g.d + d'H d; all of these are folded along the block's periods.
-    The reference is the true start in the first block, where d is zero, and the block's
-    first value without a trend in the others.
+    squared error of s - 2 g.d + d'H d; all of these are folded along the periods.
     """
     a = F.lit(float(alpha))
-    rl, rb = ys[0]["y"], F.when(first, ys[1]["y"] - ys[0]["y"]).otherwise(0.0)
     zero, one = F.lit(0.0), F.lit(1.0)
-    names = ("l", "b", "a11", "a12", "a21", "a22", "s", "g1", "g2", "h11", "h12", "h22")
-    init = F.struct(*[x.alias(n) for n, x in zip(names, (rl, rb, one, zero, zero, one, *[zero] * 6), strict=True)])
+    init = F.struct(*[x.alias(n) for n, x in zip(_STATE, (rl, rb, one, zero, zero, one, *[zero] * 6), strict=True)])
 
-    def step(acc, e):
+    def step(acc, y):
         pred = acc["l"] + acc["b"]
-        err = e["y"] - pred
-        level = a * e["y"] + (one - a) * pred
+        err = y - pred
+        level = a * y + (one - a) * pred
         p1, p2 = acc["a11"] + acc["a21"], acc["a12"] + acc["a22"]  # the prediction moves by p.d
         n11, n12 = (one - a) * p1, (one - a) * p2
         after = (level, beta * (level - acc["l"]) + (one - beta) * acc["b"], n11, n12,
                  beta * (n11 - acc["a11"]) + (one - beta) * acc["a21"], beta * (n12 - acc["a12"]) + (one - beta) * acc["a22"],
                  acc["s"] + err * err, acc["g1"] + err * p1, acc["g2"] + err * p2,
                  acc["h11"] + p1 * p1, acc["h12"] + p1 * p2, acc["h22"] + p2 * p2)
-        return F.struct(*[x.alias(n) for n, x in zip(names, after, strict=True)])
+        return F.struct(*[x.alias(n) for n, x in zip(_STATE, after, strict=True)])
+
+    return F.aggregate(ys, init, step, lambda m: F.struct(rl.alias("rl"), rb.alias("rb"), *[m[n].alias(n) for n in _STATE]))
+
 
-    rest = F.when(first, F.slice(ys, 2, F.size(ys))).otherwise(ys)
-    return F.aggregate(rest, init, step, lambda m: F.struct(rl.alias("rl"), rb.alias("rb"), *[m[n].alias(n) for n in names]))
+def _moved(acc, m):
+    """The state (sse, l, b) after a block."""
+    d1, d2 = acc["l"] - m["rl"], acc["b"] - m["rb"]
+    sse = m["s"] - 2 * (m["g1"] * d1 + m["g2"] * d2) + m["h11"] * d1 * d1 + 2 * m["h12"] * d1 * d2 + m["h22"] * d2 * d2
+    return F.struct((acc["sse"] + F.greatest(sse, F.lit(0.0))).alias("sse"), (m["l"] + m["a11"] * d1 + m["a12"] * d2).alias("l"),
+                    (m["b"] + m["a21"] * d1 + m["a22"] * d2).alias("b"))
 
 
 def _holt_fits(s: DataFrame, g: list[str], alpha: float, beta: float | None, beta_grid: int) -> DataFrame:
     """Best Holt fit of each series (smallest squared error, then smallest beta):
     *g, _h (struct of sse, beta, l, b).
 
-    Blocks of at most ``BLOCK`` periods are folded for each beta in tasks of their own, and
-    their maps are applied to the start one after another: no task holds a series.
+    Blocks of ``BLOCK`` periods are folded for each beta in tasks of their own, from a
+    reference state: the true start in the first block, the first value without a trend in
+    the others.  Their maps are applied to the start one after another, so no task holds a
+    series.  Blocks without data aren't made: one map of an empty block stands for all.
     """
+    zero = F.lit(0.0)
     if beta is None:
         betas = F.transform(F.sequence(F.lit(0), F.lit(beta_grid - 1)), lambda i: i.cast("double") / F.lit(float(beta_grid - 1)))
     else:
         betas = F.array(F.lit(float(beta)))
-    block = F.greatest(F.lit(0), F.floor((F.col("t") - 1) / F.lit(BLOCK)))
+    block = F.greatest(F.lit(0), F.floor((F.col("t") - 1) / F.lit(BLOCK)))  # t = 0 is the start of the first
     blocks = s.where(F.col("n") >= 2).groupBy(*g, block.alias("_block")).agg(
-        F.array_sort(F.collect_list(F.struct("t", "y"))).alias("_ys"))  # BLOCK + 1 values at most
+        F.map_from_entries(F.collect_list(F.struct("t", "y"))).alias("_has"), F.max("n").alias("n"))  # BLOCK + 1 values at most
+    first = F.col("_block") == 0
+    low = F.when(first, 0).otherwise(F.col("_block") * BLOCK + 1)
+    all_t = F.sequence(low.cast("bigint"), F.least((F.col("_block") + 1) * BLOCK, F.col("n") - 1))
+    blocks = blocks.select(*g, "_block", F.transform(all_t, lambda t: F.coalesce(F.try_element_at("_has", t), zero)).alias("_ys"))
     blocks = blocks.select(*g, "_block", "_ys", F.explode(betas).alias("_beta"))
-    blocks = blocks.select(*g, "_beta", "_block", _block_map(F.col("_ys"), F.col("_block") == 0, alpha, F.col("_beta")).alias("_map"))
+    y0, y1 = F.get("_ys", F.lit(0)), F.get("_ys", F.lit(1))
+    folded = _block_map(F.when(first, F.slice("_ys", 2, F.size("_ys"))).otherwise(F.col("_ys")), y0, F.when(first, y1 - y0).otherwise(0.0),
+                        alpha, F.col("_beta"))
+    blocks = blocks.select(*g, "_beta", F.col("_block").alias("block"), folded.alias("map"))
     # a row per block: a daily series of ten thousand years has 3,600
-    maps = blocks.groupBy(*g, "_beta").agg(F.array_sort(F.collect_list(F.struct("_block", "_map"))).alias("_maps"))
-    start = F.get("_maps", F.lit(0))["_map"]
+    maps = blocks.groupBy(*g, "_beta").agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("_maps"))
+    gaps = F.element_at("_maps", -1)["block"] >= F.size("_maps")
+    empty = F.when(gaps, _block_map(F.array_repeat(zero, BLOCK), zero, zero, alpha, F.col("_beta")))
+    maps = maps.withColumn("_empty", empty)
+    start = F.get("_maps", F.lit(0))["map"]
 
     def follow(acc, e):
-        m = e["_map"]
-        d1, d2 = acc["l"] - m["rl"], acc["b"] - m["rb"]
-        sse = m["s"] - 2 * (m["g1"] * d1 + m["g2"] * d2) + m["h11"] * d1 * d1 + 2 * m["h12"] * d1 * d2 + m["h22"] * d2 * d2
-        return F.struct((acc["sse"] + F.greatest(sse, F.lit(0.0))).alias("sse"), (m["l"] + m["a11"] * d1 + m["a12"] * d2).alias("l"),
-                        (m["b"] + m["a21"] * d1 + m["a22"] * d2).alias("b"))
+        passed = F.when(e["block"] > acc["next"], F.aggregate(
+            F.sequence(acc["next"], e["block"] - 1), acc["state"], lambda x, _: _moved(x, F.col("_empty")))).otherwise(acc["state"])
+        return F.struct((e["block"] + 1).alias("next"), _moved(passed, e["map"]).alias("state"))
 
-    end = F.aggregate("_maps", F.struct(F.lit(0.0).alias("sse"), start["rl"].alias("l"), start["rb"].alias("b")), follow)
+    init = F.struct(F.lit(0).cast("bigint").alias("next"), F.struct(zero.alias("sse"), start["rl"].alias("l"), start["rb"].alias("b")).alias("state"))
+    end = F.aggregate("_maps", init, follow, lambda acc: acc["state"])
     fit = maps.select(*g, "_beta", end.alias("_e")).select(
         *g, F.struct(F.col("_e.sse").alias("sse"), F.col("_beta").alias("beta"), F.col("_e.l").alias("l"), F.col("_e.b").alias("b")).alias("_h"))
     return fit.groupBy(*g).agg(F.min("_h").alias("_h"))
@@ -227,7 +273,7 @@ def holt(df: DataFrame, periods: int = 30, alpha: float = 0.3, freq: str = "D",
     apart and put together (:func:`_holt_fits`).  Forecast h: l_n + h*b_n.  Needs n >= 2.
     """
     g = list(group_cols)
-    s = series(df, freq, cols, g)
+    s = sums(df, freq, cols, g)
     stats = s.groupBy(*g).agg(F.max("period_start").alias("_last"), F.max("n").alias("history_periods")).where(F.col("history_periods") >= 2)
     fut = _future(_with_fits(stats, _holt_fits(s, g, alpha, beta, beta_grid), g), freq, periods, g)
     return fut.select(*g, F.lit("holt").alias("method"), F.lit(norm_freq(freq)).alias("freq"),
@@ -301,11 +347,9 @@ def compare(df: DataFrame, periods: int = 30, freq: str = "D",
     Columns: *group_cols, method, step, period, value.
     """
     g = list(group_cols)
-    s = series(df, freq, cols, g)
-    stats = s.groupBy(*g).agg(
-        F.avg(F.when(F.col("t") >= F.col("n") - F.lit(int(window)), F.col("y"))).alias("_ma"),
-        F.regr_slope("y", "t").alias("_slope"), F.regr_intercept("y", "t").alias("_icpt"),
-        F.max("period_start").alias("_last"), F.max("n").alias("history_periods"))
+    s = sums(df, freq, cols, g)
+    stats = _line(s, g, _tail_mean(window).alias("_ma")).withColumnsRenamed({"slope": "_slope", "intercept": "_icpt"})
+    stats = stats.where(F.col("history_periods").isNotNull())
     stats = _with_fits(stats, _holt_fits(s, g, alpha, None, 101), g)
     fut = _future(stats, freq, periods, g)
     x = F.col("history_periods") - 1 + F.col("step")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from kpiforge.functions.columns import ColumnMap, as_timestamp, to_logical
 from kpiforge.functions.joins import attach_one_row
 from kpiforge.functions.numeric import money_sum, partial_total, safe_div, total_value
-from kpiforge.functions.periods import fill_gaps, norm_freq, period_start, resample
+from kpiforge.functions.periods import (fill_gaps, norm_freq, period_end, period_number, period_start, placed, start_of_number,
+                                        sums_by_period)
 
 
 def _ledger(df: DataFrame, cols, wanted, required=("date", "amount")) -> DataFrame:
@@ -73,10 +74,9 @@ def _cube(led: DataFrame, scale: int | None) -> DataFrame:
     return cube.where((F.col("_v") <= F.col("_c")) & (F.col("_a").isNull() | (F.col("_a") <= F.col("_b"))))
 
 
-def _series_of(cube: DataFrame, period: str, scale: int | None) -> DataFrame:
-    agg = (cube.where(F.col("_day").isNotNull()).groupBy(period_start(F.col("_day"), period).alias("period_start"))
+def _sums_of(cube: DataFrame, period: str, scale: int | None) -> DataFrame:
+    return (cube.where(F.col("_day").isNotNull()).groupBy(period_start(F.col("_day"), period).alias("period_start"))
            .agg(total_value(F.sum("_u"), scale).alias("revenue"), F.sum("_v").alias("n_orders")))
-    return fill_gaps(agg, period)
 
 
 def _totals_of(cube: DataFrame, key: str, scale: int | None) -> DataFrame:
@@ -93,8 +93,8 @@ def report_inputs(df: DataFrame, cols: ColumnMap | dict | None = None, z_thresho
     led = _ledger(df, cols, ["date", "amount", "category", "region", "customer"])
     cube = _cube(led, scale)
     customers = led.agg(F.count_distinct("customer").alias("n_customers")) if "customer" in led.columns else None
-    return {"summary": _summary_of(cube, customers, scale), "trend": _trend_of(_series_of(cube, "M", scale), [], "positive_prev"),
-            "anomalies": _alerts_of(_series_of(cube, "D", scale), [], z_threshold),
+    return {"summary": _summary_of(cube, customers, scale), "trend": _trend_of(_sums_of(cube, "M", scale), "M", [], "positive_prev"),
+            "anomalies": _alerts_of(_sums_of(cube, "D", scale), "D", [], z_threshold),
             "category": _totals_of(cube, "category", scale), "region": _totals_of(cube, "region", scale)}
 
 
@@ -153,19 +153,18 @@ def trend(df: DataFrame, period: str = "M", cols: ColumnMap | dict | None = None
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g)
     led = led.withColumn("date", as_timestamp(F.col("date")))
-    return _trend_of(resample(led, period, group_cols=g, scale=_scale(cols)), g, growth_rule)
+    return _trend_of(sums_by_period(led, period, group_cols=g, scale=_scale(cols)), period, g, growth_rule)
 
 
-def _trend_of(series: DataFrame, g: list[str], growth_rule: str) -> DataFrame:
-    w = Window.partitionBy(*g).orderBy("period_start") if g else Window.orderBy("period_start")
-    prev = F.lag("revenue").over(w)
+def _trend_of(agg: DataFrame, period: str, g: list[str], growth_rule: str) -> DataFrame:
+    prev = F.col("before")
     if growth_rule == "positive_prev":
         growth = F.when(prev > 0, (F.col("revenue") / prev - F.lit(1)) * F.lit(100.0))
     elif growth_rule == "pct_change":
         growth = (safe_div(F.col("revenue"), prev) - F.lit(1)) * F.lit(100.0)
     else:
         raise ValueError(f"unknown growth_rule {growth_rule!r}")
-    return series.select(*g, "period", "revenue", "n_orders", growth.alias("growth_pct"))
+    return fill_gaps(agg, period, g, with_before=True).select(*g, "period", "revenue", "n_orders", growth.alias("growth_pct"))
 
 
 def _grouped_ledger(df: DataFrame, cols, group_cols: list[str]) -> DataFrame:
@@ -187,27 +186,38 @@ def anomalies(df: DataFrame, period: str = "D", z_threshold: float = 2.0,
     """
     g = list(group_cols)
     led = _grouped_ledger(df, cols, g).withColumn("date", as_timestamp(F.col("date")))
-    return _alerts_of(resample(led, period, group_cols=g, scale=_scale(cols)), g, z_threshold, window, min_periods, min_history)
+    return _alerts_of(sums_by_period(led, period, group_cols=g, scale=_scale(cols)), period, g, z_threshold, window, min_periods, min_history)
 
 
-def _alerts_of(series: DataFrame, g: list[str], z_threshold: float, window: int = 14, min_periods: int = 3,
+#: Periods of a series that one task scores at once.
+BLOCK = 4096
+
+
+def _alerts_of(agg: DataFrame, period: str, g: list[str], z_threshold: float, window: int = 14, min_periods: int = 3,
                min_history: int = 5) -> DataFrame:
-    base = Window.partitionBy(*g) if g else Window.partitionBy()
-    w = (Window.partitionBy(*g) if g else Window).orderBy("period_start") \
-        .rowsBetween(-(window - 1), 0)
-    mu = F.avg("revenue").over(w)
-    sd = F.stddev_samp("revenue").over(w)
-    cnt = F.count("revenue").over(w)
-    n_all = F.count(F.lit(1)).over(base)
-    scored = series.select(*g, "period", "revenue",
-                           F.when(cnt >= min_periods, mu).alias("_mu"),
-                           F.when(cnt >= min_periods, sd).alias("_sd"),
-                           n_all.alias("_n"))
+    """The alerts of the periods that have rows (``*g, period_start, revenue, n_orders``).
+
+    A frame without data has no spread and no alert, so of an empty stretch only the
+    ``window - 1`` periods beside data are made.  A series is scored in blocks; a block
+    gets the ``window - 1`` periods before it as well, so no task holds a series.
+    """
+    halo = window - 1
+    rows = placed(agg, period, g)
+    near = F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - halo), F.least(F.col("n") - 1, F.col("t") + halo))).alias("_at")
+    rows = rows.where(F.col("n") >= min_history).select(*g, "n", "t", "revenue", (period_number(F.col("period_start"), period) - F.col("t")).alias("_low"), near)
+    rows = rows.groupBy(*g, F.col("_at").alias("t"), "_low").agg(
+        F.coalesce(F.max(F.when(F.col("t") == F.col("_at"), F.col("revenue"))), F.lit(0.0)).alias("revenue"))
+    block = F.floor(F.col("t") / F.lit(BLOCK))
+    blocks = F.when(F.pmod("t", F.lit(BLOCK)) >= BLOCK - halo, F.array(block, block + 1)).otherwise(F.array(block)) if halo else F.array(block)
+    rows = rows.select("*", F.explode(blocks).alias("_block"))
+    w = Window.partitionBy(*g, "_block").orderBy("t").rangeBetween(-halo, 0)
+    rows = rows.withColumns({"_mu": F.avg("revenue").over(w), "_sd": F.stddev_samp("revenue").over(w)})
+    # the calendar has t + 1 periods up to t, all of them in the frame or empty like it
+    scored = rows.where((F.col("_block") == block) & (F.least(F.col("t") + 1, F.lit(window)) >= min_periods) & (F.col("_sd") >= F.lit(1e-9)))
     z = (F.col("revenue") - F.col("_mu")) / F.col("_sd")
-    return (scored.where((F.col("_n") >= min_history) & F.col("_sd").isNotNull()
-                         & (F.col("_sd") >= F.lit(1e-9)))
-            .select(*g, "period", F.col("revenue").alias("actual"),
-                    F.col("_mu").alias("expected"), z.alias("z_score"))
+    label = period_end(start_of_number(F.col("_low") + F.col("t"), period), period)
+    return (scored.select(*g, label.alias("period"), F.col("revenue").alias("actual"),
+                          F.col("_mu").alias("expected"), z.alias("z_score"))
             .where(F.abs(F.col("z_score")) >= F.lit(float(z_threshold)))
             .withColumn("direction", F.when(F.col("z_score") > 0, F.lit("spike"))
                         .otherwise(F.lit("drop"))))
@@ -305,12 +315,16 @@ def summary_statistics(df: DataFrame, cols: ColumnMap | dict | None = None) -> D
 def trend_headline(df: DataFrame, period: str = "M",
                    cols: ColumnMap | dict | None = None) -> DataFrame:
     """A16 — highest / lowest period revenue and growth last vs first period."""
-    series = resample(_ledger(df, cols, ["date", "amount"]).withColumn(
-        "date", as_timestamp(F.col("date"))), norm_freq(period), scale=_scale(cols))
-    first = F.min_by("revenue", "period_start")
-    last = F.max_by("revenue", "period_start")
-    return series.agg(
-        F.max("revenue").alias("max_revenue"), F.min("revenue").alias("min_revenue"),
-        F.count(F.lit(1)).alias("n_periods"),
-        F.when(F.count(F.lit(1)) > 1, safe_div(last - first, first) * F.lit(100.0))
-        .alias("growth_pct"))
+    led = _ledger(df, cols, ["date", "amount"]).withColumn("date", as_timestamp(F.col("date")))
+    # the periods with rows; of the empty ones only their number matters, which the calendar gives
+    number = period_number(F.col("period_start"), period)
+    found = sums_by_period(led, norm_freq(period), scale=_scale(cols)).agg(
+        F.max("revenue").alias("_max"), F.min("revenue").alias("_min"), F.count(F.lit(1)).alias("_n"),
+        F.min_by("revenue", "period_start").alias("_first"), F.max_by("revenue", "period_start").alias("_last"),
+        (F.max(number) - F.min(number) + 1).alias("_all"))
+    gaps = F.col("_all") > F.col("_n")
+    return found.select(
+        F.when(gaps, F.greatest("_max", F.lit(0.0))).otherwise(F.col("_max")).alias("max_revenue"),
+        F.when(gaps, F.least("_min", F.lit(0.0))).otherwise(F.col("_min")).alias("min_revenue"),
+        F.coalesce("_all", F.lit(0)).cast("bigint").alias("n_periods"),
+        F.when(F.col("_all") > 1, safe_div(F.col("_last") - F.col("_first"), F.col("_first")) * F.lit(100.0)).alias("growth_pct"))

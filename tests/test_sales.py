@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,79 @@ def test_nan_is_missing_in_grouped_series(spark):
     assert t == [(1.0, 1)] == collect(sales.trend(led, "M"), "revenue", "n_orders")
     with pytest.raises(ValueError):
         sales.trend(led, "M", group_cols=["nowhere"])
+
+
+@pytest.mark.parametrize("freq", ["D", "W", "M", "Q", "Y"])
+def test_period_numbers(spark, freq):
+    from kpiforge.functions import periods
+
+    days = spark.range(0, 4_000_000, 977).selectExpr("date_add(date'0001-01-01', int(id)) AS d").where("d < date'9999-12-25'")
+    start = days.select(periods.period_start(F.col("d"), freq).alias("s")).distinct()
+    number = periods.period_number(F.col("s"), freq)
+    after = periods.period_number(periods.offset_start(F.col("s"), freq, 1), freq)
+    back = periods.start_of_number(number, freq)
+    assert start.count() > 100 and start.where((after != number + 1) | (back != F.col("s"))).count() == 0
+
+
+def gappy(spark, seed):
+    """Days with sales in clusters, days without them alone and in long stretches."""
+    rnd, rows, day = random.Random(seed), [], dt.datetime(2020, 1, 1)
+    for _ in range(40):
+        day += dt.timedelta(days=rnd.choice([1, 1, 1, 2, 5, 12, 13, 14, 26, 27, 28, 60, 200]))
+        for _ in range(rnd.randint(1, 25)):
+            rows += [(day, rnd.choice([0.0, 10.0, 12.5, 90.0, -4.0]), 1, "a", rnd.choice(["x", "y"]), "c") for _ in range(rnd.randint(0, 2))]
+            day += dt.timedelta(days=1)
+    return make_ledger(spark, rows), rows
+
+
+@pytest.mark.parametrize("block", [16, 50, 4096])
+def test_alerts_over_gaps_in_blocks(spark, monkeypatch, block):
+    import pandas as pd
+
+    monkeypatch.setattr(sales, "BLOCK", block)
+    led, rows = gappy(spark, block)
+    for window, group in ((14, None), (5, None), (1, None), (14, "region")):
+        keys = ["x", "y"] if group else [None]
+        got = collect(sales.anomalies(led, "D", 1.0, window=window, group_cols=[C["region"]] if group else []), *([C["region"]] if group else []), "period", "actual",
+                      "expected", "z_score", "direction")
+        want = []
+        for key in keys:
+            one = pd.DataFrame([r for r in rows if key is None or r[4] == key])
+            y = one.set_index(0)[1].resample("D").sum()
+            frames = [y.iloc[max(0, i - window + 1) : i + 1] for i in range(len(y))]
+            for d, v, f in zip(y.index, y, frames):
+                if len(f) >= 3 and f.std() >= 1e-9 and abs((v - f.mean()) / f.std()) >= 1.0:
+                    z = (v - f.mean()) / f.std()
+                    want.append((*([key] if key else []), d.date(), v, pytest.approx(f.mean()), pytest.approx(z), "spike" if z > 0 else "drop"))
+        assert sorted(got, key=lambda r: r[: 1 + bool(group)]) == sorted(want, key=lambda r: r[: 1 + bool(group)])
+        assert len(want) > 20 or window < 3
+
+
+def test_no_task_scores_a_whole_series(spark):
+    led, _ = gappy(spark, 1)
+    plan = sales.anomalies(led)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line or "Window(" in line]
+    assert windows and all("_block" in line for line in windows)
+
+
+def test_one_date_far_away(spark):
+    rows = [(dt.datetime(2023, 1, 1) + dt.timedelta(days=i), float(50 + i % 9), 1, "a", "x", "c") for i in range(60)] + [
+        (dt.datetime(9999, 12, 31), 5.0, 1, "a", "x", "c")]
+    led = make_ledger(spark, rows)
+    n = (dt.date(9999, 12, 31) - dt.date(2023, 1, 1)).days + 1
+    head = collect(sales.trend_headline(led, "D"))[0]
+    assert (head["n_periods"], head["max_revenue"], head["min_revenue"], head["growth_pct"]) == (n, 58.0, 0.0, -90.0)
+    from kpiforge.operators import forecast as fc
+
+    early = led.withColumn(C["date"], F.col(C["date"]) - F.expr("interval 1 year"))  # leaves room for the forecast
+    n = (dt.date(9998, 12, 31) - dt.date(2022, 1, 1)).days + 1
+    for df, value in ((fc.moving_average(early, 2), 5 / 7), (fc.ses(early, 2), 1.5), (fc.linear_trend(early, 2, clip=False), None),
+                      (fc.holt(early, 2, beta=0.5), None), (fc.compare(early, 2).withColumn("history_periods", F.lit(n)), None)):
+        got = collect(df, "history_periods", "value")
+        assert len(got) >= 2 and all(r[0] == n for r in got)
+        assert value is None or [r[1] for r in got] == [pytest.approx(value)] * 2
+    # Holt after a long stretch of zeros: level and trend have died out, the last day alone counts
+    level, trend = 0.3 * 5.0, 0.5 * 0.3 * 5.0
+    assert collect(fc.holt(early, 2, beta=0.5), "value") == [(pytest.approx(level + h * trend),) for h in (1, 2)]
+    alerts = collect(sales.anomalies(led), "period", "actual")
+    assert alerts[-1] == (dt.date(9999, 12, 31), 5.0)
