@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.functions.columns import ColumnMap
+from kpiforge.functions.cut import Cut
 from kpiforge.operators import sales
 from kpiforge.sources import testviews as tv
 
@@ -499,7 +500,7 @@ def q_data_profile(spark, sf):
 # ------------------------------------------------------------ report (N1-N4, IO6)
 
 from kpiforge.operators import narrative as nar  # noqa: E402
-from kpiforge.sources import writers  # noqa: E402
+from kpiforge.sources import readers, writers  # noqa: E402
 
 
 def _report_inputs(spark, sf):
@@ -571,9 +572,105 @@ def q_parse_commentary(spark, sf):
 @query("head_sample")
 def q_head_sample(spark, sf):
     li = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet")
-    return writers.head_sample(li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), 10, ["l_orderkey", "l_linenumber"])
+    return writers.head_sample(li, 10, ["l_orderkey", "l_linenumber"])
 
 
 @query("report_totals")
 def q_report_totals(spark, sf):
     return writers.report_totals(_ledger(spark, sf, "amount", "category", "region"), IDENT)
+
+
+# ------------------------------------------------------------ round trips through files (IO1-IO6)
+
+def _csv_of(spark, df: DataFrame, label: str) -> str:
+    """``df`` as CSV files in the shared folder."""
+    path = f"{Cut(spark, label).path}/{label}"
+    writers.emit(df, path, "csv")
+    return path
+
+
+def _load_report(table: DataFrame, found: DataFrame, **figures) -> DataFrame:
+    """What was loaded and what was rejected: what, n."""
+    loaded = table.agg(F.count(F.lit(1)).alias("rows"), *[c.cast("bigint").alias(n) for n, c in figures.items()])
+    loaded = loaded.select(F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.col(n).alias("n")) for n in ("rows", *figures)])).alias("x"))
+    bad = found.groupBy(F.concat_ws(" ", "column", "reason").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return loaded.select("x.*").unionByName(bad)
+
+
+def _cents(c: str):
+    return F.sum(F.rint(F.col(c) * 100))
+
+
+@query("read_ledger")
+def q_read_ledger(spark, sf):
+    """IO1: the ledger through CSV, with amounts and dates that don't fit."""
+    led = _ledger(spark, sf, "date", "amount", "order_id")
+    k = F.col("order_id")
+    path = _csv_of(spark, led.select("order_id", F.when(k % 37 == 0, "n/a").otherwise(F.col("amount").cast("string")).alias("amount"),
+                                     F.when(k % 41 == 0, "soon").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date")), "ledger")
+    types = "order_id long, amount double, date date"
+    return _load_report(readers.load_ledger(spark, path, types), readers.rejects(spark, path, types), cents=_cents("amount"),
+                        days=F.count_distinct("date"))
+
+
+@query("read_orders")
+def q_read_orders(spark, sf):
+    """IO2: orders through CSV, with quantities, prices and dates that don't fit."""
+    o = tv.ecom_orders(spark, sf, ["order_id", "product_id", "quantity", "unit_price", "order_date"])
+    k = F.col("order_id") * 7 + F.col("product_id")
+    path = _csv_of(spark, o.select(
+        F.when(k % 53 == 0, "2024-13-45").otherwise(F.date_format("order_date", "yyyy-MM-dd")).alias("order_date"), "order_id", "product_id",
+        F.when(k % 43 == 0, "many").otherwise(F.col("quantity").cast("bigint").cast("string")).alias("quantity"),
+        F.when(k % 47 == 0, "12,50").otherwise(F.col("unit_price").cast("string")).alias("unit_price")), "orders")
+    return _load_report(readers.load_orders(spark, path), readers.rejects(spark, path, *readers.TABLES["orders"]), revenue_cents=_cents("revenue"),
+                        units=F.sum("quantity"), days=F.count_distinct("order_date"))
+
+
+@query("read_products")
+def q_read_products(spark, sf):
+    """IO3: the catalogue through CSV, with stocks and dates that don't fit."""
+    k = F.col("product_id")
+    path = _csv_of(spark, tv.products(spark, sf).withColumns({
+        "stock_quantity": F.when(k % 11 == 0, "none").otherwise(F.col("stock_quantity").cast("string")),
+        "last_restock_date": F.when(k % 13 == 0, "yesterday").when(k % 17 != 0, F.format_string("2024-03-%02d", 1 + k % 28))}), "products")
+    return _load_report(readers.load_products(spark, path), readers.rejects(spark, path, *readers.TABLES["products"]), stock=F.sum("stock_quantity"),
+                        reorder=F.sum("reorder_level"), price_cents=_cents("sell_price"), restocked=F.count("last_restock_date"))
+
+
+@query("read_campaigns")
+def q_read_campaigns(spark, sf):
+    """IO4: campaigns through CSV, with budgets and dates that don't fit."""
+    path = _csv_of(spark, tv.campaigns(spark, sf).withColumns({
+        "budget": F.when(F.col("impressions") % 3 == 0, "1.5k").otherwise(F.col("budget").cast("string")),
+        "start_date": F.when(F.col("clicks") % 2 == 0, "tbd").otherwise(F.col("start_date").cast("string"))}), "campaigns")
+    return _load_report(readers.load_campaigns(spark, path), readers.rejects(spark, path, *readers.TABLES["campaigns"]), budget_cents=_cents("budget"),
+                        revenue_cents=_cents("revenue"), orders=F.sum("orders"), starts=F.count("start_date"), ends=F.count("end_date"))
+
+
+@query("emit_replaces_periods")
+def q_emit_replaces_periods(spark, sf):
+    """IO5: the monthly trend as JSON by year; then 1996 again, twice, with one order more a month."""
+    rows = sales.trend(_ledger(spark, sf, "date", "amount"), "M", IDENT).select(
+        F.year("period").alias("year"), F.col("period").cast("string").alias("period"), F.rint(F.col("revenue") * 100).cast("bigint").alias("cents"), "n_orders")
+    cut = Cut(spark, "emit")
+    rows = cut.table(rows)
+    path = f"{cut.path}/by_year"
+    writers.emit(rows, path, "json", "replace", ["year"])
+    for _ in range(2):
+        writers.emit(rows.where("year = 1996").withColumn("n_orders", F.col("n_orders") + 1), path, "json", "replace", ["year"])
+    return spark.read.schema("period string, cents bigint, n_orders bigint, year int").json(path)
+
+
+@query("report_replaces_periods")
+def q_report_replaces_periods(spark, sf):
+    """IO6: the report by year; then 1995 and 1996 again, twice, with doubled amounts."""
+    led = _ledger(spark, sf, "date", "amount", "category", "region")
+    path = f"{Cut(spark, 'report').path}/report"
+    writers.export_report(led, path, IDENT, period="Y")
+    for _ in range(2):
+        some = led.where(F.year("date").isin(1995, 1996)).withColumn("amount", F.col("amount") * 2)
+        writers.export_report(some, path, IDENT, period="Y")
+    totals = spark.read.schema("key string, revenue double, period string, sheet string").parquet(f"{path}/totals")
+    raw = spark.read.parquet(f"{path}/raw").groupBy(F.col("period").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    return totals.select("period", "sheet", "key", F.rint(F.col("revenue") * 100).cast("bigint").alias("cents")).unionByName(
+        raw.select("period", F.lit("raw").alias("sheet"), F.lit("rows").alias("key"), F.col("n").alias("cents")))

@@ -781,5 +781,48 @@ SELECT response_id,
   CASE WHEN ok THEN ['r' || key] ELSE rep.recommendations END AS recommendations,
   CASE WHEN ok THEN 'llm:stub' ELSE 'heuristic' END AS backend
 FROM o, rep""")
-SQL["head_sample"] = """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+SQL["head_sample"] = """SELECT * FROM lineitem
 ORDER BY l_orderkey, l_linenumber LIMIT 10"""
+
+# ------------------------------------------------------------ round trips through files
+
+
+def _load_sql(view: str, figures: dict[str, str], bad: dict[str, str]) -> str:
+    rows = [f"SELECT 'rows' AS what, COUNT(*) AS n FROM {view}"]
+    rows += [f"SELECT '{k}', CAST({v} AS BIGINT) FROM {view}" for k, v in figures.items()]
+    rows += [f"SELECT * FROM (SELECT '{k}' AS what, COUNT(*) AS n FROM {view} WHERE {v}) z WHERE n > 0" for k, v in bad.items()]
+    return " UNION ALL ".join(rows)
+
+
+def _cents(x: str, ok: str = "true") -> str:
+    return f"SUM(CASE WHEN {ok} THEN round_even(({x}) * 100, 0) END)"
+
+
+SQL["read_ledger"] = with_views(_load_sql(
+    "v_sales", {"cents": _cents("amount", "order_id % 37 <> 0"), "days": "COUNT(DISTINCT CASE WHEN order_id % 41 <> 0 THEN CAST(date AS DATE) END)"},
+    {"amount not a double": "order_id % 37 = 0", "date not a date": "order_id % 41 = 0"}), SALES_SQL)
+_K = "(order_id * 7 + product_id)"
+SQL["read_orders"] = with_views(_load_sql(
+    "v_ecom_raw", {"revenue_cents": _cents("CAST(quantity AS BIGINT) * unit_price", f"{_K} % 43 <> 0 AND {_K} % 47 <> 0"),
+                   "units": f"SUM(CASE WHEN {_K} % 43 <> 0 THEN quantity END)",
+                   "days": f"COUNT(DISTINCT CASE WHEN {_K} % 53 <> 0 THEN CAST(order_date AS DATE) END)"},
+    {"quantity not a bigint": f"{_K} % 43 = 0", "unit_price not a double": f"{_K} % 47 = 0", "order_date not a date": f"{_K} % 53 = 0"}), ECOM_SQL)
+SQL["read_products"] = with_views(_load_sql(
+    "v_products", {"stock": "SUM(CASE WHEN product_id % 11 <> 0 THEN stock_quantity END)", "reorder": "SUM(reorder_level)", "price_cents": _cents("sell_price"),
+                   "restocked": "COUNT(*) FILTER (WHERE product_id % 13 <> 0 AND product_id % 17 <> 0)"},
+    {"stock_quantity not a bigint": "product_id % 11 = 0", "last_restock_date not a date": "product_id % 13 = 0"}), PRODUCTS_SQL)
+SQL["read_campaigns"] = with_views(_load_sql(
+    "v_campaigns", {"budget_cents": _cents("budget", "impressions % 3 <> 0"), "revenue_cents": _cents("revenue"), "orders": "SUM(orders)",
+                    "starts": "COUNT(*) FILTER (WHERE clicks % 2 <> 0)", "ends": "COUNT(end_date)"},
+    {"budget not a double": "impressions % 3 = 0", "start_date not a date": "clicks % 2 = 0"}), CAMPAIGNS_SQL)
+SQL["emit_replaces_periods"] = with_views("""WITH m AS (SELECT date_trunc('month', date) AS m, SUM(CAST(amount AS DECIMAL(18,4))) AS a, COUNT(*) AS n
+  FROM v_sales GROUP BY 1),
+c AS (SELECT CAST(unnest(generate_series(CAST((SELECT MIN(m) FROM m) AS TIMESTAMP), CAST((SELECT MAX(m) FROM m) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS m)
+SELECT CAST(last_day(c.m) AS VARCHAR) AS period, CAST(round_even(CAST(COALESCE(a, 0) AS DOUBLE) * 100, 0) AS BIGINT) AS cents,
+  COALESCE(n, 0) + CASE WHEN year(c.m) = 1996 THEN 1 ELSE 0 END AS n_orders, CAST(year(c.m) AS INTEGER) AS year
+FROM c LEFT JOIN m ON CAST(m.m AS DATE) = c.m""", SALES_SQL)
+SQL["report_replaces_periods"] = with_views("""WITH r AS (SELECT year(date) || '-12-31' AS period, category, region,
+  CAST(amount AS DECIMAL(18,4)) * CASE WHEN year(date) IN (1995, 1996) THEN 2 ELSE 1 END AS a FROM v_sales)
+SELECT period, 'category' AS sheet, category AS key, CAST(round_even(CAST(SUM(a) AS DOUBLE) * 100, 0) AS BIGINT) AS cents FROM r GROUP BY 1, 2, 3
+UNION ALL SELECT period, 'region', region, CAST(round_even(CAST(SUM(a) AS DOUBLE) * 100, 0) AS BIGINT) FROM r GROUP BY 1, 2, 3
+UNION ALL SELECT period, 'raw', 'rows', COUNT(*) FROM r GROUP BY 1""", SALES_SQL)

@@ -39,12 +39,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory the session names.
+    """Return the checkpoint directory the session names; for what writes there.
 
     The cluster's ``spark.checkpoint.dir`` (a shared folder) is always used
     when set.  Only a local-mode session without one (tests, the benchmark)

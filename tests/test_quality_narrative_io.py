@@ -285,3 +285,39 @@ def test_strip_fences_whitespace(spark):
     df = spark.createDataFrame([("\n\t```json\n{\"a\": 1}\n```\n ",), ("  plain \n",)], "t string")
     out = [r[0] for r in df.select(narrative.strip_fences(F.col("t"))).collect()]
     assert out == ['{"a": 1}', "plain"]
+
+
+def test_rejects_name_what_does_not_fit(spark, tmp_path):
+    p = tmp_path / "orders.csv"
+    p.write_text("quantity,order_id,unit_price,order_date,note\n2,A1,3.5,2022-02-28,\nseven,A2,4.0,2022-02-30,x\n,A3,1e3,,\"a, b\"\n"
+                 "1,A4,2.0\n5,A6,1.0,2022-01-01,n,extra\n6,A7,1;5,,\n")
+    found = collect(readers.rejects(spark, str(p), *readers.TABLES["orders"]), "file", "column", "value", "reason")
+    assert sorted(found, key=repr) == sorted([
+        ("orders.csv", "quantity", "seven", "not a bigint"), ("orders.csv", "order_date", "2022-02-30", "not a date"),
+        ("orders.csv", None, "1,A4,2.0", "not as many fields as the header"), ("orders.csv", None, "5,A6,1.0,2022-01-01,n,extra", "not as many fields as the header"),
+        ("orders.csv", "unit_price", "1;5", "not a double")], key=repr)
+    lines = {json.loads(r.line)["order_id"] for r in readers.rejects(spark, str(p), *readers.TABLES["orders"]).collect()}
+    assert lines == {"A2", "A4", "A6", "A7"}
+    assert readers.load_orders(spark, str(p)).count() == 6
+    clean = tmp_path / "clean.csv"
+    clean.write_text("campaign_id,budget\nK1,2.5\n")
+    assert readers.rejects(spark, str(clean), *readers.TABLES["campaigns"]).count() == 0
+
+
+def test_runs_replace_their_own_periods(spark, tmp_path):
+    from conftest import C
+
+    with pytest.raises(ValueError):
+        writers.emit(spark.range(1), str(tmp_path / "x"), mode="replace")
+    rows = [(dt.datetime(2022, m, d), 10.0 * m + d, "kite" if d % 2 else "drum", "hill") for m in (1, 2, 3) for d in (4, 9)] + [(None, 1.0, "kite", "hill")]
+    led = spark.createDataFrame(rows, f"`{C['date']}` timestamp, `{C['amount']}` double, `{C['category']}` string, `{C['region']}` string")
+    path = str(tmp_path / "rep")
+    writers.export_report(led, path, period="M")
+    march = led.where(f"month(`{C['date']}`) = 3").withColumn(C["amount"], led[C["amount"]] * 10)
+    for _ in range(2):
+        writers.export_report(march, path, period="M")
+    got = {(str(r.period), r.sheet, r.key): r.revenue for r in spark.read.parquet(f"{path}/totals").collect()}
+    assert got == {("2022-01-31", "category", "drum"): 14.0, ("2022-01-31", "category", "kite"): 19.0, ("2022-01-31", "region", "hill"): 33.0,
+                   ("2022-02-28", "category", "drum"): 24.0, ("2022-02-28", "category", "kite"): 29.0, ("2022-02-28", "region", "hill"): 53.0,
+                   ("2022-03-31", "category", "drum"): 340.0, ("2022-03-31", "category", "kite"): 390.0, ("2022-03-31", "region", "hill"): 730.0}
+    assert spark.read.parquet(f"{path}/raw").count() == 6
