@@ -500,7 +500,7 @@ def q_data_profile(spark, sf):
 # ------------------------------------------------------------ report (N1-N4, IO6)
 
 from kpiforge.operators import narrative as nar  # noqa: E402
-from kpiforge.sources import readers, writers  # noqa: E402
+from kpiforge.sources import layout, readers, writers  # noqa: E402
 
 
 def _report_inputs(spark, sf):
@@ -674,3 +674,18 @@ def q_report_replaces_periods(spark, sf):
     raw = spark.read.parquet(f"{path}/raw").groupBy(F.col("period").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"))
     return totals.select("period", "sheet", "key", F.rint(F.col("revenue") * 100).cast("bigint").alias("cents")).unionByName(
         raw.select("period", F.lit("raw").alias("sheet"), F.lit("rows").alias("key"), F.col("n").alias("cents")))
+
+
+# ------------------------------------------------------------ bucketed layout
+
+@query("rfm_bucketed")
+def q_rfm_bucketed(spark, sf):
+    """RFM from a ledger bucketed by customer: its rows are not shuffled again."""
+    led = layout.bucketed(_ledger(spark, sf, "date", "amount", "customer"), "customer", 16)
+    return seg.rfm_segments(led, IDENT)
+
+
+@query("profit_bucketed")
+def q_profit_bucketed(spark, sf):
+    """Profit per product from orders bucketed by product."""
+    return prods.profit_analysis(layout.bucketed(_orders(spark, sf, *PER_PRODUCT), "product_id", 16), tv.products(spark, sf), scale=SCALE)

@@ -826,3 +826,6 @@ SQL["report_replaces_periods"] = with_views("""WITH r AS (SELECT year(date) || '
 SELECT period, 'category' AS sheet, category AS key, CAST(round_even(CAST(SUM(a) AS DOUBLE) * 100, 0) AS BIGINT) AS cents FROM r GROUP BY 1, 2, 3
 UNION ALL SELECT period, 'region', region, CAST(round_even(CAST(SUM(a) AS DOUBLE) * 100, 0) AS BIGINT) FROM r GROUP BY 1, 2, 3
 UNION ALL SELECT period, 'raw', 'rows', COUNT(*) FROM r GROUP BY 1""", SALES_SQL)
+
+SQL["rfm_bucketed"] = SQL["rfm_segments"]
+SQL["profit_bucketed"] = SQL["profit_analysis"]
