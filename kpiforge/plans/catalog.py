@@ -687,5 +687,6 @@ def q_rfm_bucketed(spark, sf):
 
 @query("profit_bucketed")
 def q_profit_bucketed(spark, sf):
-    """Profit per product from orders bucketed by product."""
-    return prods.profit_analysis(layout.bucketed(_orders(spark, sf, *PER_PRODUCT), "product_id", 16), tv.products(spark, sf), scale=SCALE)
+    """Profit per product from orders bucketed by product (a text, as in the order files)."""
+    lines = _orders(spark, sf, *PER_PRODUCT).withColumn("product_id", F.col("product_id").cast("string"))
+    return prods.profit_analysis(layout.bucketed(lines, "product_id", 16), tv.products(spark, sf), scale=SCALE)
