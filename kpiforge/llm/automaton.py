@@ -29,7 +29,7 @@ from array import array
 
 from pyspark.sql import DataFrame
 
-from kpiforge.llm.common import rows_of, worker_state
+from kpiforge.llm.common import WordCache, rows_of, worker_state
 from kpiforge.llm.tokens import Words, resolve
 
 NEVER = 1 << 60
@@ -118,18 +118,6 @@ class MergeAutomaton:
         return path
 
 
-class _Parts(dict):
-    """word -> its ids, the ids as decimals, the labels; a missing word is run and kept."""
-
-    def __init__(self, coder: Coder):
-        self.coder = coder
-
-    def __missing__(self, word: str) -> tuple[array, bytes, bytes]:
-        run = self.coder.automaton.run
-        got = self[word] = self.coder.entry([t for p in self.coder.words.pieces(word) for t in run(p)])
-        return got
-
-
 class Coder:
     """Encodes and decodes texts with the automaton of a tokenizer file."""
 
@@ -146,7 +134,12 @@ class Coder:
         self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        self.cache = _Parts(self)
+        # word -> its ids, the ids as decimals, the labels
+        self.cache = WordCache(self._run, lambda x: 200 + 4 * len(x[0]) + len(x[1]) + len(x[2]), CACHE_WORDS)
+
+    def _run(self, word: str) -> tuple[array, bytes, bytes]:
+        run = self.automaton.run
+        return self.entry([t for p in self.words.pieces(word) for t in run(p)])
 
     def entry(self, ids: list[int]) -> tuple[array, bytes, bytes]:
         return array("I", ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
@@ -173,8 +166,6 @@ class Coder:
         if self.words.odd(text):
             ids = self._odd(text)
             return [self.entry(ids)] if ids else []
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         return [x for x in map(self.cache.__getitem__, self.words.cut(text)) if x[0]]
 
     def encode(self, text: str) -> list[int]:

@@ -48,6 +48,30 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+#: What a :class:`WordCache` holds at most, by its own estimate; longer words aren't kept.
+CACHE_BYTES = 256 << 20
+LONG_WORD = 64
+
+
+class WordCache(dict):
+    """word -> what ``make`` gives for it, kept for words that are not long.  At ``entries``
+    words or ``CACHE_BYTES`` it starts anew."""
+
+    def __init__(self, make, size, entries: int):
+        self.make, self.size, self.entries, self.held = make, size, entries, 0
+
+    def __missing__(self, word: str):
+        got = self.make(word)
+        if len(word) <= LONG_WORD:
+            own = 160 + 2 * len(word) + self.size(got)
+            if len(self) >= self.entries or self.held + own > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += own
+            self[word] = got
+        return got
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

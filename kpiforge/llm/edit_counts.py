@@ -6,7 +6,8 @@ heaps hold the sums of characters and of tokens over the leaves: node i has the
 children 2i and 2i+1, the root is node 1.  An edit goes down the character sums to the
 leaves it touches; they are encoded anew together with one leaf on either side, whose
 outer ends the edit can't move, and the sums above them change.  Nothing else is read
-or encoded again.
+or encoded again.  Leaves that would hold more than twice ``LEAF`` characters are cut
+again, and the sums of the others are put into new heaps without being encoded.
 
 Edits of a document apply one after another, each to the text that the one before it
 left: ``(at, removed, inserted)`` in characters; what lies beyond the text's end is
@@ -41,6 +42,21 @@ def cut_leaves(text: str, leaf: int = LEAF) -> list[str]:
     return out
 
 
+def _heaps(*leaves: np.ndarray) -> list[np.ndarray]:
+    """For each array of figures per leaf the heap of their sums."""
+    width = 1 << max(len(leaves[0]) - 1, 0).bit_length()
+    out = []
+    for figures in leaves:
+        heap = np.zeros(2 * width, np.int64)
+        heap[width : width + len(figures)] = figures
+        at = width
+        while at > 1:
+            heap[at // 2 : at] = heap[at : 2 * at : 2] + heap[at + 1 : 2 * at : 2]
+            at //= 2
+        out.append(heap)
+    return out
+
+
 class CountTree:
     """The two heaps over a document's leaves; ``count`` gives a text's tokens."""
 
@@ -52,16 +68,17 @@ class CountTree:
     @classmethod
     def build(cls, text: str, count) -> CountTree:
         leaves = cut_leaves(text)
-        width = 1 << max(len(leaves) - 1, 0).bit_length()
-        chars, tokens = np.zeros(2 * width, np.int64), np.zeros(2 * width, np.int64)
-        chars[width : width + len(leaves)] = [len(x) for x in leaves]
-        tokens[width : width + len(leaves)] = [count(x) for x in leaves]
-        for heap in (chars, tokens):
-            at = width
-            while at > 1:
-                heap[at // 2 : at] = heap[at : 2 * at : 2] + heap[at + 1 : 2 * at : 2]
-                at //= 2
-        return cls(chars, tokens)
+        return cls(*_heaps(np.array([len(x) for x in leaves], np.int64), np.array([count(x) for x in leaves], np.int64)))
+
+    def replace(self, first: int, last: int, leaves: list[str], count) -> None:
+        """Put any number of leaves in the place of some: the others keep their counts, and
+        the heaps over them are added up again."""
+        own = np.array([len(x) for x in leaves], np.int64), np.array([count(x) for x in leaves], np.int64)
+        flat = [np.concatenate([heap[self.width : self.width + first], new, heap[self.width + last + 1 :]])
+                for heap, new in zip((self.chars, self.tokens), own, strict=True)]
+        there = flat[0] > 0
+        self.chars, self.tokens = _heaps(flat[0][there], flat[1][there])
+        self.width = len(self.chars) // 2
 
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at ``place`` and where it starts."""
@@ -100,6 +117,9 @@ class CountTree:
         region = new[start : stop + len(inserted) - (end - at)]
         self.encoded += len(region)
         slots = last - first + 1
+        if len(region) > 2 * LEAF * slots:  # more text than the leaves there can hold
+            self.replace(first, last, cut_leaves(region), count)
+            return new
         leaves = cut_leaves(region, max(LEAF, -(-len(region) // slots)))
         for i in range(slots):
             piece = leaves[i] if i < slots - 1 and i < len(leaves) else "".join(leaves[i:]) if i == slots - 1 else ""
@@ -128,9 +148,9 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits_col: str = "edits", id_
     """Per row: doc_id, n_edits, tokens_before, tokens_after, n_chars (after),
     chars_encoded (by the edits), n_leaves, and the heaps and the new text if
     ``with_trees`` (``chars``, ``tokens``, ``text``), to be kept for later edits:
-    a row that has the heaps already, in columns ``chars`` and ``tokens``, is edited
-    without being encoded."""
-    kept = [c for c in ("chars", "tokens") if with_trees and c in docs.columns]
+    a row that has the heaps already, in columns ``chars`` and ``tokens`` of arrays, is edited
+    without being encoded; columns of these names with other types are ignored."""
+    kept = [c for c in ("chars", "tokens") if with_trees and dict(docs.dtypes).get(c) == "array<bigint>"]
     kept = kept if len(kept) == 2 else []
     names = ["doc_id", "n_edits", "tokens_before", "tokens_after", "n_chars", "chars_encoded", "n_leaves"]
     names += ["chars", "tokens", "text"] * with_trees

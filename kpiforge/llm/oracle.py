@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from kpiforge.llm import licenses
 from kpiforge.llm.common import LOWER, UPPER
 
@@ -44,9 +42,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def license_scan(threshold: float = 0.8, block: int = 64) -> str:
-    half = block // 2
-    sets = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(licenses.TEMPLATES)]
-    entries = ", ".join(f"({i}, '{label}', '{w}', {len(ws)}, {math.ceil(threshold * len(ws) - 1e-9)})" for i, label, ws in sets for w in ws)
+    given = licenses.prepared(licenses.TEMPLATES, threshold, block)
+    entries = ", ".join(f"({i}, '{t.label}', '{w}', {len(t.words)}, {t.need}, {int(w in t.marks)}, {len(t.marks)}, {t.half})"
+                        for i, t in enumerate(given) for w in t.words)
     places = " UNION ALL ".join(
         f"SELECT rid, i, '{label}' AS label FROM seq WHERE " + " AND ".join(f"x{j} = '{w}'" for j, w in enumerate(phrase.split()))
         for phrase, label in licenses.PHRASES.items())
@@ -56,10 +54,11 @@ tok AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM docs
 seq AS (SELECT rid, i, x AS x0, lead(x) OVER (PARTITION BY rid ORDER BY i) AS x1, lead(x, 2) OVER (PARTITION BY rid ORDER BY i) AS x2 FROM tok),
 place AS ({places}),
 base AS (SELECT rid, COUNT(*) AS n, MIN(i) AS a, MAX(i) AS b FROM place GROUP BY rid),
-tpl(t, label, x, size, need) AS (VALUES {entries}),
-hit AS (SELECT DISTINCT rid, i // {half} - d AS block, t, label, tok.x, size, need
-  FROM tok JOIN tpl ON tok.x = tpl.x, (VALUES (0), (1)) v(d) WHERE i // {half} - d >= 0),
-met AS (SELECT rid, label, COUNT(*) / size AS c FROM hit GROUP BY rid, block, t, label, size, need HAVING COUNT(*) >= need),
+tpl(t, label, x, size, need, mark, marks, half) AS (VALUES {entries}),
+hit AS (SELECT DISTINCT rid, i // half - d AS block, t, label, tok.x, size, need, mark, marks
+  FROM tok JOIN tpl ON tok.x = tpl.x, (VALUES (0), (1)) v(d) WHERE i // half - d >= 0),
+met AS (SELECT rid, label, COUNT(*) / size AS c FROM hit GROUP BY rid, block, t, label, size, need, marks
+  HAVING COUNT(*) >= need AND SUM(mark) = marks),
 best AS (SELECT rid, MAX(c) AS c FROM met GROUP BY rid),
 names AS (SELECT rid, label, true AS is_base FROM place UNION ALL SELECT rid, label, false FROM met),
 labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS l,

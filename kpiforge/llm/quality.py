@@ -141,13 +141,20 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents that stay, without their boilerplate lines, with the columns of ``docs``."""
     verdict = judge(docs, id_col, text_col, host_col, **limits).where("kept")
     # equal host and text give equal verdicts, so rows that share an id keep apart
-    verdict = verdict.groupBy(F.col("host").alias("kf_h"), F.col("tx").alias("kf_t")).agg(F.first("gone").alias("kf_gone"))
+    verdict = verdict.groupBy("host", "tx").agg(F.first("gone").alias("gone"))
     verdict = written(verdict, "verdict")  # a plain table: many copies of one text can be split in the join
-    own = docs.withColumn("kf_host", F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))).withColumn(
-        "kf_tx", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    both = own.join(verdict, (F.col("kf_host") == F.col("kf_h")) & (F.col("kf_tx") == F.col("kf_t")))
-    changed = F.col("kf_gone").isNotNull()
-    both = both.withColumn(text_col, F.when(changed, without_lines(F.col(text_col), F.col("kf_gone"))).otherwise(F.col(text_col)))
-    if chars_col in docs.columns:
-        both = both.withColumn(chars_col, F.when(changed, F.length(text_col).cast(dict(docs.dtypes)[chars_col])).otherwise(F.col(chars_col)))
-    return both.select(*docs.columns)
+    # the caller's row is one column, so no name of his meets one of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                      F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("")).alias("host"),
+                      F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("tx"))
+    both = own.join(verdict, ["host", "tx"])
+    changed, text = F.col("gone").isNotNull(), F.col("row")[text_col]
+    both = both.select("row", changed.alias("changed"), F.when(changed, without_lines(text, F.col("gone"))).otherwise(text).alias("text"))
+
+    def column(c: str, kind: str) -> Column:
+        given = F.col("row")[c]
+        if c == text_col:
+            return F.col("text").alias(c)
+        return F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(given).alias(c) if c == chars_col else given.alias(c)
+
+    return both.select(*[column(c, kind) for c, kind in docs.dtypes])

@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = (met.where("alike").select(span).union(mixed.where("copies > 1").select(span))
              .union(_indexed(texts.join(crowded, "anchor", "left_anti"), id_type, length))
              .union(_counted(texts.join(crowded, "anchor", "left_semi"), id_type, length)))
-    return marks.groupBy("id", "k").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    return marks.groupBy("id", "k").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
 
 
 def merged(spans: list) -> list[tuple[int, int]]:

@@ -137,14 +137,16 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   max_bits: int = 3) -> DataFrame:
     """The documents with one kept per group: that with the smallest id (a null id comes
     last), of several rows with that id the one with the smallest text hash."""
-    rows = _grouped(docs, id_col, text_col, width, max_bits).groupBy("root", "doc_id", "k").agg(F.count("*").alias("kf_rows"))
+    rows = _grouped(docs, id_col, text_col, width, max_bits).groupBy("root", "doc_id", "k").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k")
-    first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "k", "kf_rows"), order).alias("r"))
-    first = written(first.select(F.col("r.doc_id").alias("kf_id"), F.col("r.k").alias("kf_k"), "r.kf_rows"), "first")
-    own_k = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    first = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "k", "rows"), order).alias("r"))
+    first = written(first.select("r.*"), "first")
+    # the caller's row is one column, so no name of his meets one of ours
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                      F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own_k"))
 
     def kept(keep: DataFrame) -> DataFrame:
-        return docs.join(keep, docs[id_col].eqNullSafe(keep["kf_id"]) & (own_k == keep["kf_k"]), "left_semi")
+        return own.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_k") == F.col("k")), "left_semi")
 
-    twice = kept(first.where("kf_rows > 1")).withColumn("kf_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return kept(first.where("kf_rows = 1")).union(twice.dropDuplicates([id_col, "kf_own"]).drop("kf_own"))
+    rows = kept(first.where("rows = 1")).unionByName(kept(first.where("rows > 1")).dropDuplicates(["id", "own_k"]))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

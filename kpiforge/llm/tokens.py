@@ -15,9 +15,9 @@ import os
 import re
 from array import array
 
-from kpiforge.llm.common import worker_state
+from kpiforge.llm.common import WordCache, worker_state
 
-#: Words kept per worker (about 200 MB); at the limit the cache starts anew.
+#: Words kept per worker at most; their bytes are bounded, too (``common.CACHE_BYTES``).
 CACHE_WORDS = 1 << 20
 
 #: Texts of characters whose class and case mapping no Unicode version changed.
@@ -101,32 +101,22 @@ class Words:
         return ["".join(map(self.letters.__getitem__, p.encode())) for p in self.pattern.findall(word)]
 
 
-class _Cache(dict):
-    """word -> ids as bytes; a missing word is encoded and kept."""
-
-    def __init__(self, words: Words):
-        self.pieces, self.tokenize = words.pieces, words.library.model.tokenize
-
-    def __missing__(self, word: str) -> bytes:
-        got = self[word] = array("I", [t.id for p in self.pieces(word) for t in self.tokenize(p)]).tobytes()
-        return got
-
-
 class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         self.words = Words(resolve(tokenizer))
-        self.cache = _Cache(self.words)
-        self.cache_words = cache_words
+        self.cache = WordCache(self._ids, len, cache_words)
+
+    def _ids(self, word: str) -> bytes:
+        tokenize = self.words.library.model.tokenize
+        return array("I", [t.id for p in self.words.pieces(word) for t in tokenize(p)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if self.words.odd(text):
             return array("I", self.words.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         return b"".join(map(self.cache.__getitem__, self.words.cut(text)))
 
 

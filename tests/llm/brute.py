@@ -11,7 +11,9 @@ WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 NAMES = ("id k fp host tx node line spans start size anchor component_id cell ids part kept gone own_id own_k data parts all "
-         "least root page slot edits chars tokens unit weight w best").split()
+         "least root page slot edits chars tokens unit weight w best row own_text "
+         "kf_row kf_id kf_text kf_k kf_h kf_t kf_gone kf_host kf_tx kf_own kf_rows rows changed words runs ahead range h t "
+         "n_bytes n_removed n_spans kept_sha256 kept_text").split()
 
 
 def library(name):
@@ -144,13 +146,16 @@ def licenses(text, phrases, templates, threshold=0.8, block=64):
         places += at
         base |= {label} if at else set()
     more, best = set(), 0.0
-    for at in range(0, max(len(words), 1), block // 2):
-        own = set(words[at : at + block])
-        for label, t in templates:
-            t = set(t.split())
-            share = len(t & own) / len(t)
-            if len(t & own) >= threshold * len(t) - 1e-9:
+    for label, text, *marks in templates:
+        t, marks = set(text.split()), set(" ".join(marks).split())
+        for other, theirs, *_ in templates:
+            if other != label and len(t & set(theirs.split())) >= threshold * len(t) - 1e-9:
+                marks |= t - set(theirs.split())
+        half = max(block // 2, len(text.split()))
+        for at in range(0, max(len(words), 1), half):
+            own = set(words[at : at + 2 * half])
+            if len(t & own) >= threshold * len(t) - 1e-9 and marks <= own:
                 more.add(label)
-                best = max(best, share)
+                best = max(best, len(t & own) / len(t))
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
             ",".join(sorted(base | more)), 1.0 if places else best)

@@ -167,6 +167,28 @@ def test_license_scan_finds_partial_templates_anywhere(spark):
     assert got == by_row((x[0], x[6], round(x[7], 9)) for x in want)
 
 
+NOTICES = {
+    "apache": "Licensed under the Apache License, Version 2.0 (the License)", "apache released": "Released under the Apache license",
+    "cc": "Licensed under CC BY 4.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "Licensed under CC BY-SA 4.0.",
+    "gpl": "This work is licensed under the GNU General Public License, version 3.",
+    "lgpl": "Licensed under the GNU Lesser General Public License", "mit": "Released under the MIT License.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee",
+    "mit long": licenses.TEMPLATES[11][1].upper(), "bsd long": licenses.TEMPLATES[2][1],
+    "mit half": " ".join(licenses.TEMPLATES[11][1].split()[25:80]), "scattered": " x ".join("released under the old mit then the license".split()) + " y" * 70,
+}
+
+
+def test_notices_get_their_own_labels(spark):
+    rows = [(i, "before " * 40 * (i % 3) + text + " after" * 50, "s") for i, text in enumerate(NOTICES.values())]
+    got = {r.doc_id: r.labels for r in licenses.scan(brute.documents(spark, rows)).collect()}
+    assert dict(zip(NOTICES, (got[i] for i in range(len(NOTICES))))) == {
+        "apache": "apache", "apache released": "", "cc": "cc-by", "cc-by-nc": "cc-by,cc-by-nc", "cc-by-sa": "cc-by,cc-by-sa", "gpl": "gpl",
+        "lgpl": "gpl,lgpl",  # its words hold the base phrase of gpl
+        "mit": "mit", "isc": "isc", "mit long": "mit", "bsd long": "bsd", "mit half": "", "scattered": "mit"}
+    want = {i: brute.licenses(t, licenses.PHRASES, licenses.TEMPLATES)[5] for i, t, _ in rows}
+    assert got == want
+
+
 # tokens
 
 ODD = ["", " ", "a  b", "\n\nx", "don't WE'VE 'tis", "tab\there", "<|endoftext|>", "a<|startoftext|>b <|endoftext|>", "é Å Σσς",
@@ -408,3 +430,36 @@ def test_id_files(spark, docs, rows):
         x = lib.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
     assert by_row((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == by_row(want)
+
+
+def test_many_edits_of_one_place_encode_little():
+    lib = brute.library(BYTE_BPE)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(6)
+    for start, place, most in (("", None, 20), ("word " * 200, 500, 40)):  # inside a text a leaf on either side is read, too
+        text = start
+        tree = edit_counts.CountTree.build(text, count)
+        for i in range(400):
+            new = " " + " ".join(rng.choice(["some", "more", "words", "12", "and"]) for _ in range(8))
+            text = tree.edit(text, len(text) if place is None else place, 0, new, count)
+        assert tree.tokens[1] == count(text) and tree.chars[1] == len(text)
+        assert tree.encoded <= most * len(text)
+        assert max(tree.chars[tree.width :]) < 3 * edit_counts.LEAF
+        while text:
+            text = tree.edit(text, 7, 900, "", count) if len(text) > 7 else tree.edit(text, 0, 9, "", count)
+        assert tree.tokens[1] == 0
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    from kpiforge.llm import common
+
+    lib, enc = brute.library(BYTE_BPE), tokens.Encoder(BYTE_BPE)
+    text = " ".join("ab" * 3000 + str(i) for i in range(30)) + " short words"
+    assert enc.encode(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(enc.cache) <= 2 and enc.cache.held < 1000
+    monkeypatch.setattr(common, "CACHE_BYTES", 20_000)
+    many = " ".join(f"w{i}" for i in range(5000))
+    assert enc.encode(many) == np.array(lib.encode(many, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc.cache.held <= 20_000 and sum(len(k) + len(v) for k, v in enc.cache.items()) < 20_000
+    own = automaton.Coder(WORD_BPE)
+    assert own.encode(text) == brute.library(WORD_BPE).encode(text, add_special_tokens=False).ids and len(own.cache) <= 2
