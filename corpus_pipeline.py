@@ -5,6 +5,10 @@ on every row that its predecessor kept.  All but the last return the columns of
 ``documents``: the quality rules drop documents and boilerplate lines, SimHash keeps
 one document of each group, the repeat index cuts repeated passages out, and packing
 returns a row per piece.
+
+Null and empty texts fail the quality rules, as do all of fewer than fifty words; very long
+texts stay whole in every stage; of equal rows one stays; an empty table gives no pieces;
+further columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the bytes of repeated 200-byte strings."""
-    cut = repeats.without_repeats(docs, keep=docs.columns)
+    # the row is one column, so no name of its columns meets one of the operator's
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    cut = repeats.without_repeats(whole, keep=["row"])
     changed = F.col("n_removed") > 0
     return cut.select(*[
         F.col("kept_text").alias(c) if c == "text"
-        else F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col(c)).alias(c) if c == "n_chars"
-        else F.col(c) for c, kind in docs.dtypes])
+        else F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("row")[c]).alias(c) if c == "n_chars"
+        else F.col("row")[c].alias(c) for c, kind in docs.dtypes])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
