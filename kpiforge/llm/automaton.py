@@ -17,7 +17,8 @@ a place is reached in one way only.  Decoding emits the labels of the arcs.
 
 Defined cases: null text counts as empty: no ids, the empty string; repeated rows and ids
 are encoded each for itself; an empty table gives no rows; texts may be of any length
-(a word's tokens are kept in a bounded cache, nothing else grows).
+(a word's tokens are kept in a bounded cache, nothing else grows);
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ again, and the sums of the others are put into new heaps without being encoded.
 Edits of a document apply one after another, each to the text that the one before it
 left: ``(at, removed, inserted)`` in characters; what lies beyond the text's end is
 clipped.  Defined cases: null text counts as empty; null or no edits leave the counts;
-equal ids are edited each for itself; an empty table gives no rows.
+equal ids are edited each for itself; an empty table gives no rows;
+very long texts are one row in one task; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -53,7 +53,7 @@ TEMPLATES = [
     ("gpl", "licensed under the gnu general public license version 3", "gnu"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser"),
-    ("mit", "released under the mit license", "mit"),
+    ("mit", "released under the mit license", "mit released"),  # "mit" alone is a German word
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
             "files the software to deal in the software without restriction including without limitation the rights to use copy modify "

@@ -11,7 +11,8 @@ as is one that fails the base rules.
 Line counts are combined per task before they are shuffled; the lines of a host
 that holds a third of all rows are spread by their hashes.  Defined cases: null
 text has no words and fails the base rules; null hosts form one host of their own;
-repeated rows get equal verdicts; an empty table gives no rows.
+repeated rows get equal verdicts; an empty table gives no rows;
+very long texts are one row in one task; extra columns are carried along or ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ else in the corpus.  The corpus is dealt out so that equal strings meet:
 Every step is exact up to collisions of 128 hash bits; step 1 only decides what
 meets.  Defined cases: null text counts as empty; texts under ``length`` bytes
 never match; equal rows are copies of each other; rows with equal ids and other
-texts are separate documents; an empty table gives no rows.
+texts are separate documents; an empty table gives no rows;
+very long texts are cut into segments, in one task only while they are hashed and put together; extra columns are ignored or kept as named.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ A text without words has an empty sketch: likeness 1 with another empty one, els
 Defined cases: null text is empty; words are runs of other than ASCII white space, taken as
 they are; texts of fewer than ``width`` words are one shingle; repeated shingles count
 once; very long texts are hashed whole, in memory of a few machine words a word; equal
-texts have equal sketches; an empty table gives no rows.
+texts have equal sketches; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ once and emits a tree, never all pairs.
 
 Defined cases: null text has no words, and texts without words share the
 fingerprint zero; repeated rows are linked like other equal texts; a null id
-never names a component that has another id; an empty table gives no rows.
+never names a component that has another id; an empty table gives no rows;
+very long texts are hashed whole in parts of bounded memory; extra columns are kept by ``one_per_group``, else ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ on ``sample`` classes, those with the smallest hashes; every vector is indexed.
 
 Defined cases: a vector that is null, empty, zero or has a null or non-finite component
 links with nothing and is its own component; vectors of different length don't link;
-equal ids are separate vectors and name one component each; an empty table gives no rows.
+equal ids are separate vectors and name one component each; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ with a third of all pages is no single task's work.  A page gets the constant te
 its own shape, which are no more than the blocks of a page, however many shapes its host
 has (pages with an id of their own in a slot's path are a shape each).  Defined cases: null or empty html, and pages without
 content, give an empty text; a null or odd url is a host of its own kind; equal rows get
-equal texts; an empty table gives no rows.
+equal texts; an empty table gives no rows;
+very long html is one row in one task; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -169,6 +169,7 @@ def test_license_scan_finds_partial_templates_anywhere(spark):
 
 NOTICES = {
     "apache": "Licensed under the Apache License, Version 2.0 (the License)", "apache released": "Released under the Apache license",
+    "apache german": "Mit Dank. Licensed under the Apache License, Version 2.0.",
     "cc": "Licensed under CC BY 4.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "Licensed under CC BY-SA 4.0.",
     "gpl": "This work is licensed under the GNU General Public License, version 3.",
     "lgpl": "Licensed under the GNU Lesser General Public License", "mit": "Released under the MIT License.",
@@ -182,7 +183,7 @@ def test_notices_get_their_own_labels(spark):
     rows = [(i, "before " * 40 * (i % 3) + text + " after" * 50, "s") for i, text in enumerate(NOTICES.values())]
     got = {r.doc_id: r.labels for r in licenses.scan(brute.documents(spark, rows)).collect()}
     assert dict(zip(NOTICES, (got[i] for i in range(len(NOTICES))))) == {
-        "apache": "apache", "apache released": "", "cc": "cc-by", "cc-by-nc": "cc-by,cc-by-nc", "cc-by-sa": "cc-by,cc-by-sa", "gpl": "gpl",
+        "apache": "apache", "apache released": "", "apache german": "apache", "cc": "cc-by", "cc-by-nc": "cc-by,cc-by-nc", "cc-by-sa": "cc-by,cc-by-sa", "gpl": "gpl",
         "lgpl": "gpl,lgpl",  # its words hold the base phrase of gpl
         "mit": "mit", "isc": "isc", "mit long": "mit", "bsd long": "bsd", "mit half": "", "scattered": "mit"}
     want = {i: brute.licenses(t, licenses.PHRASES, licenses.TEMPLATES)[5] for i, t, _ in rows}
