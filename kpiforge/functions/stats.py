@@ -25,16 +25,28 @@ BITS = 12
 _MANTISSA = 52
 
 
-def ordered_bits(x: Column) -> Column:
+def _guess(x: Column) -> Column:
+    """The exponent of a number, or one beside it; NULL for 0."""
+    return F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(F.abs(x)))))
+
+
+def _part(x: Column, guess: Column) -> Column:
+    return F.abs(x) / F.pow(F.lit(2.0), guess.cast("double"))  # exact: a power of two
+
+
+def ordered_bits(x: Column, guess: Column | None = None, part: Column | None = None) -> Column:
     """A DOUBLE without NaN as a BIGINT that grows with it: the bits of its amount, with its
-    sign (both zeros are 0)."""
+    sign (both zeros are 0).  ``guess`` and ``part`` save the logarithm and the power where
+    they are columns already."""
     size = F.abs(x)
-    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # noqa: E731 - exact for whole exponents
-    guess = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
-    part = size / power(guess)
-    exponent = guess + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0)
+    guess = _guess(x) if guess is None else guess
+    part = _part(x, guess) if part is None else part
     unit = F.lit(1 << _MANTISSA)
-    normal = (exponent.cast("bigint") + 1022) * unit + (size / power(exponent) * unit.cast("double")).cast("bigint")
+
+    def whole(exponent, mantissa):  # mantissa in [1, 2)
+        return (exponent + 1022) * unit + (mantissa * unit.cast("double")).cast("bigint")
+
+    normal = F.when(part >= 2, whole(guess + 1, part / 2)).when(part < 1, whole(guess - 1, part * 2)).otherwise(whole(guess, part))
     small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")  # below the normal numbers
     bits = F.when(size == float("inf"), F.lit(2047 << _MANTISSA)).when(size >= 2.0**-1022, normal).otherwise(small)
     return F.when(x < 0, -bits).otherwise(bits)
@@ -56,6 +68,8 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
     if not names:
         return {}
     values = df.select(*[_column(c).alias(f"v{i}") for i, c in enumerate(names)])
+    values = values.withColumns({f"g{i}": _guess(F.col(f"v{i}")) for i in range(len(names))})
+    values = values.withColumns({f"p{i}": _part(F.col(f"v{i}"), F.col(f"g{i}")) for i in range(len(names))})
     found: dict[tuple[int, int], float] = {}  # (column, rank): value
     cells: dict[tuple[int, int], tuple[int, set[int]]] = {}  # (column, leading bits): rank of the first value, wanted ranks
     sizes: dict[int, int] = {}
@@ -63,14 +77,16 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
     for at in (*range(_MANTISSA, 0, -BITS), 0):
         parts = []
         for i in range(len(names)):
-            v, bits = F.col(f"v{i}"), ordered_bits(F.col(f"v{i}"))
+            v = F.col(f"v{i}")
+            bits = ordered_bits(v, F.col(f"g{i}"), F.col(f"p{i}"))
             open_cells = [cell for column, cell in cells if column == i]
             inside = v.isNotNull() if at == _MANTISSA else F.shiftright(bits, shift).isin(open_cells) if open_cells else None
             if inside is not None:
                 parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.shiftright(bits, at).alias("cell"), v.alias("v"))))
         if not parts:
             break
-        rows = values.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).groupBy("x.i", "x.cell").agg(
+        # no lambda here: generated code works out each number's bits once
+        rows = values.select(F.explode(F.array(*parts)).alias("x")).where("x is not null").groupBy("x.i", "x.cell").agg(
             F.count(F.lit(1)).alias("n"), F.min("x.v").alias("a"), F.max("x.v").alias("b")).collect()
         if at == _MANTISSA:
             for i, c in enumerate(names):
