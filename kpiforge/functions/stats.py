@@ -4,7 +4,7 @@ Spark's exact ``percentile`` keeps every distinct value of the column in one
 aggregation buffer, merged in a single final task.  ``quantiles`` selects the wanted
 order statistics by radix instead: a DOUBLE is an integer of 64 bits that grows with it,
 and each job counts the values by the next ``BITS`` bits, in the cells only that hold a
-wanted rank, until a cell holds a single value.  So it takes at most six jobs whatever the
+wanted rank, until a cell holds a single value.  So it takes at most five rounds whatever the
 values are (infinite ones, tiny and huge ones, one value held by a third of all
 rows), for all columns together, and there is one path for every size.
 
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 12
+#: The first job takes the bits above this one: sign, exponent and four bits of the mantissa.
+FIRST = 48
 _MANTISSA = 52
 
 
@@ -73,14 +75,14 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
     found: dict[tuple[int, int], float] = {}  # (column, rank): value
     cells: dict[tuple[int, int], tuple[int, set[int]]] = {}  # (column, leading bits): rank of the first value, wanted ranks
     sizes: dict[int, int] = {}
-    shift = _MANTISSA
-    for at in (*range(_MANTISSA, 0, -BITS), 0):
+    shift = FIRST
+    for at in range(FIRST, -1, -BITS):
         parts = []
         for i in range(len(names)):
             v = F.col(f"v{i}")
             bits = ordered_bits(v, F.col(f"g{i}"), F.col(f"p{i}"))
             open_cells = [cell for column, cell in cells if column == i]
-            inside = v.isNotNull() if at == _MANTISSA else F.shiftright(bits, shift).isin(open_cells) if open_cells else None
+            inside = v.isNotNull() if at == FIRST else F.shiftright(bits, shift).isin(open_cells) if open_cells else None
             if inside is not None:
                 parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.shiftright(bits, at).alias("cell"), v.alias("v"))))
         if not parts:
@@ -88,7 +90,7 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
         # no lambda here: generated code works out each number's bits once
         rows = values.select(F.explode(F.array(*parts)).alias("x")).where("x is not null").groupBy("x.i", "x.cell").agg(
             F.count(F.lit(1)).alias("n"), F.min("x.v").alias("a"), F.max("x.v").alias("b")).collect()
-        if at == _MANTISSA:
+        if at == FIRST:
             for i, c in enumerate(names):
                 n = sizes[i] = sum(r["n"] for r in rows if r["i"] == i)
                 ranks = {int(f((n - 1) * p)) for p in wanted[c] for f in (math.floor, math.ceil)} if n else set()
@@ -96,7 +98,7 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
         after: dict[tuple[int, int], tuple[int, set[int]]] = {}
         before: dict[tuple[int, int], int] = {}
         for r in sorted(rows, key=lambda r: (r["i"], r["cell"])):
-            outer = r["i"], 0 if at == _MANTISSA else r["cell"] >> (shift - at)
+            outer = r["i"], 0 if at == FIRST else r["cell"] >> (shift - at)
             first, ranks = cells[outer]
             first += before.get(outer, 0)
             before[outer] = before.get(outer, 0) + r["n"]
