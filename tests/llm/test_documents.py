@@ -290,7 +290,7 @@ def test_hamming_balls_find_every_link(spark):
 
 # repeats
 
-@pytest.mark.parametrize("group_segments", [2048, 2])
+@pytest.mark.parametrize("group_segments", [256, 2])
 def test_repeated_strings_go(docs, rows, group_segments):
     got = repeats.without_repeats(docs, group_segments=group_segments).collect()
     want = brute.without_repeats([t for _, t, _ in rows])
@@ -306,7 +306,7 @@ def test_many_equal_and_periodic_rows(spark):
     rows += [(100 + i, "".join(rng.choice("abcdefgh ") for _ in range(300)) + passage + "".join(rng.choice("xyz ") for _ in range(260)), "s") for i in range(120)]
     rows += [(300 + i, "a" * (150 + 20 * i), "s") for i in range(8)]
     want = brute.without_repeats([t for _, t, _ in rows])
-    for group in (4096, 50):
+    for group in (256, 50, 1):
         got = repeats.without_repeats(brute.documents(spark, rows), group_segments=group).collect()
         assert by_row((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == by_row(
             (i, *w[:4]) for (i, _, _), w in zip(rows, want))
@@ -324,13 +324,23 @@ def test_repeated_strings_of_small_alphabets(spark):
         (i, *w[:4]) for (i, _, _), w in zip(rows, want))
 
 
+def test_matching_statistics_come_from_the_runs():
+    texts = [b"abracadabra, abracadabra", b"his abracadabra goes on"]
+    whole = repeats.RunIndex(texts).matching_statistics()
+    assert whole.max() == 12 and len(repeats.RunIndex(texts * 40).heads) < 2 * len(repeats.RunIndex(texts).heads)
+    for name in ("heads", "lengths", "step", "jump"):
+        index = repeats.RunIndex(texts)
+        getattr(index, name)[:] = 0
+        assert (index.matching_statistics() != whole).any()
+
+
 def test_run_index_gives_matching_statistics():
     rng = random.Random(1)
     for _ in range(80):
         least = rng.choice([8, 10, 16])
         texts = ["".join(rng.choice(rng.choice(["ab", "a"])) for _ in range(rng.randint(0, 60))).encode() for _ in range(rng.randint(0, 5))]
         texts += texts[:1]
-        index = repeats.RunIndex(texts, least)
+        index = repeats.RunIndex(texts)
         whole = [(i, j) for i, t in enumerate(texts) for j in range(len(t))]
 
         def match(i, j):
@@ -345,7 +355,9 @@ def test_run_index_gives_matching_statistics():
 
         for (i, j), got in zip(whole, index.matching_statistics().tolist()):
             want = match(i, j)
-            assert got == want if want >= least else got < least
+            assert got == want
+        covered = {(t, a + j) for t, a, n in zip(*map(np.ndarray.tolist, index.spans(least))) for j in range(n)}
+        assert covered == {(i, j + d) for i, j in whole if (n := match(i, j)) >= least for d in range(n)}
 
 
 # edits
