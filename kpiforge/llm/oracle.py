@@ -14,7 +14,7 @@ def _lower(x: str) -> str:
     return f"translate({x}, '{UPPER}', '{LOWER}')"
 
 
-def quality(max_docs: int = 10, max_share: float = 0.15, min_words: int = 50, min_left: float = 0.5) -> str:
+def quality(max_docs: int = 10, min_words: int = 50, min_left: float = 0.5) -> str:
     return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, COALESCE(text, '') AS t, COALESCE('=' || source, '') AS host
   FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '{WORD}') AS w FROM docs),
@@ -22,13 +22,13 @@ tok AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
 tri AS (SELECT rid, i, x, lead(x) OVER (PARTITION BY rid ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY rid ORDER BY i) AS z FROM tok),
 twice AS (SELECT rid, i FROM (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, x, y, z) AS c FROM tri WHERE z IS NOT NULL) q WHERE c > 1),
 again AS (SELECT rid, COUNT(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY rid),
-lines AS (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM docs),
-real_lines AS (SELECT rid, host, t, line, trim(regexp_replace({_lower('line')}, '{SPACE}+', ' ', 'g')) AS k
+lines AS (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs),
+all_lines AS (SELECT rid, host, t, line, i, trim(regexp_replace({_lower('line')}, '{SPACE}+', ' ', 'g')) AS k
   FROM lines WHERE regexp_matches(line, '{WORD}')),
+real_lines AS (SELECT *, COALESCE(lag(k) OVER s, '') || chr(10) || COALESCE(lead(k) OVER s, '') AS near
+  FROM all_lines WINDOW s AS (PARTITION BY rid ORDER BY i)),
 dup AS (SELECT rid, COUNT(*) - COUNT(DISTINCT line) AS n FROM real_lines GROUP BY rid),
-size AS (SELECT host, COUNT(DISTINCT t) AS n FROM docs GROUP BY host),
-often AS (SELECT l.host, k FROM real_lines l JOIN size s ON l.host = s.host GROUP BY l.host, k, s.n
-  HAVING COUNT(DISTINCT t) > {max_docs} AND COUNT(DISTINCT t) > CAST({max_share} AS DOUBLE) * s.n),
+often AS (SELECT host, k FROM real_lines GROUP BY host, k HAVING COUNT(DISTINCT t) > {max_docs} AND COUNT(DISTINCT near) > {max_docs}),
 gone AS (SELECT rid, SUM(len(regexp_extract_all(line, '{WORD}'))) AS n FROM real_lines l JOIN often o ON l.host = o.host AND l.k = o.k
   GROUP BY rid),
 f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars,

@@ -1,10 +1,11 @@
 """Quality rules with the document frequency of lines per host.
 
 Every normalised line (A-Z lower-cased, white space collapsed) is hashed; a line
-on more than ``max_docs`` distinct documents of a host, and on more than
-``max_share`` of all that host's distinct documents, is boilerplate and goes.
-Documents with equal texts are one document here, so that copies of a text don't
-make its lines boilerplate.  A document that loses lines and keeps fewer than
+on more than ``max_docs`` distinct documents of a host, and there between more than
+``max_docs`` distinct pairs of neighbouring lines, is boilerplate and goes.
+Documents with equal texts are one document here, and near-copies share their lines'
+neighbours, so that copies of a text don't make its lines boilerplate.  The neighbours
+are the lines before and after that have a word; a text's ends stand for missing ones.  A document that loses lines and keeps fewer than
 ``min_words`` words, or less than ``min_left`` of them, is depleted and rejected,
 as is one that fails the base rules.
 
@@ -60,27 +61,32 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            rows, hashes, sizes, ends, keys = [], [], [], [0], []
+            rows, hashes, pairs, sizes, ends, keys = [], [], [], [], [0], []
             for _, _, text in rows_of(batch):
                 text = text or ""
                 data = text.encode()
                 words = data.split()
-                seen, lines, again = set(), {}, 0
+                seen, lines, again, order = set(), {}, 0, []
                 for line in data.split(b"\n"):
                     if parts := line.lower().split():
                         again += line in seen
                         seen.add(line)
-                        h = xxh3_64_intdigest(b" ".join(parts))
-                        lines[h] = lines.get(h, 0) + len(parts)
+                        order.append((xxh3_64_intdigest(b" ".join(parts)), len(parts)))
+                near = [b"", *[h.to_bytes(8) for h, _ in order], b""]
+                for i, (h, n) in enumerate(order):
+                    key = h, xxh3_64_intdigest(near[i] + b"\n" + near[i + 2])
+                    lines[key] = lines.get(key, 0) + n
                 rows.append((len(words), len(text) - sum(map(text.count, SPACE)),
                              len(data) - len(data.translate(None, SYMBOLS)), again, repeated_words(words)))
-                hashes.extend(lines)
+                hashes.extend(h for h, _ in lines)
+                pairs.extend(c for _, c in lines)
                 sizes.extend(lines.values())
                 ends.append(len(hashes))
                 keys.append(hashlib.md5(data, usedforsecurity=False).digest())
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             lines = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-                [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["h", "words"]))
+                [*[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hashes, pairs)], pa.array(sizes, pa.int64())],
+                ["h", "pair", "words"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in cols], lines],
                 ["id", "host", "tx", *counts, "lines"])
@@ -88,27 +94,25 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     host = F.concat(F.lit("="), F.col(host_col).cast("string"))  # a null host sorts before every "="
     return docs.select(id_col, F.coalesce(host, F.lit("")).alias("host"), text_col).mapInArrow(
         run, f"id {id_type}, host string, tx binary, {', '.join(f'{c} bigint' for c in counts)}, "
-             "lines array<struct<h: bigint, words: bigint>>")
+             "lines array<struct<h: bigint, pair: bigint, words: bigint>>")
 
 
-def _frequent(measured: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, tx, h, words) of the boilerplate lines of every distinct text."""
-    texts = measured.select("host", "tx", "lines")
-    lines = texts.select("host", "tx", F.explode("lines").alias("l")).select("host", "tx", "l.h", "l.words").distinct()
+def _frequent(measured: DataFrame, max_docs: int) -> DataFrame:
+    """(host, tx, h, words) of the boilerplate lines of every distinct text, a row per pair of neighbours."""
+    lines = measured.select("host", "tx", F.explode("lines").alias("l")).select("host", "tx", "l.*").distinct()
     lines = written(lines, "lines")
-    size = texts.select("host", "tx").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    often = written(often.join(size, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "h"), "often")
-    return lines.join(often, ["host", "h"])
+    often = (lines.groupBy("host", "h").agg(F.count_distinct("tx").alias("docs"), F.count_distinct("pair").alias("pairs"))
+             .where((F.col("docs") > max_docs) & (F.col("pairs") > max_docs)))
+    return lines.join(written(often.select("host", "h"), "often"), ["host", "h"])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10,
-          max_share: float = 0.15, min_words: int = 50, min_left: float = 0.5) -> DataFrame:
+          min_words: int = 50, min_left: float = 0.5) -> DataFrame:
     """Per row: id, host, tx, the base figures, n_line_words (words in removed
     lines), base_failed, kept, and ``gone``, the hashes of the removed lines."""
     measured = written(_measured(docs, id_col, text_col, host_col), "measured")
-    gone = _frequent(measured, max_docs, max_share).groupBy("host", "tx").agg(
-        F.sum("words").alias("n_line_words"), F.collect_list("h").alias("gone"))
+    gone = _frequent(measured, max_docs).groupBy("host", "tx").agg(
+        F.sum("words").alias("n_line_words"), F.collect_set("h").alias("gone"))
     gone = written(gone, "gone")
     both = measured.drop("lines").join(gone, ["host", "tx"], "left").withColumn(
         "n_line_words", F.coalesce("n_line_words", F.lit(0)))

@@ -104,17 +104,17 @@ def without_repeats(texts, length=200):
     return out
 
 
-def quality(rows, max_docs=10, max_share=0.15, min_words=50, min_left=0.5):
+def quality(rows, max_docs=10, min_words=50, min_left=0.5):
     """Per (id, text, host) row: the figures, base_failed, kept and the text without boilerplate lines."""
     def key(line):
         return " ".join(SPACE.findall(line.translate(AZ)))
 
-    docs, of_line = defaultdict(set), defaultdict(set)
+    of_line, between = defaultdict(set), defaultdict(set)
     for _, t, host in rows:
-        docs[host].add(t or "")
-        for line in (t or "").split("\n"):
-            if key(line):
-                of_line[host, key(line)].add(t)
+        lines = ["", *[key(x) for x in (t or "").split("\n") if key(x)], ""]
+        for before, line, after in zip(lines, lines[1:], lines[2:]):
+            of_line[host, line].add(t)
+            between[host, line].add((before, after))
     out = []
     for i, t, host in rows:
         text = t or ""
@@ -124,8 +124,7 @@ def quality(rows, max_docs=10, max_share=0.15, min_words=50, min_left=0.5):
         lines = [x for x in text.split("\n") if key(x)]
 
         def boiler(line):
-            n = len(of_line[host, key(line)])
-            return bool(key(line)) and n > max_docs and n > max_share * len(docs[host])
+            return bool(key(line)) and min(len(of_line[host, key(line)]), len(between[host, key(line)])) > max_docs
 
         gone = sum(len(SPACE.findall(x)) for x in lines if boiler(x))
         failed = len(words) < 50 or 100 * len(inside) > 50 * len(words)

@@ -138,6 +138,25 @@ def test_boilerplate_lines_go_and_depleted_documents_too(spark):
     assert any(x[7] and "ookies" not in x[8] for x in want[:25])
 
 
+def test_lines_of_near_copies_stay(spark):
+    """The same line on many documents: a notice between other lines each time, and a passage with the same neighbours."""
+    body = [[f"n{i} " + " ".join(f"d{i}s{j}w{k}" for k in range(20)) for j in range(4)] for i in range(600)]
+    copied = [" ".join(f"c{j}w{k}" for k in range(20)) for j in range(6)]
+    rows = [(i, "\n".join([*body[i][:2], "Subscribe to our letter", *body[i][2:]]), "large") for i in range(40)]  # a fifteenth of its host
+    rows += [(i, "\n".join(body[i]), "large") for i in range(40, 600)]
+    rows += [(1000 + i, "\n".join([*copied, f"signed by {i}"]), "large") for i in range(50)]
+    rows += [(2000, "\n".join(f"{body[i][0]}\nread more" for i in range(30)), "small")]  # often, but on one document
+    want = brute.quality(rows)
+    docs = brute.documents(spark, rows)
+    assert by_row((r.id, *[r[c] for c in FIGURES]) for r in quality.judge(docs).collect()) == by_row(x[:8] for x in want)
+    kept = {r.doc_id: r.text for r in quality.kept_documents(docs).collect()}
+    assert kept == {x[0]: x[8] for x in want if x[7]} and len(kept) == len(rows)
+    assert all("Subscribe" not in kept[i] for i in range(40))
+    # only the last of the copied lines has a different neighbour in each copy
+    assert all(kept[1000 + i] == "\n".join([*copied[:5], f"signed by {i}"]) for i in range(50))
+    assert kept[2000].count("read more") == 30
+
+
 def test_repeated_words_with_many_words():
     rng = random.Random(2)
     for n in (0, 2, 3, 50, 400):
@@ -288,6 +307,23 @@ def test_hamming_balls_find_every_link(spark):
         assert got == brute.components([s[0] for s in signed], pairs)
 
 
+@pytest.mark.parametrize("crowded", [4096, 100, 3])
+def test_a_segment_value_that_most_fingerprints_share(spark, crowded):
+    rng = random.Random(3)
+    prints = set()
+    for _ in range(700):
+        x = rng.getrandbits(32) << 32 | 0xABCDEF
+        prints.add(x)
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            x ^= 1 << rng.randrange(64)
+        prints.add(x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(prints)]
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    links = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), crowded=crowded).collect()]
+    assert {(min(x), max(x)) for x in links} <= {(min(x), max(x)) for x in near}
+    assert brute.components(signed, links) == brute.components(signed, near)
+
+
 # repeats
 
 @pytest.mark.parametrize("group_segments", [256, 2])
@@ -327,7 +363,7 @@ def test_repeated_strings_of_small_alphabets(spark):
 def test_matching_statistics_come_from_the_runs():
     texts = [b"abracadabra, abracadabra", b"his abracadabra goes on"]
     whole = repeats.RunIndex(texts).matching_statistics()
-    assert whole.max() == 12 and len(repeats.RunIndex(texts * 40).heads) < 2 * len(repeats.RunIndex(texts).heads)
+    assert whole.max() == 12 and len(repeats.RunIndex(texts[:1] * 40).heads) == len(repeats.RunIndex(texts[:1]).heads)
     for name in ("heads", "lengths", "step", "jump"):
         index = repeats.RunIndex(texts)
         getattr(index, name)[:] = 0
