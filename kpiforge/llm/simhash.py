@@ -9,7 +9,9 @@ a value is verified on all 64 bits.
 
 Equal fingerprints are one class before any look-up, so copies cost nothing
 more.  A value's fingerprints are joined by a search that visits each of them
-once and emits a tree, never all pairs.
+once and emits a tree, never all pairs.  Where very many unlinked fingerprints have one
+segment value, they are dealt by the halves of the other segment, in the same way, so
+that no task compares them all.
 
 Defined cases: null text has no words, and texts without words share the
 fingerprint zero; repeated rows are linked like other equal texts; a null id
@@ -19,8 +21,10 @@ very long texts are hashed whole in parts of bounded memory; extra columns are k
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import rows_of, run_bounds, sorted_runs, written
@@ -81,19 +85,43 @@ def tree(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Links (a, b) that span the clusters of the distinct fingerprints ``fp``."""
+def _ball(value: Column, width: int) -> Column:
+    """One row for ``value`` (``bit`` -1) and one for each bit that is 0 in it: of two values
+    that differ in a bit, the one with the 0 looks up the other."""
+    return F.explode(F.filter(F.sequence(F.lit(-1), F.lit(width - 1)), lambda bit: (bit < 0) | (
+        F.call_function("shiftright", value, F.greatest(bit, F.lit(0))).bitwiseAND(F.lit(1)) == 0)))
+
+
+def links(prints: DataFrame, max_bits: int = 3, crowded: int = 4096) -> DataFrame:
+    """Links (a, b) that span the clusters of the distinct fingerprints ``fp``.
+
+    A segment value of more than ``crowded`` fingerprints makes the cells of its ball crowded.
+    There the other segment is cut in two halves, one of which differs in one bit at most,
+    and the members meet under the values of its ball."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with balls of radius one find up to three differing bits")
+    prints = prints.select("fp")
     low = F.lit((1 << 32) - 1)
-    look = F.explode(F.sequence(F.lit(-1), F.lit(31)))  # -1: the value itself, else the bit that is set
-    ball = (prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg"))
-            .withColumn("value", F.when(F.col("seg") == 0, F.col("fp").bitwiseAND(low))
-                        .otherwise(F.shiftrightunsigned("fp", 32)))
-            .select("fp", "seg", "value", look.alias("bit"))
-            .where("bit < 0 or (shiftright(value, bit) & 1L) = 0")
-            .select(F.expr("(case when bit < 0 then value else value | shiftleft(1L, bit) end) * 2 + seg").alias("cell"),
-                    (F.col("bit") < 0).alias("own"), "fp"))
+    parts = [F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32)]
+    own = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")).withColumn(
+        "value", F.when(F.col("seg") == 0, parts[0]).otherwise(parts[1]))
+    cell = F.expr("(case when bit < 0 then value else value | shiftleft(1L, bit) end) * 2 + seg").alias("cell")
+
+    def around(values: DataFrame, *carried: str) -> DataFrame:
+        return values.withColumn("bit", _ball(F.col("value"), 32)).select(cell, (F.col("bit") < 0).alias("own"), *carried)
+
+    ball = around(own, "fp")
+    hot = own.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    hot = written(around(hot).select("cell").distinct(), "crowded")
+    # a cell that is no fingerprint's own value holds no link that another one lacks
+    live = written(hot.join(own.select(F.expr("value * 2 + seg").alias("cell")), "cell", "left_semi"), "live")
+    other = F.when(F.col("cell").bitwiseAND(F.lit(1)) == 0, parts[1]).otherwise(parts[0])
+    halves = (ball.join(live, "cell", "left_semi")
+              .select("cell", "own", "fp", other.alias("other"), F.explode(F.array(F.lit(0), F.lit(16))).alias("shift"))
+              .withColumn("value", F.expr("shiftright(other, shift) & 65535L"))
+              .withColumn("bit", _ball(F.col("value"), 16))
+              .select(F.xxhash64("cell", "shift", F.expr("case when bit < 0 then value else value | shiftleft(1L, bit) end")).alias("cell"),
+                      "own", "fp", (F.col("bit") < 0).alias("own_half")))
 
     def run(batches):
         import pyarrow as pa
@@ -101,9 +129,9 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         for part in sorted_runs(batches, "cell"):
             starts, ends = run_bounds(part["cell"])
             fps = part["fp"].view(np.uint64)
-            own = np.add.reduceat(part["own"].astype(np.int64), starts)
+            own, half = (np.add.reduceat(part[c].astype(np.int64), starts) for c in ("own", "own_half"))
             a, b = [], []
-            for k in np.flatnonzero((ends - starts > 1) & (own > 0)):
+            for k in np.flatnonzero((ends - starts > 1) & (own > 0) & (half > 0)):
                 x, y = tree(np.unique(fps[starts[k] : ends[k]]), max_bits)
                 a.append(x)
                 b.append(y)
@@ -111,8 +139,9 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    return (ball.repartition("cell").sortWithinPartitions("cell")
-            .mapInArrow(run, "a bigint, b bigint"))
+    plain = ball.join(hot, "cell", "left_anti").select("cell", "own", "fp", F.col("own").alias("own_half"))
+    return reduce(DataFrame.union, [rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
+                                    for rows in (plain, halves.select(*plain.columns))])
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> DataFrame:
