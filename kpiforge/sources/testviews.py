@@ -49,26 +49,27 @@ def sales_ledger(spark: SparkSession, sf_dir: str,
     need_part = bool({"category", "product"} & set(cols))
     need_cust = bool({"region", "city", "customer_tier"} & set(cols))
 
+    # the amount before the joins: one column of it is shuffled, not its two factors
     df = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_quantity")
-    if need_orders:
-        o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-        df = df.join(o, df.l_orderkey == o.o_orderkey)
+        "l_orderkey", "l_partkey", (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("amount"), "l_quantity")
     if need_part:
         p = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
         df = df.join(p, df.l_partkey == p.p_partkey)
-    if need_cust:
-        # star order: the fact side meets each dimension directly, so Spark's
-        # size check can broadcast every dimension that is small enough
-        c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        r = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
-        df = (df.join(c, df.o_custkey == c.c_custkey)
-              .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-              .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+    if need_orders:
+        o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+        if need_cust:
+            # the customer's columns join the orders: for them the line items, of which
+            # there are more, aren't shuffled once more
+            c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+            n = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+            r = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+            o = (o.join(c, o.o_custkey == c.c_custkey)
+                 .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+                 .join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+        df = df.join(o, df.l_orderkey == F.col("o_orderkey"))
     expr = {
         "date": F.col("o_orderdate"),
-        "amount": F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")),
+        "amount": F.col("amount"),
         "qty": F.col("l_quantity"),
         "category": F.col("p_brand"),
         "product": F.col("p_name"),

@@ -73,7 +73,8 @@ def report_totals(df: DataFrame, cols: ColumnMap | dict | None = None, by: list[
 def export_report(df: DataFrame, base_path: str, cols: ColumnMap | dict | None = None,
                   fmt: str = "parquet", period: str | None = None) -> None:
     """IO6 — raw rows in ``raw`` and the totals in ``totals``, one sub-directory per
-    sheet (``sheet=category``, ``sheet=region``), written in one pass.
+    sheet (``sheet=category``, ``sheet=region``).  ``df`` is computed for each of the two:
+    hand in a table that is cheap to read (a ``Cut``'s), not a chain of joins.
 
     With ``period`` (D, W, M, Q or Y) both are kept by period (``period=2024-01-31``, its last
     day; the totals are those of the period), and a run replaces only the periods of the rows
